@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from biorec.llm import dedup, jaccard, mixing, urls
+from biorec.llm import dedup, jaccard, langid, licenses, mixing, pieces, tokens, topk, toxicity, urls
 from biorec.llm.common import table
 
 
@@ -14,6 +16,14 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    out = licenses.scan_licenses(docs.select(F.col("doc_id").cast("long").alias("id"), path.alias("path"), "text"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_components(table(spark, sf_dir, "documents"))
 
@@ -22,14 +32,44 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode, decode, and compare with the text (whose own white space marks decode to spaces)."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace(F.col("text"), F.lit(pieces.SPACE), F.lit(" ")).alias("text"))
+    decoded = pieces.decode_pieces(pieces.encode_pieces(docs, path), path)
+    return decoded.select("doc_id", "n_chunks", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.xxhash64("decoded") == F.col("mark")).alias("round_trip"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
-    return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": mixing.SQL, "op4_exact_dedup": dedup.SQL, "op10_url_filter": urls.SQL}
+    return {"op1_source_mix": mixing.SQL, "op4_exact_dedup": dedup.SQL, "op9_exact_topk": topk.SQL, "op10_url_filter": urls.SQL}
