@@ -45,6 +45,8 @@ PERCENT = 75
 SKETCH_BITS = 20
 BLOOM_BITS = 24
 BLOCK = 2048
+#: About so many bytes of arrays are in a row of blocks of pairs.
+BLOCK_BYTES = 1 << 23
 #: Bits of a bitmap for a set of n shingles: the power of two of at least n, within these bounds.
 LEAST_BITS, MOST_BITS = 64, 1024
 _COEF = mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -241,16 +243,16 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(keep))
 
 
-def _intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that link, by exact intersection of the sorted arrays."""
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("m1"), batch.column("m2")):
-            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            at = np.searchsorted(x, y)
-            both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def _intersected(members: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Pairs of one block that link, by exact intersection of sorted arrays; each array comes once for the block."""
+    of = {sid.as_py(): np.frombuffer(m.as_buffer(), np.uint64) for sid, m in zip(members["sid"], members["members"])}
+    keep = []
+    for u, v in zip(pairs["u"].to_pylist(), pairs["v"].to_pylist()):
+        x, y = of[u], of[v]
+        at = np.searchsorted(x, y)
+        both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+        keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+    return pairs.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, bounded: bool) -> DataFrame:
@@ -260,9 +262,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, bounded: bool) -> DataFrame:
         first = marks.toDF("u", "n1", "bitmap1")
         second = marks.toDF("v", "n2", "bitmap2")
         pairs = materialize(pairs.join(first, "u").join(second, "v").mapInArrow(_bounded, "u long, v long").distinct(), "pairs")
-    full = sets.select("sid", "members")
-    joined = pairs.join(full.toDF("u", "m1"), "u").join(full.toDF("v", "m2"), "v")
-    return materialize(joined.mapInArrow(_intersected, "u long, v long").distinct(), "links")
+    # Blocks of pairs: a set's array goes once to each block that needs it, however many pairs the set is in there.
+    size = sets.agg(F.sum("n")).first()[0] or 0
+    side = int(min(1024, max(4, 8 * size // BLOCK_BYTES)))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    blocked = pairs.withColumns({"bu": bucket("u"), "bv": bucket("v")})
+    asked = blocked.select(F.explode(F.array("u", "v")).alias("sid"), "bu", "bv").distinct()
+    arrays = asked.join(sets.select("sid", "members"), "sid")
+    links = arrays.groupBy("bu", "bv").cogroup(blocked.groupBy("bu", "bv")).applyInArrow(_intersected, "u long, v long")
+    return materialize(links, "links")
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
