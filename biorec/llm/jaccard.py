@@ -267,9 +267,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, bounded: bool) -> DataFrame:
     side = int(min(1024, max(4, 8 * size // BLOCK_BYTES)))
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     blocked = pairs.withColumns({"bu": bucket("u"), "bv": bucket("v")})
-    asked = blocked.select(F.explode(F.array("u", "v")).alias("sid"), "bu", "bv").distinct()
+    asked = blocked.select(F.explode(F.array("u", "v")).alias("sid"), F.col("bu").alias("pu"), F.col("bv").alias("pv")).distinct()
     arrays = asked.join(sets.select("sid", "members"), "sid")
-    links = arrays.groupBy("bu", "bv").cogroup(blocked.groupBy("bu", "bv")).applyInArrow(_intersected, "u long, v long")
+    links = arrays.groupBy("pu", "pv").cogroup(blocked.groupBy("bu", "bv")).applyInArrow(_intersected, "u long, v long")
     return materialize(links, "links")
 
 
