@@ -45,8 +45,8 @@ PERCENT = 75
 SKETCH_BITS = 20
 BLOOM_BITS = 24
 BLOCK = 2048
-#: About so many bytes of arrays are in a row of blocks of pairs.
-BLOCK_BYTES = 1 << 23
+#: About so many sets are in a row of blocks of pairs.
+BLOCK_SETS = 2000
 #: Bits of a bitmap for a set of n shingles: the power of two of at least n, within these bounds.
 LEAST_BITS, MOST_BITS = 64, 1024
 _COEF = mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -192,40 +192,55 @@ def _scan_prefixes(sketch):
     return scan
 
 
-def _scan_sets(bloom):
+def _places(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return mix(sid.view(np.uint64) + doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BLOOM_BITS)
+
+
+def _scan_sets(bloom, members: bool):
+    """Bitmaps, or whole sorted arrays, of the sets that the filter asks for, from the row that stands for each set."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
-        seen: set[int] = set()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
+            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for i, j in slices(offsets):
                 h, starts = shingle_sets(data, offsets[i : j + 1])
                 ids, n = set_ids(h, starts), np.diff(starts)
-                out = []
-                for r in np.flatnonzero((n > 0) & _in_bloom(bits, ids)):
-                    if (sid := int(ids[r])) not in seen:
-                        seen.add(sid)
-                        s = h[starts[r] : starts[r + 1]]
-                        out.append((sid, len(s), bitmap(s), s.tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["sid", "n", "bitmap", "members"])
+                at = _places(ids, doc[i:j])
+                asked = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                rows = np.flatnonzero((n > 0) & asked)
+                if len(rows):
+                    own = [h[starts[r] : starts[r + 1]] for r in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(n[rows].astype(np.int32)), pa.array([x.tobytes() if members else bitmap(x) for x in own], pa.binary())], ["sid", "n", "data"])
 
     return scan
 
 
-def _in_bloom(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = ids.view(np.uint64) >> np.uint64(64 - BLOOM_BITS)
-    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 def _bloom_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A filter of 2^24 bits of the set ids, which only spares work: what passes wrongly joins with nothing later."""
+    """A filter of 2^24 bits, which only spares work: what passes wrongly joins with nothing later."""
     on = np.zeros(1 << BLOOM_BITS, np.uint8)
     for batch in batches:
-        on[batch.column("sid").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - BLOOM_BITS)] = 1
+        on[_places(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("sid", "doc_id")))] = 1
     yield pieces(on)
 
 
+class Sets:
+    """Fetches sets from the texts: a scan gives those that a table of ids asks for, so no table of all sets is kept or shuffled."""
+
+    def __init__(self, text: DataFrame, sizes: DataFrame):
+        key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")
+        self.text = text.select(key, "text")
+        self.rows = materialize(sizes.where("n > 0").groupBy("sid").agg(F.min(key).alias("doc_id")), "sets")
+
+    def fetch(self, asked: DataFrame, members: bool) -> DataFrame:
+        """(sid, n, data) of at least the sets in ``asked(sid)``."""
+        parts = self.rows.join(asked.select("sid").distinct(), "sid", "left_semi").mapInArrow(_bloom_parts, "piece int, blob binary")
+        bits = np.packbits(sum_sketch(parts, 1 << BLOOM_BITS, "uint8") > 0, bitorder="little")
+        shared = self.text.sparkSession.sparkContext.broadcast(bits)
+        return self.text.mapInArrow(_scan_sets(shared, members), "sid long, n int, data binary")
+
+
 # ---------------------------------------------------------------- pairs
 
 
@@ -255,21 +270,18 @@ def _intersected(members: pa.Table, pairs: pa.Table) -> pa.Table:
     return pairs.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, bounded: bool) -> DataFrame:
+def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
     """The pairs (u, v) that link."""
-    if not bounded:
-        marks = sets.select("sid", "n", "bitmap")
-        first = marks.toDF("u", "n1", "bitmap1")
-        second = marks.toDF("v", "n2", "bitmap2")
-        pairs = materialize(pairs.join(first, "u").join(second, "v").mapInArrow(_bounded, "u long, v long").distinct(), "pairs")
     # Blocks of pairs: a set's array goes once to each block that needs it, however many pairs the set is in there.
-    size = sets.agg(F.sum("n")).first()[0] or 0
-    side = int(min(1024, max(4, 8 * size // BLOCK_BYTES)))
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    arrays = sets.fetch(asked, members=True)
+    size = asked.count()
+    side = int(min(1024, max(4, size // BLOCK_SETS)))
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     blocked = pairs.withColumns({"bu": bucket("u"), "bv": bucket("v")})
-    asked = blocked.select(F.explode(F.array("u", "v")).alias("sid"), F.col("bu").alias("pu"), F.col("bv").alias("pv")).distinct()
-    arrays = asked.join(sets.select("sid", "members"), "sid")
-    links = arrays.groupBy("pu", "pv").cogroup(blocked.groupBy("bu", "bv")).applyInArrow(_intersected, "u long, v long")
+    places = blocked.select(F.explode(F.array("u", "v")).alias("sid"), F.col("bu").alias("pu"), F.col("bv").alias("pv")).distinct()
+    sent = arrays.select("sid", F.col("data").alias("members")).join(places, "sid")
+    links = sent.groupBy("pu", "pv").cogroup(blocked.groupBy("bu", "bv")).applyInArrow(_intersected, "u long, v long")
     return materialize(links, "links")
 
 
@@ -341,22 +353,22 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     pairs = tiles.select("sid", F.explode(F.array("head", "below")).alias("other")).where("other is not null and other != sid")
     pairs = pairs.select(F.greatest("sid", "other").alias("u"), F.least("sid", "other").alias("v")).distinct()
-    asked = tiles.select("sid").distinct()
-    bloom = np.packbits(sum_sketch(asked.mapInArrow(_bloom_parts, "piece int, blob binary"), 1 << BLOOM_BITS, "uint8") > 0, bitorder="little")
-    sets = materialize(text.mapInArrow(_scan_sets(sc.broadcast(bloom)), "sid long, n int, bitmap binary, members binary").dropDuplicates(["sid"]), "sets")
-
-    links = _verified(pairs, sets, bounded=False)
+    sets = Sets(text, sizes)
+    marks = materialize(sets.fetch(tiles.select("sid"), members=False).withColumnRenamed("data", "bitmap"), "bitmaps")
+    first, second = marks.toDF("u", "n1", "bitmap1"), marks.toDF("v", "n2", "bitmap2")
+    bounded = materialize(pairs.join(first, "u").join(second, "v").mapInArrow(_bounded, "u long, v long").distinct(), "pairs")
+    links = _verified(bounded, sets)
     label = components(links)
 
     # Tiles that hold sets of several components.
     labelled = tiles.select("token", "sid", "n", "band").distinct().join(label.withColumnRenamed("u", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("m")).where("l0 != l1")
     rows = labelled.join(mixed.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "token")
-    rows = rows.join(sets.select("sid", "bitmap"), "sid").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows = rows.join(marks.select("sid", "bitmap"), "sid").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("tile", F.explode(F.expr("flatten(transform(array(band, band + 1), b -> transform(sequence(0, blocks - 1), s -> struct(b as band, least(s, salt) as lo, greatest(s, salt) as hi))))")))
     rows = rows.select("token", "tile.*", (F.col("tile.band") == F.col("band")).alias("home"), "salt", "sid", "n", "label", "bitmap")
     rows = rows.repartition("token", "band", "lo", "hi").sortWithinPartitions("token", "band", "lo", "hi", "sid")
-    more = _verified(materialize(rows.mapInArrow(_tiles, "u long, v long").distinct(), "pairs"), sets, bounded=True)
+    more = _verified(materialize(rows.mapInArrow(_tiles, "u long, v long").distinct(), "pairs"), sets)
 
     ends = more.join(label.toDF("u", "lu"), "u", "left").join(label.toDF("v", "lv"), "v", "left")
     joined = components(ends.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
