@@ -140,3 +140,131 @@ def d1_audit_counts(t):
 @query("SELECT s.square, s.geographic_region_id, s.rarity_score, coalesce(c.rarity_score, 0.0::DOUBLE) AS recomputed FROM stored s LEFT JOIN scores c USING (square, geographic_region_id) WHERE abs(s.rarity_score - coalesce(c.rarity_score, 0.0::DOUBLE)) > 0.0001", _RECORDS, *_SCORES, _COUNTS, _STORED)
 def d2_audit_rarity(t):
     return stats.audit_rarity(_stored(t), t["occurrences"], t["geographic_regions_occurrences"], t["taxa"], MOST)
+
+
+# ---------------------------------------------------------------- query surface, lists, geo, merge
+
+from biorec.operators import geo, merge, taxonomy  # noqa: E402
+from biorec.operators import query as surface  # noqa: E402
+
+_ACTIVE_OCC = "o.blocked = 0 AND o.deleted_at IS NULL AND t.blocked = 0 AND t.deleted_at IS NULL"
+
+
+@query(f"""SELECT o.unique_key, o.taxon_id, o.recorded_by, t.scientific_name, k.rank FROM occurrences o JOIN taxa t ON t.id = o.taxon_id LEFT JOIN taxon_ranks k ON k.id = t.taxon_rank_id
+ WHERE {_ACTIVE_OCC} AND o.from_date >= DATE '1998-01-01' AND lower(o.recorded_by) LIKE '%#1%' AND o.identification_verification_status IN ('V', 'v1')""")
+def q1_occurrences(t):
+    rows = surface.query(t, "occurrences", [("from_date", "gte", "1998-01-01"), ("recorded_by", "contains", "#1"), ("identification_verification_status", "in", "V, v1")], includes=("taxon", "taxon-rank"))
+    return rows.select("unique_key", "taxon_id", "recorded_by", F.col("taxon__scientific_name").alias("scientific_name"), F.col("taxon_rank__rank").alias("rank"))
+
+
+@query(f"""SELECT o.unique_key FROM occurrences o JOIN taxa t ON t.id = o.taxon_id WHERE {_ACTIVE_OCC} AND EXISTS (SELECT 1 FROM geographic_regions_occurrences b JOIN geographic_regions g ON g.id = b.geographic_region_id
+ WHERE b.occurrence_id = o.id AND g.deleted_at IS NULL AND g.higher_geography_identifier IN ('N1', 'R2'))""")
+def q1_occurrences_in_region(t):
+    return surface.query(t, "occurrences", [("higher_geography_identifier", "in", "N1,R2")]).select("unique_key")
+
+
+@query("""SELECT t.taxon_identifier, t.scientific_name, k.rank, p.taxon_identifier AS parent, s.taxon_identifier AS species, f.taxon_identifier AS family FROM taxa t JOIN taxon_ranks k ON k.id = t.taxon_rank_id AND k.is_reporting = 1
+ LEFT JOIN (SELECT * FROM taxa WHERE blocked = 0 AND deleted_at IS NULL) p ON p.id = t.parent_taxon_id LEFT JOIN taxa s ON s.id = t.species_id LEFT JOIN taxa f ON f.id = t.family_id WHERE t.blocked = 0 AND t.deleted_at IS NULL""")
+def q2_taxa(t):
+    rows = surface.query(t, "taxa", includes=("taxon-rank", "parent-taxon", "parent-taxa"))
+    return rows.select("taxon_identifier", "scientific_name", F.col("taxon_rank__rank").alias("rank"), F.col("parent__taxon_identifier").alias("parent"), F.col("species__taxon_identifier").alias("species"), F.col("family__taxon_identifier").alias("family"))
+
+
+@query("SELECT higher_geography_identifier, higher_geography, location_type FROM geographic_regions WHERE deleted_at IS NULL AND location_type = 'nation'")
+def q7_regions(t):
+    return surface.query(t, "geographic_regions", [("location_type", "eq", "nation")], sort="-higher_geography").select("higher_geography_identifier", "higher_geography", "location_type")
+
+
+@query("SELECT abbr, rank, sort_order FROM taxon_ranks WHERE is_reporting = 1")
+def q8_ranks(t):
+    return surface.query(t, "taxon_ranks").select("abbr", "rank", "sort_order")
+
+
+@query("""SELECT o.unique_key, coalesce((SELECT string_agg(DISTINCT higher_geography_identifier || '/' || higher_geography, ';' ORDER BY higher_geography_identifier || '/' || higher_geography) FROM geographic_regions_occurrences b
+ JOIN geographic_regions g ON g.id = b.geographic_region_id WHERE g.deleted_at IS NULL AND b.occurrence_id = o.id), '') AS regions FROM occurrences o JOIN taxa t ON t.id = o.taxon_id WHERE """ + _ACTIVE_OCC)
+def e5_occurrence_regions(t):
+    rows = surface.query(t, "occurrences", includes=("geographic-region",))
+    return rows.select("unique_key", F.array_join(F.transform("geographic_regions", lambda g: F.concat(g["identifier"], F.lit("/"), g["name"])), ";").alias("regions"))
+
+
+@query("SELECT taxon_identifier, scientific_name FROM taxa WHERE deleted_at IS NULL AND lower(scientific_name) LIKE '%ring%' ORDER BY taxon_identifier DESC, id LIMIT 20 OFFSET 20")
+def l1_taxon_list(t):
+    return surface.staff_list(t["taxa"], "RING", ("scientific_name", "taxon_identifier"), "taxon_identifier", "scientific_name", "desc", 2).select("taxon_identifier", "scientific_name")
+
+
+@query("SELECT id, unique_key FROM occurrences WHERE deleted_at IS NULL AND blocked = 1 AND from_date >= DATE '1997-01-01' AND from_date <= DATE '1999-12-31'")
+def l2_occurrence_list(t):
+    return surface.occurrence_list(t["occurrences"], blocked=1, date_from="1997-01-01", date_to="1999-12-31").select("id", "unique_key")
+
+
+def _placed(t):
+    """Positions of occurrences on a lattice, some on region boundaries."""
+    return t["occurrences"].withColumns({"longitude": (F.col("id") % 611) / 100.0, "latitude": F.lit(50.0) + (F.col("id") % 457) / 100.0})
+
+
+@query("""SELECT g.id AS geographic_region_id, p.id AS occurrence_id FROM (SELECT *, (id % 611) / 100.0::DOUBLE AS x, 50.0::DOUBLE + (id % 457) / 100.0::DOUBLE AS y FROM occurrences WHERE blocked = 0 AND deleted_at IS NULL) p
+ JOIN (SELECT id, CAST(substr(higher_geography_identifier, 2) AS INTEGER) AS k FROM geographic_regions WHERE location_type = 'nation' AND deleted_at IS NULL) g ON x >= k % 5 AND x <= k % 5 + 1 AND y >= 50 + k % 4 AND y <= 51 + k % 4""")
+def g2_assign_regions(t):
+    return geo.assign_regions(_placed(t), t["geographic_regions"])
+
+
+@query()
+def g1_grid_refs(t):
+    rows = _placed(t).withColumns({"longitude": F.col("longitude") - 6, "grid_ref": F.lit("OLD"), "grid_ref_system": F.when(F.col("id") % 3 == 0, "OSGB").otherwise("WGS84"), "coordinate_uncertainty": (F.col("id") % 9000).cast("string")})
+    return geo.assign_grid_refs(rows).select("id", "grid_ref", "grid_ref_2km")
+
+
+@query()
+def g4_fishnet(t):
+    """Squares of 2 km over nation boxes laid out on the grid."""
+    k = F.substring("higher_geography_identifier", 2, 9).cast("int")
+    x, y = (300000 + k % 5 * 21000 + 500).cast("string"), (200000 + k % 4 * 17000 + 700).cast("string")
+    x2, y2 = (300000 + k % 5 * 21000 + 19500).cast("string"), (200000 + k % 4 * 17000 + 14000).cast("string")
+    p = lambda a, b: F.concat(a, F.lit(" "), b)
+    ring = F.concat(F.lit("POLYGON(("), F.concat_ws(",", p(x, y), p(x2, y), p(x2, y2), p(x, y2), p(x, y)), F.lit("))"))
+    nations = t["geographic_regions"].where("location_type = 'nation'").withColumn("footprint_geometry", ring)
+    return geo.fishnet(nations)
+
+
+_RAW = "concat('SRC:', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))"
+
+
+@query(f"SELECT {_RAW} AS unique_key, max((l_partkey, l_suppkey, l_extendedprice))[1] AS l_partkey FROM lineitem GROUP BY ALL")
+def n10_dedupe_last(t):
+    raw = t["lineitem"].select(F.concat(F.lit("SRC:"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("unique_key"), "l_partkey", F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("at"))
+    return merge.dedupe_last(raw, ["unique_key"], "at").select("unique_key", "l_partkey")
+
+
+@query("""SELECT coalesce(e.unique_key, i.unique_key) AS unique_key, coalesce(i.recorded_by, e.recorded_by) AS recorded_by,
+ CASE WHEN e.id IS NULL THEN 'inserted' WHEN i.unique_key IS NULL THEN 'kept' WHEN e.recorded_by = i.recorded_by THEN 'unchanged' ELSE 'updated' END AS action,
+ coalesce(e.id, (SELECT max(id) FROM occurrences WHERE id % 3 <> 0) + row_number() OVER (PARTITION BY e.id IS NULL ORDER BY i.unique_key)) AS id
+ FROM (SELECT id, unique_key, recorded_by FROM occurrences WHERE id % 3 <> 0) e FULL JOIN (SELECT unique_key, CASE WHEN id % 4 = 0 THEN 'Someone' ELSE recorded_by END AS recorded_by FROM occurrences WHERE id % 2 = 0) i ON e.unique_key = i.unique_key""")
+def u8_merge(t):
+    o = t["occurrences"].select("id", "unique_key", "recorded_by")
+    incoming = o.where("id % 2 = 0").select("unique_key", F.when(F.col("id") % 4 == 0, "Someone").otherwise(F.col("recorded_by")).alias("recorded_by"))
+    return merge.merge(o.where("id % 3 != 0"), incoming, ["unique_key"])
+
+
+_PATHS = ("paths", """SELECT id, taxon_identifier AS organism_key, scientific_name AS taxon, k.rank AS taxon_rank, k.sort_order, k.is_reporting, rarity_group_name AS taxon_group,
+ list_filter([order_id, family_id, species_id, t.id], lambda x: x IS NOT NULL) AS path FROM (SELECT id AS kid, rank, sort_order, is_reporting FROM taxon_ranks) k JOIN taxa t ON kid = t.taxon_rank_id""")
+
+
+def _paths(t):
+    k = t["taxon_ranks"].select(F.col("id").alias("taxon_rank_id"), F.col("rank").alias("taxon_rank"), "sort_order", "is_reporting")
+    path = F.filter(F.array("order_id", "family_id", "species_id", "id"), lambda x: x.isNotNull())
+    return t["taxa"].join(k, "taxon_rank_id").select("id", F.col("taxon_identifier").alias("organism_key"), F.col("scientific_name").alias("taxon"), "taxon_rank", "sort_order", "is_reporting", F.col("rarity_group_name").alias("taxon_group"), path.alias("path"))
+
+
+@query("SELECT DISTINCT p.id FROM paths p JOIN (SELECT id, unnest(path) AS a FROM paths WHERE taxon_group IN ('Brand#2', 'Brand#11')) c ON p.id = c.a", _PATHS)
+def p1_taxa_report(t):
+    return taxonomy.taxa_report(_paths(t), ["Brand#2", "Brand#11"]).select("id")
+
+
+@query("SELECT c.id, arg_max(a.id, (a.sort_order, a.id)) AS parent_id FROM (SELECT id, sort_order, unnest(path) AS a FROM paths) c JOIN paths a ON a.id = c.a WHERE a.sort_order < c.sort_order AND a.id <> c.id GROUP BY c.id", _PATHS)
+def p2_nearest_parent(t):
+    return taxonomy.nearest_parent(_paths(t))
+
+
+@query()
+def p3_higher_taxa(t):
+    return taxonomy.higher_taxa(_paths(t))
