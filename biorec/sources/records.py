@@ -13,15 +13,18 @@ from biorec.operators.geo import tetrad_from_ref
 
 _S = "string"
 NBN_FIELDS = (
-    "uuid occurrenceID occurrence_id taxonConceptID taxonConceptId scientificNameID eventDate startDate endDate gridReference grid_ref recordedBy identifiedBy decimalLatitude decimalLongitude gridReferenceSystem "
+    "uuid occurrenceID occurrence_id taxonConceptID scientificNameID eventDate startDate endDate gridReference grid_ref recordedBy identifiedBy decimalLatitude decimalLongitude gridReferenceSystem "
     "dataProviderName dataResourceName identificationVerificationStatus coordinateUncertaintyInMeters coordinateUncertainty coordinatePrecision uncertainty locality sex lifeStage organismQuantity individualCount taxonRankID stateProvince"
 ).split()
 NBN = T.StructType([T.StructField(f, T.StringType()) for f in NBN_FIELDS] + [T.StructField("userAssertions", T.ArrayType(T.IntegerType()))])
 _GEOGRAPHY = T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in ("id", "name", "type")]))
 
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+
+
 def _struct(**fields: str) -> T.StructType:
-    return T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items()])
+    return T.StructType([T.StructField(k, _TYPES[v]) for k, v in fields.items()])
 
 
 INDICIA = T.StructType([
@@ -57,9 +60,9 @@ def read_indicia(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.explode(F.coalesce(unwrapped, "occurrences", "records", "data", F.array(F.struct(*names)))).alias("r")).select("r.*")
 
 
-def read_report(spark: SparkSession, path: str, record: str) -> DataFrame:
+def read_report(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
     """Rows of a ``{"data": [...]}`` payload with records of this schema."""
-    schema = T.StructType([T.StructField("data", _list(T._parse_datatype_string(record)))])
+    schema = T.StructType([T.StructField("data", _list(record))])
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("data").alias("r")).select("r.*")
 
 
@@ -116,7 +119,7 @@ def text(*names: str) -> Column:
 
 
 def normalize_nbn(df: DataFrame) -> DataFrame:
-    concept = text("taxonConceptID", "taxonConceptId", "scientificNameID")
+    concept = text("taxonConceptID", "scientificNameID")
     ref = text("grid_ref", "gridReference")
     return df.select(
         text("uuid", "occurrenceID").alias("remote_id"), text("occurrenceID", "occurrence_id").alias("occurrence_id"), concept.alias("scientific_name_identifier"), concept.alias("given_name_identifier"),
