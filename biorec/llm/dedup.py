@@ -28,7 +28,12 @@ from pyspark.sql import functions as F
 
 from biorec.llm.common import materialize, new_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State in RocksDB, with its changes in the shared folder; no space set aside for stores that hold little.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(column: str = "text") -> Column:
@@ -55,8 +60,9 @@ def _rows(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
 def dedup_stream(arrivals: DataFrame, out: str, state_dir: str) -> None:
     """Feed a stream of (doc_id, n_points, locator, digest) to the state; what changed goes to ``out`` batch by batch."""
     spark = arrivals.sparkSession
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         state = arrivals.groupBy("digest").agg(F.max(_best()).alias("best"), F.count(F.lit(1)).alias("n_rows"))
         # A batch that runs again overwrites what it wrote.
@@ -66,10 +72,8 @@ def dedup_stream(arrivals: DataFrame, out: str, state_dir: str) -> None:
         if query.exception():
             raise query.exception()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state_dir: str | None = None) -> DataFrame:
