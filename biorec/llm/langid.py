@@ -29,6 +29,7 @@ DIM = 1 << 13
 GRAMS = 4
 PER_LANG, LANDMARKS = 400, 256
 RIDGE = 1e-3
+MOST_LANGS = 2000
 HELD_OUT = 2
 _LETTER = regex.compile(r"\p{L}")
 
@@ -88,9 +89,15 @@ class Model:
 def fit(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS, seed: str = "lang") -> Model | None:
     """Learn from rows outside the held-out fold; None if there are none."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != HELD_OUT))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values of lang")
+    if not counts:
+        return None
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), doc_key())), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    picked = known.select("lang", "text", doc_key().alias("key"), draw.alias("draw")).join(counts, "lang").where(F.col("draw") * F.col("n") < per_lang)
+    # The counts go into the plan, so no text is shuffled by its language.
+    n = F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("lang"))
+    picked = known.where(draw * n < per_lang).select("lang", "text", doc_key().alias("key"))
     rows = picked.select("key", "lang", F.lower("text").alias("low")).mapInArrow(_packed, "key string, lang string, bits binary").collect()
     if not rows:
         return None
