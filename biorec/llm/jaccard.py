@@ -47,6 +47,8 @@ BLOOM_BITS = 24
 BLOCK = 2048
 #: About so many sets are in a row of blocks of pairs.
 BLOCK_SETS = 2000
+#: A table of (set, block) of at most so many rows of 16 bytes is broadcast; a larger one is joined by a shuffle.
+MOST_PLACES = 1_000_000
 #: Bits of a bitmap for a set of n shingles: the power of two of at least 2 n, within these bounds.
 LEAST_BITS, MOST_BITS = 64, 2048
 _COEF = mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -270,21 +272,30 @@ def _intersected(members: pa.Table, pairs: pa.Table) -> pa.Table:
     return pairs.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, sets: Sets, family: DataFrame) -> DataFrame:
+def _placed(asked: DataFrame) -> DataFrame:
+    """``asked(sid, family)`` with the block of each set: one for a family, several for a family of more than BLOCK_SETS sets."""
+    side = int(max(4, asked.count() // BLOCK_SETS))
+    split = asked.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("k"))
+    return asked.join(split, "family").select("sid", F.pmod(F.xxhash64("family", F.pmod(F.xxhash64("sid"), F.col("k"))), F.lit(side)).cast("int").alias("b"))
+
+
+def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
     """The pairs (u, v) that link.
 
     Pairs are checked in blocks: a set's array goes once to each block that needs it, however many
-    pairs the set is in there. Sets of one family (by their tiles' heads) share a block; a large
-    family is dealt over several.
+    pairs the set is in there. Sets that candidate pairs connect share a block, so that few arrays
+    go to several; a large family is dealt over several.
     """
-    asked = materialize(pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(family, "sid"), "asked")
-    side = int(max(4, asked.count() // BLOCK_SETS))
-    split = asked.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("k"))
-    bucket = asked.join(split, "family").select("sid", F.pmod(F.xxhash64("family", F.pmod(F.xxhash64("sid"), F.col("k"))), F.lit(side)).cast("int").alias("b"))
+    label = components(pairs)
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(label.withColumnRenamed("u", "sid"), "sid", "left")
+    asked = materialize(asked.select("sid", F.coalesce("label", "sid").alias("family")), "asked")
+    bucket = _placed(asked)
     blocked = pairs.join(bucket.toDF("u", "bu"), "u").join(bucket.toDF("v", "bv"), "v").select("u", "v", "bu", "bv")
     blocked = materialize(blocked, "blocks")
-    places = blocked.select(F.explode(F.array("u", "v")).alias("sid"), F.col("bu").alias("pu"), F.col("bv").alias("pv")).distinct()
-    sent = sets.fetch(asked, members=True).select("sid", F.col("data").alias("members")).join(places, "sid")
+    places = materialize(blocked.select(F.explode(F.array("u", "v")).alias("sid"), F.col("bu").alias("pu"), F.col("bv").alias("pv")).distinct(), "places")
+    # Up to a bounded number of rows the places travel to the arrays; beyond it both are shuffled by set.
+    near = F.broadcast(places) if places.count() <= MOST_PLACES else places
+    sent = sets.fetch(asked, members=True).select("sid", F.col("data").alias("members")).join(near, "sid")
     links = sent.groupBy("pu", "pv").cogroup(blocked.groupBy("bu", "bv")).applyInArrow(_intersected, "u long, v long")
     return materialize(links, "links")
 
@@ -361,8 +372,7 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = materialize(sets.fetch(tiles.select("sid"), members=False).withColumnRenamed("data", "bitmap"), "bitmaps")
     first, second = marks.toDF("u", "n1", "bitmap1"), marks.toDF("v", "n2", "bitmap2")
     bounded = materialize(pairs.join(first, "u").join(second, "v").mapInArrow(_bounded, "u long, v long").distinct(), "pairs")
-    family = materialize(tiles.groupBy("sid").agg(F.min("head").alias("family")), "families")
-    links = _verified(bounded, sets, family)
+    links = _verified(bounded, sets)
     label = components(links)
 
     # Tiles that hold sets of several components.
@@ -373,7 +383,7 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("tile", F.explode(F.expr("flatten(transform(array(band, band + 1), b -> transform(sequence(0, blocks - 1), s -> struct(b as band, least(s, salt) as lo, greatest(s, salt) as hi))))")))
     rows = rows.select("token", "tile.*", (F.col("tile.band") == F.col("band")).alias("home"), "salt", "sid", "n", "label", "bitmap")
     rows = rows.repartition("token", "band", "lo", "hi").sortWithinPartitions("token", "band", "lo", "hi", "sid")
-    more = _verified(materialize(rows.mapInArrow(_tiles, "u long, v long").distinct(), "pairs"), sets, family)
+    more = _verified(materialize(rows.mapInArrow(_tiles, "u long, v long").distinct(), "pairs"), sets)
 
     ends = more.join(label.toDF("u", "lu"), "u", "left").join(label.toDF("v", "lv"), "v", "left")
     joined = components(ends.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
