@@ -14,7 +14,7 @@ Steps, each a Spark job over all rows:
    many documents share come last in this order and seldom are tile keys.
 3. Within a tile, sets lie in size bands of width 4/3: only equal and neighbouring bands can
    link. Each set is first paired with the first set of its band and with its neighbour in
-   size. These pairs are bounded by bitmaps, then intersected exactly.
+   size. These pairs are bounded by bitmaps, by finer bitmaps, then intersected exactly.
 4. Sets that step 3 connected need no more pairs among them. In tiles that still hold several
    components, all pairs of sets of different components are compared, by bitmaps first: parity
    bitmaps of hashed shingles, of which the number of unequal bits is at most the size of the
@@ -115,9 +115,17 @@ def bitmap_bits(n: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * n - 1).bit_length()))
 
 
-def bitmap(h: np.ndarray) -> bytes:
+def fine_bits(n: int) -> int:
+    """Bits of a bitmap that is not saturated however long the text is: the power of two of at least 8 n."""
+    return max(LEAST_BITS, 1 << int(8 * n - 1).bit_length())
+
+
+#: What a scan of the texts can give of a set's sorted shingle hashes.
+FORMS = {"bitmap": lambda h: bitmap(h, bitmap_bits(len(h))), "fine": lambda h: bitmap(h, fine_bits(len(h))), "members": lambda h: h.tobytes()}
+
+
+def bitmap(h: np.ndarray, bits: int) -> bytes:
     """Parity of the number of shingles hashed to each bit."""
-    bits = bitmap_bits(len(h))
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -198,8 +206,8 @@ def _places(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(sid.view(np.uint64) + doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BLOOM_BITS)
 
 
-def _scan_sets(bloom, members: bool):
-    """Bitmaps, or whole sorted arrays, of the sets that the filter asks for, from the row that stands for each set."""
+def _scan_sets(bloom, form: str):
+    """Bitmaps, or whole sorted arrays (see FORMS), of the sets that the filter asks for, from the row that stands for each set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
@@ -214,7 +222,7 @@ def _scan_sets(bloom, members: bool):
                 rows = np.flatnonzero((n > 0) & asked)
                 if len(rows):
                     own = [h[starts[r] : starts[r + 1]] for r in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(n[rows].astype(np.int32)), pa.array([x.tobytes() if members else bitmap(x) for x in own], pa.binary())], ["sid", "n", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(n[rows].astype(np.int32)), pa.array([FORMS[form](x) for x in own], pa.binary())], ["sid", "n", "data"])
 
     return scan
 
@@ -235,12 +243,12 @@ class Sets:
         self.text = text.select(key, "text")
         self.rows = materialize(sizes.where("n > 0").groupBy("sid").agg(F.min(key).alias("doc_id")), "sets")
 
-    def fetch(self, asked: DataFrame, members: bool) -> DataFrame:
+    def fetch(self, asked: DataFrame, form: str) -> DataFrame:
         """(sid, n, data) of at least the sets in ``asked(sid)``."""
         parts = self.rows.join(asked.select("sid").distinct(), "sid", "left_semi").mapInArrow(_bloom_parts, "piece int, blob binary")
         bits = np.packbits(sum_sketch(parts, 1 << BLOOM_BITS, "uint8") > 0, bitorder="little")
         shared = self.text.sparkSession.sparkContext.broadcast(bits)
-        return self.text.mapInArrow(_scan_sets(shared, members), "sid long, n int, data binary")
+        return self.text.mapInArrow(_scan_sets(shared, form), "sid long, n int, data binary")
 
 
 # ---------------------------------------------------------------- pairs
@@ -262,7 +270,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _intersected(members: pa.Table, pairs: pa.Table) -> pa.Table:
     """Pairs of one block that link, by exact intersection of sorted arrays; each array comes once for the block."""
-    of = {sid.as_py(): np.frombuffer(m.as_buffer(), np.uint64) for sid, m in zip(members["sid"], members["members"])}
+    of = {sid.as_py(): np.frombuffer(m.as_buffer(), np.uint64) for sid, m in zip(members["sid"], members["data"])}
     keep = []
     for u, v in zip(pairs["u"].to_pylist(), pairs["v"].to_pylist()):
         x, y = of[u], of[v]
@@ -272,6 +280,17 @@ def _intersected(members: pa.Table, pairs: pa.Table) -> pa.Table:
     return pairs.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _bounded_finely(marks: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Pairs of one block whose fine bitmaps do not rule a link out."""
+    of = {sid: (n, m) for sid, n, m in zip(marks["sid"].to_pylist(), marks["n"].to_pylist(), marks["data"].to_pylist())}
+    keep = []
+    for u, v in zip(pairs["u"].to_pylist(), pairs["v"].to_pylist()):
+        (n1, x), (n2, y) = of[u], of[v]
+        x, y = folded([x, y], min(len(x), len(y)) * 8)
+        keep.append(bool(may_link(n1, n2, int(np.bitwise_count(x ^ y).sum()))))
+    return pairs.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _placed(asked: DataFrame) -> DataFrame:
     """``asked(sid, family)`` with the block of each set: one for a family, several for a family of more than BLOCK_SETS sets."""
     side = int(max(4, asked.count() // BLOCK_SETS))
@@ -280,11 +299,16 @@ def _placed(asked: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
-    """The pairs (u, v) that link.
+    """The pairs (u, v) that link: those that fine bitmaps leave, by exact intersection."""
+    return _checked(_checked(pairs, sets, "fine", _bounded_finely), sets, "members", _intersected)
+
+
+def _checked(pairs: DataFrame, sets: Sets, form: str, keep) -> DataFrame:
+    """The pairs (u, v) that ``keep`` leaves, given their sets in a form.
 
-    Pairs are checked in blocks: a set's array goes once to each block that needs it, however many
-    pairs the set is in there. Sets that candidate pairs connect share a block, so that few arrays
-    go to several; a large family is dealt over several.
+    Pairs are checked in blocks: a set goes once to each block that needs it, however many pairs
+    the set is in there. Sets that candidate pairs connect share a block, so that few sets go to
+    several; a large family is dealt over several.
     """
     label = components(pairs)
     asked = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(label.withColumnRenamed("u", "sid"), "sid", "left")
@@ -293,11 +317,11 @@ def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
     blocked = pairs.join(bucket.toDF("u", "bu"), "u").join(bucket.toDF("v", "bv"), "v").select("u", "v", "bu", "bv")
     blocked = materialize(blocked, "blocks")
     places = materialize(blocked.select(F.explode(F.array("u", "v")).alias("sid"), F.col("bu").alias("pu"), F.col("bv").alias("pv")).distinct(), "places")
-    # Up to a bounded number of rows the places travel to the arrays; beyond it both are shuffled by set.
+    # Up to a bounded number of rows the places travel to the sets; beyond it both are shuffled by set.
     near = F.broadcast(places) if places.count() <= MOST_PLACES else places
-    sent = sets.fetch(asked, members=True).select("sid", F.col("data").alias("members")).join(near, "sid")
-    links = sent.groupBy("pu", "pv").cogroup(blocked.groupBy("bu", "bv")).applyInArrow(_intersected, "u long, v long")
-    return materialize(links, "links")
+    sent = sets.fetch(asked, form).join(near, "sid")
+    left = sent.groupBy("pu", "pv").cogroup(blocked.groupBy("bu", "bv")).applyInArrow(keep, "u long, v long")
+    return materialize(left, "links")
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +393,7 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = tiles.select("sid", F.explode(F.array("head", "below")).alias("other")).where("other is not null and other != sid")
     pairs = pairs.select(F.greatest("sid", "other").alias("u"), F.least("sid", "other").alias("v")).distinct()
     sets = Sets(text, sizes)
-    marks = materialize(sets.fetch(tiles.select("sid"), members=False).withColumnRenamed("data", "bitmap"), "bitmaps")
+    marks = materialize(sets.fetch(tiles.select("sid"), "bitmap").withColumnRenamed("data", "bitmap"), "bitmaps")
     first, second = marks.toDF("u", "n1", "bitmap1"), marks.toDF("v", "n2", "bitmap2")
     bounded = materialize(pairs.join(first, "u").join(second, "v").mapInArrow(_bounded, "u long, v long").distinct(), "pairs")
     links = _verified(bounded, sets)
