@@ -10,7 +10,8 @@ Steps, each a Spark job over all rows:
 1. Scan: hash the shingles, give each set its size and digest, and add up a count sketch of
    all shingles (2^20 counters, whatever the input).
 2. Scan: order each set rarest first by the sketch. Sets that link must share one of their
-   first ``n - ceil(0.75 n) + 1`` shingles, so those are emitted as tile keys. Passages that
+   first ``n - ceil(0.75 n) + 1`` shingles, so those are emitted as tile keys; the smaller set
+   must have it among its first ``n - ceil(6 n / 7) + 1``, which a flag marks. Passages that
    many documents share come last in this order and seldom are tile keys.
 3. Within a tile, sets lie in size bands of width 4/3: only equal and neighbouring bands can
    link. Each set is first paired with the first set of its band and with its neighbour in
@@ -59,6 +60,14 @@ def needed(n: int | np.ndarray) -> int | np.ndarray:
     return -(-n * PERCENT // 100)
 
 
+def index_length(n: int) -> int:
+    """How many of its first shingles the smaller set of a pair that links must be searched under.
+
+    No set of at least n shingles links to a set of n with an overlap of less than 2 PERCENT n / (100 + PERCENT).
+    """
+    return n - -(-2 * n * PERCENT // (100 + PERCENT)) + 1
+
+
 # ---------------------------------------------------------------- shingles of one slice of rows
 
 
@@ -181,22 +190,22 @@ def _scan_prefixes(sketch):
                 h, starts = shingle_sets(data, offsets[i : j + 1])
                 ids, n = set_ids(h, starts), np.diff(starts)
                 keys = (counts[h >> np.uint64(64 - SKETCH_BITS)] << np.uint64(40)) | (h & np.uint64((1 << 40) - 1))
-                take, which = [], []
+                take, which, leads = [], [], []
                 for r in np.flatnonzero(n):
                     if (sid := int(ids[r])) in seen:
                         continue
                     seen.add(sid)
                     k = keys[starts[r] : starts[r + 1]]
                     p = int(n[r] - needed(n[r]) + 1)
-                    if p < len(k):
-                        k = np.partition(k, p - 1)[:p]
+                    k = np.sort(np.partition(k, p - 1)[:p] if p < len(k) else k)
                     take.append(k)
+                    leads.append(k <= k[index_length(int(n[r])) - 1])
                     which.append(r)
                 if take:
                     many = np.array([len(k) for k in take])
                     rows = np.repeat(np.array(which), many)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(take).view(np.int64)), pa.array(n[rows].astype(np.int32)), pa.array(ids[rows])], ["token", "n", "sid"]
+                        [pa.array(np.concatenate(take).view(np.int64)), pa.array((n[rows] * 2 + np.concatenate(leads)).astype(np.int64)), pa.array(ids[rows])], ["token", "size_lead", "sid"]
                     )
 
     return scan
@@ -333,7 +342,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return None
         n = np.array([r["n"] for r in held], np.int64)
-        label, sid, salt, home = (np.array([r[c] for r in held]) for c in ("label", "sid", "salt", "home"))
+        label, sid, salt, home, lead = (np.array([r[c] for r in held]) for c in ("label", "sid", "salt", "home", "lead"))
         bits = min(len(r["bitmap"]) for r in held) * 8
         marks = folded([r["bitmap"] for r in held], bits)
         lo, hi = held[0]["lo"], held[0]["hi"]
@@ -341,7 +350,8 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(len(held) - 1):
             rest = slice(i + 1, None)
             # At least one of a pair is at home in the tile's band; blocks are compared with each other once.
-            ok = (label[rest] != label[i]) & (home[rest] | home[i])
+            # The smaller set of a pair must be searched under this token; of sets of one size, both.
+            ok = (label[rest] != label[i]) & (home[rest] | home[i]) & (lead[rest] | (n[rest] > n[i])) & (lead[i] | (n[rest] < n[i]))
             if lo != hi:
                 ok &= salt[rest] != salt[i]
             at = np.flatnonzero(ok) + i + 1
@@ -376,17 +386,19 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = scanned.where("piece is null").select("doc_id", "n", "sid")
     sketch = sum_sketch(scanned.where("piece is not null").select("piece", "blob"), 1 << SKETCH_BITS)
 
-    prefixes = text.mapInArrow(_scan_prefixes(sc.broadcast(sketch)), "token long, n int, sid long")
+    prefixes = text.mapInArrow(_scan_prefixes(sc.broadcast(sketch)), "token long, size_lead long, sid long").repartition("token")
+    prefixes = prefixes.select("token", F.shiftright("size_lead", 1).cast("int").alias("n"), "sid", (F.col("size_lead") % 2 == 1).alias("lead"))
     prefixes = prefixes.withColumn("band", F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int"))
     by_size = Window.partitionBy("token").orderBy("band", "n", "sid")
+    earlier = by_size.rowsBetween(Window.unboundedPreceding, -1)
     by_band = Window.partitionBy("token", "band").orderBy("n", "sid")
     near = lambda s, a, b: F.col(s).isNotNull() & (F.col(s) != F.col("sid")) & (F.col(a) * 100 >= F.col(b) * PERCENT)
     tiles = (
-        prefixes.withColumns({"below": F.lag("sid").over(by_size), "n0": F.lag("n").over(by_size), "above": F.lead("sid").over(by_size), "n2": F.lead("n").over(by_size)})
+        prefixes.withColumns({"below": F.last(F.when(F.col("lead"), F.col("sid")), ignorenulls=True).over(earlier), "n0": F.last(F.when(F.col("lead"), F.col("n")), ignorenulls=True).over(earlier), "above": F.lead("sid").over(by_size), "n2": F.lead("n").over(by_size)})
         .withColumn("head", F.first("sid").over(by_band))
-        .withColumns({"down": near("below", "n0", "n"), "up": near("above", "n", "n2")})
+        .withColumns({"down": near("below", "n0", "n"), "up": F.col("lead") & near("above", "n", "n2")})
         .where("down or up")
-        .select("token", "n", "sid", "band", "head", F.when(F.col("down"), F.col("below")).alias("below"))
+        .select("token", "n", "sid", "lead", "band", "head", F.when(F.col("down"), F.col("below")).alias("below"))
     )
     tiles = materialize(tiles, "tiles")
 
@@ -400,12 +412,12 @@ def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     label = components(links)
 
     # Tiles that hold sets of several components.
-    labelled = tiles.select("token", "sid", "n", "band").distinct().join(label.withColumnRenamed("u", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    labelled = tiles.select("token", "sid", "n", "band", "lead").distinct().join(label.withColumnRenamed("u", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("m")).where("l0 != l1")
     rows = labelled.join(mixed.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "token")
     rows = rows.join(marks.select("sid", "bitmap"), "sid").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("tile", F.explode(F.expr("flatten(transform(array(band, band + 1), b -> transform(sequence(0, blocks - 1), s -> struct(b as band, least(s, salt) as lo, greatest(s, salt) as hi))))")))
-    rows = rows.select("token", "tile.*", (F.col("tile.band") == F.col("band")).alias("home"), "salt", "sid", "n", "label", "bitmap")
+    rows = rows.select("token", "tile.*", (F.col("tile.band") == F.col("band")).alias("home"), "salt", "sid", "n", "lead", "label", "bitmap")
     rows = rows.repartition("token", "band", "lo", "hi").sortWithinPartitions("token", "band", "lo", "hi", "sid")
     more = _verified(materialize(rows.mapInArrow(_tiles, "u long, v long").distinct(), "pairs"), sets)
 
