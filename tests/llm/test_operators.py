@@ -187,3 +187,48 @@ def test_licenses(spark):
     got = sorted((r["id"], r["license"], r["how"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "id long, path string, text string")).collect())
     assert [x for x in got if x[0] != 5] == [(1, "MIT", "own"), (2, "Apache-2.0", "own"), (3, "Apache-2.0", "inherited"), (3, "Apache-2.0", "inherited"), (4, "Apache-2.0", "inherited"), (6, "proprietary", "own")]
     assert (5, None, "none") in got
+
+
+def test_license_texts(spark):
+    full = licenses.full_texts()
+    mit, bsd = (next(t for n, t in full if n == name) for name in ("MIT", "BSD"))
+    assert {n for n, _ in full} >= {"MIT", "Apache-2.0", "GPL", "LGPL", "BSD", "MPL-2.0", "CC0"}
+    rows, want = [], {}
+    for k, (name, text) in enumerate(full):
+        rows += [(10 * k, f"{k}/LICENSE", text), (10 * k + 1, f"{k}/src/a.py", "nothing here")]
+        want |= {10 * k: (name, "own"), 10 * k + 1: (name, "inherited")}
+    prose = "Some words on rivers and lakes, and on what lives there by day "
+    code = " ".join(f"name{i} = call{i}(x{i})" for i in range(300))
+    header = "# Licensed under the Apache\n# License, Version 2.0 (the\n# \"License\"); you may not use this\n# file except in compliance\n# with the License.\n"
+    lesser = "/* This library is free software; you can\n * redistribute it and/or modify it under the\n * terms of the GNU Lesser General\n * Public License as published by somebody */\n"
+    cases = [
+        ("Apache-2.0", header + code), ("LGPL", lesser + code), ("MIT", prose * 20 + "and it is released under the\nMIT license which " + prose * 20),
+        ("BSD", "Copyright X. All rights reserved.\nUse of this source code is governed by a BSD-style\nlicense.\n" + code), ("proprietary", prose + "all rights\nreserved " + prose),
+        ("MIT", "\n".join("# " + x for x in mit.split("\n")) + code), (None, prose * 30 + "a licence and permission to fish"),
+        ("BSD", bsd.replace("The Regents of the University of California", "Some One").replace("THE REGENTS", "THE COPYRIGHT HOLDERS")),
+    ]
+    for k, (name, text) in enumerate(cases):
+        # The last is a licence file; the others state a licence for themselves alone.
+        below = (name, "inherited") if k == len(cases) - 1 else (None, "none")
+        rows += [(1000 + 10 * k, f"case{k}/file", text), (1001 + 10 * k, f"case{k}/src/b.py", "nothing here")]
+        want |= {1000 + 10 * k: (name, "own" if name else "none"), 1001 + 10 * k: below}
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "id long, path string, text string")).collect()
+    assert {r["id"]: (r["license"], r["how"]) for r in got} == want
+
+
+def test_license_runs():
+    """The bounded search against all runs of a statement's length."""
+    match = licenses.Matcher({"": 50, "license": 9, "the": 40, "under": 12})
+    text = "the the license license under MIT gnu general public released rights reserved all under a cc by nc sa license 4 0 of the work is subject to version 3 permission copy all rights"
+    for shift in range(0, 30, 3):
+        words = (text.split()[shift:] + ["filler"] * 60 + text.split()[:shift]) * 2
+        cosines = []
+        for (name, t, norm), n in zip(match.templates, match.lengths):
+            for i in range(len(words) - n + 1):
+                run = " ".join(words[i : i + n])
+                if licenses._TRIGGER.search(run) or words[i + n - 1 : i + n + 1] in (["rights", "reserved"], ["public", "domain"]):
+                    v, size = match.vector(licenses.terms(run))
+                    cosines.append((sum(x * v.get(w, 0.0) for w, x in t.items()) / (norm * size), name))
+        best = max(cosines, key=licenses._rank)
+        got = match.best_run([w.lower() for w in words], (0.0, ""))
+        assert got[1] == best[1] and math.isclose(got[0], best[0], abs_tol=1e-6)
