@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from biorec.llm.common import doc_key, fold, materialize
 
@@ -86,7 +87,8 @@ def _scan(active: dict[str, int], stems: frozenset[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes, low, high = zip(*(features(t.as_py() or "", active, stems) for t in batch.column("text"))) if len(batch) else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "fold"]).columns, *(pa.array(x, pa.int64()) for x in (votes, low, high))], ["doc_id", "fold", "votes", "low", "high"])
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *(pa.array(x, pa.int64()) for x in (votes, low, high))], [*kept, "votes", "low", "high"])
 
     return scan
 
@@ -180,13 +182,14 @@ def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 40)
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted."""
-    spark = docs.sparkSession
+def score_toxicity(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted; with ``carry`` also the row's columns, as ``row``."""
     given = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     active, stems = mine(docs, given)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold().alias("fold"), "text")
-    marked = materialize(rows.mapInArrow(_scan(active, stems), "doc_id long, fold long, votes long, low long, high long"), "votes")
+    own_row = [F.struct(*docs.columns).alias("row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold().alias("fold"), *own_row, "text")
+    schema = StructType([x for x in rows.schema if x.name != "text"] + [StructField(c, LongType()) for c in ("votes", "low", "high")])
+    marked = materialize(rows.mapInArrow(_scan(active, stems), schema), "votes")
 
     open_ = marked.where(F.col("fold") != HELD_OUT)
     seen = marked.join(given, "doc_id", "left").withColumn("label", F.when(F.col("fold") != HELD_OUT, F.col("label")))
@@ -210,11 +213,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for k, x in enumerate(weights):
             total = total + F.shiftright(F.col(column), k).bitwiseAND(F.lit(1)) * F.lit(float(x))
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
-    return marked.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return marked.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), score.alias("score"), *(["row"] if carry else [])).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic; rows that share an id are judged as one, toxic if any is."""
-    bad = score_toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_bad")).distinct()
-    joined = docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]), "left_anti")
-    return joined.select(*[joined[c] for c in docs.columns])
+    """The rows of ``docs`` that are not predicted toxic, each judged by its own score, whatever its id."""
+    return score_toxicity(docs, labels, carry=True).where("predicted = 0").select("row.*")

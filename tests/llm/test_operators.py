@@ -148,6 +148,18 @@ def test_toxicity(spark, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0 and toxicity.score_toxicity(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_toxicity_stage(spark):
+    clean = [(i, f"the plain text number {i} about rivers and {i * 7}") for i in range(300)]
+    bad = [(300 + i, f"you are an {w} and number {i}") for i, w in enumerate(["idiot", "moron", "loser", "clown"] * 15)]
+    # A toxic row beside clean ones with a null id, and with a clean row's id.
+    mixed = [(None, "a quiet lake"), (None, "you are an idiot and number 5"), (None, None), (7, "you are an idiot and number 7")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(clean + bad + mixed)], "doc_id long, text string, row int")
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(360)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.schema.simpleString() == docs.schema.simpleString()
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(*r, i) for i, r in enumerate(clean + bad + mixed) if "you are" not in (r[1] or "")], key=str)
+
+
 def test_language(spark, docs, empty):
     words = {"en": "the and of with that this from", "fr": "le la les des une avec pour", "de": "der die das und nicht mit ein"}
     rows = [(i, " ".join(words[c].split()[(i + k) % 7] for k in range(9)), c) for i, c in enumerate(["en", "fr", "de"] * 60)] + [(900, None, "en"), (901, "123 !", None), (902, "The And Of", None)]
