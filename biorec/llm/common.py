@@ -48,6 +48,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a number for each row, ``_row``, fixed in a table of the shared folder."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def doc_key(column: str = "doc_id") -> Column:
     """doc_id as text, for seeds and folds; a null id is the text ``null``."""
     return F.coalesce(F.col(column).cast("string"), F.lit("null"))

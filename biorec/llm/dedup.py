@@ -16,7 +16,8 @@ stays (null ids last).
    text.
 
 Repeated rows count as rows and share an id: if theirs is the id that stays, all of them are kept.
-Extra columns pass through in ``drop_copies``.
+Extra columns pass through in ``drop_copies`` and ``keep_one_copy``; the latter keeps a single row
+of each group: rows are numbered, and of rows equal in the order above the smallest number stays.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biorec.llm.common import materialize, new_path
+from biorec.llm.common import materialize, new_path, numbered
 
 #: State in RocksDB, with its changes in the shared folder; no space set aside for stores that hold little.
 STATE = {
@@ -47,24 +48,25 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _best() -> Column:
-    """Most code points, then the smallest id; a null id loses."""
-    return F.struct(F.col("n_points"), F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("minus_id"), F.col("locator"))
+def _best(row: str | None = None) -> Column:
+    """Most code points, then the smallest id; a null id loses. Then the smallest row number, where rows have one."""
+    number = [(-F.col(row)).alias("minus_row")] if row else []
+    return F.struct(F.col("n_points"), F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("minus_id"), *number, F.col("locator"))
 
 
-def _rows(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n_points"), F.input_file_name().alias("locator"), normalised().alias("norm"))
+def _rows(docs: DataFrame, digest: Callable[[Column], Column], row: str | None = None) -> DataFrame:
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([row] if row else []), F.coalesce(F.char_length("text"), F.lit(0)).alias("n_points"), F.input_file_name().alias("locator"), normalised().alias("norm"))
     return text.withColumn("digest", digest(F.col("norm")))
 
 
-def dedup_stream(arrivals: DataFrame, out: str, state_dir: str) -> None:
+def dedup_stream(arrivals: DataFrame, out: str, state_dir: str, row: str | None = None) -> None:
     """Feed a stream of (doc_id, n_points, locator, digest) to the state; what changed goes to ``out`` batch by batch."""
     spark = arrivals.sparkSession
     before = {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
     try:
-        state = arrivals.groupBy("digest").agg(F.max(_best()).alias("best"), F.count(F.lit(1)).alias("n_rows"))
+        state = arrivals.groupBy("digest").agg(F.max(_best(row)).alias("best"), F.count(F.lit(1)).alias("n_rows"))
         # A batch that runs again overwrites what it wrote.
         write = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
         query = state.writeStream.outputMode("update").option("checkpointLocation", state_dir).trigger(availableNow=True).foreachBatch(write).start()
@@ -76,16 +78,21 @@ def dedup_stream(arrivals: DataFrame, out: str, state_dir: str) -> None:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state_dir: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, locator (of the row that stays)."""
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state_dir: str | None = None, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, locator (of the row that stays).
+
+    With ``row``, a column of row numbers, also that column; then a single row of each group is kept.
+    """
     spark = docs.sparkSession
-    rows = _rows(docs, digest)
+    rows = _rows(docs, digest, row)
+    own = ["doc_id", row] if row else ["doc_id"]
     landed = new_path(spark, "arrivals")
     rows.drop("norm").write.parquet(landed)
     slim = spark.read.schema(rows.drop("norm").schema).parquet(landed)
     out = new_path(spark, "groups")
-    schema = "digest string, best struct<n_points:int,has_id:boolean,minus_id:bigint,locator:string>, n_rows bigint, batch bigint"
-    dedup_stream(spark.readStream.schema(slim.schema).parquet(landed), out, state_dir or new_path(spark, "state"))
+    number = "minus_row:bigint," if row else ""
+    schema = f"digest string, best struct<n_points:int,has_id:boolean,minus_id:bigint,{number}locator:string>, n_rows bigint, batch bigint"
+    dedup_stream(spark.readStream.schema(slim.schema).parquet(landed), out, state_dir or new_path(spark, "state"), row)
     try:
         changes = spark.read.schema(schema).parquet(out)
         changes.limit(1).count()
@@ -98,21 +105,22 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, s
 
     # Full bytes of the hits: as many rows for a digest as it has texts.
     hits = groups.where("n_rows > 1").select("digest")
-    texts = rows.join(hits, "digest", "left_semi").groupBy("digest", "norm").agg(F.max(_best()).alias("best"), F.count(F.lit(1)).alias("n_rows"))
+    texts = rows.join(hits, "digest", "left_semi").groupBy("digest", "norm").agg(F.max(_best(row)).alias("best"), F.count(F.lit(1)).alias("n_rows"))
     texts = texts.select("digest", F.xxhash64("norm").alias("check"), F.length("norm").alias("size"), "best", "n_rows", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
     texts = materialize(texts, "texts")
     split = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     plain = slim.join(groups.join(split, "digest", "left_anti"), "digest")
-    result = plain.select("doc_id", "best", "n_rows", "digest")
+    result = plain.select(*own, "best", "n_rows", "digest")
     if split.limit(1).count():
         clashing = rows.join(split, "digest", "left_semi")
-        same = clashing.select("digest", "norm", "doc_id").join(
-            clashing.groupBy("digest", "norm").agg(F.max(_best()).alias("best"), F.count(F.lit(1)).alias("n_rows")), ["digest", "norm"]
+        same = clashing.select("digest", "norm", *own).join(
+            clashing.groupBy("digest", "norm").agg(F.max(_best(row)).alias("best"), F.count(F.lit(1)).alias("n_rows")), ["digest", "norm"]
         )
-        result = result.unionByName(same.select("doc_id", "best", "n_rows", "digest"))
+        result = result.unionByName(same.select(*own, "best", "n_rows", "digest"))
     keep = -F.col("best.minus_id")
+    kept = F.col(row) == -F.col("best.minus_row") if row else F.col("doc_id").eqNullSafe(keep)
     return result.select(
-        "doc_id", keep.alias("keep_id"), F.col("n_rows").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"), F.col("best.locator").alias("locator")
+        *own, keep.alias("keep_id"), F.col("n_rows").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"), F.col("best.locator").alias("locator")
     )
 
 
@@ -124,6 +132,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     return joined.select(*[joined[c] for c in docs.columns])
 
 
+def keep_one_copy(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each text, with the columns of ``docs``: the longest original, then the smallest id, then any one row of that id."""
+    rows = numbered(docs)
+    kept = exact_groups(rows, row="_row").where("kept").select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+
+
 SQL = """
 WITH t AS (
   SELECT doc_id, coalesce(length(text), 0) AS n_points, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from biorec.llm.common import components, materialize, mix, pieces, slices, sum_sketch, utf8, word_hashes
+from biorec.llm.common import components, materialize, mix, numbered, pieces, slices, sum_sketch, utf8, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -441,10 +441,17 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's id: one document of each near-duplicate group.
+    """One row of ``docs`` for each near-duplicate group: the smallest id (null ids last), then any one row of that id.
 
-    Rows without words are their own components and stay; of rows with the same id all stay.
-    A null id stays only where its component has no other id.
+    Rows without words are their own components and stay.
     """
-    kept = ngram_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
+    rows = numbered(docs)
+    # Row numbers stand in for ids, so that each row of a repeated or null id is told apart.
+    sizes, label = link_sets(rows.select(F.col("_row").alias("doc_id"), "text"))
+    ids = rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").cast("long").alias("id"))
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "doc_id"))
+    per_set = sizes.where("n > 0").join(ids, "doc_id").groupBy("sid").agg(best.alias("best"))
+    per_set = per_set.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    stay = per_set.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("_row"))
+    stay = stay.unionByName(sizes.where("n = 0").select(F.col("doc_id").alias("_row")))
+    return rows.join(stay, "_row", "left_semi").select(*docs.columns)

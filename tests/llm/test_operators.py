@@ -87,6 +87,23 @@ def test_exact_stage(docs):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.where(F.col("text") == BASE).collect()) == [9, 9]
 
 
+def test_dedup_stages(spark, empty):
+    """One row of each text and of each component, with repeated and null ids."""
+    near = [BASE, BASE, BASE + " ", NEAR[0], NEAR[1], LONG, LONG + " end"]
+    ids = [9, 9, 9, 30, None, None, None]
+    rows = [*zip(ids, near), (30, "another text with words of its own"), (None, None), (None, ""), (41, "  "), (40, "a b"), (40, "a  b"), (40, "a  b"), (39, "ab"), (None, "c"), (None, "c")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    exact = dedup.keep_one_copy(docs)
+    assert exact.columns == docs.columns and dedup.keep_one_copy(empty).count() == 0
+    got = sorted(((r["doc_id"], r["text"]) for r in exact.collect()), key=str)
+    assert got == sorted([(9, BASE + " "), (30, NEAR[0]), (None, NEAR[1]), (None, LONG), (None, LONG + " end"), (30, rows[7][1]), (41, "  "), (40, "a  b"), (None, "c")], key=str)
+    kept = jaccard.keep_one_per_component(docs)
+    assert kept.columns == docs.columns and jaccard.keep_one_per_component(empty).count() == 0
+    got = sorted(((r["doc_id"], " ".join((r["text"] or "").split()[:3])) for r in kept.collect()), key=str)
+    first = lambda t: " ".join(t.split()[:3])
+    assert got == sorted([(9, first(BASE)), (None, first(LONG)), (30, first(rows[7][1])), (None, ""), (None, ""), (41, ""), (40, "a b"), (39, "ab"), (None, "c")], key=str)
+
+
 def test_mix(spark, docs, empty):
     plan = mixing.mix_plan(docs).collect()
     size = {}
