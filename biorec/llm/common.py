@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the contracts, as a character class for Java and DuckDB patterns.
@@ -25,13 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (one-machine
-    tests) a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and all runs on one
+    machine, as in tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -48,6 +50,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of at most so many narrow rows is broadcast, some tens of megabytes at most.
+MOST_BROADCAST = 200_000
+
+
+def few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, a materialised table of narrow rows, to be broadcast if its counted rows are few, else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with a number for each row, ``_row``, fixed in a table of the shared folder."""
     return materialize(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
@@ -135,23 +146,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 # ---------------------------------------------------------------- sketches of a fixed size
 
 
-def sum_sketch(parts: DataFrame, size: int, dtype: str = "uint32") -> np.ndarray:
-    """Add up arrays that tasks emitted in pieces as (piece, blob).
+def merged_sketch(parts: DataFrame, size: int, dtype: str, merge: np.ufunc = np.add) -> np.ndarray:
+    """Merge arrays that tasks emitted in pieces as (piece, blob); sums stop at the type's maximum.
 
     The result has ``size`` entries whatever the input: that is the bound on what reaches the driver.
     """
+    wide = np.uint64 if merge is np.add else dtype
 
     def add(group: pa.Table) -> pa.Table:
         total = None
         for blob in group["blob"]:
-            x = np.frombuffer(blob.as_py(), dtype)
-            total = x.astype(np.uint64) if total is None else total + x
+            x = np.frombuffer(blob.as_buffer(), dtype)
+            total = x.astype(wide) if total is None else merge(total, x)
         top = np.minimum(total, np.iinfo(dtype).max).astype(dtype)
         return pa.table({"piece": group["piece"][:1], "blob": pa.array([top.tobytes()], pa.binary())})
 
     out = np.zeros(size, dtype)
-    merged = parts.groupBy("piece").applyInArrow(add, "piece int, blob binary").collect()
-    for row in merged:
+    for row in parts.groupBy("piece").applyInArrow(add, "piece int, blob binary").collect():
         x = np.frombuffer(row["blob"], dtype)
         out[row["piece"] * len(x) : (row["piece"] + 1) * len(x)] = x
     return out
@@ -170,17 +181,18 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Label each vertex of ``edges(u, v)`` with the smallest vertex it is connected to: ``(u, label)``.
 
     Alternating large-star and small-star steps; each step's edges are written to the shared
-    folder. A vertex with very many neighbours is reduced by partial ``min`` aggregates, and the
-    join that follows can be split by adaptive execution. Vertices of no edge are absent.
+    folder, and the write itself observes their number and checksum. A vertex with very many
+    neighbours is reduced by partial ``min`` aggregates, and the join that follows can be split by
+    adaptive execution. Vertices of no edge are absent.
     """
 
-    def state(df: DataFrame) -> tuple:
-        row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return row[0], row[1]
+    def step(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        marked = df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+        return materialize(marked, name), (seen.get["n"], seen.get["x"])
 
     now = edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = materialize(now, name)
-    seen = state(now)
+    now, seen = step(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -188,8 +200,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         # Small-star: a vertex's smaller neighbours and itself are tied to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         tied = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(tied.unionByName(low.withColumnRenamed("m", "v")).distinct(), name)
-        got = state(now)
+        now, got = step(tied.unionByName(low.withColumnRenamed("m", "v")).distinct())
         if got == seen:
             return now.select("u", F.col("v").alias("label"))
         seen = got

@@ -7,24 +7,28 @@ text make an empty set, linked with nothing. Two documents link when
 
 Steps, each a Spark job over all rows:
 
-1. Scan: hash the shingles, give each set its size and digest, and add up a count sketch of
-   all shingles (2^20 counters, whatever the input).
+1. Scan: hash the shingles; give each set its size, its digest and a parity bitmap of hashed
+   shingles of at least 2 n bits; add up a count sketch of all shingles (2^20 counters, whatever
+   the input: shingles of more than some standard deviations of a counter are seen as frequent).
 2. Scan: order each set rarest first by the sketch. Sets that link must share one of their
    first ``n - ceil(0.75 n) + 1`` shingles, so those are emitted as tile keys; the smaller set
    must have it among its first ``n - ceil(6 n / 7) + 1``, which a flag marks. Passages that
-   many documents share come last in this order and seldom are tile keys.
+   many documents share come last in this order and seldom are tile keys. Tokens that very many
+   sets hold are salted by set, and the heads of their salts make a tile of their own.
 3. Within a tile, sets lie in size bands of width 4/3: only equal and neighbouring bands can
    link. Each set is first paired with the first set of its band and with its neighbour in
-   size. These pairs are bounded by bitmaps, by finer bitmaps, then intersected exactly.
+   size. The number of unequal bits of two bitmaps is at most the size of the symmetric
+   difference, which bounds the overlap from above. Pairs left are intersected exactly, in
+   blocks by the token they were found under.
 4. Sets that step 3 connected need no more pairs among them. In tiles that still hold several
-   components, all pairs of sets of different components are compared, by bitmaps first: parity
-   bitmaps of hashed shingles, of which the number of unequal bits is at most the size of the
-   symmetric difference. Large tiles are dealt out as pairs of blocks of 2048 sets.
+   components, all pairs of sets of different components are compared, by bitmaps first. Tiles
+   are dealt out as pairs of blocks of 2048 sets; sets of a tile's largest component meet only
+   those of the others.
 5. The links of both rounds give the components.
 
 So a group of copies or near copies of any size gives a number of pairs in proportion to its
 size, while no link between different components is lost. Documents with equal sets are one
-set. Repeated rows and rows with equal ids behave as separate rows with one id; a null id
+set (equal by a 64-bit digest of their shingles). Repeated rows and rows with equal ids behave as separate rows with one id; a null id
 never becomes a component's id unless all of its ids are null. Extra columns pass through.
 """
 
@@ -39,19 +43,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from biorec.llm.common import components, materialize, mix, numbered, pieces, slices, sum_sketch, utf8, word_hashes
+from biorec.llm.common import components, materialize, merged_sketch, mix, numbered, pieces, slices, utf8, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
 SKETCH_BITS = 20
 BLOOM_BITS = 24
+#: Sets in a block of a tile of several components.
 BLOCK = 2048
-#: About so many sets are in a row of blocks of pairs.
-BLOCK_SETS = 2000
-#: A table of (set, block) of at most so many rows of 16 bytes is broadcast; a larger one is joined by a shuffle.
-MOST_PLACES = 1_000_000
-#: Bits of a bitmap for a set of n shingles: the power of two of at least 2 n, within these bounds.
-LEAST_BITS, MOST_BITS = 64, 2048
+#: About so many bytes of arrays are intersected at a time.
+BLOCK_BYTES = 16 << 20
+#: About so many sets are in one salt of a tile.
+TILE_ROWS = 1 << 17
+#: Least bits of a bitmap; a set of n shingles has the power of two of at least 2 n.
+LEAST_BITS = 64
 _COEF = mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -121,16 +126,7 @@ def set_ids(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def bitmap_bits(n: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * n - 1).bit_length()))
-
-
-def fine_bits(n: int) -> int:
-    """Bits of a bitmap that is not saturated however long the text is: the power of two of at least 8 n."""
-    return max(LEAST_BITS, 1 << int(8 * n - 1).bit_length())
-
-
-#: What a scan of the texts can give of a set's sorted shingle hashes.
-FORMS = {"bitmap": lambda h: bitmap(h, bitmap_bits(len(h))), "fine": lambda h: bitmap(h, fine_bits(len(h))), "members": lambda h: h.tobytes()}
+    return max(LEAST_BITS, 1 << int(2 * n - 1).bit_length())
 
 
 def bitmap(h: np.ndarray, bits: int) -> bytes:
@@ -160,36 +156,46 @@ def may_link(n1, n2, unequal) -> np.ndarray:
 
 
 def _scan_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and id of each row's set; the bitmap of each set once a task; the task's part of the sketch."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    seen: set[int] = set()
+    names = ["doc_id", "n", "sid", "bitmap", "piece", "blob"]
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        sizes, ids = [], []
         for i, j in slices(offsets):
             h, starts = shingle_sets(data, offsets[i : j + 1])
             sketch += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-            sizes.append(np.diff(starts))
-            ids.append(set_ids(h, starts))
-        if sizes:
-            n = len(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(ids), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                ["doc_id", "n", "sid", "piece", "blob"],
-            )
+            n, ids = np.diff(starts), set_ids(h, starts)
+            marks: list[bytes | None] = [None] * (j - i)
+            for r in np.flatnonzero(n):
+                if (sid := int(ids[r])) not in seen:
+                    seen.add(sid)
+                    marks[r] = bitmap(h[starts[r] : starts[r + 1]], bitmap_bits(int(n[r])))
+            none = pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids), pa.array(marks, pa.binary()), *none], names)
     part = pieces(np.minimum(sketch, np.iinfo(np.uint32).max).astype(np.uint32))
     none = pa.nulls(len(part), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, part.column("piece"), part.column("blob")], ["doc_id", "n", "sid", "piece", "blob"])
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(part), pa.binary()), part.column("piece"), part.column("blob")], names)
+
 
+def _scan_prefixes(sketch, tile_rows: int):
+    """The rarest shingles of each set, as many as a link needs one of, once a task.
+
+    A token that far more than ``tile_rows`` sets hold, by the sketch, has several salts.
+    """
 
-def _scan_prefixes(sketch):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.minimum(sketch.value, (1 << 23) - 1).astype(np.uint64)
-        seen: set[int] = set()  # sets that this task has emitted: copies in one task are emitted once
+        plain = sketch.value.astype(np.int64)
+        salts = 1 + np.maximum(plain - int(plain.mean()), 0) // tile_rows
+        counts = np.minimum(plain, (1 << 23) - 1).astype(np.uint64)
+        seen: set[int] = set()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for i, j in slices(offsets):
                 h, starts = shingle_sets(data, offsets[i : j + 1])
                 ids, n = set_ids(h, starts), np.diff(starts)
-                keys = (counts[h >> np.uint64(64 - SKETCH_BITS)] << np.uint64(40)) | (h & np.uint64((1 << 40) - 1))
+                place = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                keys = (counts[place] << np.uint64(40)) | (h & np.uint64((1 << 40) - 1))
                 take, which, leads = [], [], []
                 for r in np.flatnonzero(n):
                     if (sid := int(ids[r])) in seen:
@@ -197,15 +203,20 @@ def _scan_prefixes(sketch):
                     seen.add(sid)
                     k = keys[starts[r] : starts[r + 1]]
                     p = int(n[r] - needed(n[r]) + 1)
-                    k = np.sort(np.partition(k, p - 1)[:p] if p < len(k) else k)
-                    take.append(k)
-                    leads.append(k <= k[index_length(int(n[r])) - 1])
+                    at = np.argpartition(k, p - 1)[:p] if p < len(k) else np.arange(len(k))
+                    at = at[np.argsort(k[at])]
+                    take.append(starts[r] + at)
+                    leads.append(k[at] <= k[at[index_length(int(n[r])) - 1]])
                     which.append(r)
                 if take:
-                    many = np.array([len(k) for k in take])
-                    rows = np.repeat(np.array(which), many)
+                    rows, at = np.repeat(np.array(which), [len(k) for k in take]), np.concatenate(take)
+                    many = salts[place[at]]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(take).view(np.int64)), pa.array((n[rows] * 2 + np.concatenate(leads)).astype(np.int64)), pa.array(ids[rows])], ["token", "size_lead", "sid"]
+                        [
+                            pa.array(keys[at].view(np.int64)), pa.array(np.where(many > 1, (ids[rows].view(np.uint64) % many.astype(np.uint64)).astype(np.int64), -1).astype(np.int32)),
+                            pa.array((n[rows] * 2 + np.concatenate(leads)).astype(np.int64)), pa.array(ids[rows]),
+                        ],
+                        ["token", "salt", "size_lead", "sid"],
                     )
 
     return scan
@@ -215,11 +226,22 @@ def _places(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(sid.view(np.uint64) + doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BLOOM_BITS)
 
 
-def _scan_sets(bloom, form: str):
-    """Bitmaps, or whole sorted arrays (see FORMS), of the sets that the filter asks for, from the row that stands for each set."""
+def _bloom_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A filter of 2^24 bits, which only spares work: what passes wrongly joins with nothing later."""
+    on = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
+    for batch in batches:
+        for sid, doc in (("u", "du"), ("v", "dv")):
+            at = _places(*(batch.column(c).to_numpy(zero_copy_only=False) for c in (sid, doc)))
+            np.bitwise_or.at(on, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    yield pieces(on)
+
+
+def _scan_sets(bloom):
+    """The sorted shingle hashes of the sets that the filter asks for, from the row that stands for each set, once a task."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
+        seen: set[int] = set()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -228,53 +250,30 @@ def _scan_sets(bloom, form: str):
                 ids, n = set_ids(h, starts), np.diff(starts)
                 at = _places(ids, doc[i:j])
                 asked = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                rows = np.flatnonzero((n > 0) & asked)
-                if len(rows):
-                    own = [h[starts[r] : starts[r + 1]] for r in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(n[rows].astype(np.int32)), pa.array([FORMS[form](x) for x in own], pa.binary())], ["sid", "n", "data"])
+                rows = [r for r in np.flatnonzero((n > 0) & asked) if not (int(ids[r]) in seen or seen.add(int(ids[r])))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array([h[starts[r] : starts[r + 1]].tobytes() for r in rows], pa.binary())], ["sid", "data"])
 
     return scan
 
 
-def _bloom_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A filter of 2^24 bits, which only spares work: what passes wrongly joins with nothing later."""
-    on = np.zeros(1 << BLOOM_BITS, np.uint8)
-    for batch in batches:
-        on[_places(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("sid", "doc_id")))] = 1
-    yield pieces(on)
-
-
-class Sets:
-    """Fetches sets from the texts: a scan gives those that a table of ids asks for, so no table of all sets is kept or shuffled."""
-
-    def __init__(self, text: DataFrame, sizes: DataFrame):
-        key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")
-        self.text = text.select(key, "text")
-        self.rows = materialize(sizes.where("n > 0").groupBy("sid").agg(F.min(key).alias("doc_id")), "sets")
-
-    def fetch(self, asked: DataFrame, form: str) -> DataFrame:
-        """(sid, n, data) of at least the sets in ``asked(sid)``."""
-        parts = self.rows.join(asked.select("sid").distinct(), "sid", "left_semi").mapInArrow(_bloom_parts, "piece int, blob binary")
-        bits = np.packbits(sum_sketch(parts, 1 << BLOOM_BITS, "uint8") > 0, bitorder="little")
-        shared = self.text.sparkSession.sparkContext.broadcast(bits)
-        return self.text.mapInArrow(_scan_sets(shared, form), "sid long, n int, data binary")
-
-
 # ---------------------------------------------------------------- pairs
 
+PAIR = "u long, v long, home long, nu long, nv long, du long, dv long"
+
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose bitmaps do not rule a link out."""
     for batch in batches:
-        n1, n2 = (batch.column(c).to_numpy().astype(np.int64) for c in ("n1", "n2"))
-        b1, b2 = (batch.column(c).to_pylist() for c in ("bitmap1", "bitmap2"))
-        keep = np.zeros(len(n1), bool)
-        width = np.minimum([len(x) for x in b1], [len(x) for x in b2]) if len(n1) else np.zeros(0, int)
+        nu, nv = (batch.column(c).to_numpy().astype(np.int64) for c in ("nu", "nv"))
+        bu, bv = (batch.column(c).to_pylist() for c in ("bu", "bv"))
+        keep = np.zeros(len(nu), bool)
+        width = np.minimum([len(x) for x in bu], [len(x) for x in bv]) if len(nu) else np.zeros(0, int)
         for w in np.unique(width):
             at = np.flatnonzero(width == w)
-            x = folded([b1[i] for i in at], int(w) * 8) ^ folded([b2[i] for i in at], int(w) * 8)
-            keep[at] = may_link(n1[at], n2[at], np.bitwise_count(x).sum(axis=1).astype(np.int64))
-        yield batch.select(["u", "v"]).filter(pa.array(keep))
+            x = folded([bu[i] for i in at], int(w) * 8) ^ folded([bv[i] for i in at], int(w) * 8)
+            keep[at] = may_link(nu[at], nv[at], np.bitwise_count(x).sum(axis=1).astype(np.int64))
+        yield batch.select(["u", "v", "home", "nu", "nv", "du", "dv"]).filter(pa.array(keep))
 
 
 def _intersected(members: pa.Table, pairs: pa.Table) -> pa.Table:
@@ -289,137 +288,144 @@ def _intersected(members: pa.Table, pairs: pa.Table) -> pa.Table:
     return pairs.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _bounded_finely(marks: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Pairs of one block whose fine bitmaps do not rule a link out."""
-    of = {sid: (n, m) for sid, n, m in zip(marks["sid"].to_pylist(), marks["n"].to_pylist(), marks["data"].to_pylist())}
-    keep = []
-    for u, v in zip(pairs["u"].to_pylist(), pairs["v"].to_pylist()):
-        (n1, x), (n2, y) = of[u], of[v]
-        x, y = folded([x, y], min(len(x), len(y)) * 8)
-        keep.append(bool(may_link(n1, n2, int(np.bitwise_count(x ^ y).sum()))))
-    return pairs.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _placed(asked: DataFrame) -> DataFrame:
-    """``asked(sid, family)`` with the block of each set: one for a family, several for a family of more than BLOCK_SETS sets."""
-    side = int(max(4, asked.count() // BLOCK_SETS))
-    split = asked.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("k"))
-    return asked.join(split, "family").select("sid", F.pmod(F.xxhash64("family", F.pmod(F.xxhash64("sid"), F.col("k"))), F.lit(side)).cast("int").alias("b"))
-
-
-def _verified(pairs: DataFrame, sets: Sets) -> DataFrame:
-    """The pairs (u, v) that link: those that fine bitmaps leave, by exact intersection."""
-    return _checked(_checked(pairs, sets, "fine", _bounded_finely), sets, "members", _intersected)
+def _verified(pairs: DataFrame, text: DataFrame, block_bytes: int) -> DataFrame:
+    """The pairs that link, by exact intersection.
 
-
-def _checked(pairs: DataFrame, sets: Sets, form: str, keep) -> DataFrame:
-    """The pairs (u, v) that ``keep`` leaves, given their sets in a form.
-
-    Pairs are checked in blocks: a set goes once to each block that needs it, however many pairs
-    the set is in there. Sets that candidate pairs connect share a block, so that few sets go to
-    several; a large family is dealt over several.
+    Pairs are checked in blocks of about ``block_bytes`` of arrays: pairs found under one token share
+    a block, so that most sets go to a few blocks; a token with more pairs is dealt over several.
     """
-    label = components(pairs)
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(label.withColumnRenamed("u", "sid"), "sid", "left")
-    asked = materialize(asked.select("sid", F.coalesce("label", "sid").alias("family")), "asked")
-    bucket = _placed(asked)
-    blocked = pairs.join(bucket.toDF("u", "bu"), "u").join(bucket.toDF("v", "bv"), "v").select("u", "v", "bu", "bv")
-    blocked = materialize(blocked, "blocks")
-    places = materialize(blocked.select(F.explode(F.array("u", "v")).alias("sid"), F.col("bu").alias("pu"), F.col("bv").alias("pv")).distinct(), "places")
-    # Up to a bounded number of rows the places travel to the sets; beyond it both are shuffled by set.
-    near = F.broadcast(places) if places.count() <= MOST_PLACES else places
-    sent = sets.fetch(asked, form).join(near, "sid")
-    left = sent.groupBy("pu", "pv").cogroup(blocked.groupBy("bu", "bv")).applyInArrow(keep, "u long, v long")
-    return materialize(left, "links")
+    total = pairs.agg(F.sum(F.col("nu") + F.col("nv"))).first()[0] or 0
+    side = int(max(4, total * 8 // block_bytes))
+    large = pairs.groupBy("home").agg(F.ceil(F.sum("nu") * 8 / block_bytes).alias("k")).where("k > 1")
+    block = F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("u"), F.coalesce("k", F.lit(1)))), F.lit(side)).cast("int")
+    blocked = materialize(pairs.join(large, "home", "left").select("u", "v", "du", "dv", block.alias("b")), "blocks")
+    bits = merged_sketch(blocked.mapInArrow(_bloom_parts, "piece int, blob binary"), 1 << BLOOM_BITS - 3, "uint8", np.bitwise_or)
+    shared = text.sparkSession.sparkContext.broadcast(bits)
+    places = blocked.select(F.explode(F.array("u", "v")).alias("sid"), F.col("b").alias("place")).distinct()
+    sent = text.mapInArrow(_scan_sets(shared), "sid long, data binary").join(places, "sid")
+    links = materialize(sent.groupBy("place").cogroup(blocked.groupBy("b")).applyInArrow(_intersected, "u long, v long"), "links")
+    shared.destroy()
+    return links
+
+
+def _compared(held: dict[str, np.ndarray | list]) -> pa.RecordBatch | None:
+    """Pairs of sets of one tile that are of different components and may link."""
+    n, label, sid, doc, salt, home, lead = (held[c] for c in ("n", "label", "sid", "doc", "salt", "home", "lead"))
+    marks = folded(held["bitmap"], min(len(x) for x in held["bitmap"]) * 8)
+    lo, hi = held["lo"][0], held["hi"][0]
+    first, second = (np.flatnonzero(salt == s) for s in (lo, hi))
+    if len(first) > len(second):
+        first, second = second, first
+    us, vs = [], []
+    for at, i in enumerate(first):
+        rest = second if lo != hi else first[at + 1 :]
+        # At least one of a pair is at home in the tile's band. The smaller set must be searched
+        # under this token; of sets of one size, both.
+        ok = (label[rest] != label[i]) & (home[rest] | home[i]) & (lead[rest] | (n[rest] > n[i])) & (lead[i] | (n[rest] < n[i]))
+        rest = rest[ok]
+        if len(rest):
+            rest = rest[may_link(n[rest], n[i], np.bitwise_count(marks[rest] ^ marks[i]).sum(axis=1).astype(np.int64))]
+            us.append(np.full(len(rest), i))
+            vs.append(rest)
+    if not us:
+        return None
+    u, v = np.concatenate(us), np.concatenate(vs)
+    swap = (n[u] < n[v]) | ((n[u] == n[v]) & (sid[u] < sid[v]))
+    u, v = np.where(swap, v, u), np.where(swap, u, v)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sid[u], sid[v], held["token"][u], n[u], n[v], doc[u], doc[v])], ["u", "v", "home", "nu", "nv", "du", "dv"])
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare the sets of each tile, which arrive sorted by tile: at most two blocks of sets at a time are held."""
-    held: list[dict] = []
-    tile = None
-
-    def flush() -> pa.RecordBatch | None:
-        if len(held) < 2:
-            return None
-        n = np.array([r["n"] for r in held], np.int64)
-        label, sid, salt, home, lead = (np.array([r[c] for r in held]) for c in ("label", "sid", "salt", "home", "lead"))
-        bits = min(len(r["bitmap"]) for r in held) * 8
-        marks = folded([r["bitmap"] for r in held], bits)
-        lo, hi = held[0]["lo"], held[0]["hi"]
-        out = []
-        for i in range(len(held) - 1):
-            rest = slice(i + 1, None)
-            # At least one of a pair is at home in the tile's band; blocks are compared with each other once.
-            # The smaller set of a pair must be searched under this token; of sets of one size, both.
-            ok = (label[rest] != label[i]) & (home[rest] | home[i]) & (lead[rest] | (n[rest] > n[i])) & (lead[i] | (n[rest] < n[i]))
-            if lo != hi:
-                ok &= salt[rest] != salt[i]
-            at = np.flatnonzero(ok) + i + 1
-            if len(at):
-                unequal = np.bitwise_count(marks[at] ^ marks[i]).sum(axis=1).astype(np.int64)
-                at = at[may_link(n[at], n[i], unequal)]
-                out += [(max(int(sid[i]), int(sid[k])), min(int(sid[i]), int(sid[k]))) for k in at]
-        if not out:
-            return None
-        u, v = zip(*set(out))
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+    held: pa.Table | None = None
+
+    def runs(table: pa.Table, last: bool) -> Iterator[tuple[int, int]]:
+        key = [table[c].to_numpy() for c in ("token", "band", "lo", "hi")]
+        new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+        bounds = [0, *new.tolist(), table.num_rows]
+        yield from zip(bounds[:-1] if last else bounds[:-2], bounds[1:] if last else bounds[1:-1])
+
+    def done(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        for i, j in runs(table, last):
+            if j - i > 1:
+                part = table.slice(i, j - i)
+                got = _compared({c: part[c].to_pylist() if c == "bitmap" else part[c].to_numpy() for c in part.column_names})
+                if got is not None:
+                    yield got
 
     for batch in batches:
-        for r in batch.to_pylist():
-            key = (r["token"], r["band"], r["lo"], r["hi"])
-            if key != tile:
-                if (got := flush()) is not None:
-                    yield got
-                held, tile = [], key
-            if not held or held[-1]["sid"] != r["sid"]:
-                held.append(r)
-    if (got := flush()) is not None:
-        yield got
+        if not len(batch):
+            continue
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        yield from done(held, False)
+        rest = list(runs(held, True))[-1][0]
+        held = held.slice(rest).combine_chunks()
+    if held is not None:
+        yield from done(held, True)
+
+
+def _neighbours(rows: DataFrame, *tile: str) -> DataFrame:
+    """``rows`` with the head of each set's band in its tile, and its neighbours in size if a link is possible."""
+    by_size = Window.partitionBy(*tile).orderBy("band", "n", "sid")
+    earlier = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    by_band = Window.partitionBy(*tile, "band").orderBy("n", "sid")
+    near = lambda s, a, b: F.col(s).isNotNull() & (F.col(s) != F.col("sid")) & (F.col(a) * 100 >= F.col(b) * PERCENT)
+    lead = lambda c: F.last(F.when(F.col("lead"), F.col(c)), ignorenulls=True).over(earlier)
+    out = rows.withColumns({"below": lead("sid"), "n0": lead("n"), "above": F.lead("sid").over(by_size), "n2": F.lead("n").over(by_size)})
+    out = out.withColumn("head", F.first("sid").over(by_band))
+    out = out.withColumns({"down": near("below", "n0", "n"), "up": F.col("lead") & near("above", "n", "n2")})
+    return out.withColumn("below", F.when(F.col("down"), F.col("below"))).drop("n0", "above", "n2")
+
+
+def _chained(tiles: DataFrame) -> DataFrame:
+    pairs = tiles.select("token", "sid", F.explode(F.array("head", "below")).alias("other")).where("other is not null and other != sid")
+    return pairs.select(F.col("sid").alias("u"), F.col("other").alias("v"), "token")
 
 
-def link_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def link_sets(docs: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
     """Tables of (doc_id, n, sid), one row per row of ``docs``, and (sid, label) for linked sets."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+    sc = docs.sparkSession.sparkContext
+    no_id = F.lit(-(1 << 63))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = materialize(text.mapInArrow(_scan_sizes, "doc_id long, n long, sid long, piece int, blob binary"), "sizes")
+    keyed = text.select(F.coalesce("doc_id", no_id).alias("doc_id"), "text")
+    scanned = materialize(text.mapInArrow(_scan_sizes, "doc_id long, n long, sid long, bitmap binary, piece int, blob binary"), "sizes")
     sizes = scanned.where("piece is null").select("doc_id", "n", "sid")
-    sketch = sum_sketch(scanned.where("piece is not null").select("piece", "blob"), 1 << SKETCH_BITS)
+    sketch = sc.broadcast(merged_sketch(scanned.where("piece is not null").select("piece", "blob"), 1 << SKETCH_BITS, "uint32"))
+    marks = scanned.where("bitmap is not null").groupBy("sid").agg(F.first("n").alias("n"), F.min(F.coalesce("doc_id", no_id)).alias("doc"), F.first("bitmap").alias("bitmap"))
 
-    prefixes = text.mapInArrow(_scan_prefixes(sc.broadcast(sketch)), "token long, size_lead long, sid long").repartition("token")
-    prefixes = prefixes.select("token", F.shiftright("size_lead", 1).cast("int").alias("n"), "sid", (F.col("size_lead") % 2 == 1).alias("lead"))
+    prefixes = text.select("text").mapInArrow(_scan_prefixes(sketch, tile_rows), "token long, salt int, size_lead long, sid long").repartition("token", "salt")
+    prefixes = prefixes.select("token", "salt", F.shiftright("size_lead", 1).cast("int").alias("n"), "sid", (F.col("size_lead") % 2 == 1).alias("lead"))
     prefixes = prefixes.withColumn("band", F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int"))
-    by_size = Window.partitionBy("token").orderBy("band", "n", "sid")
-    earlier = by_size.rowsBetween(Window.unboundedPreceding, -1)
-    by_band = Window.partitionBy("token", "band").orderBy("n", "sid")
-    near = lambda s, a, b: F.col(s).isNotNull() & (F.col(s) != F.col("sid")) & (F.col(a) * 100 >= F.col(b) * PERCENT)
-    tiles = (
-        prefixes.withColumns({"below": F.last(F.when(F.col("lead"), F.col("sid")), ignorenulls=True).over(earlier), "n0": F.last(F.when(F.col("lead"), F.col("n")), ignorenulls=True).over(earlier), "above": F.lead("sid").over(by_size), "n2": F.lead("n").over(by_size)})
-        .withColumn("head", F.first("sid").over(by_band))
-        .withColumns({"down": near("below", "n0", "n"), "up": F.col("lead") & near("above", "n", "n2")})
-        .where("down or up")
-        .select("token", "n", "sid", "lead", "band", "head", F.when(F.col("down"), F.col("below")).alias("below"))
-    )
-    tiles = materialize(tiles, "tiles")
-
-    pairs = tiles.select("sid", F.explode(F.array("head", "below")).alias("other")).where("other is not null and other != sid")
-    pairs = pairs.select(F.greatest("sid", "other").alias("u"), F.least("sid", "other").alias("v")).distinct()
-    sets = Sets(text, sizes)
-    marks = materialize(sets.fetch(tiles.select("sid"), "bitmap").withColumnRenamed("data", "bitmap"), "bitmaps")
-    first, second = marks.toDF("u", "n1", "bitmap1"), marks.toDF("v", "n2", "bitmap2")
-    bounded = materialize(pairs.join(first, "u").join(second, "v").mapInArrow(_bounded, "u long, v long").distinct(), "pairs")
-    links = _verified(bounded, sets)
+    tiles = materialize(_neighbours(prefixes, "token", "salt").where("down or up or salt >= 0").drop("down", "up"), "tiles")
+    sketch.destroy()
+
+    # Sets are tied to the head of their band and their neighbour; the heads of a token's salts likewise.
+    heads = _neighbours(tiles.where("salt >= 0 and sid = head").select("token", "n", "sid", "lead", "band").distinct(), "token")
+    pairs = _chained(tiles).unionByName(_chained(heads)).groupBy("u", "v").agg(F.min("token").alias("home"))
+    first, second = marks.toDF("u", "nu", "du", "bu"), marks.toDF("v", "nv", "dv", "bv")
+    bounded = materialize(pairs.join(first, "u").join(second, "v").mapInArrow(_bounded, PAIR), "pairs")
+    links = _verified(bounded, keyed, block_bytes)
     label = components(links)
 
-    # Tiles that hold sets of several components.
+    # Tiles that hold sets of several components: all pairs of different components, by blocks. The
+    # sets of a tile's largest component meet those of the others only.
     labelled = tiles.select("token", "sid", "n", "band", "lead").distinct().join(label.withColumnRenamed("u", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("m")).where("l0 != l1")
-    rows = labelled.join(mixed.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "token")
-    rows = rows.join(marks.select("sid", "bitmap"), "sid").withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("tile", F.explode(F.expr("flatten(transform(array(band, band + 1), b -> transform(sequence(0, blocks - 1), s -> struct(b as band, least(s, salt) as lo, greatest(s, salt) as hi))))")))
-    rows = rows.select("token", "tile.*", (F.col("tile.band") == F.col("band")).alias("home"), "salt", "sid", "n", "lead", "label", "bitmap")
-    rows = rows.repartition("token", "band", "lo", "hi").sortWithinPartitions("token", "band", "lo", "hi", "sid")
-    more = _verified(materialize(rows.mapInArrow(_tiles, "u long, v long").distinct(), "pairs"), sets)
+    mixed = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("sid", "lead")).alias("x"))
+    mixed = mixed.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.max("c").alias("c"), F.sum("c").alias("m"), F.bit_xor("x").alias("x"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    # Tokens with the same sets, as those of one shared passage, make the same tile.
+    mixed = mixed.groupBy("x", "m").agg(F.min_by(F.struct("token", "most", "c"), "token").alias("t")).select("t.*", F.ceil((F.col("m") - F.col("t.c")) / block).cast("int").alias("few"), F.ceil(F.col("t.c") / block).cast("int").alias("many"))
+    rows = labelled.join(mixed, "token").join(marks.select("sid", "doc", "bitmap"), "sid")
+    own = F.col("label") == F.col("most")
+    rows = rows.withColumn("salt", F.when(own, F.col("few") + F.pmod(F.xxhash64("sid"), F.col("many"))).otherwise(F.pmod(F.xxhash64("sid"), F.col("few"))).cast("int"))
+    others = F.when(own, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1
+    rows = rows.withColumn("others", others).withColumn("tile", F.explode(F.expr("flatten(transform(array(band, band + 1), b -> transform(sequence(0, others), s -> struct(b as band, least(s, salt) as lo, greatest(s, salt) as hi))))")))
+    rows = rows.select("token", "tile.*", (F.col("tile.band") == F.col("band")).alias("home"), "salt", "sid", "doc", "n", "lead", "label", "bitmap")
+    rows = rows.repartition("token", "band", "lo", "hi").sortWithinPartitions("token", "band", "lo", "hi")
+    found = rows.mapInArrow(_tiles, PAIR).groupBy("u", "v").agg(F.min("home").alias("home"), *[F.min(c).alias(c) for c in ("nu", "nv", "du", "dv")])
+    found = materialize(found, "pairs")
+    if not found.limit(1).count():
+        return sizes, label.withColumnRenamed("u", "sid")
+    more = _verified(found, keyed, block_bytes)
 
     ends = more.join(label.toDF("u", "lu"), "u", "left").join(label.toDF("v", "lv"), "v", "left")
     joined = components(ends.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
