@@ -82,9 +82,20 @@ def test_exact(docs, empty, digest):
     assert dedup.exact_groups(empty, digest).count() == 0
 
 
-def test_exact_stage(docs):
-    kept = dedup.drop_copies(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.where(F.col("text") == BASE).collect()) == [9, 9]
+@pytest.mark.parametrize("digest", [dedup.sha256, lambda t: F.substring(F.md5(t.cast("binary")), 1, 1)])
+def test_exact_arrivals(docs, tmp_path, digest):
+    """Two arrivals with one state folder give what one run gives, also where digests of different arrivals clash."""
+    columns = ["doc_id", "keep_id", "group_size", "kept"]
+    early = docs.where("coalesce(doc_id, 9) % 2 = 1")
+    state = str(tmp_path / "state")
+    first = dedup.exact_groups(early, digest, state).select(columns).collect()
+    assert sorted(map(tuple, first), key=str) == brute_groups(early, digest)
+    later = dedup.exact_groups(docs.where("coalesce(doc_id, 9) % 2 = 0"), digest, state)
+    assert sorted(map(tuple, later.select(columns).collect()), key=str) == brute_groups(docs, digest)
+    # The locators lead to landed rows that hold the texts that stay.
+    landed = dedup._landed(docs.sparkSession, state + "/landed", docs.sparkSession.read.parquet(state + "/landed").schema)
+    back = landed.join(later.select("locator", "keep_id").distinct(), "locator")
+    assert back.where("not (doc_id <=> keep_id)").count() == 0 and back.count() == later.select("locator").distinct().count()
 
 
 def test_dedup_stages(spark, empty):
@@ -186,19 +197,53 @@ def test_language(spark, docs, empty):
     assert langid.identify(empty).count() == 0 and langid.identify(docs).count() == docs.count()
 
 
+def brute_topk(rows, k=5):
+    """Every row's exact products with all other rows of its length, for rows whose id is divisible by 50."""
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for a, (i, q) in enumerate(whole):
+        if i % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(q, v)), j) for b, (j, v) in enumerate(whole) if b != a and len(v) == len(q))[:k]
+            want += [(i, n + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, j) in enumerate(best)]
+    return sorted(want)
+
+
 def test_topk(spark):
     vec = lambda i: [math.sin(i * k + k) for k in range(1, 9)]
-    rows = [(i, vec(i % 90), 0) for i in range(200)] + [(300, None, 0), (350, [None] + [1.0] * 7, 0), (400, [float("nan")] * 8, 0), (450, [float("inf")] * 8, 0), (None, vec(1), 0), (500, [1.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    q = {r["vec_id"]: [math.floor(256 * x) for x in r["embedding"]] for r in df.where("vec_id < 200").collect()}
-    want = []
-    for i in range(0, 200, 50):
-        best = sorted(((-sum(a * b for a, b in zip(q[i], v)), j) for j, v in q.items() if j != i))[:5]
-        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
-    assert sorted(map(tuple, topk.top_k(df).collect())) == want
+    good = [(i, vec(i % 90)) for i in range(200)] + [(50, vec(3)), (50, vec(50)), (7, vec(8)), (500, [1.0]), (600, []), (601, [])]
+    # Large components, also beyond 64 bits.
+    good += [(1000, [2.0e6] * 8), (1001, [-2.0e6] + [0.5] * 7), (1050, [1e30, *[3.0] * 7]), (1051, [-1e30, *[2.0] * 7]), (1052, [1e30, *[2.0] * 7]), (1053, [1.7e38] * 8)]
+    rows = [(i, v, 0) for i, v in good] + [(300, None, 0), (350, [None] + [1.0] * 7, 0), (400, [float("nan")] * 8, 0), (450, [float("inf")] * 8, 0), (None, vec(1), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(3)
+    assert sorted(map(tuple, topk.top_k(df).collect())) == brute_topk(good)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_bounds():
+    """On clustered vectors the segment bounds leave few candidates for exact products."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 32)).cumsum(axis=1)
+    v = np.floor(256 * (centres[np.arange(4000) % 40] + 0.05 * rng.normal(size=(4000, 32)))).astype(np.int32)
+    block = lambda at: topk.Block(32, False, at.astype(np.int64).tobytes(), at.astype(np.int64).tobytes(), v[at].tobytes())
+    multiplied = []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            multiplied.append(len(self))
+            return np.asarray(self) @ np.asarray(other)
+
+    q, c = block(np.arange(40)), block(np.arange(4000))
+    c.v = c.v.view(Counted)
+    floors = np.full(40, -np.inf)
+    for n, ids, scores in topk.top_of_block(q, c, 5, floors):
+        exact = v.astype(np.int64) @ v[n].astype(np.int64)
+        exact[n] = -(1 << 60)
+        assert sorted(scores, reverse=True) == sorted(exact, reverse=True)[:5] and floors[n] == min(scores)
+    assert sum(multiplied) < 0.2 * 40 * 4000
+
+
 def test_urls(spark):
     cases = {
         None: ("", "", None, "allow"), "no scheme": ("", "", None, "allow"), "http://A.Example.COM/en/7?x": ("a.example.com", "/en/7", "example.com/en/7", "allow"), "http://other.com/en/7": ("other.com", "/en/7", "com/en/", "block"),
@@ -211,6 +256,31 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_rules(spark):
+    """More rules than a plan holds: both ways against brute force, and only fetched rules are tried."""
+    hosts = [f"site{i}.example{i % 7}.com" for i in range(400)]
+    rules = tuple(urls.host_rule("block" if i % 3 else "allow", h, f"/p{i % 5}/") for i, h in enumerate(hosts)) + tuple(urls.word_rule(f"bad{i}") for i in range(50)) + urls.RULES
+    pages = [f"http://a.{hosts[i * 7 % 400]}/p{i % 5}/x?q" for i in range(300)] + [f"https://x-bad{i}.org/es/" for i in range(60)] + [None, "", "http://com/en/", "HTTP://COM"] + ["http://a.com/en/1"] * 5
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(pages)], "page_id long, url string, url_parts string")
+    split = {r["page_id"]: (r["host"], r["path"]) for r in urls.filter_urls(df, ()).collect()}
+
+    def judge(where):
+        fits = [r for r in rules if re.search(r.pattern, where)]
+        best, other = (max(((len(r.text), r.text, r.verdict) for r in fits if r.explicit == e), default=(0, None, None)) for e in (True, False))
+        return best[1], other[1], best[2] or other[2] or "allow"
+
+    want = {i: judge("".join(split[i])) for i in range(len(pages))}
+    for in_plan in (1000, 10):
+        got = urls.filter_urls(df, rules, in_plan)
+        assert "url_parts" in got.columns and {r["page_id"]: (r["rule"], r["method_rule"], r["verdict"]) for r in got.collect()} == want
+    own = urls.parsed(df.select("page_id", "url"))
+    slim = own.select(F.col("page_id").alias("_row"), "url", f"{own.columns[-1]}.*")
+    tried = urls.fetched_by_join(slim, urls.rule_table(slim, rules)).count()
+    fetched = urls.fetched_in_plan(F.col(own.columns[-1]), urls.rarest_tokens(slim, rules), rules)
+    assert own.agg(F.sum(F.size(fetched))).first()[0] == tried < 4 * len(pages)
+    assert urls.filter_urls(df.limit(0), rules, 10).count() == 0
+
+
 def test_licenses(spark):
     rows = [(1, "a/b/c.py", "code\nReleased under the MIT License.\nmore code and words"), (2, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (3, "a/b/d.py", "nothing here"), (4, "a/b/e/f.py", None), (5, "z/g.py", "plain"), (6, None, "All rights reserved."), (3, "a/b/d.py", "nothing here")]
     got = sorted((r["id"], r["license"], r["how"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "id long, path string, text string")).collect())
