@@ -6,9 +6,11 @@ geometric mean of their numbers of places. ``LANDMARKS`` documents of the traini
 Nystrom features K(x, L) K(L, L)^-1/2; one-versus-rest kernel ridge regression on these gives a
 score for each language. All documents are scored by batched matrix products, over whole texts.
 
-Training rows: at most about ``PER_LANG`` documents of each language, drawn by a hash of the id
-from rows with a non-null lang outside the held-out fold; their place sets (``DIM`` bits each), not
-their texts, reach the driver. Any number of rows or length of text is scored; a null text or one
+Training rows: at most about ``PER_LANG`` documents of each language and ``SAMPLE`` in all, drawn by
+a hash of id and text from rows with a non-null lang outside the held-out fold. Their place sets
+(``DIM`` bits each), not their texts, reach the driver, equal ones of a language once. Any number of
+languages may occur: with more of them fewer documents of each are drawn, and with more than
+``SAMPLE`` some are not learnt. Any number of rows or length of text is scored; a null text or one
 without a letter is ``und`` with score 0. With no training rows every prediction is ``und``.
 Repeated rows are scored alike; extra columns are ignored.
 """
@@ -29,7 +31,9 @@ DIM = 1 << 13
 GRAMS = 4
 PER_LANG, LANDMARKS = 400, 256
 RIDGE = 1e-3
-MOST_LANGS = 2000
+SAMPLE = 20_000
+#: Up to so many languages their counts stand in the plan; more are joined as a table.
+IN_PLAN = 2000
 HELD_OUT = 2
 _LETTER = regex.compile(r"\p{L}")
 
@@ -86,19 +90,30 @@ class Model:
         return k @ self.weights
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS, seed: str = "lang") -> Model | None:
+def _drawn(known: DataFrame, per_lang: int, sample: int, in_plan: int, seed: str) -> DataFrame:
+    """About ``per_lang`` rows of each language and ``sample`` in all: (lang, text, key)."""
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    got = counts.limit(in_plan + 1).collect()
+    langs = len(got) if len(got) <= in_plan else counts.count()
+    least = max(1, min(per_lang, sample // max(1, langs)))
+    key = F.md5(F.concat_ws(":", F.lit(seed), doc_key(), F.md5(F.col("text").cast("binary"))))
+    draw = F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / float(1 << 52)
+    share = F.lit(least * min(1.0, sample / max(1, langs))) / F.col("n")
+    if langs <= in_plan:
+        # The counts go into the plan, so no text is shuffled by its language.
+        pairs = [F.lit(x) for r in got for x in (r["lang"], r["n"])]
+        counted = known.withColumn("n", F.element_at(F.create_map(*pairs), F.col("lang"))) if pairs else known.withColumn("n", F.lit(1))
+    else:
+        counted = known.join(counts, "lang")
+    return counted.where(draw < share).select("lang", "text", key.alias("key"))
+
+
+def fit(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS, seed: str = "lang", sample: int = SAMPLE, in_plan: int = IN_PLAN) -> Model | None:
     """Learn from rows outside the held-out fold; None if there are none."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != HELD_OUT))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} values of lang")
-    if not counts:
-        return None
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), doc_key())), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    # The counts go into the plan, so no text is shuffled by its language.
-    n = F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("lang"))
-    picked = known.where(draw * n < per_lang).select("lang", "text", doc_key().alias("key"))
-    rows = picked.select("key", "lang", F.lower("text").alias("low")).mapInArrow(_packed, "key string, lang string, bits binary").collect()
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != HELD_OUT)).select("doc_id", "lang", "text")
+    picked = _drawn(known, per_lang, sample, in_plan, seed)
+    packed = picked.select("key", "lang", F.lower("text").alias("low")).mapInArrow(_packed, "key string, lang string, bits binary")
+    rows = packed.groupBy("lang", "bits").agg(F.min("key").alias("key")).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["key"], r["lang"], r["bits"]))
