@@ -2,32 +2,34 @@
 
 Texts are equal when identical after deleting the contract's white space; a null text is empty.
 Of equal texts the row with the most code points in the original text, then the smallest doc_id,
-stays (null ids last).
-
-1. Every row's digest (SHA-256 of the normalised text), id, length and content locator (the file
-   that holds the row) are landed as a table.
-2. A Structured Streaming query over the landed files keeps, for each digest and without expiry,
-   the row that stays (its stable identifier and content locator) and the number of rows. The
-   state is in RocksDB: on the executors' disks, with changes checkpointed to the shared folder.
-   Later arrivals update their digest's entry; running the stream again with the same
-   ``state_dir`` goes on from there.
-3. On hits, digests with more than one row, the full normalised bytes are compared: rows are
-   grouped by digest and whole text. Should a digest have two texts, its rows are dealt with by
-   text.
-
-Repeated rows count as rows and share an id: if theirs is the id that stays, all of them are kept.
-Extra columns pass through in ``drop_copies`` and ``keep_one_copy``; the latter keeps a single row
-of each group: rows are numbered, and of rows equal in the order above the smallest number stays.
+stays (null ids last; then the first landed).
+
+1. Arriving rows are landed in a folder under ``state_dir``: row number, id, length, digest (SHA-256
+   of the normalised text) and the document itself. A row's locator is its landed file and number.
+2. A Structured Streaming query over the landed files, in several batches, keeps for each digest and
+   without expiry the row that stays (its stable identifier, the doc_id, and its content locator)
+   and the number of rows. The state is in RocksDB: on the executors' disks, with changes
+   checkpointed to the shared folder. Each batch writes the entries that it changed.
+3. On hits, digests with more than one row, the stored row's bytes are read back by its locator, and
+   every other text under the digest is compared with them in full. A digest that turns out to have
+   several texts is dealt with by text.
+
+A later call with the same ``state_dir`` adds its rows to those already landed, and goes on from the
+stored state: its result, over all rows landed so far, is that of a single call with all of them.
+Without a ``state_dir`` each call has one of its own. Repeated rows count as rows and share an id: if
+theirs is the id that stays, all of them are ``kept`` in ``exact_groups``, whose ``kept`` compares
+ids. ``keep_one_copy`` keeps a single row of each group, with the columns of its input, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biorec.llm.common import materialize, new_path, numbered
+from biorec.llm.common import few, materialize, new_path
 
 #: State in RocksDB, with its changes in the shared folder; no space set aside for stores that hold little.
 STATE = {
@@ -35,10 +37,16 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Batches that the files of one arrival are taken in.
+BATCHES = 2
+#: A digest with more than this share of all rows is hot: there are at most 1 / HOT of them.
+HOT = 0.001
+_LOCATOR = "struct<file:string,row:bigint>"
+_BEST = f"struct<n_points:int,has_id:boolean,minus_id:bigint,locator:{_LOCATOR}>"
 
 
-def normalised(column: str = "text") -> Column:
-    out = F.coalesce(F.col(column), F.lit(""))
+def normalised(column: str | Column = "text") -> Column:
+    out = F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
     for space in " \t\n\x0b\x0c\r":
         out = F.replace(out, F.lit(space), F.lit(""))
     return out
@@ -48,95 +56,107 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _best(row: str | None = None) -> Column:
-    """Most code points, then the smallest id; a null id loses. Then the smallest row number, where rows have one."""
-    number = [(-F.col(row)).alias("minus_row")] if row else []
-    return F.struct(F.col("n_points"), F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("minus_id"), *number, F.col("locator"))
+def _land(docs: DataFrame, digest: Callable[[Column], Column], folder: str) -> None:
+    text = F.col("doc.text")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    rows.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce(F.char_length(text), F.lit(0)).alias("n_points"),
+        digest(normalised(text)).alias("digest"), "doc",
+    ).write.mode("append").parquet(folder)
 
 
-def _rows(docs: DataFrame, digest: Callable[[Column], Column], row: str | None = None) -> DataFrame:
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([row] if row else []), F.coalesce(F.char_length("text"), F.lit(0)).alias("n_points"), F.input_file_name().alias("locator"), normalised().alias("norm"))
-    return text.withColumn("digest", digest(F.col("norm")))
+def _landed(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """All landed rows with their locators."""
+    return spark.read.schema(schema).parquet(folder).select("*", F.struct(F.col("_metadata.file_path").alias("file"), "row").alias("locator"))
 
 
-def dedup_stream(arrivals: DataFrame, out: str, state_dir: str, row: str | None = None) -> None:
-    """Feed a stream of (doc_id, n_points, locator, digest) to the state; what changed goes to ``out`` batch by batch."""
-    spark = arrivals.sparkSession
-    before = {k: spark.conf.get(k, None) for k in STATE}
+def _stayer() -> Column:
+    """Most code points, then the smallest id; a null id loses."""
+    return F.struct("n_points", F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("minus_id"), "locator")
+
+
+def _stream(spark: SparkSession, folder: str, schema, files: int, state_dir: str, out: str) -> None:
+    """Feed landed files that are new to the state; what a batch changed goes to ``out``."""
+    own = spark.newSession()  # settings of its own
     for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
-        state = arrivals.groupBy("digest").agg(F.max(_best(row)).alias("best"), F.count(F.lit(1)).alias("n_rows"))
-        # A batch that runs again overwrites what it wrote.
-        write = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-        query = state.writeStream.outputMode("update").option("checkpointLocation", state_dir).trigger(availableNow=True).foreachBatch(write).start()
-        query.awaitTermination()
-        if query.exception():
-            raise query.exception()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state_dir: str | None = None, row: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, locator (of the row that stays).
-
-    With ``row``, a column of row numbers, also that column; then a single row of each group is kept.
-    """
+        own.conf.set(k, v)
+    arrivals = own.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+    arrivals = arrivals.select("digest", "n_points", "doc_id", F.struct(F.col("_metadata.file_path").alias("file"), "row").alias("locator"))
+    state = arrivals.groupBy("digest").agg(F.max(_stayer()).alias("best"), F.count(F.lit(1)).alias("n_rows"))
+    # A batch that runs again overwrites what it wrote.
+    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    query = state.writeStream.outputMode("update").option("checkpointLocation", state_dir).trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _clashing(landed: DataFrame, groups: DataFrame) -> DataFrame:
+    """The digests under which a text differs from the stored row's, whose bytes are read back by its locator."""
+    hits = groups.where("n_rows > 1").select("digest", F.col("best.locator").alias("locator"))
+    wanted = materialize(hits.select(F.xxhash64("digest").alias("h"), "digest", "locator"), "hits")
+    # A 64-bit hash of the digests keeps other texts out of the shuffle; equality is of digests and bytes.
+    texts = landed.withColumn("h", F.xxhash64("digest")).join(few(wanted.select("h").distinct()), "h", "left_semi")
+    texts = texts.select("digest", "locator", normalised(F.col("doc.text")).alias("norm"))
+    stored = texts.join(wanted.select("locator"), "locator", "left_semi").select("digest", F.col("norm").alias("stored"))
+    # Partial aggregates leave a task's equal texts as one row, however many copies there are.
+    others = texts.select("digest", "norm").distinct()
+    return others.join(stored, "digest").where("norm != stored").select("digest").distinct()
+
+
+def _groups(docs: DataFrame, digest: Callable[[Column], Column], state_dir: str | None) -> DataFrame:
+    """Every landed row with its group: landed columns, best, n_rows."""
     spark = docs.sparkSession
-    rows = _rows(docs, digest, row)
-    own = ["doc_id", row] if row else ["doc_id"]
-    landed = new_path(spark, "arrivals")
-    rows.drop("norm").write.parquet(landed)
-    slim = spark.read.schema(rows.drop("norm").schema).parquet(landed)
-    out = new_path(spark, "groups")
-    number = "minus_row:bigint," if row else ""
-    schema = f"digest string, best struct<n_points:int,has_id:boolean,minus_id:bigint,{number}locator:string>, n_rows bigint, batch bigint"
-    dedup_stream(spark.readStream.schema(slim.schema).parquet(landed), out, state_dir or new_path(spark, "state"), row)
-    try:
-        changes = spark.read.schema(schema).parquet(out)
-        changes.limit(1).count()
-    except Exception as error:  # an empty input makes no batch
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        changes = spark.createDataFrame([], schema)
+    base = state_dir or new_path(spark, "dedup")
+    folder, out = f"{base}/landed", f"{base}/groups"
+    _land(docs, digest, folder)
+    schema = spark.read.parquet(folder).schema
+    files = len(spark.read.schema(schema).parquet(folder).inputFiles())
+    _stream(spark, folder, schema, max(1, -(-files // BATCHES)), f"{base}/state", out)
+    landed = _landed(spark, folder, schema)
+    if not _exists(spark, out):  # no rows have arrived
+        return landed.select("*", F.lit(None).cast(_BEST).alias("best"), F.lit(0).cast("long").alias("n_rows"))
+    changes = spark.read.schema(f"digest string, best {_BEST}, n_rows bigint, batch bigint").parquet(out)
     latest = changes.groupBy("digest").agg(F.max_by(F.struct("best", "n_rows"), "batch").alias("g"))
-    groups = latest.select("digest", F.col("g.best").alias("best"), F.col("g.n_rows").alias("n_rows"))
-
-    # Full bytes of the hits: as many rows for a digest as it has texts.
-    hits = groups.where("n_rows > 1").select("digest")
-    texts = rows.join(hits, "digest", "left_semi").groupBy("digest", "norm").agg(F.max(_best(row)).alias("best"), F.count(F.lit(1)).alias("n_rows"))
-    texts = texts.select("digest", F.xxhash64("norm").alias("check"), F.length("norm").alias("size"), "best", "n_rows", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
-    texts = materialize(texts, "texts")
-    split = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    plain = slim.join(groups.join(split, "digest", "left_anti"), "digest")
-    result = plain.select(*own, "best", "n_rows", "digest")
+    groups = materialize(latest.select("digest", "g.best", "g.n_rows"), "groups")
+
+    split = materialize(_clashing(landed, groups), "split")
+    # Few digests can be hot: they go to the rows, so that no task gets all rows of one.
+    total = groups.agg(F.sum("n_rows")).first()[0] or 0
+    hot = groups.where(F.col("n_rows") > total * HOT).select("digest", "best", "n_rows")
+    rows = landed.drop("doc")
+    lone = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(groups.join(hot, "digest", "left_anti"), "digest")
+    out = lone.unionByName(rows.join(F.broadcast(hot), "digest"))
     if split.limit(1).count():
-        clashing = rows.join(split, "digest", "left_semi")
-        same = clashing.select("digest", "norm", *own).join(
-            clashing.groupBy("digest", "norm").agg(F.max(_best(row)).alias("best"), F.count(F.lit(1)).alias("n_rows")), ["digest", "norm"]
-        )
-        result = result.unionByName(same.select(*own, "best", "n_rows", "digest"))
-    keep = -F.col("best.minus_id")
-    kept = F.col(row) == -F.col("best.minus_row") if row else F.col("doc_id").eqNullSafe(keep)
-    return result.select(
-        *own, keep.alias("keep_id"), F.col("n_rows").alias("group_size"), kept.alias("kept"), F.col("digest").alias("text_sha256"), F.col("best.locator").alias("locator")
-    )
+        clashing = landed.join(split, "digest", "left_semi").withColumn("norm", normalised(F.col("doc.text")))
+        each = clashing.groupBy("digest", "norm").agg(F.max(_stayer()).alias("best"), F.count(F.lit(1)).alias("n_rows"))
+        apart = clashing.select("digest", "norm", *[c for c in rows.columns if c != "digest"]).join(each, ["digest", "norm"]).drop("norm")
+        out = out.join(split, "digest", "left_anti").unionByName(apart)
+    return out
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``; rows that repeat a kept row's id and text stay with it."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_d", sha256(normalised()))
-    joined = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (keyed["_d"] == kept["_sha"]), "left_semi")
-    return joined.select(*[joined[c] for c in docs.columns])
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state_dir: str | None = None) -> DataFrame:
+    """One row per landed row: doc_id, keep_id, group_size, kept, text_sha256 (the digest), locator (of the row that stays)."""
+    keep = -F.col("best.minus_id")
+    return _groups(docs, digest, state_dir).select(
+        "doc_id", keep.alias("keep_id"), F.col("n_rows").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256"), F.col("best.locator").alias("locator")
+    )
 
 
-def keep_one_copy(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each text, with the columns of ``docs``: the longest original, then the smallest id, then any one row of that id."""
-    rows = numbered(docs)
-    kept = exact_groups(rows, row="_row").where("kept").select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+def keep_one_copy(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state_dir: str | None = None) -> DataFrame:
+    """One landed row for each text, with the columns of ``docs``: the longest original, then the smallest id."""
+    spark = docs.sparkSession
+    base = state_dir or new_path(spark, "dedup")
+    groups = _groups(docs, digest, base)
+    dropped = materialize(groups.where("locator != best.locator").select("locator"), "dropped")
+    folder = f"{base}/landed"
+    landed = _landed(spark, folder, spark.read.parquet(folder).schema)
+    return landed.join(few(dropped), "locator", "left_anti").select("doc.*")
 
 
 SQL = """
