@@ -39,6 +39,8 @@ STATE = {
 }
 #: Batches that the files of one arrival are taken in.
 BATCHES = 2
+#: Up to so many hits of 16 bytes are broadcast.
+MOST_HITS = 2_000_000
 #: A digest with more than this share of all rows is hot: there are at most 1 / HOT of them.
 HOT = 0.001
 _LOCATOR = "struct<file:string,row:bigint>"
@@ -78,7 +80,7 @@ def _stayer() -> Column:
 def _stream(spark: SparkSession, folder: str, schema, files: int, state_dir: str, out: str) -> None:
     """Feed landed files that are new to the state; what a batch changed goes to ``out``."""
     own = spark.newSession()  # settings of its own
-    for k, v in STATE.items():
+    for k, v in (STATE | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}).items():
         own.conf.set(k, v)
     arrivals = own.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
     arrivals = arrivals.select("digest", "n_points", "doc_id", F.struct(F.col("_metadata.file_path").alias("file"), "row").alias("locator"))
@@ -97,16 +99,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _clashing(landed: DataFrame, groups: DataFrame) -> DataFrame:
-    """The digests under which a text differs from the stored row's, whose bytes are read back by its locator."""
-    hits = groups.where("n_rows > 1").select("digest", F.col("best.locator").alias("locator"))
-    wanted = materialize(hits.select(F.xxhash64("digest").alias("h"), "digest", "locator"), "hits")
-    # A 64-bit hash of the digests keeps other texts out of the shuffle; equality is of digests and bytes.
-    texts = landed.withColumn("h", F.xxhash64("digest")).join(few(wanted.select("h").distinct()), "h", "left_semi")
-    texts = texts.select("digest", "locator", normalised(F.col("doc.text")).alias("norm"))
-    stored = texts.join(wanted.select("locator"), "locator", "left_semi").select("digest", F.col("norm").alias("stored"))
+    """The digests under which a text differs from the stored row's, which the scan finds again by its locator."""
+    at = lambda locator: F.xxhash64(f"{locator}.file", f"{locator}.row")
+    hits = materialize(groups.where("n_rows > 1").select(F.xxhash64("digest").alias("h"), at("best.locator").alias("stored_at")), "hits")
+    # 64-bit hashes keep the texts of other digests out of the shuffle; equality is of digests and whole bytes.
+    texts = landed.withColumns({"h": F.xxhash64("digest"), "own_at": at("locator")}).join(few(hits, MOST_HITS), "h")
+    texts = texts.select("digest", normalised(F.col("doc.text")).alias("norm"), (F.col("own_at") == F.col("stored_at")).alias("stored"))
     # Partial aggregates leave a task's equal texts as one row, however many copies there are.
-    others = texts.select("digest", "norm").distinct()
-    return others.join(stored, "digest").where("norm != stored").select("digest").distinct()
+    each = texts.groupBy("digest", "norm").agg(F.max("stored").alias("stored"))
+    return each.groupBy("digest").agg(F.count_if(~F.col("stored")).alias("others"), F.max("stored").alias("found")).where("others > 0 and found").select("digest")
 
 
 def _groups(docs: DataFrame, digest: Callable[[Column], Column], state_dir: str | None) -> DataFrame:
