@@ -4,13 +4,14 @@ Sizes are words (runs without the contract's white space; null text: 0). All sou
 get ``share`` times all words, dealt out by weight; a source gets at most ``most`` times its own
 size, and what it cannot take is dealt out again by weight among the rest. A document of a
 source whose rate is r = target / size is emitted floor(r) times, plus once more with
-probability r - floor(r), drawn from a hash of the seed and its id: reruns agree.
+probability r - floor(r), drawn from a hash of the seed, its id and its text: reruns agree.
 
 Only DataFrame functions are used. The join of documents to their source's rate is an ordinary
 one: Spark broadcasts the table of sources if it is small, else splits a hot source's rows.
 
-Null sources are one source, which comes last; null ids share one draw, as do repeated ids;
-sources of size 0 have target and rate 0. Extra columns pass through (``mix_sources``).
+Null sources are one source, which comes last; sources of size 0 have target and rate 0. Rows of one
+id, or of none, draw apart if their texts differ; rows equal in both share one draw. Extra columns
+pass through (``mix_sources``), whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,11 +36,12 @@ def _ranked(sources: DataFrame) -> DataFrame:
     parts = materialize(parts, "sources")
     # One row for each partition of the sort: at most as many as shuffle partitions.
     counts = sorted((r["part"], r["first"], r["n"]) for r in parts.groupBy("part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).collect())
-    base, shift = 0, F.lit(None).cast("long")
+    base, shifts = 0, []
     for part, first, n in counts:
-        shift = F.when(F.col("part") == part, F.lit(base - first)).otherwise(shift)
+        shifts.append((part, base - first))
         base += n
-    return parts.withColumn("rank", F.col("at") + shift).drop("part", "at")
+    offsets = sources.sparkSession.createDataFrame(shifts, "part int, shift long")
+    return parts.join(F.broadcast(offsets), "part").withColumn("rank", F.col("at") + F.col("shift")).drop("part", "at", "shift")
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -72,27 +74,34 @@ def copies(rate: Column, key: Column, seed: str = SEED) -> Column:
     return (whole + F.when(draw < rate - whole, 1).otherwise(0)).cast("long")
 
 
+def _rates(rows: DataFrame, weights: tuple, share: float, most: float, seed: str) -> DataFrame:
+    """``rows(source, size, key, ...)`` with source_size, target and copies."""
+    targets = source_targets(rows.select("source", "size"), weights, share, most).withColumnRenamed("source", "named")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return rows.join(targets, F.col("source").eqNullSafe(F.col("named"))).withColumn("copies", copies(rate, F.col("key"), seed))
+
+
+def _key() -> Column:
+    return F.concat(doc_key(), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, copies, taken."""
-    sized = docs.select("doc_id", "source", words().alias("size"))
-    targets = source_targets(sized, weights, share, most)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("copies", copies(rate, doc_key(), seed)).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    sized = docs.select("doc_id", "source", words().alias("size"), _key().alias("key"))
+    return _rates(sized, weights, share, most, seed).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
-    targets = source_targets(docs.select("source", words().alias("size")), weights, share, most)
-    rates = targets.select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
-    joined = docs.join(rates, docs["source"].eqNullSafe(F.col("_source"))).withColumn("_copies", copies(F.col("_rate"), doc_key(), seed))
-    repeated = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    # The row itself in one struct, so that no name of its own meets those added here.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "source", words().alias("size"), _key().alias("key"))
+    repeated = _rates(rows, weights, share, most, seed).where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return repeated.select("doc.*")
 
 
 SQL = """
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents
 ), ranked AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          CASE (row_number() OVER (ORDER BY source COLLATE "binary" ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight
@@ -112,7 +121,7 @@ WITH sized AS (
   SELECT source, source_size, coalesce(least(most, weight * rest / weight_left), most) AS target FROM ordered LEFT JOIN open ON true
 ), drawn AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS draw
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS draw
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 )
 SELECT doc_id, size, source_size, target,
