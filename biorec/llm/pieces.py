@@ -8,8 +8,9 @@ path to any position is finite, and the best path from a start to an end is uniq
 A giant document is cut into chunks of ``CHUNK`` characters. The states at a boundary are the
 pieces of the vocabulary that could hold the character before it. Each chunk yields a transfer
 matrix over the max-plus semiring, from the states at its left boundary to those at its right
-one. The matrices are combined associatively, forwards and backwards; that fixes the state at
-each boundary, and every chunk is then traced back by itself, between two known piece ends.
+one. The matrices are combined associatively, in a tree of runs of ``FAN``, and the weights from the
+front and from the end are passed down that tree; that fixes the state at each boundary, and every
+chunk is then traced back by itself, between two known piece ends.
 
 Pieces hold white space only at their front, so every path has a piece end where white space
 follows something else; likewise between characters of kinds that no piece joins (such as a
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from biorec.llm.common import materialize
 
 CHUNK = 1 << 15
+#: Adjacent matrices that a task multiplies at a time.
+FAN = 16
 CACHE = 1 << 19
 SPACE = "▁"
 NO = -np.inf
@@ -257,18 +260,17 @@ def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.max(a[:, :, None] + b[None, :, :], axis=1)
 
 
-def boundary_choice(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each boundary, from products of the matrices from the front and from the back."""
-    forward = [np.zeros((1, 1))]
+def boundary_weights(matrices: list[np.ndarray], ahead: np.ndarray, behind: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The best weights from the document's front to the states at each boundary of a run of matrices, and from these to its end.
+
+    ``ahead`` has them for the run's first boundary, ``behind`` for its last.
+    """
+    forward, back = [ahead], [behind]
     for m in matrices:
         forward.append(plus(forward[-1], m))
-    back = [np.zeros((matrices[-1].shape[1], 1))]
     for m in reversed(matrices):
         back.append(plus(m, back[-1]))
-    total = [f[0] + g[:, 0] for f, g in zip(forward, reversed(back))]
-    if not all(np.isfinite(t.max()) for t in total):
-        raise ValueError("no path through the document")
-    return [int(t.argmax()) for t in total]
+    return forward, back[::-1]
 
 
 # ---------------------------------------------------------------- Spark
@@ -303,10 +305,54 @@ def _matrices(path: str):
     return scan
 
 
-def _choose(group: pa.Table) -> pa.Table:
+def _run(group: pa.Table) -> tuple[list[dict], list[np.ndarray]]:
     rows = sorted(group.to_pylist(), key=lambda r: r["k"])
-    picked = boundary_choice([np.frombuffer(r["weights"]).reshape(r["entries"], -1) for r in rows])
-    return pa.table({"row": [r["row"] for r in rows], "k": pa.array([r["k"] for r in rows], pa.int32()), "entry": pa.array(picked[:-1], pa.int32()), "leave": pa.array(picked[1:], pa.int32())})
+    return rows, [np.frombuffer(r["weights"]).reshape(r["entries"], -1) for r in rows]
+
+
+def _product(group: pa.Table) -> pa.Table:
+    """One matrix of a run of adjacent ones."""
+    rows, matrices = _run(group)
+    out = functools.reduce(plus, matrices)
+    return pa.table({"row": [rows[0]["row"]], "k": pa.array([rows[0]["p"]], pa.int32()), "entries": pa.array([out.shape[0]], pa.int32()), "weights": pa.array([out.tobytes()], pa.binary())})
+
+
+def _spread(group: pa.Table) -> pa.Table:
+    """Of a run of adjacent matrices, each one's weights at both its boundaries, and the states chosen there."""
+    rows, matrices = _run(group)
+    given = lambda name, start: np.frombuffer(rows[0][name]) if rows[0][name] is not None else np.zeros(start)
+    forward, back = boundary_weights(matrices, given("ahead", matrices[0].shape[0])[None, :], given("behind", matrices[-1].shape[1])[:, None])
+    total = [f[0] + g[:, 0] for f, g in zip(forward, back)]
+    if not all(np.isfinite(t.max()) for t in total):
+        raise ValueError("no path through the document")
+    state = pa.array([int(t.argmax()) for t in total], pa.int32())
+    return pa.table({
+        "row": [r["row"] for r in rows], "k": pa.array([r["k"] for r in rows], pa.int32()), "entry": state[:-1], "leave": state[1:],
+        "ahead": pa.array([f.tobytes() for f in forward[:-1]], pa.binary()), "behind": pa.array([g.tobytes() for g in back[1:]], pa.binary()),
+    })
+
+
+def boundary_states(weights: DataFrame, widest: int, fan: int = FAN) -> DataFrame:
+    """(row, k, entry, leave): the states at each chunk's boundaries, given the transfer matrices (row, k, entries, weights).
+
+    Runs of ``fan`` adjacent matrices are multiplied, their products likewise, until a document has
+    no more than ``fan``. Then weights at the boundaries are passed down level by level. No task
+    gets more than ``fan`` matrices of a document at a time; ``widest`` is the most of any document.
+    """
+    parent = lambda df: df.withColumn("p", F.floor(F.col("k") / fan).cast("int"))
+    levels = [weights]
+    while widest > fan:
+        levels[-1] = materialize(levels[-1], "matrices")
+        levels.append(parent(levels[-1]).groupBy("row", "p").applyInArrow(_product, "row long, k int, entries int, weights binary"))
+        widest = -(-widest // fan)
+    chosen = None
+    for nodes in map(parent, reversed(levels)):
+        if chosen is None:
+            nodes = nodes.withColumns({c: F.lit(None).cast("binary") for c in ("ahead", "behind")})
+        else:
+            nodes = nodes.join(chosen.select("row", F.col("k").alias("p"), "ahead", "behind"), ["row", "p"])
+        chosen = nodes.groupBy("row", "p").applyInArrow(_spread, "row long, k int, entry int, leave int, ahead binary, behind binary")
+    return chosen.select("row", "k", "entry", "leave")
 
 
 def _traced(path: str):
@@ -335,7 +381,7 @@ def _whole(path: str):
     return scan
 
 
-def encode_pieces(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, mark (a hash of the text), ids, n_chunks."""
     if chunk < 4 * model(path).longest:
         raise ValueError("chunks must be longer than pieces")
@@ -347,7 +393,7 @@ def encode_pieces(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     cut = large.select("row", "doc_id", "mark", "text").mapInArrow(_chunks(chunk, path), "row long, doc_id long, mark long, k int, many int, left int, right int, part string")
     cut = materialize(cut.repartition("row", "k"), "chunks")
     weights = cut.mapInArrow(_matrices(path), "row long, k int, entries int, weights binary")
-    chosen = weights.groupBy("row").applyInArrow(_choose, "row long, k int, entry int, leave int")
+    chosen = boundary_states(weights, cut.agg(F.max("many")).first()[0] or 0, fan)
     traced = cut.join(chosen, ["row", "k"]).mapInArrow(_traced(path), "row long, doc_id long, mark long, k int, ids array<int>")
     whole = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("mark").alias("mark"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"), F.count(F.lit(1)).cast("int").alias("n_chunks"))
     return small.unionByName(whole.drop("row"))
