@@ -15,8 +15,9 @@ header isn't one), or if the whole of it is close to a statement. A covered full
 statements in the text, whether or not the text is a licence file; its score is the covered share.
 
 A file without a licence of its own takes that of the nearest ancestor directory with a licence
-file, by a join of the file's ancestor directories with the directories of licence files; of
-several licence files in one directory the closest match counts, ties by name.
+file. Each distinct directory of such files is joined once, by the paths of its ancestors, with the
+directories of licence files, and then with its files. Of several licence files in one directory
+the closest match counts, ties by name.
 
 A file with null text or no match has licence null and how ``none``; a null path has no
 directories. Repeated rows are judged alike. Extra columns are ignored.
@@ -218,11 +219,10 @@ def scan_licenses(files: DataFrame) -> DataFrame:
 
     directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     owners = found.where("is_license_file and path is not null").groupBy(directory.alias("dir")).agg(F.max_by(F.struct("license", "score"), F.struct("score", "license")).alias("from"))
-    depth = F.size(F.split("path", "/"))
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(0), depth - 1), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, 1, d), "/").alias("dir")))
-    asking = found.where("license is null and path is not null").select("path").distinct().select("path", F.explode(above).alias("a")).select("path", "a.*")
-    nearest = asking.join(owners, "dir").groupBy("path").agg(F.max_by("from", "depth").alias("from"))
-    joined = found.join(nearest, "path", "left")
+    parts = F.when(F.col("own_dir") == "", F.array().cast("array<string>")).otherwise(F.split("own_dir", "/"))
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice(parts, 1, d), "/").alias("dir")))
+    asking = found.where("license is null and path is not null").select(directory.alias("own_dir")).distinct().select("own_dir", F.explode(above).alias("a")).select("own_dir", "a.*")
+    nearest = asking.join(owners, "dir").groupBy("own_dir").agg(F.max_by("from", "depth").alias("from"))
+    joined = found.withColumn("own_dir", F.when(F.col("license").isNull(), directory)).join(nearest, "own_dir", "left")
     how = F.when(F.col("license").isNotNull(), "own").when(F.col("from").isNotNull(), "inherited").otherwise("none")
     return joined.select("id", "path", F.coalesce("license", "from.license").alias("license"), how.alias("how"), F.when(F.col("license").isNull() & F.col("from").isNotNull(), F.col("from.score")).otherwise(F.col("score")).alias("score"))
