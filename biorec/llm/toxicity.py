@@ -1,16 +1,18 @@
 """Toxicity by weak supervision.
 
-Voters, one for each lexicon group and text pattern, vote for a document by being present. Beside
-a fixed lexicon there is a mined one: word stems that stand almost only in documents labelled
-toxic; likewise a lexicon word that labelled rows contradict has no vote. A generative label model explains the votes of all documents by a latent class: it estimates each
-voter's accuracy (its rates in both classes) by expectation maximisation, with the classes of
-labelled rows known, and the correlations of voters given the class, by which correlated voters
-count less. Its posteriors are the labels on which a linear (logistic) classifier over single
-lexicon words and patterns is trained; this classifier scores every document over its whole text.
+Voters, one for each lexicon word, mined stem and text pattern, vote for a document by being present.
+Stems are word beginnings that stand far more often in documents labelled toxic; further voters say
+how many distinct words begin with one, and how densely. A lexicon word that labelled rows contradict
+has no vote. A generative label model explains the votes of all documents by a latent class: given
+the class, votes have a mean for each voter (its accuracy) and one covariance between voters (their
+correlations), so voters that repeat each other count once. It is fitted by expectation
+maximisation over all documents' votes, as Spark aggregates; labelled rows outside the held-out
+fold have their label as class. Its posteriors, for labelled rows too, are the labels on which a linear
+(logistic) classifier over the votes is trained; this scores every document over its whole text.
 
 Labels are learnt only from rows outside the held-out fold; lang, source and doc_id are no inputs.
-What reaches the driver: counts by pattern of votes and label, at most 3 * 2^16 rows, over all
-documents; the features of about ``SAMPLE`` rows outside the held-out fold, drawn by a hash; and
+What reaches the driver: sums of votes and of their products (as many as there are pairs of voters);
+the votes of about ``SAMPLE`` rows outside the held-out fold, drawn by a hash, equal ones once; and
 at most ``STEMS`` stems, mined from about ``SAMPLE`` labelled rows.
 
 A null or empty text has no votes and is scored like any text without them. Repeated rows are
@@ -34,9 +36,11 @@ from biorec.llm.common import doc_key, fold, materialize
 
 HELD_OUT, THRESHOLD = 2, 0.3
 SAMPLE = 20_000
-STEMS, STEM_SIZES = 300, (4, 5, 6)
-#: A stem is taken with so many toxic texts and at most this share of clean ones.
-STEM_LEAST, STEM_CLEAN = 8, 0.05
+STEMS, STEM_SIZES = 300, (4, 5, 6, 7, 8)
+#: A stem is taken with so many toxic texts, and so many times the rate of clean ones. The first OWN stems are voters of their own.
+STEM_LEAST, STEM_RATIO, OWN = 8, 6.0, 60
+#: Rounds of expectation maximisation.
+ROUNDS = 8
 
 # Words of abuse in four languages, by kind.
 LEXICON = {
@@ -56,56 +60,75 @@ PATTERNS = {
     "named": re.compile(rf"(?i)\b(?:the|an?|this|that|le|la|une?|el|der|das|eine?)\W+(?:{_ANY})\b"),
     "shouted": re.compile("|".join(rf"\b{w.upper()}\b" for w in WORDS)),
 }
-VOTERS = (*LEXICON, "several", "repeated", *PATTERNS, "exclaims", "capitals", "masked", "stem", "clean")
+#: Numbers of distinct words with a mined stem, and their share of all distinct words, from which a voter votes.
+COUNTS, SHARES = (1, 2, 3, 5), (0.004, 0.02)
+PLAIN = ("several", "repeated", *PATTERNS, "exclaims", "capitals", "masked", *(f"stems {n}" for n in COUNTS), *(f"stem share {x}" for x in SHARES), "clean")
+#: The voters of each column of bits: the lexicon's words in two parts, the stems, the patterns.
+PARTS = {"low": 60, "high": len(WORDS) - 60, "own": OWN, "votes": len(PLAIN)}
+DIM = sum(PARTS.values())
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MASK = re.compile(r"\w\*+\w")
 
 
-def features(text: str, active: dict[str, int] = _PLACE, stems: frozenset[str] = frozenset()) -> tuple[int, int, int]:
-    """Votes, and the words present, as bits (the words in two parts of 60 bits)."""
+class Known:
+    """What the scan looks for: lexicon words that have a vote, and stems (the first of them voters of their own)."""
+
+    def __init__(self, active: dict[str, int], stems: list[str]):
+        self.active = active
+        self.own = {w: i for i, w in enumerate(stems[:OWN])}
+        self.stems = frozenset(stems)
+        self.starts = frozenset(w[: STEM_SIZES[0]] for w in stems)
+
+    def stem(self, word: str) -> str | None:
+        if word[: STEM_SIZES[0]] in self.starts:
+            for n in STEM_SIZES:
+                if word[:n] in self.stems:
+                    return word[:n]
+        return None
+
+
+def features(text: str, known: Known) -> tuple[int, int, int, int]:
+    """The votes of a text as bits, by the columns of ``PARTS``."""
     words = _LETTERS.findall(text.lower())
     distinct = set(words)
-    found = active.keys() & distinct
-    stem = bool(stems) and any(not stems.isdisjoint({w[:n] for w in distinct}) for n in STEM_SIZES)
-    votes = 0
-    if found:
-        for w in found:
-            votes |= 1 << _GROUP[w]
-        n = len(LEXICON)
-        votes |= (len(found) > 1) << n | (sum(w in found for w in words) > len(found)) << (n + 1)
-        for k, p in enumerate(PATTERNS.values()):
-            votes |= (p.search(text) is not None) << (n + 2 + k)
-    if not found and not stem:
-        votes |= 1 << (len(VOTERS) - 1)
-    k = len(VOTERS) - 5
-    votes |= ("!!" in text) << k | text.isupper() << (k + 1) | (_MASK.search(text) is not None) << (k + 2) | stem << (k + 3)
-    bits = sum(1 << _PLACE[w] for w in found)
-    return votes, bits & (1 << 60) - 1, bits >> 60
-
-
-def _scan(active: dict[str, int], stems: frozenset[str]):
+    found = known.active.keys() & distinct
+    stems = [s for w in distinct if (s := known.stem(w))] if known.starts else []
+    bits = sum(1 << known.active[w] for w in found)
+    own = 0
+    for s in set(stems) & known.own.keys():
+        own |= 1 << known.own[s]
+    votes = [len(found) > 1, bool(found) and sum(w in found for w in words) > len(found)]
+    votes += [bool(found) and p.search(text) is not None for p in PATTERNS.values()]
+    votes += ["!!" in text, text.isupper(), _MASK.search(text) is not None]
+    votes += [len(stems) >= n for n in COUNTS] + [len(stems) > 1 and len(stems) >= x * len(distinct) for x in SHARES]
+    votes.append(not found and not stems)
+    return bits & (1 << 60) - 1, bits >> 60, own, sum(v << k for k, v in enumerate(votes))
+
+
+def _scan(known: Known):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes, low, high = zip(*(features(t.as_py() or "", active, stems) for t in batch.column("text"))) if len(batch) else ((), (), ())
+            found = list(zip(*(features(t.as_py() or "", known) for t in batch.column("text")))) if len(batch) else [()] * len(PARTS)
             kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *(pa.array(x, pa.int64()) for x in (votes, low, high))], [*kept, "votes", "low", "high"])
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *(pa.array(x, pa.int64()) for x in found)], [*kept, *PARTS])
 
     return scan
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and clean texts each stem (and, after "=", each lexicon word) stands, by batch."""
+    """In how many toxic and clean texts each stem (and, after "=", each lexicon word) stands, by batch; after "#", the texts themselves."""
     for batch in batches:
         counts: tuple[Counter, Counter] = Counter(), Counter()
         for t, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
             words = set(_LETTERS.findall(t.lower()))
             counts[label].update({w[:n] for w in words for n in STEM_SIZES if len(w) >= n})
             counts[label].update("=" + w for w in _PLACE.keys() & words)
+            counts[label]["#"] += 1
         keys = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], ["stem", "clean", "toxic"])
 
 
-def mine(docs: DataFrame, given: DataFrame) -> tuple[dict[str, int], frozenset[str]]:
+def mine(docs: DataFrame, given: DataFrame) -> Known:
     """Lexicon words with a vote and mined stems, from about SAMPLE labelled rows outside the held-out fold; equal texts count once."""
     open_ = given.where(fold() != HELD_OUT)
     drawn = open_.where(_draw("mine") < SAMPLE / max(1, open_.count()))
@@ -113,105 +136,144 @@ def mine(docs: DataFrame, given: DataFrame) -> tuple[dict[str, int], frozenset[s
     counts = materialize(texts.mapInArrow(_candidates, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "stems")
     words = counts.where("stem like '=%'").collect()  # at most one row for each lexicon word
     active = {w: i for w, i in _PLACE.items() if w not in {r["stem"][1:] for r in words if r["clean"] >= 3 and r["clean"] > r["toxic"]}}
-    stems = counts.where(~F.col("stem").startswith("=") & (F.col("toxic") >= STEM_LEAST) & (F.col("clean") <= STEM_CLEAN * F.col("toxic")))
-    top = {r["stem"] for r in stems.orderBy(F.desc("toxic"), "stem").limit(STEMS).collect()}
-    return active, frozenset(t for t in top if not any(t[:n] in top for n in STEM_SIZES if n < len(t)))
+    every = counts.where("stem = '#'").first()
+    if not every or not every["clean"] or not every["toxic"]:
+        return Known(active, [])
+    rate = (F.col("toxic") / every["toxic"]) / ((F.col("clean") + 0.5) / every["clean"])
+    stems = counts.where(~F.col("stem").rlike("^[=#]") & (F.col("toxic") >= STEM_LEAST) & (rate >= STEM_RATIO)).orderBy(F.desc("toxic"), "stem").limit(STEMS).collect()
+    top = {r["stem"] for r in stems}
+    return Known(active, [r["stem"] for r in stems if not any(r["stem"][:n] in top for n in STEM_SIZES if n < len(r["stem"]))])
 
 
 def _draw(seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), doc_key())), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def _bits(x: np.ndarray, n: int) -> np.ndarray:
-    return (x[:, None] >> np.arange(n) & 1).astype(np.float64)
+def matrix(columns: dict[str, np.ndarray]) -> np.ndarray:
+    """Votes as 0 and 1, a column for each voter."""
+    return np.hstack([(columns[c][:, None] >> np.arange(n) & 1).astype(np.float64) for c, n in PARTS.items()])
+
+
+def _moments(batches: Iterator[pa.RecordBatch], posterior=None) -> Iterator[pa.RecordBatch]:
+    """Without ``posterior``, the sums of products of votes, and of votes, over rows (i, j, x); with it, expected sums of votes in the second class."""
+    total = np.zeros((DIM + 1, DIM + 1 if posterior is None else 1))
+    for batch in batches:
+        n = batch.column("n").to_numpy().astype(np.float64)
+        x = matrix({c: batch.column(c).to_numpy() for c in PARTS})
+        one = np.hstack([x, np.ones((len(n), 1))])
+        if posterior is None:
+            total += (one * n[:, None]).T @ one
+        else:
+            label = batch.column("label").to_numpy()
+            total[:, 0] += one.T @ (n * np.where(label >= 0, label, posterior(x)))
+    i, j = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "x"])
+
+
+def _summed(rows: DataFrame, width: int) -> np.ndarray:
+    """Sums by (i, j), at most one row for each pair of voters."""
+    out = np.zeros((DIM + 1, width))
+    for r in rows.groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+        out[r["i"], r["j"]] = r["x"]
+    return out
 
 
 class LabelModel:
-    """Two latent classes; each voter's rate in both, and its weight by its correlations."""
-
-    def __init__(self, votes: np.ndarray, label: np.ndarray, count: np.ndarray, rounds: int = 50):
-        n = len(VOTERS)
-        x, known = _bits(votes, n), label >= 0
-        # Priors: voters on abuse are rare among clean texts; the other patterns say little.
-        self.prior = 0.1
-        self.rate = np.array([[0.005] * (n - 5) + [0.1] * 3 + [0.005, 0.99], [0.3] * (n - 5) + [0.1] * 3 + [0.3, 0.2]])
-        self.weight = np.ones(n)
-        if not count.sum():
-            return
-        p = np.where(known, label, self.posterior(votes))
-        for _ in range(rounds):
-            for c in (0, 1):
-                share = count * (p if c else 1 - p)
-                # Each rate is held by half a row of each outcome.
-                self.rate[c] = (share @ x + 0.5) / (share.sum() + 1)
-            self.prior = float(np.clip(count @ p / count.sum(), 1e-4, 0.5))
-            p = np.where(known, label, self.posterior(votes))
-        # Correlations given the class, from the pairs' expected counts.
-        total = np.zeros((n, n))
-        for c in (0, 1):
-            share = count * (p if c else 1 - p)
-            pair = (x * share[:, None]).T @ x / max(share.sum(), 1)
-            mean = (share @ x) / max(share.sum(), 1)
-            dev = np.sqrt(np.maximum(mean * (1 - mean), 1e-9))
-            total += np.abs((pair - np.outer(mean, mean)) / np.outer(dev, dev)) / 2
-        self.correlation = total - np.diag(np.diag(total))
-        self.weight = 1 / (1 + np.where(self.correlation > 0.3, self.correlation, 0).sum(axis=1))
-
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        x = _bits(votes, len(VOTERS))
-        ratio = x * np.log(self.rate[1] / self.rate[0]) + (1 - x) * np.log((1 - self.rate[1]) / (1 - self.rate[0]))
-        return 1 / (1 + np.exp(-(np.log(self.prior / (1 - self.prior)) + ratio @ self.weight)))
-
-
-def _matrix(votes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Inputs of the classifier: 1, the single words, and the votes."""
-    return np.hstack([np.ones((len(votes), 1)), _bits(low, 60), _bits(high, len(WORDS) - 60), _bits(votes, len(VOTERS))])
-
-
-def logistic(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
+    """Two latent classes: each voter's mean in both, a covariance of voters given the class, and the second class's share."""
+
+    def __init__(self):
+        # Priors: voters on abuse are rare among clean texts; the three patterns of style say little.
+        low, high = np.full(DIM, 0.005), np.full(DIM, 0.1)
+        style = [DIM - len(PLAIN) + PLAIN.index(v) for v in ("exclaims", "capitals", "masked")]
+        low[style] = high[style] = 0.1
+        low[-1], high[-1] = 0.99, 0.2
+        self.share, self.mean, self.covariance = 0.1, np.stack([low, high]), np.diag((low + high) / 2 * (1 - (low + high) / 2))
+        self._solve()
+
+    def _solve(self) -> None:
+        shrunk = self.covariance + np.diag(np.diag(self.covariance) * 0.1 + 1e-3)
+        self.weight = np.linalg.solve(shrunk, self.mean[1] - self.mean[0])
+        middle = self.weight @ (self.mean[0] + self.mean[1]) / 2
+        self.constant = np.log(self.share / (1 - self.share)) - middle
+
+    def posterior(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ self.weight + self.constant, -30, 30)))
+
+    def update(self, products: np.ndarray, second: np.ndarray) -> None:
+        """Maximise, given sums of products over all rows and expected sums in the second class (the last entry: rows)."""
+        rows = products[-1, -1]
+        for c, s in ((0, products[:-1, -1] - second[:-1]), (1, second[:-1])):
+            n = second[-1] if c else rows - second[-1]
+            # Each mean is held by a row of the middle.
+            self.mean[c] = (s + products[:-1, -1] / rows) / (n + 1)
+        share = min(max(second[-1] / rows, 1e-4), 0.5)
+        within = products[:-1, :-1] / rows - (1 - share) * np.outer(self.mean[0], self.mean[0]) - share * np.outer(self.mean[1], self.mean[1])
+        self.share, self.covariance = share, within - np.diag(np.minimum(np.diag(within), 0))
+        self._solve()
+
+
+def fit_label_model(patterns: DataFrame, rounds: int = ROUNDS) -> LabelModel:
+    """Expectation maximisation over ``patterns(low, high, own, votes, label, n)``, where a label of -1 is unknown."""
+    model = LabelModel()
+    products = _summed(patterns.mapInArrow(_moments, "i int, j int, x double"), DIM + 1)
+    if not products[-1, -1]:
+        return model
+    for _ in range(rounds):
+        expected = patterns.mapInArrow(lambda batches, p=model.posterior: _moments(batches, p), "i int, j int, x double")
+        model.update(products, _summed(expected, 1)[:, 0])
+    return model
+
+
+def logistic(x: np.ndarray, p: np.ndarray, count: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
     """Weights by Newton steps on soft labels; the constant is not shrunk."""
     w = np.zeros(x.shape[1])
     shrink = np.full(x.shape[1], ridge)
     shrink[0] = 1e-6
     for _ in range(rounds):
         s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (s * (1 - s))[:, None]).T @ x + np.diag(shrink), x.T @ (p - s) - shrink * w)
+        step = np.linalg.solve((x * (count * s * (1 - s))[:, None]).T @ x + np.diag(shrink), x.T @ (count * (p - s)) - shrink * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted; with ``carry`` also the row's columns, as ``row``."""
+def votes_of(docs: DataFrame, labels: DataFrame, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One row per row of ``docs``: doc_id, fold and the votes' bits, with ``carry`` the row's columns as ``row``; and the labels (doc_id, label)."""
     given = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
-    active, stems = mine(docs, given)
-    own_row = [F.struct(*docs.columns).alias("row")] if carry else []
+    known = mine(docs, given)
+    own_row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold().alias("fold"), *own_row, "text")
-    schema = StructType([x for x in rows.schema if x.name != "text"] + [StructField(c, LongType()) for c in ("votes", "low", "high")])
-    marked = materialize(rows.mapInArrow(_scan(active, stems), schema), "votes")
+    schema = StructType([x for x in rows.schema if x.name != "text"] + [StructField(c, LongType()) for c in PARTS])
+    marked = materialize(rows.mapInArrow(_scan(known), schema), "votes")
+    return marked, given
 
-    open_ = marked.where(F.col("fold") != HELD_OUT)
-    seen = marked.join(given, "doc_id", "left").withColumn("label", F.when(F.col("fold") != HELD_OUT, F.col("label")))
-    counts = seen.groupBy("votes", F.coalesce("label", F.lit(-1)).alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "label").collect()
-    votes, label, count = (np.array([r[c] for r in counts], np.int64) for c in ("votes", "label", "n"))
-    model = LabelModel(votes, label, count.astype(np.float64))
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted; with ``carry`` also the row's columns, as ``row``."""
+    marked, given = votes_of(docs, labels, carry)
+    label = F.coalesce(F.when(F.col("fold") != HELD_OUT, F.col("label")), F.lit(-1)).alias("label")
+    seen = marked.select("doc_id", "fold", *PARTS).join(given, "doc_id", "left").select("doc_id", "fold", *PARTS, label)
+    patterns = materialize(seen.groupBy(*PARTS, "label").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    model = fit_label_model(patterns)
 
     # About SAMPLE rows, whatever the corpus.
+    open_ = marked.where(F.col("fold") != HELD_OUT)
     share = SAMPLE / max(1, open_.count())
-    drawn = seen.where((F.col("fold") != HELD_OUT) & (_draw("toxic") < share)).select("votes", "low", "high", "label").orderBy("votes", "low", "high", "label").collect()
-    v, low, high = (np.array([r[c] for r in drawn], np.int64) for c in ("votes", "low", "high"))
-    own = np.array([-1 if r["label"] is None else r["label"] for r in drawn])
+    drawn = open_.where(_draw("toxic") < share).groupBy(*PARTS).agg(F.count(F.lit(1)).alias("n")).collect()
+    drawn.sort(key=tuple)
+    x = matrix({c: np.array([r[c] for r in drawn], np.int64) for c in PARTS})
     if len(drawn):
-        w = logistic(_matrix(v, low, high), np.where(own >= 0, own, model.posterior(v)))
+        w = logistic(np.hstack([np.ones((len(x), 1)), x]), model.posterior(x), np.array([r["n"] for r in drawn], np.float64))
     else:
-        ratio = model.weight * np.log(model.rate[1] / model.rate[0])
-        w = np.concatenate([[np.log(model.prior / (1 - model.prior))], np.zeros(len(WORDS)), ratio])
+        w = np.concatenate([[model.constant], model.weight])
     # Bit by bit, as a sum of JVM expressions.
-    total = F.lit(float(w[0]))
-    for column, weights in (("low", w[1:61]), ("high", w[61 : 1 + len(WORDS)]), ("votes", w[1 + len(WORDS) :])):
-        for k, x in enumerate(weights):
-            total = total + F.shiftright(F.col(column), k).bitwiseAND(F.lit(1)) * F.lit(float(x))
+    total, at = F.lit(float(w[0])), 1
+    for column, n in PARTS.items():
+        for k in range(n):
+            if w[at + k]:
+                total = total + F.shiftright(F.col(column), k).bitwiseAND(F.lit(1)) * F.lit(float(w[at + k]))
+        at += n
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
     return marked.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), score.alias("score"), *(["row"] if carry else [])).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
