@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from biorec.llm.common import components, materialize, merged_sketch, mix, numbered, pieces, slices, utf8, word_hashes
+from biorec.llm.common import components, few, materialize, merged_sketch, mix, pieces, slices, utf8, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -436,9 +436,8 @@ def link_sets(docs: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTE
     return sizes, materialize(final, "labels")
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id."""
-    sizes, label = link_sets(docs)
+def components_of(sizes: DataFrame, label: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row, given what ``link_sets`` returns."""
     per_set = sizes.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     per_set = per_set.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     top = per_set.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -446,18 +445,25 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     return sizes.join(named, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def ngram_components(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id."""
+    return components_of(*link_sets(docs))
+
+
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each near-duplicate group: the smallest id (null ids last), then any one row of that id.
 
     Rows without words are their own components and stay.
     """
-    rows = numbered(docs)
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "numbered")
     # Row numbers stand in for ids, so that each row of a repeated or null id is told apart.
-    sizes, label = link_sets(rows.select(F.col("_row").alias("doc_id"), "text"))
-    ids = rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").cast("long").alias("id"))
+    sizes, label = link_sets(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
+    ids = rows.select(F.col("row").alias("doc_id"), F.col("doc.doc_id").cast("long").alias("id"))
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "doc_id"))
-    per_set = sizes.where("n > 0").join(ids, "doc_id").groupBy("sid").agg(best.alias("best"))
+    worded = sizes.where("n > 0").select("doc_id", "sid")
+    per_set = worded.join(ids, "doc_id").groupBy("sid").agg(best.alias("best"))
     per_set = per_set.join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    stay = per_set.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("_row"))
-    stay = stay.unionByName(sizes.where("n = 0").select(F.col("doc_id").alias("_row")))
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+    stay = per_set.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("row"))
+    # The rows that go are the fewer.
+    gone = materialize(worded.select(F.col("doc_id").alias("row")).join(stay, "row", "left_anti"), "gone")
+    return rows.join(few(gone), "row", "left_anti").select("doc.*")

@@ -59,6 +59,63 @@ def test_jaccard(docs, empty):
     assert kept.columns == docs.columns and kept.where("text = 'ONE two  three'").count() == 0
 
 
+def brute_components(rows):
+    """(doc_id, size, component) of rows (doc_id, text), by comparing all pairs of different sets."""
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    each = sorted(set(sets) - {frozenset()}, key=len)
+    parent = {x: x for x in each}
+
+    def root(x):
+        while parent[x] is not x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(each):
+        for y in each[i + 1 :]:
+            if 100 * len(x) < 75 * len(y):
+                break
+            if 100 * len(x & y) >= 75 * len(x | y):
+                parent[root(x)] = root(y)
+    least = {}
+    for (d, _), x in zip(rows, sets):
+        if x and d is not None:
+            least[root(x)] = min(least.get(root(x), d), d)
+    return sorted(((d, len(x), least.get(root(x)) if x else d) for (d, _), x in zip(rows, sets)), key=str)
+
+
+@pytest.fixture(scope="module")
+def families():
+    """Near copies around the threshold, passages that texts share, repeated rows of one id and of none."""
+    import random
+
+    rng = random.Random(7)
+    out, n = [], 0
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage = [word() for _ in range(60)]
+    for size, copies, edits in ((80, 60, 3), (40, 60, 2), (120, 50, 6), (30, 40, 1), (200, 30, 9)):
+        base = [word() for _ in range(size)]
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                t[rng.randrange(size)] = word()
+            out.append((n, " ".join(t[: size - rng.randrange(3)])))
+            n += 1
+    for k in range(120):
+        own = [word() for _ in range(5 + k % 25)]
+        out.append((n, " ".join([*own, *passage])))
+        n += 1
+    out += [(5000, " ".join(passage))] * 1000 + [(None, " ".join(passage[:50]))] * 1000 + [(None, out[3][1])] * 5
+    return out
+
+
+@pytest.mark.parametrize("how", [{}, {"block": 8, "block_bytes": 1 << 12, "tile_rows": 4}])
+def test_jaccard_families(spark, families, how):
+    """Also with tiles of many blocks, families of many blocks, and salted tiles."""
+    docs = spark.createDataFrame(families, "doc_id long, text string").repartition(6)
+    sizes, label = jaccard.link_sets(docs, **how)
+    assert sorted(map(tuple, jaccard.components_of(sizes, label).collect()), key=str) == brute_components(families)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (7, 7)], "u long, v long")
     assert sorted(map(tuple, components(edges).collect())) == [(i, 0) for i in range(1, 51)] + [(101, 100), (102, 100)]
@@ -136,6 +193,12 @@ def test_mix(spark, docs, empty):
     mixed = mixing.mix_sources(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in plan)
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix_sources(empty).count() == 0
+    # Names that the operator uses itself, and many rows without an id.
+    clash = docs.select("doc_id", "text", "source", *[F.lit(i).alias(c) for i, c in enumerate(("doc", "_source", "_rate", "_copies", "key", "named", "copies", "target"))])
+    assert mixing.mix_sources(clash).columns == clash.columns and mixing.mix_sources(clash).count() == mixed.count()
+    alone = spark.createDataFrame([(None, f"text number {i}", "a" if i % 2 else "b") for i in range(2000)], "doc_id long, text string, source string")
+    taken = mixing.mix_plan(alone).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r["taken"] / r["target"] - 1) < 0.1 for r in taken)
 
 
 def test_tokens(docs, empty):
@@ -149,14 +212,14 @@ def test_tokens(docs, empty):
     assert tokens.token_counts(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [64, 1 << 15])
-def test_pieces(docs, empty, chunk):
+@pytest.mark.parametrize("chunk, fan", [(64, 16), (64, 2), (1 << 15, 16)])
+def test_pieces(docs, empty, chunk, fan):
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     want = sorted(library.encode(r["text"] or "") for r in docs.collect())
-    out = pieces.decode_pieces(pieces.encode_pieces(docs, path, chunk), path)
+    out = pieces.decode_pieces(pieces.encode_pieces(docs, path, chunk, fan), path)
     rows = out.collect()
     assert sorted(list(r["ids"]) for r in rows) == want
     assert all(r["decoded"] == library.decode(list(r["ids"])) for r in rows)
@@ -176,6 +239,60 @@ def test_toxicity(spark, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0 and toxicity.score_toxicity(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_label_model(spark):
+    """Expectation maximisation as Spark aggregates, against the same model row by row."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        toxic = rng.random() < 0.2
+        low = sum((rng.random() < (0.4 if toxic else 0.01)) << k for k in range(6))
+        label = int(toxic) if rng.random() < 0.4 else -1
+        rows.append((low, 0, low & 3, int(low.bit_count() > 1) | (int(low == 0) << len(toxicity.PLAIN) - 1), label))
+    df = spark.createDataFrame(rows, "low long, high long, own long, votes long, label int").repartition(3)
+    patterns = df.groupBy(*toxicity.PARTS, "label").agg(F.count(F.lit(1)).alias("n"))
+    got = toxicity.fit_label_model(patterns)
+
+    import numpy as np
+
+    x = np.array([[(r[i] >> k) & 1 for i, n in enumerate(toxicity.PARTS.values()) for k in range(n)] for r in rows], float)
+    label = np.array([r[4] for r in rows])
+    want = toxicity.LabelModel()
+    mean, cov, share = want.mean.copy(), want.covariance.copy(), want.share
+    for _ in range(toxicity.ROUNDS):
+        shrunk = cov + np.diag(np.diag(cov) * 0.1 + 1e-3)
+        log = [-0.5 * np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(shrunk), x - m) for m in mean]
+        p = 1 / (1 + np.exp(-np.clip(log[1] - log[0] + np.log(share / (1 - share)), -30, 30)))
+        p = np.where(label >= 0, label, p)
+        new = [((q[:, None] * x).sum(0) + x.mean(0)) / (q.sum() + 1) for q in (1 - p, p)]
+        share = min(max(p.mean(), 1e-4), 0.5)
+        cov = (x.T @ x) / len(x) - (1 - share) * np.outer(new[0], new[0]) - share * np.outer(new[1], new[1])
+        cov -= np.diag(np.minimum(np.diag(cov), 0))
+        mean = np.array(new)
+    assert np.allclose(got.mean, mean, atol=1e-6) and np.allclose(got.covariance, cov, atol=1e-6) and math.isclose(got.share, share, abs_tol=1e-6)
+    # Voters that repeat each other share their weight.
+    twice = got.weight[0] + got.weight[list(np.cumsum([0, *toxicity.PARTS.values()]))[2]]
+    assert np.corrcoef(got.posterior(x), [r[0] > 0 for r in rows])[0, 1] > 0.5 and twice < 2.5 * np.median(got.weight[2:6])
+
+
+def test_toxicity_scores(spark):
+    """Every score against the posterior-trained classifier written out; held-out labels change nothing."""
+    import zlib
+
+    stems = [f"zorb{c}" for c in "aeiou"]
+    rows = [(i, f"plain words about hills and number {i} " + ("you idiot " if i % 9 == 0 else "") + (" ".join(f"{s}{i}" for s in stems) if i % 7 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    truth = {i: int(i % 9 == 0 or i % 7 == 0) for i in range(400)}
+    held = {i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2}
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    wrong = spark.createDataFrame([(i, 1 - t if i in held else t) for i, t in truth.items()], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert {i: r["score"] for i, r in got.items()} == {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, wrong).collect()}
+    assert {i for i, r in got.items() if r["held_out"]} == held
+    assert sum(r["predicted"] == truth[i] for i, r in got.items()) >= 396
+
+
 def test_toxicity_stage(spark):
     clean = [(i, f"the plain text number {i} about rivers and {i * 7}") for i in range(300)]
     bad = [(300 + i, f"you are an {w} and number {i}") for i, w in enumerate(["idiot", "moron", "loser", "clown"] * 15)]
@@ -197,6 +314,53 @@ def test_language(spark, docs, empty):
     assert langid.identify(empty).count() == 0 and langid.identify(docs).count() == docs.count()
 
 
+def test_language_kernel(spark):
+    """Scores against kernel ridge regression written out with sets of n-gram places."""
+    import numpy as np
+
+    rows = [(i, " ".join(["the and of with", "le la les des", "der die das und"][i % 3].split()[(i + k) % 4] for k in range(3 + i % 5)) + f" {i % 11}", ["en", "fr", "de"][i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, landmarks=12)
+
+    def places(t):
+        b, out = t.lower().encode(), set()
+        for n in range(1, langid.GRAMS + 1):
+            for i in range(len(b) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = (h * 257 + b[i + k] + k + 1) % (1 << 32)
+                out.add((h * 2654435769 % (1 << 32)) >> 19)
+        return out
+
+    marks = [set(np.flatnonzero(col)) for col in model.landmarks.T]
+    kernel = lambda x, y: len(x & y) / math.sqrt(len(x) * len(y))
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    for i, t, lang in rows:
+        s = np.array([kernel(places(t), m) for m in marks]) @ model.weights
+        assert got[i]["lang_pred"] == model.langs[int(s.argmax())] == lang and math.isclose(got[i]["score"], 1 / np.exp(4 * (s - s.max())).sum(), abs_tol=1e-4)
+    # The weights solve the ridge regression on the landmarks' features.
+    gram = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(gram)
+    root = vectors[:, values > 1e-8 * values.max()] / np.sqrt(values[values > 1e-8 * values.max()])
+    train = {(lang, frozenset(places(t))) for i, t, lang in rows if not got[i]["held_out"]}
+    z = np.array([[kernel(x, m) for m in marks] for _, x in train]) @ root
+    y = np.array([[1.0 if lang == c else -1.0 for c in model.langs] for lang, _ in train])
+    share = np.array([1 / sum(lang == other for other, _ in train) for lang, _ in train])[:, None]
+    w = root @ np.linalg.solve(z.T @ (share * z) + langid.RIDGE * np.eye(z.shape[1]), z.T @ (share * y))
+    assert np.allclose(np.array([[kernel(x, m) for m in marks] for _, x in train]) @ w, np.array([[kernel(x, m) for m in marks] for _, x in train]) @ model.weights, atol=2e-2)
+
+
+def test_many_languages(spark):
+    """More languages than a plan holds, and than the sample has rows."""
+    rows = [(i, f"word{i % 50} and more of lang{i % 50}", f"l{i % 50:02}") for i in range(400)] + [(1000 + i, "x y z", None) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = langid.fit(docs, in_plan=10)
+    same = langid.fit(docs)
+    assert whole.langs == same.langs and len(whole.langs) == 50 and (whole.weights == same.weights).all()
+    few = langid.fit(docs, sample=20, in_plan=10)
+    assert few is None or len(few.langs) < 50
+
+
 def brute_topk(rows, k=5):
     """Every row's exact products with all other rows of its length, for rows whose id is divisible by 50."""
     whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
