@@ -116,16 +116,18 @@ def _scan(known: Known):
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and clean texts each stem (and, after "=", each lexicon word) stands, by batch; after "#", the texts themselves."""
+    """In how many toxic and clean texts each stem (and, after "=", each lexicon word) stands, a few texts at a time; after "#", the texts themselves."""
     for batch in batches:
-        counts: tuple[Counter, Counter] = Counter(), Counter()
-        for t, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            words = set(_LETTERS.findall(t.lower()))
-            counts[label].update({w[:n] for w in words for n in STEM_SIZES if len(w) >= n})
-            counts[label].update("=" + w for w in _PLACE.keys() & words)
-            counts[label]["#"] += 1
-        keys = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], ["stem", "clean", "toxic"])
+        for at in range(0, len(batch), 128):
+            part = batch.slice(at, 128)
+            counts: tuple[Counter, Counter] = Counter(), Counter()
+            for t, label in zip(part.column("text"), part.column("label").to_pylist()):
+                words = set(_LETTERS.findall(t.as_py().lower()))
+                counts[label].update({w[:n] for w in words for n in STEM_SIZES if len(w) >= n})
+                counts[label].update("=" + w for w in _PLACE.keys() & words)
+                counts[label]["#"] += 1
+            keys = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], ["stem", "clean", "toxic"])
 
 
 def mine(docs: DataFrame, given: DataFrame) -> Known:
@@ -157,7 +159,7 @@ def matrix(columns: dict[str, np.ndarray]) -> np.ndarray:
 def _moments(batches: Iterator[pa.RecordBatch], posterior=None) -> Iterator[pa.RecordBatch]:
     """Without ``posterior``, the sums of products of votes, and of votes, over rows (i, j, x); with it, expected sums of votes in the second class."""
     total = np.zeros((DIM + 1, DIM + 1 if posterior is None else 1))
-    for batch in batches:
+    for batch in (whole.slice(at, 2048) for whole in batches for at in range(0, len(whole), 2048)):
         n = batch.column("n").to_numpy().astype(np.float64)
         x = matrix({c: batch.column(c).to_numpy() for c in PARTS})
         one = np.hstack([x, np.ones((len(n), 1))])
