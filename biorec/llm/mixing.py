@@ -41,7 +41,8 @@ def _ranked(sources: DataFrame) -> DataFrame:
         shifts.append((part, base - first))
         base += n
     offsets = sources.sparkSession.createDataFrame(shifts, "part int, shift long")
-    return parts.join(F.broadcast(offsets), "part").withColumn("rank", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+    # A table of its own, so that its size is known where it is joined.
+    return materialize(parts.join(F.broadcast(offsets), "part").withColumn("rank", F.col("at") + F.col("shift")).drop("part", "at", "shift"), "ranked")
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
