@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Reporting ranks, OSGB system names, rarity labels.
 RANKS = ("Order", "Superfamily", "Family", "Genus", "Species")
 OSGB_SYSTEMS = ("OSGB", "OSGB1936", "EPSG:27700")
-RARITY_LABELS = {1: "Very common", 2: "Common", 3: "Occasional", 4: "Rare", 5: "Very rare"}
+RARITY_LABELS = {1: "Extremely rare", 2: "Rare", 3: "Scarce", 4: "Frequent", 5: "Common"}
 
 
 def rank_column(rank: str) -> str:

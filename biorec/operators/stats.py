@@ -17,29 +17,41 @@ def _active_records(occ: DataFrame, taxa: DataFrame, *columns: str) -> DataFrame
     return o.join(taxa.where(is_active()).select(F.col("id").alias("taxon_id"), "species_id"), "taxon_id")
 
 
+def _per_species(rows: DataFrame, bridge: DataFrame) -> DataFrame:
+    """Records per square, region and species: what counts and scores are both made of."""
+    return rows.join(bridge, "occurrence_id").groupBy("square", "geographic_region_id", "species_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _totals(rows: DataFrame, most: int) -> DataFrame:
+    """Species with at most ``most`` records in all, regions apart."""
+    return rows.where("species_id is not null").groupBy("species_id").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") <= most)
+
+
 def grid_square_counts(occ: DataFrame, bridge: DataFrame, taxa: DataFrame) -> DataFrame:
     """square, geographic_region_id, occurrences_count, species_count.
 
     Counted first per species, so that the distinct count needs no second expansion and a square
     or region of very many records is summed on the map side.
     """
-    rows = _active_records(occ, taxa).join(bridge, "occurrence_id")
-    per = rows.groupBy("square", "geographic_region_id", "species_id").agg(F.count(F.lit(1)).alias("n"))
+    per = _per_species(_active_records(occ, taxa), bridge)
     return per.groupBy("square", "geographic_region_id").agg(F.sum("n").alias("occurrences_count"), F.count("species_id").alias("species_count"))
 
 
+def _score() -> Column:
+    return F.round(F.sum(F.lit(100.0) / F.col("total") * F.col("n")), 4)
+
+
 def rarity_scores(occ: DataFrame, bridge: DataFrame, taxa: DataFrame, most: int = RARITY_MOST) -> DataFrame:
     """Sum of 100 / total over a square's records of species with at most ``most`` records in all (regions apart)."""
     rows = _active_records(occ, taxa)
-    totals = rows.where("species_id is not null").groupBy("species_id").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") <= most)
-    per = rows.join(bridge, "occurrence_id").groupBy("square", "geographic_region_id", "species_id").agg(F.count(F.lit(1)).alias("n"))
-    scored = per.join(totals, "species_id").groupBy("square", "geographic_region_id").agg(F.round(F.sum(F.lit(100.0) / F.col("total") * F.col("n")), 4).alias("rarity_score"))
-    return scored
+    return _per_species(rows, bridge).join(_totals(rows, most), "species_id").groupBy("square", "geographic_region_id").agg(_score().alias("rarity_score"))
 
 
 def grid_square_stats(occ: DataFrame, bridge: DataFrame, taxa: DataFrame, most: int = RARITY_MOST) -> DataFrame:
-    keys = ["square", "geographic_region_id"]
-    return grid_square_counts(occ, bridge, taxa).join(rarity_scores(occ, bridge, taxa, most), keys, "left").withColumn("rarity_score", F.coalesce("rarity_score", F.lit(0.0)))
+    """Counts and score of each square and region, from one table of records per species."""
+    rows = _active_records(occ, taxa)
+    per = _per_species(rows, bridge).join(_totals(rows, most), "species_id", "left")
+    return per.groupBy("square", "geographic_region_id").agg(F.sum("n").alias("occurrences_count"), F.count("species_id").alias("species_count"), F.coalesce(_score(), F.lit(0.0)).alias("rarity_score"))
 
 
 def reset_then_update(grid: DataFrame, counted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,13 +65,13 @@ def reset_then_update(grid: DataFrame, counted: DataFrame) -> tuple[DataFrame, D
     return new.withColumns(values).select(*grid.columns), counted.join(base.select(F.col("_square").alias("square"), "geographic_region_id"), keys, "left_anti")
 
 
-def _scoped(occ: DataFrame, taxa: DataFrame, ranks: DataFrame, bridge: DataFrame, rank_names: tuple, regional_first: bool = True) -> DataFrame:
+def _scoped(occ: DataFrame, taxa: DataFrame, ranks: DataFrame, bridge: DataFrame, rank_names: tuple) -> DataFrame:
     """A row for each record, reporting taxon and scope (a region, or null for all): each taxon once for a record."""
     ids = [rank_column(r) for r in rank_names]
     t = taxa.where(is_active()).select(F.col("id").alias("taxon_id"), "taxon_rank_id").join(ranks.select(F.col("id").alias("taxon_rank_id"), "is_reporting"), "taxon_rank_id")
     o = occ.where(is_active()).select(
         F.col("id").alias("occurrence_id"), "taxon_id", *ids, record_date().alias("record_date"), square_key(F.col("grid_ref_2km")).alias("square"),
-        F.col("recorded_by").alias("recorder"), F.upper(F.col("identification_verification_status")).startswith("V").alias("verified"),
+        F.substring(F.coalesce(F.trim("recorded_by"), F.lit("")), 1, 255).alias("recorder"), F.upper(F.col("identification_verification_status")).startswith("V").alias("verified"),
     ).where("record_date is not null")
     rows = o.join(t, "taxon_id")
     exact = F.when(F.col("is_reporting") == 0, F.col("taxon_id"))
@@ -107,14 +119,14 @@ def taxon_year_stats(occ: DataFrame, taxa: DataFrame, ranks: DataFrame, bridge:
     return out.select(stable_uuid(seed).alias("uuid"), *keys, "occurrences_count", "grid_square_count")
 
 
-def taxon_rarity(taxa: DataFrame, occ: DataFrame, square_weight: float = 0.6, occurrence_weight: float = 0.4) -> DataFrame:
-    """id, group_name, category of active taxa that are their own species, ranked within their group."""
+def taxon_rarity(taxa: DataFrame, occ: DataFrame, square_weight: float = 1.0, occurrence_weight: float = 1.0) -> DataFrame:
+    """id, group_name, category of active taxa that are their own species, ranked within their group: 1 is the rarest."""
     group = F.trim("rarity_group_name")
     own = taxa.where(is_active() & (F.col("species_id") == F.col("id")) & (group != "")).select("id", "taxon_identifier", group.alias("group_name"))
     per = occ.where(is_active() & F.col("species_id").isNotNull()).groupBy(F.col("species_id").alias("id"), square_key(F.col("grid_ref_2km")).alias("square")).agg(F.count(F.lit(1)).alias("n"))
     counts = per.groupBy("id").agg(F.sum("n").alias("records"), F.count("square").alias("squares"))
     rows = own.join(counts, "id", "left").na.fill(0, ["records", "squares"])
-    by = lambda c: F.dense_rank().over(Window.partitionBy("group_name").orderBy(F.desc(c)))
+    by = lambda c: F.dense_rank().over(Window.partitionBy("group_name").orderBy(c))
     rows = rows.withColumns({"rs": by("squares"), "ro": by("records")}).withColumn("score", F.col("rs") * F.lit(float(square_weight)) + F.col("ro") * F.lit(float(occurrence_weight)))
     place = Window.partitionBy("group_name").orderBy("score", "rs", "ro", "taxon_identifier")
     return rows.select("id", "group_name", category_for_position(F.row_number().over(place) - 1, F.count(F.lit(1)).over(Window.partitionBy("group_name"))).alias("category"))

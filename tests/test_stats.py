@@ -1,5 +1,8 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from biorec.functions import columns as X
 from biorec.operators import stats
 
 OCC = "id long, taxon_id long, order_id long, superfamily_id long, family_id long, genus_id long, species_id long, from_date date, to_date date, grid_ref_2km string, recorded_by string, identification_verification_status string, blocked int, deleted_at timestamp"
@@ -81,7 +84,34 @@ def test_rarity(spark):
             n += 1
             rows.append((n, i, None, "2020-01-01", None, f"SU{n:02}A", "", "", 0, 0))
     got = {r["id"]: r["category"] for r in stats.taxon_rarity(t, occ(spark, rows)).collect()}
-    assert [got[i] for i in (5, 4, 3, 2, 1)] == [1, 2, 3, 4, 5] and [got[i] for i in (10, 9, 8, 7, 6)] == [1, 2, 3, 4, 5]
+    assert [got[i] for i in range(1, 11)] == [1, 2, 3, 4, 5] * 2
+
+
+def test_rarity_weights(spark):
+    """Records count alone, also those without a square; inactive ones do not."""
+    t = taxa(spark, [(1, 1, 1, "Odonata", 0), (2, 1, 2, "Odonata", 0)])
+    rows = [(1, 1, None, "2020-01-01", None, "SU01A", "", "", 0, 0), (2, 2, None, "2020-01-01", None, " ", "", "", 0, 0), (3, 2, None, "2020-01-01", None, None, "", "", 0, 0), (4, 1, None, "2020-01-01", None, "SU01A", "", "", 1, 0), (5, 1, None, "2020-01-01", None, "SU01A", "", "", 0, 1)]
+    got = {r["id"]: r["category"] for r in stats.taxon_rarity(t, occ(spark, rows), 0.0, 1.0).collect()}
+    assert got == {1: 1, 2: 5}
+
+
+def test_rarity_labels(spark):
+    df = spark.range(0, 7).select("id", X.rarity_label(F.col("id")).alias("label"))
+    assert [r["label"] for r in df.orderBy("id").collect()] == [None, "Extremely rare", "Rare", "Scarce", "Frequent", "Common", None]
+
+
+def test_apply_rarity(spark):
+    t = taxa(spark, [(1, 1, 1, "G", 0), (2, 1, 1, "G", 0), (3, 1, None, "G", 0)]).withColumn("rarity_category", F.lit(4))
+    new = spark.createDataFrame([(1, "G", 2)], "id long, group_name string, category int")
+    out, counts = stats.apply_rarity(t, new)
+    assert {r["id"]: r["rarity_category"] for r in out.collect()} == {1: 2, 2: None, 3: 4} and [tuple(r) for r in counts.collect()] == [("changed", 1)]
+    cleared, _ = stats.apply_rarity(t, new.limit(0))
+    assert {r["rarity_category"] for r in cleared.collect()} == {None}
+
+
+def test_run_summary(spark):
+    merged = spark.createDataFrame([("inserted",), ("updated",), ("inserted",)], "action string")
+    assert sorted(map(tuple, stats.run_summary(merged).collect())) == [("inserted", 2), ("updated", 1)]
 
 
 def test_home_counts(spark):
