@@ -8,18 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biorec.functions.columns import first_numeric, list_values, to_flag
+from biorec.functions.columns import first_numeric, list_values, nullable_int, to_flag
 from biorec.operators.geo import tetrad_from_ref
 
 _S = "string"
-NBN_FIELDS = (
-    "uuid occurrenceID occurrence_id taxonConceptID scientificNameID eventDate startDate endDate gridReference grid_ref recordedBy identifiedBy decimalLatitude decimalLongitude gridReferenceSystem "
-    "dataProviderName dataResourceName identificationVerificationStatus coordinateUncertaintyInMeters coordinateUncertainty coordinatePrecision uncertainty locality sex lifeStage organismQuantity individualCount taxonRankID stateProvince"
-).split()
-NBN = T.StructType([T.StructField(f, T.StringType()) for f in NBN_FIELDS] + [T.StructField("userAssertions", T.ArrayType(T.IntegerType()))])
 _GEOGRAPHY = T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in ("id", "name", "type")]))
-
-
 _TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
 
 
@@ -38,32 +31,51 @@ INDICIA = T.StructType([
 ])
 
 
-def _list(t: T.DataType) -> T.ArrayType:
-    return T.ArrayType(t)
+def pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed payloads, one file each: (value)."""
+    return spark.read.option("wholetext", True).text(path)
+
+
+def page_records(landed: DataFrame, keys: tuple[str, ...] = ("occurrences", "records", "data"), nested: tuple[str, str] | None = None) -> DataFrame:
+    """The records of ``landed(value)`` as JSON texts: the list under the first of these keys that has one, else a
+    nested list, else the payload if it is a list itself. Any other payload has no records."""
+    array = lambda c: F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>"))
+    payload = F.when(F.ltrim("value").startswith("{"), F.from_json("value", "map<string,string>"))
+    lists = [array(F.element_at("payload", k)) for k in keys]
+    if nested:
+        inner = F.from_json(F.element_at("payload", nested[0]), "map<string,string>")
+        lists.append(array(F.element_at(inner, nested[1])))
+    found = landed.withColumn("payload", payload).select(F.explode(F.coalesce(*lists, array(F.col("value")))).alias("json"))
+    return found.where(F.ltrim("json").startswith("{"))
 
 
 def read_nbn(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the pages under ``path``: under ``occurrences``, ``records`` or ``data``, or the page itself a list of records."""
-    schema = T.StructType([T.StructField(k, _list(NBN)) for k in ("occurrences", "records", "data")] + list(NBN.fields))
-    pages = spark.read.schema(schema).option("multiLine", True).json(path)
-    alone = F.array(F.struct(*[F.col(f.name) for f in NBN.fields]))
-    return pages.select(F.explode(F.coalesce("occurrences", "records", "data", alone)).alias("r")).select("r.*")
+    """One row for each record of the pages under ``path``: ``record``, a map of all its fields as texts, and ``user_assertions``."""
+    return nbn_records(pages(spark, path))
+
+
+def nbn_records(landed: DataFrame) -> DataFrame:
+    # A map, as field names may differ in case alone.
+    rows = page_records(landed).select(F.from_json("json", "map<string,string>").alias("record"))
+    return rows.withColumn("user_assertions", F.from_json(F.element_at("record", "userAssertions"), "array<int>"))
 
 
 def read_indicia(spark: SparkSession, path: str) -> DataFrame:
-    """As ``read_nbn``, also ``hits.hits`` with documents in ``_source``; ``_id`` is carried."""
-    hit = T.StructType([T.StructField("_id", T.StringType()), T.StructField("_source", INDICIA)])
-    schema = T.StructType([T.StructField("hits", T.StructType([T.StructField("hits", _list(hit))]))] + [T.StructField(k, _list(INDICIA)) for k in ("occurrences", "records", "data")] + list(INDICIA.fields))
-    pages = spark.read.schema(schema).option("multiLine", True).json(path)
+    """As ``read_nbn``, also ``hits.hits``; documents in ``_source`` are unwrapped and carry ``_id``."""
+    return indicia_records(pages(spark, path))
+
+
+def indicia_records(landed: DataFrame) -> DataFrame:
+    hit = T.StructType([T.StructField("_source", INDICIA), *INDICIA.fields])
+    rows = page_records(landed, nested=("hits", "hits")).select(F.from_json("json", hit).alias("r"))
+    wrapped = F.col("r._source").isNotNull()
     names = [f.name for f in INDICIA.fields]
-    unwrapped = F.transform("hits.hits", lambda h: F.struct(*[F.coalesce(h["_id"], h["_source"]["_id"]).alias("_id") if n == "_id" else h["_source"][n].alias(n) for n in names]))
-    return pages.select(F.explode(F.coalesce(unwrapped, "occurrences", "records", "data", F.array(F.struct(*names)))).alias("r")).select("r.*")
+    return rows.select(*[(F.coalesce("r._id", "r._source._id") if n == "_id" else F.when(wrapped, F.col(f"r._source.{n}")).otherwise(F.col(f"r.{n}"))).alias(n) for n in names])
 
 
 def read_report(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
     """Rows of a ``{"data": [...]}`` payload with records of this schema."""
-    schema = T.StructType([T.StructField("data", _list(record))])
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("data").alias("r")).select("r.*")
+    return page_records(pages(spark, path), ("data",)).select(F.from_json("json", record).alias("r")).select("r.*")
 
 
 # ---------------------------------------------------------------- predicates
@@ -102,7 +114,7 @@ def since_checkpoint(df: DataFrame, checkpoint, column: str, inclusive: bool = F
     return df.where(F.col(column) >= value if inclusive else F.col(column) > value)
 
 
-def no_open_assertions(df: DataFrame, column: str = "userAssertions", codes: tuple = (50005, 50006, 50001)) -> DataFrame:
+def no_open_assertions(df: DataFrame, column: str = "user_assertions", codes: tuple = (50005, 50006, 50001)) -> DataFrame:
     return df.where(~F.coalesce(F.arrays_overlap(F.col(column), F.array(*map(F.lit, codes))), F.lit(False)))
 
 
@@ -113,22 +125,28 @@ def extra_clauses(df: DataFrame, clauses: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- normalisers
 
 
-def text(*names: str) -> Column:
-    """The first of these fields that is not blank, trimmed."""
-    return F.coalesce(*[F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names])
+def text(*columns: Column | str) -> Column:
+    """The first of these that is not null, trimmed; a blank one is null."""
+    given = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.nullif(F.trim(F.coalesce(*[c.cast("string") for c in given])), F.lit(""))
 
 
 def normalize_nbn(df: DataFrame) -> DataFrame:
-    concept = text("taxonConceptID", "scientificNameID")
-    ref = text("grid_ref", "gridReference")
+    """``df(record)`` to the fields of an occurrence record; blank texts are null."""
+    of = lambda *names: text(*[F.element_at("record", n) for n in names])
+    concept = F.coalesce(of("taxonConceptID", "taxonConceptId"), of("scientificNameID"))
+    ref = of("grid_ref", "gridReference")
+    uncertainty = first_numeric(*[F.element_at("record", n) for n in ("coordinate_uncertainty_in_meters", "coordinateUncertaintyInMeters", "uncertaintyInMeters", "coordinateUncertainty")])
     return df.select(
-        text("uuid", "occurrenceID").alias("remote_id"), text("occurrenceID", "occurrence_id").alias("occurrence_id"), concept.alias("scientific_name_identifier"), concept.alias("given_name_identifier"),
-        text("eventDate", "startDate").alias("from_date"), text("endDate").alias("to_date"), ref.alias("grid_ref"), F.substring(F.upper(F.replace(ref, F.lit(" "), F.lit(""))), 1, 5).alias("grid_ref_2km"),
-        text("gridReferenceSystem").alias("grid_ref_system"), text("decimalLatitude").alias("latitude"), text("decimalLongitude").alias("longitude"),
-        first_numeric(*map(F.col, ("coordinateUncertaintyInMeters", "coordinateUncertainty", "coordinatePrecision", "uncertainty"))).alias("coordinate_uncertainty"),
-        text("recordedBy").alias("recorded_by"), text("identifiedBy").alias("identified_by"), F.coalesce(text("identificationVerificationStatus"), F.lit("UN")).alias("identification_verification_status"),
-        text("dataProviderName").alias("data_provider"), F.coalesce(text("dataResourceName"), F.lit("NBN Atlas")).alias("source"), text("locality").alias("locality"), text("sex").alias("sex"), text("lifeStage").alias("life_stage"),
-        text("organismQuantity", "individualCount").alias("organism_quantity"), F.concat(F.lit("occurrenceID:"), text("occurrenceID")).alias("tracking"),
+        of("uuid").alias("remote_id"), of("occurrenceID").alias("occurrence_id"), F.coalesce(of("dataResourceName", "source_name"), F.lit("NBN Atlas")).alias("source_name"),
+        of("dataProviderName", "data_provider_name").alias("data_provider_name"), concept.alias("scientific_name_identifier"), concept.alias("given_name_identifier"),
+        of("from_date", "eventDate").alias("from_date"), of("to_date").alias("to_date"), ref.alias("grid_ref"),
+        of("grid_ref_system", "gridReferenceSystem", "spatialReferenceSystem", "coordinateSystem").alias("grid_ref_system"),
+        F.coalesce(of("grid_ref_2km", "gridReference2Km"), F.upper(F.substring(F.replace(ref, F.lit(" "), F.lit("")), 1, 5))).alias("grid_ref_2km"),
+        *[of(n).alias(n) for n in ("locality", "sex", "life_stage", "organism_quantity")], of("recorded_by", "recordedBy").alias("recorded_by"), of("identified_by", "identifiedBy").alias("identified_by"),
+        F.coalesce(of("identification_verification_status", "identificationVerificationStatus"), F.lit("UN")).alias("identification_verification_status"),
+        of("decimalLatitude").alias("latitude"), of("decimalLongitude").alias("longitude"), uncertainty.alias("coordinate_uncertainty_in_meters"),
+        F.concat(F.lit("occurrenceID:"), of("occurrenceID")).alias("tracking"),
     )
 
 
@@ -136,50 +154,50 @@ def normalize_indicia(df: DataFrame) -> DataFrame:
     point = F.split(F.col("location.point"), ",")
     ref = text("location.output_sref")
     return df.select(
-        text("_id", "id").alias("remote_id"), text("id", "_id").alias("occurrence_id"), text("taxon.accepted_taxon_id").alias("scientific_name_identifier"), text("taxon.taxon_id", "taxon.accepted_taxon_id").alias("given_name_identifier"),
-        text("event.date_start").alias("from_date"), text("event.date_end").alias("to_date"), ref.alias("grid_ref"), tetrad_from_ref(ref).alias("grid_ref_2km"), text("location.output_sref_system").alias("grid_ref_system"),
-        F.trim(F.get(point, F.lit(0))).alias("latitude"), F.trim(F.get(point, F.lit(1))).alias("longitude"), F.col("location.coordinate_uncertainty_in_meters").try_cast("double").alias("coordinate_uncertainty"),
-        text("event.recorded_by").alias("recorded_by"), text("identification.identified_by").alias("identified_by"), F.coalesce(text("identification.verification_status"), F.lit("UN")).alias("identification_verification_status"),
-        F.lit(None).cast("string").alias("data_provider"), F.lit("iRecord").alias("source"), text("location.verbatim_locality").alias("locality"), text("occurrence.sex").alias("sex"), text("occurrence.life_stage").alias("life_stage"),
-        text("occurrence.organism_quantity", "occurrence.individual_count").alias("organism_quantity"), F.col("metadata.tracking").alias("tracking"),
+        text("_id").alias("remote_id"), text("id", "_id").alias("occurrence_id"), F.lit("iRecord").alias("source_name"), F.lit(None).cast("string").alias("data_provider_name"),
+        text("taxon.accepted_taxon_id").alias("scientific_name_identifier"), text("taxon.taxon_id").alias("given_name_identifier"),
+        text("event.date_start").alias("from_date"), text("event.date_end").alias("to_date"), ref.alias("grid_ref"), text("location.output_sref_system").alias("grid_ref_system"), tetrad_from_ref(ref).alias("grid_ref_2km"),
+        text("location.verbatim_locality").alias("locality"), text("occurrence.sex").alias("sex"), text("occurrence.life_stage").alias("life_stage"), text("occurrence.organism_quantity", "occurrence.individual_count").alias("organism_quantity"),
+        text("event.recorded_by").alias("recorded_by"), text("identification.identified_by").alias("identified_by"), text("identification.verification_status").alias("identification_verification_status"),
+        text(F.get(point, F.lit(0))).alias("latitude"), text(F.get(point, F.lit(1))).alias("longitude"), F.col("location.coordinate_uncertainty_in_meters").try_cast("double").alias("coordinate_uncertainty_in_meters"),
+        F.col("metadata.tracking").alias("tracking"),
     )
 
 
-def _aliased(df: DataFrame, fields: dict[str, tuple[str, ...]]) -> list[Column]:
-    """Each output field from the first of its names that the data has."""
-    out = []
-    for name, names in fields.items():
-        own = [n for n in names if n in df.columns]
-        out.append((text(*own) if own else F.lit(None).cast("string")).alias(name))
-    return out
-
-
-# The names under which sources give each field.
+# The names under which reports give each field, the first choice first.
 ALIASES = {
-    "taxon_groups": {"external_key": ("external_key", "key"), "title": ("title", "name"), "friendly": ("friendly",), "indicia_taxon_group_id": ("indicia_taxon_group_id", "id"), "implied": ("implied",)},
-    "recording_schemes": {"external_key": ("external_key", "key", "id"), "title": ("title", "name"), "description": ("description",)},
+    "taxon_groups": {"external_key": ("taxon_group_external_key", "external_key"), "indicia_taxon_group_id": ("id",), "title": ("taxon_group", "title"), "implied": ("implied",)},
+    "recording_schemes": {"external_key": ("recording_scheme_external_key", "external_key"), "title": ("recording_scheme", "title"), "description": ("recording_scheme_description", "description")},
     "taxon_ranks": {"rank": ("rank", "name", "title"), "abbr": ("abbr", "external_key", "slug"), "sort_order": ("sort_order", "sort", "weight")},
-    "taxon_names": {"scientific_name_identifier": ("organism_key", "scientific_name_identifier"), "given_name_identifier": ("given_name_identifier", "name_identifier"), "name": ("name", "taxon"), "accepted": ("accepted",), "scientific": ("scientific",)},
-    "geographic_regions": {"higher_geography_identifier": ("higher_geography_identifier", "id"), "higher_geography": ("higher_geography", "name"), "footprint_geometry": ("footprint_geometry", "geom"), "location_type": ("location_type",)},
-    "grid_square_stats": {"square": ("square",), "easting": ("easting",), "northing": ("northing",), "lat": ("lat",), "lon": ("lon",), "location_id": ("location_id",), "partial": ("partial",)},
+    "taxa": {n: (n,) for n in ("taxon_identifier", "scientific_name_identifier", "scientific_name", "scientific_name_authorship", "vernacular_name", "taxon_group", "taxon_group_external_key", "id_difficulty", "recording_scheme", "recording_scheme_external_key", "conservation_status", "taxon_rank", "parent_taxon_identifier", "higher_taxa")},
+    "taxon_names": {
+        "taxon_identifier": ("taxon_identifier", "organism_key"), "given_name_identifier": ("given_name_identifier", "scientific_name_identifier", "name_identifier"),
+        "name": ("name", "taxon_name", "scientific_name", "vernacular_name"), "accepted": ("accepted", "is_accepted"), "scientific": ("scientific", "is_scientific"),
+    },
+    "geographic_regions": {"higher_geography_identifier": ("higher_geography_identifier", "id"), "higher_geography": ("higher_geography",), "location_type": ("location_type",), "footprint_geometry": ("footprint_geometry",)},
+    "grid_square_stats": {n: (n,) for n in ("higher_geography_identifier", "square", "centre_easting", "centre_northing", "centre_lat", "centre_lon", "partial")},
 }
+_FLAGS = {"taxon_groups": ("implied",), "taxon_names": ("accepted", "scientific"), "grid_square_stats": ("partial",)}
+_WHOLE = {"taxon_groups": ("indicia_taxon_group_id",), "taxon_ranks": ("sort_order",), "taxa": ("id_difficulty",)}
+
 
+def normalize(df: DataFrame, entity: str, location_type: str | None = None, source_abbr: str = "IREC") -> DataFrame:
+    """Report rows to the fields of an entity: the first name of a field that the row has, trimmed; blanks are null.
 
-def normalize(df: DataFrame, entity: str, location_type: str | None = None) -> DataFrame:
-    out = df.select(*_aliased(df, ALIASES[entity]))
-    if entity in ("taxon_groups", "grid_square_stats"):
-        flag = "implied" if entity == "taxon_groups" else "partial"
-        out = out.withColumn(flag, to_flag(F.col(flag)))
-    if entity == "taxon_names":
-        out = out.withColumns({c: to_flag(F.col(c)) for c in ("accepted", "scientific")})
-    if entity == "geographic_regions" and location_type:
-        out = out.withColumn("location_type", F.lit(location_type))
+    Flags become 0 or 1, numbers 0 where missing. Columns of other names pass through (an order of arrival, say).
+    """
+    fields = ALIASES[entity]
+    used = {n for names in fields.values() for n in names}
+    columns = []
+    for name, names in fields.items():
+        own = [n for n in names if n in df.columns]
+        columns.append((text(*own) if own else F.lit(None).cast("string")).alias(name))
+    out = df.select(*columns, *[c for c in df.columns if c not in used])
+    out = out.withColumns({c: to_flag(F.col(c)) for c in _FLAGS.get(entity, ())} | {c: F.coalesce(nullable_int(F.col(c)), F.lit(0).cast("long")) for c in _WHOLE.get(entity, ())})
+    if entity == "taxa":
+        return out.withColumn("higher_taxa", F.from_json(F.coalesce("higher_taxa", F.lit("[]")), "array<struct<organism_key:string,taxon:string,taxon_rank:string>>"))
+    if entity == "geographic_regions":
+        return out.withColumns({"location_type": F.coalesce("location_type", F.lit(location_type).cast("string")), "data_source_abbr": F.lit(source_abbr.upper())})
     if entity == "grid_square_stats":
-        out = out.withColumn("square", F.upper("square"))
+        return out.withColumn("square", F.upper("square"))
     return out
-
-
-def normalize_taxa(df: DataFrame) -> DataFrame:
-    """``higher_taxa`` from JSON to an array; a missing ``id_difficulty`` is 0."""
-    higher = F.from_json("higher_taxa", "array<struct<organism_key:string,taxon:string,taxon_rank:string>>")
-    return df.withColumns({"higher_taxa": higher, "id_difficulty": F.coalesce(F.col("id_difficulty").try_cast("int"), F.lit(0))})
