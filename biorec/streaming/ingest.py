@@ -1,4 +1,4 @@
-"""Incremental ingest of occurrence records, in batches or from a stream of landed files."""
+"""Incremental ingest: entities in the order of their dependencies, and occurrence records in batches or from a stream of landed files."""
 
 from __future__ import annotations
 
@@ -7,39 +7,108 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biorec.functions.tables import read_version, write_version
 from biorec.operators import geo, merge
+from biorec.sources import records
 
 Tables = dict[str, DataFrame]
+#: What must be complete before an entity is taken in.
+NEEDS = {
+    "taxon_groups": (), "recording_schemes": (), "taxon_ranks": (), "geographic_regions": (), "grid_square_stats": ("geographic_regions",),
+    "taxa": ("recording_schemes", "geographic_regions", "taxon_groups", "taxon_ranks"), "taxon_names": ("taxa",),
+}
 
 
-def ingest_batch(root: str, records: DataFrame, tables: Tables, abbr: str, data_source_id: int) -> tuple[DataFrame, DataFrame]:
+def ordered(entities: set[str]) -> list[str]:
+    """These entities, each after those that it needs."""
+    out: list[str] = []
+    while len(out) < len(entities):
+        ready = [e for e in NEEDS if e in entities and e not in out and not set(NEEDS[e]) & (entities - set(out))]
+        if not ready:
+            raise ValueError(f"unknown entities {sorted(entities - set(NEEDS))}")
+        out += ready
+    return out
+
+
+def ingest_entities(root: str, reports: dict[str, DataFrame], tables: Tables, location_type: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Upsert report rows (with an ``order``) of several entities into the table versions under ``root``.
+
+    An entity whose needs are neither among the reports nor stored is an error. ``tables`` gives the
+    tables to start from. Returns counts (entity, action, n) and each entity's rejected rows.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    now = lambda name: found if (found := read_version(spark, f"{root}/{name}")) is not None else tables[name]
+    counts, rejects = [], {}
+    for entity in ordered(set(reports)):
+        for need in NEEDS[entity]:
+            if need not in reports and not now(need).limit(1).count():
+                raise ValueError(f"{entity} needs {need} first")
+        rows, existing = records.normalize(reports[entity], entity, location_type), now(entity)
+        if entity == "taxa":
+            merged, bad = merge.upsert_taxa(existing, rows, now("taxon_groups"), now("recording_schemes"), now("taxon_ranks"))
+        elif entity == "taxon_names":
+            merged, bad = merge.upsert_taxon_names(existing, rows, now("taxa"))
+        elif entity == "grid_square_stats":
+            merged, bad = merge.upsert_grid_squares(existing, rows, now("geographic_regions"))
+        elif entity == "geographic_regions":
+            merged, bad = merge.upsert_regions(existing, rows, tables["data_sources"])
+        else:
+            merged, bad = getattr(merge, f"upsert_{entity}")(existing, rows)
+        written = spark.read.parquet(write_version(merged, f"{root}/merged/{entity}"))
+        rejects[entity] = bad
+        write_version(written.drop("action"), f"{root}/{entity}")
+        counts.append(written.groupBy("action").agg(F.count(F.lit(1)).alias("n")).select(F.lit(entity).alias("entity"), "action", "n"))
+    total = counts[0]
+    for c in counts[1:]:
+        total = total.unionByName(c)
+    return total, rejects
+
+
+def ingest_batch(root: str, batch: DataFrame, tables: Tables, abbr: str, data_source_id: int) -> tuple[DataFrame, DataFrame]:
     """Upsert normalised records into the table versions under ``root``; (counts by action, rejected rows).
 
-    A replayed batch gives the same table: rows are merged by key. Regions are assigned anew for
-    inserted and updated records only.
+    Regions are assigned anew for all records of the batch, changed or not. Their links are published
+    before the records: whatever step fails, the same batch run again gives the same tables, as rows
+    are merged by key and new ids follow the order of keys.
     """
-    spark = records.sparkSession
-    stored = merge.read_version(spark, f"{root}/occurrences")
+    spark = batch.sparkSession
+    stored = read_version(spark, f"{root}/occurrences")
     existing = stored if stored is not None else tables["occurrences"].limit(0)
-    merged, rejects = merge.upsert_occurrences(existing, records, tables["taxa"], tables["taxon_names"], abbr, data_source_id)
-    path = merge.write_version(merged, f"{root}/merged")
-    written = spark.read.parquet(path)
-    merge.write_version(written.drop("action"), f"{root}/occurrences")
-    changed = written.where("action in ('inserted', 'updated')").select(F.col("id").alias("occurrence_id"))
-    links = merge.read_version(spark, f"{root}/geographic_regions_occurrences")
+    merged, rejects = merge.upsert_occurrences(existing, batch, tables["taxa"], tables["taxon_names"], abbr, data_source_id)
+    written = spark.read.parquet(write_version(merged, f"{root}/merged/occurrences"))
+    changed = written.where("action != 'kept'").select(F.col("id").alias("occurrence_id"))
+    links = read_version(spark, f"{root}/geographic_regions_occurrences")
     if links is None:
         links = spark.createDataFrame([], "geographic_region_id long, occurrence_id long")
-    merge.write_version(geo.reassign_regions(links, written.drop("action"), tables["geographic_regions"], changed), f"{root}/geographic_regions_occurrences")
+    write_version(geo.reassign_regions(links, written.drop("action"), tables["geographic_regions"], changed), f"{root}/geographic_regions_occurrences")
+    write_version(written.drop("action"), f"{root}/occurrences")
     return written.groupBy("action").agg(F.count(F.lit(1)).alias("n")), rejects
 
 
-def checkpoints(records: DataFrame) -> DataFrame:
-    """The largest tracking value of each source."""
-    return records.groupBy("source_key").agg(F.max("tracking").alias("checkpoint"))
+def checkpoints(batch: DataFrame, source_key: str, before: DataFrame | None = None) -> DataFrame:
+    """(source_key, checkpoint): the largest tracking value of a source's records so far, as text.
+
+    Numbers are compared as numbers. An empty batch leaves the checkpoint as it was.
+    """
+    numeric = dict(batch.dtypes)["tracking"] in ("int", "bigint")
+    new = batch.agg(F.max("tracking").alias("v")).where("v is not null").select(F.lit(source_key).alias("source_key"), F.col("v").cast("string").alias("checkpoint"))
+    every = new if before is None else new.unionByName(before.select("source_key", "checkpoint"))
+    rank = F.when(F.col("source_key") == source_key, F.col("checkpoint").try_cast("bigint") if numeric else F.lit(None).cast("bigint"))
+    return every.groupBy("source_key").agg(F.max_by("checkpoint", F.struct(rank.alias("n"), "checkpoint")).alias("checkpoint"))
+
+
+def ingest_stream(spark: SparkSession, landing: str, normalize: Callable[[DataFrame], DataFrame], root: str, tables: Tables, abbr: str, data_source_id: int, checkpoint: str) -> None:
+    """Take all landed pages that are new since the last run. The stream's checkpoint replaces a table of offsets.
+
+    ``normalize`` makes records of payloads ``(value)``. Each batch's rejected rows go to ``rejects`` under ``root``.
+    """
 
+    def take(payloads: DataFrame, number: int) -> None:
+        _, bad = ingest_batch(root, normalize(payloads), tables, abbr, data_source_id)
+        bad.select("reason", F.to_json(F.struct("remote_id", "scientific_name_identifier", "given_name_identifier")).alias("record")).write.mode("overwrite").parquet(f"{root}/rejects/batch={number}")
 
-def ingest_stream(spark: SparkSession, landing: str, schema: str, normalize: Callable[[DataFrame], DataFrame], root: str, tables: Tables, abbr: str, data_source_id: int, checkpoint: str) -> None:
-    """Take all landed JSON files that are new since the last run. The stream's checkpoint replaces a table of offsets."""
-    stream = spark.readStream.schema(schema).json(landing)
-    query = stream.writeStream.foreachBatch(lambda df, _: ingest_batch(root, normalize(df), tables, abbr, data_source_id) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = spark.readStream.option("wholetext", True).text(landing)
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    if query.exception():
+        raise query.exception()

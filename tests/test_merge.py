@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from biorec.functions import tables
 from biorec.operators import merge, query
 from biorec.sources import records
 
@@ -20,7 +21,7 @@ NBN = {"uuid": "nbn-uuid-1", "occurrenceID": "123", "taxonConceptID": "NHMSYS000
 @pytest.mark.parametrize("wrap", [lambda r: {"occurrences": [r]}, lambda r: {"records": [r]}, lambda r: {"data": [r]}, lambda r: [r]])
 def test_nbn(spark, tmp_path, wrap):
     row = records.normalize_nbn(records.read_nbn(spark, landed(tmp_path, wrap(NBN)))).first()
-    assert (row["remote_id"], row["given_name_identifier"], row["grid_ref_2km"], row["coordinate_uncertainty"], row["tracking"]) == ("nbn-uuid-1", "NHMSYS0001", "SU123", 1500.0, "occurrenceID:123")
+    assert (row["remote_id"], row["given_name_identifier"], row["grid_ref_2km"], row["coordinate_uncertainty_in_meters"], row["tracking"]) == ("nbn-uuid-1", "NHMSYS0001", "SU123", 1500.0, "occurrenceID:123")
 
 
 def test_indicia(spark, tmp_path):
@@ -52,9 +53,20 @@ def test_abbr(spark):
 def test_versions(spark, tmp_path):
     root = str(tmp_path / "t")
     for n in range(4):
-        before = merge.read_version(spark, root)
-        merge.write_version((before if before is not None else spark.range(0)).unionByName(spark.range(n, n + 1)), root)
-    assert merge.read_version(spark, root).count() == 4 and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 2
+        before = tables.read_version(spark, root)
+        tables.write_version((before if before is not None else spark.range(0)).unionByName(spark.range(n, n + 1)), root)
+    assert tables.read_version(spark, root).count() == 4 and len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 2
+    # A version that was not written to the end does not count, and is written again.
+    (tmp_path / "t" / "v-000000005").mkdir()
+    assert tables.read_version(spark, root).count() == 4
+    tables.write_version(spark.range(2), root)
+    assert tables.read_version(spark, root).count() == 2
+
+
+def test_numbered(spark):
+    new = spark.range(1000).selectExpr("cast(null as long) as id", "cast(id * 7 % 1000 as string) as k")
+    rows = merge.numbered(new, ["k"], 50).collect()
+    assert [r["k"] for r in sorted(rows, key=lambda r: r["id"])] == sorted(str(i) for i in range(1000)) and {r["id"] for r in rows} == set(range(51, 1051))
 
 
 def test_query_rejects(spark):
