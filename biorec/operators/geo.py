@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,17 +24,13 @@ TETRADS = "ABCDEFGHIJKLMNPQRSTUVWXYZ"
 def airy_to_grid(lat: Column, lon: Column) -> tuple[Column, Column]:
     """Easting and northing of a position (degrees) on the Airy ellipsoid, by the published series."""
     a, b = AIRY
-    e2, n = 1 - (b * b) / (a * a), (a - b) / (a + b)
+    e2 = 1 - (b * b) / (a * a)
     phi, lam = F.radians(lat), F.radians(lon) - math.radians(LON0)
     s, c, t = F.sin(phi), F.cos(phi), F.tan(phi)
     nu = a * F0 / F.sqrt(1 - e2 * s * s)
     rho = a * F0 * (1 - e2) / F.pow(1 - e2 * s * s, 1.5)
     eta2 = nu / rho - 1
-    dp, sp = phi - math.radians(LAT0), phi + math.radians(LAT0)
-    arc = b * F0 * (
-        (1 + n + 1.25 * n**2 + 1.25 * n**3) * dp - (3 * n + 3 * n**2 + 2.625 * n**3) * F.sin(dp) * F.cos(sp)
-        + (1.875 * n**2 + 1.875 * n**3) * F.sin(2 * dp) * F.cos(2 * sp) - 35 / 24 * n**3 * F.sin(3 * dp) * F.cos(3 * sp)
-    )
+    arc = _arc(phi)
     t2 = t * t
     north = N0 + arc + nu / 2 * s * c * lam**2 + nu / 24 * s * c**3 * (5 - t2 + 9 * eta2) * lam**4 + nu / 720 * s * c**5 * (61 - 58 * t2 + t2 * t2) * lam**6
     east = E0 + nu * c * lam + nu / 6 * c**3 * (nu / rho - t2) * lam**3 + nu / 120 * c**5 * (5 - 18 * t2 + t2 * t2 + 14 * eta2 - 58 * t2 * eta2) * lam**5
@@ -60,6 +57,49 @@ def wgs84_to_airy(lat: Column, lon: Column) -> tuple[Column, Column]:
     return F.degrees(turned), F.degrees(F.atan2(y2, x2))
 
 
+def _arc(phi: Column) -> Column:
+    """The meridional arc of the projection."""
+    a, b = AIRY
+    n = (a - b) / (a + b)
+    dp, sp = phi - math.radians(LAT0), phi + math.radians(LAT0)
+    return b * F0 * (
+        (1 + n + 1.25 * n**2 + 1.25 * n**3) * dp - (3 * n + 3 * n**2 + 2.625 * n**3) * F.sin(dp) * F.cos(sp)
+        + (1.875 * n**2 + 1.875 * n**3) * F.sin(2 * dp) * F.cos(2 * sp) - 35 / 24 * n**3 * F.sin(3 * dp) * F.cos(3 * sp)
+    )
+
+
+def grid_to_airy(east: Column, north: Column) -> tuple[Column, Column]:
+    """Latitude and longitude (degrees, Airy) of a grid position, by the published series; eight rounds bring the arc under a millimetre."""
+    a, b = AIRY
+    e2 = 1 - (b * b) / (a * a)
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(8)), math.radians(LAT0) + (north - N0) / (a * F0), lambda p, _: p + (north - N0 - _arc(p)) / (a * F0))
+    s, c, t = F.sin(phi), F.cos(phi), F.tan(phi)
+    nu = a * F0 / F.sqrt(1 - e2 * s * s)
+    rho = a * F0 * (1 - e2) / F.pow(1 - e2 * s * s, 1.5)
+    eta2, t2, de = nu / rho - 1, t * t, east - E0
+    lat = phi - t / (2 * rho * nu) * de**2 + t / (24 * rho * nu**3) * (5 + 3 * t2 + eta2 - 9 * t2 * eta2) * de**4 - t / (720 * rho * nu**5) * (61 + 90 * t2 + 45 * t2**2) * de**6
+    lam = de / (c * nu) - (nu / rho + 2 * t2) / (6 * c * nu**3) * de**3 + (5 + 28 * t2 + 24 * t2**2) / (120 * c * nu**5) * de**5 - (61 + 662 * t2 + 1320 * t2**2 + 720 * t2**3) / (5040 * c * nu**7) * de**7
+    return F.degrees(lat), LON0 + F.degrees(lam)
+
+
+def airy_to_wgs84(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """The datum shift turned round: the shift at a position, taken off it; three rounds."""
+    at = F.struct(lat.cast("double").alias("la"), lon.cast("double").alias("lo"))
+
+    def step(p: Column, _: Column) -> Column:
+        la, lo = wgs84_to_airy(p["la"], p["lo"])
+        return F.struct((p["la"] + lat - la).alias("la"), (p["lo"] + lon - lo).alias("lo"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(3)), at, step)
+    return found["la"], found["lo"]
+
+
+def grid_to_wgs84(east: Column, north: Column) -> Column:
+    """(la, lo) in WGS84 of a grid position."""
+    pair = lambda values: F.struct(values[0].alias("la"), values[1].alias("lo"))
+    return let(F.struct(east.cast("double").alias("e"), north.cast("double").alias("n")), lambda p: let(pair(grid_to_airy(p["e"], p["n"])), lambda q: pair(airy_to_wgs84(q["la"], q["lo"]))))
+
+
 def on_grid(east: Column, north: Column) -> Column:
     return (east >= 0) & (east < 700000) & (north >= 0) & (north < 1300000)
 
@@ -87,7 +127,10 @@ def grid_ref(east: Column, north: Column, size: Column) -> Column:
 
 def tetrad_from_ref(ref: Column, accept_i: bool = True) -> Column:
     """The tetrad of a reference: one is its own tetrad; else two letters with an even number of digits, at least 4."""
-    r = F.upper(F.replace(ref, F.lit(" "), F.lit("")))
+    return let(F.upper(F.replace(ref, F.lit(" "), F.lit(""))), lambda r: _tetrad_of(r, accept_i))
+
+
+def _tetrad_of(r: Column, accept_i: bool) -> Column:
     own = r.rlike("^[A-Z]{2}[0-9]{2}[A-Z]$") if accept_i else r.rlike("^[A-Z]{2}[0-9]{2}[A-HJ-Z]$")
     digits = F.regexp_extract(r, "^[A-HJ-Z]{2}([0-9]+)$", 1)
     half = (F.length(digits) / 2).cast("int")
@@ -98,23 +141,27 @@ def tetrad_from_ref(ref: Column, accept_i: bool = True) -> Column:
     return F.when(own, r).when((F.length(digits) >= 4) & (F.length(digits) % 2 == 0), made)
 
 
-def with_position(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """Add ``_east`` and ``_north`` (null where the position is missing or off the grid)."""
-    la, lo = wgs84_to_airy(nullable_float(F.col(lat)), nullable_float(F.col(lon)))
-    step = df.withColumns({"_lat": la, "_lon": lo})
-    e, n = airy_to_grid(F.col("_lat"), F.col("_lon"))
-    step = step.withColumns({"_east": e, "_north": n}).drop("_lat", "_lon")
-    ok = on_grid(F.col("_east"), F.col("_north"))
-    return step.withColumns({"_east": F.when(ok, F.col("_east")), "_north": F.when(ok, F.col("_north"))})
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it and wherever Catalyst moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def position(lat: Column, lon: Column) -> Column:
+    """(e, n) on the grid of a WGS84 position; null where it is missing or off the grid."""
+    pair = lambda names, values: F.struct(*[v.alias(n) for n, v in zip(names, values)])
+    airy = lambda p: pair(("la", "lo"), wgs84_to_airy(p["la"], p["lo"]))
+    found = let(pair(("la", "lo"), (lat, lon)), lambda p: let(airy(p), lambda q: pair(("e", "n"), airy_to_grid(q["la"], q["lo"]))))
+    return let(found, lambda p: F.when(on_grid(p["e"], p["n"]), p))
 
 
 def assign_grid_refs(occ: DataFrame, system: str = "grid_ref_system", uncertainty: str = "coordinate_uncertainty") -> DataFrame:
     """Give records of other systems a reference of their position and uncertainty; keep the rest. The ref is null if none can be made."""
-    step = with_position(occ)
+    size = select_square_size(F.col(uncertainty))
+    ref = let(position(nullable_float(F.col("latitude")), nullable_float(F.col("longitude"))), lambda p: let(size, lambda s: grid_ref(p["e"], p["n"], s)))
+    made = let(ref, lambda r: F.struct(r.alias("ref"), F.when(r.isNotNull(), F.coalesce(tetrad_from_ref(r), F.lit(""))).alias("fine")))
     again = needs_regeneration(F.col(system))
-    step = step.withColumn("_ref", grid_ref(F.col("_east"), F.col("_north"), select_square_size(F.col(uncertainty))))
-    fine = F.when(F.col("_ref").isNotNull(), F.coalesce(tetrad_from_ref(F.col("_ref")), F.lit("")))
-    return step.withColumns({"grid_ref_2km": F.when(again, fine).otherwise(F.col("grid_ref_2km")), "grid_ref": F.when(again, F.col("_ref")).otherwise(F.col("grid_ref"))}).drop("_east", "_north", "_ref")
+    step = occ.withColumn("_made", F.when(again, made))
+    return step.withColumns({"grid_ref_2km": F.when(again, F.col("_made.fine")).otherwise(F.col("grid_ref_2km")), "grid_ref": F.when(again, F.col("_made.ref")).otherwise(F.col("grid_ref"))}).drop("_made")
 
 
 # ---------------------------------------------------------------- regions
@@ -148,27 +195,27 @@ def contains(e: Column, x: Column, y: Column) -> Column:
 def assign_regions(occ: DataFrame, regions: DataFrame, cell: float = 0.1, most_cells: int = 10_000) -> DataFrame:
     """(geographic_region_id, occurrence_id) of active records within footprints of regions that are not deleted.
 
-    A region's bounding box is cut into cells and joined with the records on the cell, an equi-join
-    that Spark may broadcast or split; only records of a region's cells are tested against its
-    edges. Very large boxes use coarser cells of their own.
+    A region's bounding box is cut into cells, which meet the records in an equi-join that carries
+    ids only. A record in one of a region's cells is then tested against the edges that pass through
+    its row of cells: no others can lie to its side. Both joins Spark may broadcast or split. Very
+    large boxes use coarser cells of their own.
     """
     shape = regions.where("deleted_at is null and footprint_geometry is not null").select(F.col("id").alias("geographic_region_id"), parse_wkt_rings(F.col("footprint_geometry")).alias("rings"))
-    shape = shape.where(F.size("rings") > 0).withColumn("edges", edges(F.col("rings"))).drop("rings")
-    low = lambda f: F.array_min(F.transform("edges", lambda s: s[f]))
-    high = lambda f: F.array_max(F.transform("edges", lambda s: s[f]))
-    shape = shape.withColumns({"x0": low("x1"), "y0": low("y1"), "x1": high("x1"), "y1": high("y1")})
+    sides = shape.select("geographic_region_id", F.explode(edges(F.col("rings"))).alias("s"))
+    box = sides.groupBy("geographic_region_id").agg(F.min("s.x1").alias("x0"), F.min("s.y1").alias("y0"), F.max("s.x1").alias("x9"), F.max("s.y1").alias("y9"))
     # A power of two times the cell, so that a box has at most ``most_cells`` cells.
-    span = (F.col("x1") - F.col("x0") + cell) * (F.col("y1") - F.col("y0") + cell)
-    level = F.greatest(F.lit(0), F.ceil(F.log2(span / (cell * cell) / most_cells) / 2)).cast("int")
-    shape = shape.withColumn("level", level)
-    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
-    at = lambda v: F.floor(v / size)
-    cells = shape.withColumn("cx", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1")))))
+    span = (F.col("x9") - F.col("x0") + cell) * (F.col("y9") - F.col("y0") + cell)
+    box = box.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(span / (cell * cell) / most_cells) / 2)).cast("int"))
+    at = lambda v: F.floor(v / (F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))))
+    cells = box.withColumn("cx", F.explode(F.sequence(at(F.col("x0")), at(F.col("x9"))))).withColumn("cy", F.explode(F.sequence(at(F.col("y0")), at(F.col("y9"))))).select("geographic_region_id", "level", "cx", "cy")
+    rows = sides.join(box.select("geographic_region_id", "level"), "geographic_region_id")
+    rows = rows.withColumn("cy", F.explode(F.sequence(at(F.least("s.y1", "s.y2")), at(F.greatest("s.y1", "s.y2"))))).groupBy("geographic_region_id", "cy").agg(F.collect_list("s").alias("edges"))
     # The few levels in use: one row each.
-    levels = [r["level"] for r in shape.select("level").distinct().collect()]
+    levels = [r["level"] for r in box.select("level").distinct().collect()]
     points = occ.where(is_active()).select(F.col("id").alias("occurrence_id"), F.col("longitude").cast("double").alias("px"), F.col("latitude").cast("double").alias("py")).where("px is not null and py is not null")
     points = points.withColumn("level", F.explode(F.lit(levels).cast("array<int>"))).withColumns({"cx": at(F.col("px")), "cy": at(F.col("py"))})
-    met = points.join(cells, ["level", "cx", "cy"]).where(contains(F.col("edges"), F.col("px"), F.col("py")))
+    near = points.join(cells, ["level", "cx", "cy"]).select("geographic_region_id", "cy", "occurrence_id", "px", "py")
+    met = near.join(rows, ["geographic_region_id", "cy"]).where(contains(F.col("edges"), F.col("px"), F.col("py")))
     return met.select("geographic_region_id", "occurrence_id").distinct()
 
 
@@ -182,32 +229,34 @@ def reassign_regions(bridge: DataFrame, occ: DataFrame, regions: DataFrame, chan
 
 
 def fishnet(regions: DataFrame, size: int = 2000) -> DataFrame:
-    """Squares of this size that meet a region's footprint (in grid metres): region, square, centre, partial.
+    """Squares of this size that meet a region's footprint (in grid metres): region, square, centre on the grid and in WGS84, partial.
 
-    Cells come from each region's own bounding box. A cell meets the region if an edge crosses it,
-    or its centre is inside; it is partial unless inside with no edge through its interior.
+    Cells come from each region's own bounding box, with one more on each side, as a cell that only
+    touches a region meets it. A cell meets the region if an edge touches it or its centre is inside;
+    it is partial unless inside with no edge through its interior.
     """
     shape = regions.where("deleted_at is null and footprint_geometry is not null").select(F.col("id").alias("geographic_region_id"), edges(parse_wkt_rings(F.col("footprint_geometry"))).alias("edges")).where(F.size("edges") > 0)
-    bound = lambda f, g, r: r(g(F.transform("edges", lambda s: s[f])) / size) * size
-    boxes = shape.withColumns({"x0": bound("x1", F.array_min, F.floor), "x9": bound("x1", F.array_max, F.ceil), "y0": bound("y1", F.array_min, F.floor), "y9": bound("y1", F.array_max, F.ceil)})
-    cells = boxes.withColumn("easting", F.explode(F.sequence(F.col("x0"), F.greatest(F.col("x0"), F.col("x9") - size), F.lit(size).cast("long"))))
-    cells = cells.withColumn("northing", F.explode(F.sequence(F.col("y0"), F.greatest(F.col("y0"), F.col("y9") - size), F.lit(size).cast("long"))))
+    bound = lambda f, g, more: (F.floor(g(F.transform("edges", lambda s: s[f])) / size) + more) * size
+    boxes = shape.withColumns({"x0": bound("x1", F.array_min, -1), "x9": bound("x1", F.array_max, 0), "y0": bound("y1", F.array_min, -1), "y9": bound("y1", F.array_max, 0)})
+    cells = boxes.withColumn("easting", F.explode(F.sequence(F.col("x0"), F.col("x9"), F.lit(size).cast("long"))))
+    cells = cells.withColumn("northing", F.explode(F.sequence(F.col("y0"), F.col("y9"), F.lit(size).cast("long"))))
 
-    def through(s: Column) -> Column:
-        """Does an edge pass through a cell's interior? Its part within the cell's columns must overlap the rows."""
+    def within(s: Column, interior: bool) -> Column:
+        """Does an edge touch a cell (or pass through its interior)? Its parts within the cell's columns and rows must overlap."""
         dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
         e, n = F.col("easting"), F.col("northing")
         t = lambda p, d, v: (v - p) / F.nullif(d, F.lit(0.0))
         ax, bx = t(s["x1"], dx, e), t(s["x1"], dx, e + size)
         ay, by = t(s["y1"], dy, n), t(s["y1"], dy, n + size)
-        inside_x = F.when(dx == 0, (s["x1"] > e) & (s["x1"] < e + size)).otherwise(True)
-        inside_y = F.when(dy == 0, (s["y1"] > n) & (s["y1"] < n + size)).otherwise(True)
+        inside = lambda p, low: (p > low) & (p < low + size) if interior else (p >= low) & (p <= low + size)
+        inside_x = F.when(dx == 0, inside(s["x1"], e)).otherwise(True)
+        inside_y = F.when(dy == 0, inside(s["y1"], n)).otherwise(True)
         start = F.greatest(F.lit(0.0), F.when(dx == 0, 0.0).otherwise(F.least(ax, bx)), F.when(dy == 0, 0.0).otherwise(F.least(ay, by)))
         stop = F.least(F.lit(1.0), F.when(dx == 0, 1.0).otherwise(F.greatest(ax, bx)), F.when(dy == 0, 1.0).otherwise(F.greatest(ay, by)))
-        return inside_x & inside_y & (start < stop)
+        return inside_x & inside_y & ((start < stop) if interior else (start <= stop))
 
-    cut = F.exists("edges", through)
-    inside = contains(F.col("edges"), F.col("easting") + size / 2, F.col("northing") + size / 2)
-    met = cells.withColumns({"cut": cut, "inside": inside}).where("cut or inside")
     centre_e, centre_n = F.col("easting") + size / 2, F.col("northing") + size / 2
-    return met.select("geographic_region_id", tetrad(centre_e, centre_n).alias("square"), centre_e.cast("int").alias("easting"), centre_n.cast("int").alias("northing"), F.col("cut").cast("int").alias("partial"))
+    found = cells.withColumns({"touched": F.exists("edges", lambda s: within(s, False)), "cut": F.exists("edges", lambda s: within(s, True)), "inside": contains(F.col("edges"), centre_e, centre_n)}).where("touched or inside")
+    met = found.select("geographic_region_id", centre_e.alias("centre_easting"), centre_n.alias("centre_northing"), (F.col("cut") | ~F.col("inside")).cast("int").alias("partial"))
+    placed = met.withColumn("at", grid_to_wgs84(F.col("centre_easting"), F.col("centre_northing")))
+    return placed.select("geographic_region_id", tetrad(F.col("centre_easting"), F.col("centre_northing")).alias("square"), F.col("centre_easting").cast("int").alias("centre_easting"), F.col("centre_northing").cast("int").alias("centre_northing"), F.col("at.la").alias("centre_lat"), F.col("at.lo").alias("centre_lon"), "partial")

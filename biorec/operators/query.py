@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biorec.functions.columns import RANKS, is_active, rank_column
+from biorec.operators.stats import count_by
 
 OPERATORS = ("eq", "in", "contains", "gte", "lte")
 DEFAULT_LIMIT, MOST_LIMIT = 1000, 10_000
@@ -101,7 +102,8 @@ def region_filter(df: DataFrame, t: Tables, operator: str, value: str) -> DataFr
 def include_regions(df: DataFrame, t: Tables) -> DataFrame:
     """An array of (identifier, name, type) by identifier; empty if there is none."""
     named = t["geographic_regions"].where("deleted_at is null").select(F.col("id").alias("geographic_region_id"), F.struct(F.col("higher_geography_identifier").alias("identifier"), F.col("higher_geography").alias("name"), F.col("location_type").alias("type")).alias("r"))
-    lists = t["geographic_regions_occurrences"].join(named, "geographic_region_id").groupBy(F.col("occurrence_id").alias("id")).agg(F.array_sort(F.collect_set("r")).alias("geographic_regions"))
+    links = t["geographic_regions_occurrences"].join(df.select(F.col("id").alias("occurrence_id")), "occurrence_id", "left_semi")
+    lists = links.join(named, "geographic_region_id").groupBy(F.col("occurrence_id").alias("id")).agg(F.array_sort(F.collect_set("r")).alias("geographic_regions"))
     return df.join(lists, "id", "left").withColumn("geographic_regions", F.coalesce("geographic_regions", F.array().cast(lists.schema["geographic_regions"].dataType)))
 
 
@@ -109,7 +111,7 @@ def include_media(df: DataFrame, t: Tables, fk: str) -> DataFrame:
     """Media of the taxon: primary first, then sort_order and id, each with its variants by key."""
     variants = t["taxon_media_variants"].groupBy("taxon_media_id").agg(F.map_from_entries(F.collect_list(F.struct("variant_key", F.struct("mime_type", "bytes", "width", "height")))).alias("variants"))
     media = t["taxon_media"].where("deleted_at is null").join(variants, F.col("id") == F.col("taxon_media_id"), "left")
-    entry = F.struct((-F.col("is_primary")).alias("o1"), F.col("sort_order").alias("o2"), F.col("id").alias("o3"), F.struct("uuid", "caption", "attribution", "license", "variants").alias("m"))
+    entry = F.struct((-F.col("is_primary")).alias("o1"), F.col("sort_order").alias("o2"), F.col("id").alias("o3"), F.struct("uuid", "original_filename", "mime_type", "bytes", "width", "height", "alt_text", "caption", "attribution", "license", "sort_order", "is_primary", "variants").alias("m"))
     # Maps have no order: sort on the leading fields only.
     lists = media.groupBy(F.col("taxon_id").alias("_taxon")).agg(F.collect_list(entry).alias("ms"))
     by = lambda a, b: F.when(a["o1"] < b["o1"], -1).when(a["o1"] > b["o1"], 1).when(a["o2"] < b["o2"], -1).when(a["o2"] > b["o2"], 1).when(a["o3"] < b["o3"], -1).otherwise(1)
@@ -156,8 +158,8 @@ def include(df: DataFrame, t: Tables, resource: str, names: tuple[str, ...]) ->
     return df
 
 
-def query(t: Tables, resource: str, filters: list[tuple[str, str, str]] = (), sort: str | None = None, includes: tuple[str, ...] = (), reporting_only: bool = True) -> DataFrame:
-    """All matching rows in order, the natural key breaking ties. A sort like ``a,-b`` is descending in b."""
+def _matching(t: Tables, resource: str, filters: list[tuple[str, str, str]], sort: str | None, includes: tuple[str, ...], reporting_only: bool) -> tuple[DataFrame, list[Column]]:
+    """The rows that match, without includes, and their order. All arguments are checked here, before any job runs."""
     if resource not in RESOURCES:
         raise ValueError(f"unknown resource {resource}")
     r = RESOURCES[resource]
@@ -182,14 +184,36 @@ def query(t: Tables, resource: str, filters: list[tuple[str, str, str]] = (), so
         if name not in own:
             raise ValueError(f"unknown sort {name}")
         order.append(F.desc(name) if s.startswith("-") else F.asc(name))
-    return include(df, t, resource, tuple(includes)).orderBy(*order, r.key)
+    return df, [*order, F.asc(r.key)]
 
 
-def page(df: DataFrame, limit: int | None = None, offset: int = 0) -> tuple[DataFrame, int]:
-    """One page of a query and the number of all its rows."""
+def query(t: Tables, resource: str, filters: list[tuple[str, str, str]] = (), sort: str | None = None, includes: tuple[str, ...] = (), reporting_only: bool = True) -> DataFrame:
+    """All matching rows in order, the natural key breaking ties. A sort like ``a,-b`` is descending in b."""
+    df, order = _matching(t, resource, filters, sort, includes, reporting_only)
+    return include(df, t, resource, tuple(includes)).orderBy(*order)
+
+
+def _checked(limit: int | None, offset: int) -> int:
     limit = DEFAULT_LIMIT if limit is None else limit
     if not 1 <= limit <= MOST_LIMIT or offset < 0:
         raise ValueError("limit is from 1 to 10000, offset from 0")
+    return limit
+
+
+def query_page(t: Tables, resource: str, limit: int | None = None, offset: int = 0, **how) -> tuple[DataFrame, DataFrame]:
+    """One page of a query, and the number of all its rows as a table of one row (total).
+
+    The page is cut before the includes are joined: no include is made for rows outside it.
+    """
+    limit = _checked(limit, offset)
+    includes = tuple(how.get("includes", ()))
+    df, order = _matching(t, resource, how.get("filters", ()), how.get("sort"), includes, how.get("reporting_only", True))
+    return include(df.orderBy(*order).offset(offset).limit(limit), t, resource, includes).orderBy(*order), df.agg(F.count(F.lit(1)).alias("total"))
+
+
+def page(df: DataFrame, limit: int | None = None, offset: int = 0) -> tuple[DataFrame, int]:
+    """One page of a DataFrame in order and the number of all its rows."""
+    limit = _checked(limit, offset)
     return df.offset(offset).limit(limit), df.count()
 
 
@@ -208,6 +232,33 @@ def staff_list(df: DataFrame, q: str, columns: tuple[str, ...], sort: str | None
     return rows.orderBy(F.desc(by) if direction == "desc" else F.asc(by), *(["id"] if "id" in df.columns else [])).offset((number - 1) * size).limit(size)
 
 
+def list_with_counts(base: DataFrame, rows: DataFrame, fk: str, name: str, q: str, columns: tuple[str, ...], sort: str | None, default: str, direction: str = "asc", number: int = 1, size: int = 20) -> DataFrame:
+    """A page of a staff list with the number of ``rows`` that refer to each of its own rows; a sort by that number is possible."""
+    if sort == name:
+        return staff_list(count_by(base, rows, fk, name), q, columns, sort, default, direction, number, size)
+    chosen = staff_list(base, q, columns, sort, default, direction, number, size)
+    return count_by(chosen, rows.join(chosen.select(F.col("id").alias(fk)), fk, "left_semi"), fk, name)
+
+
+def taxon_labels(taxa: DataFrame, t: Tables, ranks: tuple = RANKS) -> DataFrame:
+    """The labels of a taxon's details: names for its keys, its hierarchy by rank, and its own names, accepted first."""
+    out = left(taxa, t["taxon_ranks"].select("id", "rank"), "rank", "taxon_rank_id")
+    out = left(out, t["taxon_groups"].select("id", "title"), "group", "taxon_group_id")
+    out = left(out, t["recording_schemes"].select("id", "title"), "scheme", "recording_scheme_id")
+    out = left(out, t["taxa"].select("id", "scientific_name"), "parent", "parent_taxon_id")
+    for r in ranks:
+        out = left(out, t["taxa"].select("id", "scientific_name"), rank_column(r).removesuffix("_id"), rank_column(r))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("accepted")).alias("later"), "name", "given_name_identifier", "scientific")))
+    names = t["taxon_names"].where("deleted_at is null").join(taxa.select(F.col("id").alias("taxon_id")), "taxon_id", "left_semi").groupBy("taxon_id").agg(listed.alias("names"))
+    names = names.select(F.col("taxon_id").alias("_taxon"), F.transform("names", lambda n: F.struct(n["name"].alias("name"), n["given_name_identifier"].alias("given_name_identifier"), (-n["later"]).alias("accepted"), n["scientific"].alias("scientific"))).alias("names"))
+    hierarchy = F.array(*[F.struct(F.lit(r).alias("rank"), F.col(f"{rank_column(r).removesuffix('_id')}__scientific_name").alias("name")) for r in ranks])
+    out = out.join(names, F.col("id") == F.col("_taxon"), "left")
+    return out.select(
+        *taxa.columns, F.col("rank__rank").alias("rank_label"), F.col("group__title").alias("group_label"), F.col("scheme__title").alias("scheme_label"), F.col("parent__scientific_name").alias("parent_label"),
+        F.filter(hierarchy, lambda h: h["name"].isNotNull()).alias("hierarchy"), F.coalesce("names", F.array().cast(names.schema["names"].dataType)).alias("names"),
+    )
+
+
 def occurrence_list(df: DataFrame, taxon_id=None, data_source_id=None, blocked=None, date_from=None, date_to=None) -> DataFrame:
     tests = [(taxon_id, F.col("taxon_id") == F.lit(taxon_id)), (blocked, F.col("blocked") == F.lit(blocked)), (date_from, F.col("from_date") >= F.lit(date_from)), (date_to, F.col("from_date") <= F.lit(date_to))]
     if data_source_id is not None:

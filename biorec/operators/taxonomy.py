@@ -18,6 +18,16 @@ def taxa_report(taxa: DataFrame, groups: list[str]) -> DataFrame:
     return taxa.join(wanted, "id", "left_semi")
 
 
+def taxa_with_scheme(taxa: DataFrame, groups: list[str], schemes: DataFrame, designations: DataFrame) -> DataFrame:
+    """``taxa_report`` with each taxon's recording scheme, of its own or any ancestor, and its Red List designation.
+
+    ``designations(taxon_id, abbreviation)``: of several the last in alphabetical order.
+    """
+    status = designations.groupBy(F.col("taxon_id").alias("id")).agg(F.max("abbreviation").alias("conservation_status"))
+    report = taxa_report(taxa, groups)
+    return report.join(schemes_by_ancestor(report, schemes), "id", "left").join(status, "id", "left")
+
+
 def schemes_by_ancestor(taxa: DataFrame, schemes: DataFrame) -> DataFrame:
     """id, recording_scheme_id by any taxon of the path, of ``schemes(taxon_id, recording_scheme_id)``; of several the largest id."""
     return ancestors(taxa).join(schemes, F.col("ancestor") == F.col("taxon_id")).groupBy("id").agg(F.max("recording_scheme_id").alias("recording_scheme_id"))
@@ -53,5 +63,10 @@ def ranks_report(ranks: DataFrame, taxa: DataFrame) -> DataFrame:
     return ranks.join(taxa.select(F.col("taxon_rank").alias("rank")), "rank", "left_semi")
 
 
+def schemes_report(schemes: DataFrame) -> DataFrame:
+    """Recording schemes that are not deleted."""
+    return schemes.where("deleted_at is null")
+
+
 def regions_report(locations: DataFrame, names: list[str], location_type: str) -> DataFrame:
     return locations.where(F.col("name").isin(names) & (F.col("type") == location_type) & F.col("deleted_at").isNull())

@@ -50,3 +50,23 @@ def test_regions(spark):
 
 def test_uuid(spark):
     assert spark.range(1).select(stable_uuid(F.lit("1|global"))).first()[0] == "843979e0-8f7b-4675-a0ff-0ca37f8e0159"
+
+
+def test_inverse(spark):
+    """Grid positions to WGS84 and back, under a millimetre; the published example on the Airy ellipsoid."""
+    df = spark.createDataFrame([(651409.903, 313177.270), (400000.0, 100000.0), (250000.0, 800000.0), (530000.0, 180000.0)], "e double, n double")
+    back = df.withColumn("p", geo.grid_to_wgs84(F.col("e"), F.col("n"))).withColumn("q", geo.position(F.col("p.la"), F.col("p.lo")))
+    assert all(r["q"]["e"] == pytest.approx(r["e"], abs=1e-3) and r["q"]["n"] == pytest.approx(r["n"], abs=1e-3) for r in back.collect())
+    airy = df.limit(1).select(*geo.grid_to_airy(F.col("e"), F.col("n"))).first()
+    assert tuple(airy) == pytest.approx((52 + 39 / 60 + 27.2531 / 3600, 1 + 43 / 60 + 4.5177 / 3600), abs=1e-8)
+
+
+def test_fishnet(spark):
+    """A box of 3 km by 1 km that ends on a cell's edge: the cell beyond is touched, and partial."""
+    ring = "POLYGON((400500 200500,404000 200500,404000 201500,400500 201500,400500 200500))"
+    whole = "POLYGON((400000 200000,404000 200000,404000 204000,400000 204000,400000 200000))"
+    regions = spark.createDataFrame([(1, ring, None), (2, whole, None)], "id long, footprint_geometry string, deleted_at timestamp")
+    rows = geo.fishnet(regions).collect()
+    assert sorted((r["centre_easting"], r["centre_northing"], r["partial"]) for r in rows if r["geographic_region_id"] == 1) == [(401000, 201000, 1), (403000, 201000, 1), (405000, 201000, 1)]
+    assert sum(r["partial"] == 0 for r in rows if r["geographic_region_id"] == 2) == 4 and sum(r["geographic_region_id"] == 2 for r in rows) == 16
+    assert all(49 < r["centre_lat"] < 61 and -3 < r["centre_lon"] < 0 and r["square"].startswith("SP") for r in rows if min(r["centre_easting"] - 200000, r["centre_northing"]) > 200000)
