@@ -49,7 +49,7 @@ def a1_grid_square_stats(t):
     return stats.grid_square_stats(t["occurrences"], t["geographic_regions_occurrences"], t["taxa"], MOST)
 
 
-_SCOPED = ("scoped", f"""SELECT o.id, coalesce(from_date, to_date) AS d, {SQUARE} AS square, recorded_by AS who, upper(identification_verification_status) LIKE 'V%' AS sure, s.taxon_id, s.region
+_SCOPED = ("scoped", f"""SELECT o.id, coalesce(from_date, to_date) AS d, {SQUARE} AS square, substr(coalesce(trim(recorded_by), ''), 1, 255) AS who, upper(identification_verification_status) LIKE 'V%' AS sure, s.taxon_id, s.region
  FROM occurrences o JOIN taxa t ON t.id = o.taxon_id JOIN taxon_ranks k ON k.id = t.taxon_rank_id JOIN (
    SELECT id, taxon_id, region FROM (
      SELECT o.id, o.taxon_id FROM occurrences o JOIN taxa t ON t.id = o.taxon_id JOIN taxon_ranks k ON k.id = t.taxon_rank_id WHERE k.is_reporting = 0
@@ -64,24 +64,30 @@ def _uuid(seed: str) -> str:
     return f"substr({h},1,8) || '-' || substr({h},9,4) || '-4' || substr({h},14,3) || '-' || printf('%x', (('0x' || substr({h},17,1))::INTEGER & 3) | 8) || substr({h},18,3) || '-' || substr({h},21,12)"
 
 
-@query(f"""SELECT {_uuid("taxon_id::VARCHAR || '|' || coalesce(region::VARCHAR, 'global')")} AS uuid, taxon_id, region AS geographic_region_id, count(*) AS occurrences_count, count(DISTINCT square) AS grid_square_count,
+_TAXON_STATS = f"""SELECT {_uuid("taxon_id::VARCHAR || '|' || coalesce(region::VARCHAR, 'global')")} AS uuid, taxon_id, region AS geographic_region_id, count(*) AS occurrences_count, count(DISTINCT square) AS grid_square_count,
  min(d) AS first_record_date, max(d) AS last_record_date, arg_min(who, (d, id)) AS first_recorder, arg_max(who, (d, id)) AS last_recorder,
  coalesce(min(d) FILTER (sure), min(d)) AS first_verified_record_date, coalesce(max(d) FILTER (sure), max(d)) AS last_verified_record_date,
  coalesce(arg_min(who, (d, id)) FILTER (sure), arg_min(who, (d, id))) AS first_verified_recorder, coalesce(arg_max(who, (d, id)) FILTER (sure), arg_max(who, (d, id))) AS last_verified_recorder
- FROM scoped GROUP BY taxon_id, region""", _SCOPED)
+ FROM scoped GROUP BY taxon_id, region"""
+
+
+@query(_TAXON_STATS, _SCOPED)
 def a2_taxon_stats(t):
     return stats.taxon_stats(t["occurrences"], t["taxa"], t["taxon_ranks"], t["geographic_regions_occurrences"], RANKS)
 
 
-@query(f"""SELECT {_uuid("taxon_id::VARCHAR || '|' || coalesce(region::VARCHAR, 'global') || '|' || year(d)::VARCHAR")} AS uuid, taxon_id, region AS geographic_region_id, year(d) AS year, count(*) AS occurrences_count,
- count(DISTINCT square) AS grid_square_count FROM scoped WHERE d >= DATE '{AS_OF - 9}-01-01' AND d < DATE '{AS_OF + 1}-01-01' GROUP BY taxon_id, region, year(d)""", _SCOPED)
+_YEAR_STATS = f"""SELECT {_uuid("taxon_id::VARCHAR || '|' || coalesce(region::VARCHAR, 'global') || '|' || year(d)::VARCHAR")} AS uuid, taxon_id, region AS geographic_region_id, year(d) AS year, count(*) AS occurrences_count,
+ count(DISTINCT square) AS grid_square_count FROM scoped WHERE d >= DATE '{AS_OF - 9}-01-01' AND d < DATE '{AS_OF + 1}-01-01' GROUP BY taxon_id, region, year(d)"""
+
+
+@query(_YEAR_STATS, _SCOPED)
 def a3_taxon_year_stats(t):
     return stats.taxon_year_stats(t["occurrences"], t["taxa"], t["taxon_ranks"], t["geographic_regions_occurrences"], AS_OF, RANKS)
 
 
 _RARITY = ("rarity", f"""SELECT id, g AS group_name, CASE WHEN n <= 1 THEN 1 ELSE least(5, greatest(1, floor((p - 1) * 4.0 / (n - 1) + 0.5)::INTEGER + 1)) END AS category FROM (
- SELECT *, row_number() OVER (PARTITION BY g ORDER BY rs * 0.6::DOUBLE + ro * 0.4::DOUBLE, rs, ro, taxon_identifier) AS p, count(*) OVER (PARTITION BY g) AS n FROM (
-  SELECT *, dense_rank() OVER (PARTITION BY g ORDER BY squares DESC) AS rs, dense_rank() OVER (PARTITION BY g ORDER BY records DESC) AS ro FROM (
+ SELECT *, row_number() OVER (PARTITION BY g ORDER BY rs * 1.0::DOUBLE + ro * 1.0::DOUBLE, rs, ro, taxon_identifier) AS p, count(*) OVER (PARTITION BY g) AS n FROM (
+  SELECT *, dense_rank() OVER (PARTITION BY g ORDER BY squares) AS rs, dense_rank() OVER (PARTITION BY g ORDER BY records) AS ro FROM (
    SELECT t.id, trim(t.rarity_group_name) AS g, t.taxon_identifier, count(o.id) AS records, count(DISTINCT {SQUARE}) AS squares FROM taxa t LEFT JOIN (SELECT * FROM occurrences WHERE {ACTIVE}) o ON o.species_id = t.id
    WHERE t.blocked = 0 AND t.deleted_at IS NULL AND t.species_id = t.id AND trim(t.rarity_group_name) <> '' GROUP BY ALL)))""")
 
@@ -214,7 +220,15 @@ def g1_grid_refs(t):
     return geo.assign_grid_refs(rows).select("id", "grid_ref", "grid_ref_2km")
 
 
-@query()
+_BOXES = """SELECT id, 300000 + k % 5 * 21000 + 500 AS x, 200000 + k % 4 * 17000 + 700 AS y, 300000 + k % 5 * 21000 + 19500 AS x2, 200000 + k % 4 * 17000 + 14000 AS y2
+ FROM (SELECT id, CAST(substr(higher_geography_identifier, 2) AS INTEGER) AS k FROM geographic_regions WHERE location_type = 'nation' AND deleted_at IS NULL)"""
+
+
+@query(f"""SELECT id AS geographic_region_id, substr('ABCDEFGHJKLMNOPQRSTUVWXYZ', (19 - n // 100000 - (19 - n // 100000) % 5 + (e // 100000 + 10) // 5)::INTEGER + 1, 1)
+ || substr('ABCDEFGHJKLMNOPQRSTUVWXYZ', ((19 - n // 100000) * 5 % 25 + e // 100000 % 5)::INTEGER + 1, 1) || (e % 100000 // 10000)::VARCHAR || (n % 100000 // 10000)::VARCHAR
+ || substr('ABCDEFGHIJKLMNPQRSTUVWXYZ', (n % 10000 // 2000 * 5 + e % 10000 // 2000)::INTEGER + 1, 1) AS square, (e + 1000)::INTEGER AS centre_easting, (n + 1000)::INTEGER AS centre_northing,
+ CASE WHEN e >= x AND e + 2000 <= x2 AND n >= y AND n + 2000 <= y2 THEN 0 ELSE 1 END AS partial
+ FROM (SELECT *, unnest(generate_series(290000, 420000, 2000)) AS e FROM ({_BOXES})) JOIN (SELECT unnest(generate_series(190000, 290000, 2000)) AS n) ON n <= y2 AND n + 2000 >= y WHERE e <= x2 AND e + 2000 >= x""")
 def g4_fishnet(t):
     """Squares of 2 km over nation boxes laid out on the grid."""
     k = F.substring("higher_geography_identifier", 2, 9).cast("int")
@@ -223,7 +237,7 @@ def g4_fishnet(t):
     p = lambda a, b: F.concat(a, F.lit(" "), b)
     ring = F.concat(F.lit("POLYGON(("), F.concat_ws(",", p(x, y), p(x2, y), p(x2, y2), p(x, y2), p(x, y)), F.lit("))"))
     nations = t["geographic_regions"].where("location_type = 'nation'").withColumn("footprint_geometry", ring)
-    return geo.fishnet(nations)
+    return geo.fishnet(nations).drop("centre_lat", "centre_lon")
 
 
 _RAW = "concat('SRC:', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))"
@@ -235,14 +249,28 @@ def n10_dedupe_last(t):
     return merge.dedupe_last(raw, ["unique_key"], "at").select("unique_key", "l_partkey")
 
 
-@query("""SELECT coalesce(e.unique_key, i.unique_key) AS unique_key, coalesce(i.recorded_by, e.recorded_by) AS recorded_by,
+_MERGED = """SELECT coalesce(e.unique_key, i.unique_key) AS unique_key, coalesce(i.recorded_by, e.recorded_by) AS recorded_by,
  CASE WHEN e.id IS NULL THEN 'inserted' WHEN i.unique_key IS NULL THEN 'kept' WHEN e.recorded_by = i.recorded_by THEN 'unchanged' ELSE 'updated' END AS action,
- coalesce(e.id, (SELECT max(id) FROM occurrences WHERE id % 3 <> 0) + row_number() OVER (PARTITION BY e.id IS NULL ORDER BY i.unique_key)) AS id
- FROM (SELECT id, unique_key, recorded_by FROM occurrences WHERE id % 3 <> 0) e FULL JOIN (SELECT unique_key, CASE WHEN id % 4 = 0 THEN 'Someone' ELSE recorded_by END AS recorded_by FROM occurrences WHERE id % 2 = 0) i ON e.unique_key = i.unique_key""")
+ coalesce(e.id, (SELECT max(id) FROM stored_rows) + row_number() OVER (PARTITION BY e.id IS NULL ORDER BY i.unique_key)) AS id FROM stored_rows e FULL JOIN incoming_rows i ON e.unique_key = i.unique_key"""
+_SIDES = (
+    ("stored_rows", "SELECT id, unique_key, recorded_by FROM occurrences UNION ALL SELECT -1 - c_custkey, concat('OLD:', c_custkey::VARCHAR), c_name FROM customer"),
+    ("incoming_rows", "SELECT unique_key, CASE WHEN id % 4 = 0 THEN 'Someone' ELSE recorded_by END AS recorded_by FROM occurrences UNION ALL SELECT concat('NEW:', o_orderkey::VARCHAR), 'New' FROM orders"),
+)
+
+
+@query(_MERGED, *_SIDES)
 def u8_merge(t):
+    """All stored records, some changed, with a new record for each order; stored rows of customers get no incoming one."""
     o = t["occurrences"].select("id", "unique_key", "recorded_by")
-    incoming = o.where("id % 2 = 0").select("unique_key", F.when(F.col("id") % 4 == 0, "Someone").otherwise(F.col("recorded_by")).alias("recorded_by"))
-    return merge.merge(o.where("id % 3 != 0"), incoming, ["unique_key"])
+    old = t["customer"].select((-1 - F.col("c_custkey")).alias("id"), F.concat(F.lit("OLD:"), F.col("c_custkey").cast("string")).alias("unique_key"), F.col("c_name").alias("recorded_by"))
+    new = t["orders"].select(F.concat(F.lit("NEW:"), F.col("o_orderkey").cast("string")).alias("unique_key"), F.lit("New").alias("recorded_by"))
+    incoming = o.select("unique_key", F.when(F.col("id") % 4 == 0, "Someone").otherwise(F.col("recorded_by")).alias("recorded_by")).unionByName(new)
+    return merge.merge(o.unionByName(old), incoming, ["unique_key"])
+
+
+@query(f"SELECT action, count(*) AS n FROM ({_MERGED}) GROUP BY action", *_SIDES)
+def a9_run_summary(t):
+    return stats.run_summary(u8_merge(t))
 
 
 _PATHS = ("paths", """SELECT id, taxon_identifier AS organism_key, scientific_name AS taxon, k.rank AS taxon_rank, k.sort_order, k.is_reporting, rarity_group_name AS taxon_group,
@@ -265,6 +293,10 @@ def p2_nearest_parent(t):
     return taxonomy.nearest_parent(_paths(t))
 
 
-@query()
+@query("""SELECT c.id, '[' || string_agg('{"organism_key":"' || a.organism_key || '","taxon":"' || a.taxon || '","taxon_rank":"' || a.taxon_rank || '"}', ',' ORDER BY a.sort_order, a.id) || ']' AS higher_taxa
+ FROM (SELECT DISTINCT id, unnest(path) AS a FROM paths) c JOIN paths a ON a.id = c.a AND a.is_reporting = 1 GROUP BY c.id""", _PATHS)
 def p3_higher_taxa(t):
     return taxonomy.higher_taxa(_paths(t))
+
+
+from biorec.plans import surface_queries  # noqa: E402, F401
