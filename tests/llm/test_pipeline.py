@@ -5,11 +5,9 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from biorec.llm import mixing, toxicity  # noqa: E402
+import corpus_pipeline
+from biorec.llm import mixing, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -73,18 +71,15 @@ def test_chain(spark, rows, folder):
 
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     docs, labels = spark.createDataFrame(rows, SCHEMA), spark.read.parquet(f"{folder}/labels.parquet")
-    scores = {r["row"]: r["predicted"] for r in toxicity.score_toxicity(docs.withColumn("text", F.col("text")), labels, carry=True).collect()}
+    scores = {r["row"]: r["predicted"] for r in toxicity.score_toxicity(docs, labels, carry=True).collect()}
     clean = [r for r in rows if not next(p for k, p in scores.items() if tuple(k) == r)]
     assert len(clean) == len(rows) - 60
     left = brute_near(brute_exact(clean))
     plan = Counter()
     mixed = spark.createDataFrame(left, SCHEMA)
-    for r in mixing.mix_plan(mixed.withColumn("doc_id", F.monotonically_increasing_id()) if False else mixed).collect():
+    for r in mixing.mix_plan(mixed).collect():
         plan[r["doc_id"]] += r["copies"]
     want = Counter()
-    by = {}
-    for r in left:
-        by.setdefault(r[0], []).append(r)
     for r in mixing.mix_sources(mixed).collect():
         want[r["doc_id"], tuple(library.encode(r["text"] or ""))] += 1
     assert sum(want.values()) == sum(plan.values())
