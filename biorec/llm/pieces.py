@@ -40,7 +40,7 @@ from biorec.llm.common import materialize
 CHUNK = 1 << 15
 #: Adjacent matrices that a task multiplies at a time.
 FAN = 16
-CACHE = 1 << 19
+CACHE = 1 << 17
 SPACE = "▁"
 NO = -np.inf
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from biorec.llm.common import doc_key, fold, materialize
+from biorec.llm.common import doc_key, few, fold, materialize
 
 HELD_OUT, THRESHOLD = 2, 0.3
 SAMPLE = 20_000
@@ -240,20 +240,19 @@ def logistic(x: np.ndarray, p: np.ndarray, count: np.ndarray, ridge: float = 1.0
     return w
 
 
-def votes_of(docs: DataFrame, labels: DataFrame, carry: bool = False) -> tuple[DataFrame, DataFrame]:
-    """One row per row of ``docs``: doc_id, fold and the votes' bits, with ``carry`` the row's columns as ``row``; and the labels (doc_id, label)."""
+def votes_of(docs: DataFrame, labels: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One row per row of ``docs``: doc_id, fold and the votes' bits, with the column ``row`` if named; and the labels (doc_id, label)."""
     given = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     known = mine(docs, given)
-    own_row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold().alias("fold"), *own_row, "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold().alias("fold"), *([row] if row else []), "text")
     schema = StructType([x for x in rows.schema if x.name != "text"] + [StructField(c, LongType()) for c in PARTS])
     marked = materialize(rows.mapInArrow(_scan(known), schema), "votes")
     return marked, given
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted; with ``carry`` also the row's columns, as ``row``."""
-    marked, given = votes_of(docs, labels, carry)
+def score_toxicity(docs: DataFrame, labels: DataFrame, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, held_out, score, predicted; also the column ``row``, if named."""
+    marked, given = votes_of(docs, labels, row)
     label = F.coalesce(F.when(F.col("fold") != HELD_OUT, F.col("label")), F.lit(-1)).alias("label")
     seen = marked.select("doc_id", "fold", *PARTS).join(given, "doc_id", "left").select("doc_id", "fold", *PARTS, label)
     patterns = materialize(seen.groupBy(*PARTS, "label").agg(F.count(F.lit(1)).alias("n")), "patterns")
@@ -277,9 +276,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, carry: bool = False) -> D
                 total = total + F.shiftright(F.col(column), k).bitwiseAND(F.lit(1)) * F.lit(float(w[at + k]))
         at += n
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
-    return marked.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), score.alias("score"), *(["row"] if carry else [])).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return marked.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), score.alias("score"), *([row] if row else [])).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, each judged by its own score, whatever its id."""
-    return score_toxicity(docs, labels, carry=True).where("predicted = 0").select("row.*")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "numbered")
+    scored = score_toxicity(rows.select("row", "doc.doc_id", "doc.text"), labels, "row")
+    # The rows that go are the fewer; whole rows stay out of the scan and of any shuffle.
+    gone = materialize(scored.where("predicted = 1").select("row"), "toxic")
+    return rows.join(few(gone), "row", "left_anti").select("doc.*")
