@@ -101,7 +101,7 @@ def e4_grid_squares(t):
 
 
 @query("""SELECT t.taxon_identifier, coalesce(string_agg(concat(m.uuid, '/', m.original_filename, '/', m.mime_type, '/', m.bytes::VARCHAR, '/', m.width::VARCHAR, '/', m.alt_text, '/', m.sort_order::VARCHAR, '/', m.is_primary::VARCHAR, '/', v.large::VARCHAR, '/', v.thumb::VARCHAR), ';'
- ORDER BY m.is_primary DESC, m.sort_order, m.id), '') AS media FROM taxa t LEFT JOIN (SELECT * FROM taxon_media WHERE deleted_at IS NULL) m ON m.taxon_id = t.id
+ ORDER BY m.is_primary DESC, m.sort_order, m.id) FILTER (m.id IS NOT NULL), '') AS media FROM taxa t LEFT JOIN (SELECT * FROM taxon_media WHERE deleted_at IS NULL) m ON m.taxon_id = t.id
  LEFT JOIN (SELECT taxon_media_id, max(bytes) FILTER (variant_key = 'large') AS large, max(bytes) FILTER (variant_key = 'thumb') AS thumb FROM taxon_media_variants GROUP BY ALL) v ON v.taxon_media_id = m.id
  WHERE t.blocked = 0 AND t.deleted_at IS NULL GROUP BY t.id, t.taxon_identifier""")
 def e6_taxon_media(t):
