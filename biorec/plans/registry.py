@@ -214,7 +214,37 @@ def g2_assign_regions(t):
     return geo.assign_regions(_placed(t), t["geographic_regions"])
 
 
-@query()
+def _projected() -> tuple[tuple[str, str], ...]:
+    """Easting and northing of the placed records step by step: the datum shift through Cartesian coordinates, then the published series."""
+    (a1, b1), (a2, b2) = geo.WGS84, geo.AIRY
+    e1, e2, n = 1 - (b1 / a1) ** 2, 1 - (b2 / a2) ** 2, (a2 - b2) / (a2 + b2)
+    tx, ty, tz = geo.SHIFT
+    rx, ry, rz = (f"radians({v} / 3600.0::DOUBLE)" for v in geo.TURN)
+    k, f0 = 1 + geo.SCALE, geo.F0
+    round_ = f"atan2(z + {e2!r} * ({a2!r} / sqrt(1 - {e2!r} * sin(f) ** 2)) * sin(f), p) AS f"
+    steps = [
+        ("w0", "SELECT id, grid_ref_2km, id % 9000 AS u, radians(50.0::DOUBLE + (id % 457) / 100.0::DOUBLE) AS f, radians((id % 611) / 100.0::DOUBLE - 6) AS l FROM occurrences"),
+        ("w1", f"SELECT *, {a1!r} / sqrt(1 - {e1!r} * sin(f) ** 2) AS v FROM w0"),
+        ("w2", f"SELECT id, grid_ref_2km, u, v * cos(f) * cos(l) AS x, v * cos(f) * sin(l) AS y, v * (1 - {e1!r}) * sin(f) AS z FROM w1"),
+        ("w3", f"SELECT id, grid_ref_2km, u, {tx} + {k!r} * x - {rz} * y + {ry} * z AS x, {ty} + {rz} * x + {k!r} * y - {rx} * z AS y, {tz} - {ry} * x + {rx} * y + {k!r} * z AS z FROM w2"),
+        ("f0", f"SELECT id, grid_ref_2km, u, sqrt(x * x + y * y) AS p, z, atan2(y, x) AS l, atan2(z, sqrt(x * x + y * y) * (1 - {e2!r})) AS f FROM w3"),
+    ]
+    steps += [(f"f{i}", f"SELECT id, grid_ref_2km, u, p, z, l, {round_} FROM f{i - 1}") for i in range(1, 5)]
+    arc = f"""{b2 * f0!r} * ({1 + n + 1.25 * n**2 + 1.25 * n**3!r} * (f - radians(49.0)) - {3 * n + 3 * n**2 + 2.625 * n**3!r} * sin(f - radians(49.0)) * cos(f + radians(49.0))
+ + {1.875 * n**2 + 1.875 * n**3!r} * sin(2 * (f - radians(49.0))) * cos(2 * (f + radians(49.0))) - {35 / 24 * n**3!r} * sin(3 * (f - radians(49.0))) * cos(3 * (f + radians(49.0))))"""
+    steps += [
+        ("g0", f"SELECT id, grid_ref_2km, u, f, l + radians(2.0) AS l, sin(f) AS s, cos(f) AS c, tan(f) ** 2 AS t, {a2 * f0!r} / sqrt(1 - {e2!r} * sin(f) ** 2) AS v, {a2 * f0 * (1 - e2)!r} / (1 - {e2!r} * sin(f) ** 2) ** 1.5 AS r, {arc} AS m FROM f4"),
+        ("g1", """SELECT id, grid_ref_2km, u, 400000 + v * c * l + v / 6 * c ** 3 * (v / r - t) * l ** 3 + v / 120 * c ** 5 * (5 - 18 * t + t * t + 14 * (v / r - 1) - 58 * t * (v / r - 1)) * l ** 5 AS e,
+ -100000 + m + v / 2 * s * c * l ** 2 + v / 24 * s * c ** 3 * (5 - t + 9 * (v / r - 1)) * l ** 4 + v / 720 * s * c ** 5 * (61 - 58 * t + t * t) * l ** 6 AS n FROM g0"""),
+        ("g2", "SELECT id, grid_ref_2km, floor(e)::BIGINT AS e, floor(n)::BIGINT AS n, CASE WHEN u <= 0 THEN 2000 WHEN u <= 1 THEN 1 WHEN u <= 10 THEN 10 WHEN u <= 100 THEN 100 WHEN u <= 1000 THEN 1000 WHEN u <= 2000 THEN 2000 ELSE 10000 END AS size FROM g1"),
+        ("g3", """SELECT *, substr('ABCDEFGHJKLMNOPQRSTUVWXYZ', (19 - n // 100000 - (19 - n // 100000) % 5 + (e // 100000 + 10) // 5)::INTEGER + 1, 1) || substr('ABCDEFGHJKLMNOPQRSTUVWXYZ', ((19 - n // 100000) * 5 % 25 + e // 100000 % 5)::INTEGER + 1, 1) AS letters,
+ (e % 100000 // 10000)::VARCHAR || (n % 100000 // 10000)::VARCHAR || substr('ABCDEFGHIJKLMNPQRSTUVWXYZ', (n % 10000 // 2000 * 5 + e % 10000 // 2000)::INTEGER + 1, 1) AS tetrad, CASE size WHEN 1 THEN 5 WHEN 10 THEN 4 WHEN 100 THEN 3 WHEN 1000 THEN 2 ELSE 1 END AS d FROM g2"""),
+    ]
+    return tuple(steps)
+
+
+@query("""SELECT id, CASE WHEN id % 3 = 0 THEN 'OLD' WHEN size = 2000 THEN letters || tetrad ELSE letters || lpad((e % 100000 // size)::VARCHAR, d, '0') || lpad((n % 100000 // size)::VARCHAR, d, '0') END AS grid_ref,
+ CASE WHEN id % 3 = 0 THEN grid_ref_2km WHEN size <= 2000 THEN letters || tetrad ELSE '' END AS grid_ref_2km FROM g3""", *_projected())
 def g1_grid_refs(t):
     rows = _placed(t).withColumns({"longitude": F.col("longitude") - 6, "grid_ref": F.lit("OLD"), "grid_ref_system": F.when(F.col("id") % 3 == 0, "OSGB").otherwise("WGS84"), "coordinate_uncertainty": (F.col("id") % 9000).cast("string")})
     return geo.assign_grid_refs(rows).select("id", "grid_ref", "grid_ref_2km")
