@@ -452,6 +452,18 @@ def test_licenses(spark):
     assert (5, None, "none") in got
 
 
+def test_license_edges(spark):
+    """Very long texts, one path with several texts, the root directory, nulls, columns named like the operator's own, an empty table."""
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [(1, "a/LICENSE", apache), (2, "a/LICENSE", mit), (3, "a/b/c/x.py", "nothing"), (4, "LICENSE", apache), (5, "z.py", ""), (6, "q/w/z.py", None), (7, "long/x.txt", "word " * 60000 + mit), (8, "long/y.txt", "no"), (None, None, None), (9, "a/x.py", "none"), (9, "a/x.py", "none")]
+    df = spark.createDataFrame([(*r, "own", "b", 1) for r in rows], "id long, path string, text string, license string, own_dir string, score int")
+    got = sorted(((r["id"], r["license"], r["how"]) for r in licenses.scan_licenses(df).collect()), key=str)
+    # Of two equally close licence files in a directory the later name counts; a text with a statement inside is no licence file.
+    want = [(1, "Apache-2.0", "own"), (2, "MIT", "own"), (3, "MIT", "inherited"), (4, "Apache-2.0", "own"), (5, "Apache-2.0", "inherited"), (6, "Apache-2.0", "inherited"), (7, "MIT", "own"), (8, "Apache-2.0", "inherited"), (None, None, "none"), (9, "MIT", "inherited"), (9, "MIT", "inherited")]
+    assert got == sorted(want, key=str)
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
 def test_license_texts(spark):
     full = licenses.full_texts()
     mit, bsd = (next(t for n, t in full if n == name) for name in ("MIT", "BSD"))
