@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biorec.llm import dedup, jaccard, langid, licenses, lines, mixing, pieces, tokens, topk, toxicity, urls
+from biorec.llm import dedup, jaccard, langid, licenses, lines, mixing, periods, pieces, tokens, topk, toxicity, urls
 from biorec.llm.common import table
 
 
@@ -60,6 +60,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents get a repeated tail first."""
+    return periods.run_digests(periods.periodic_runs(periods.repeat_tails(table(spark, sf_dir, "documents"))))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_lines(table(spark, sf_dir, "documents"))
     return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
