@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biorec.llm import dedup, jaccard, langid, licenses, lines, mixing, periods, pieces, tokens, topk, toxicity, urls
-from biorec.llm.common import table
+from biorec.llm import dedup, frames, jaccard, langid, licenses, lines, mixing, periods, pieces, tokens, topk, toxicity, urls
+from biorec.llm.common import materialize, table
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = materialize(frames.store_frames(table(spark, sf_dir, "documents")), "frames")
+    return frames.digests(frames.fill_in_middle(store))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": mixing.SQL, "op4_exact_dedup": dedup.SQL, "op9_exact_topk": topk.SQL, "op10_url_filter": urls.SQL, "op12_line_dedup": lines.SQL}
+    return {"op1_source_mix": mixing.SQL, "op4_exact_dedup": dedup.SQL, "op9_exact_topk": topk.SQL, "op10_url_filter": urls.SQL, "op12_line_dedup": lines.SQL, "op13_fill_in_middle": frames.SQL}
