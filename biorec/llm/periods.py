@@ -184,8 +184,8 @@ def find_runs(texts: list[np.ndarray], exponent: int = EXPONENT, least_length: i
         i = base[text[k]] + (np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)) * step[k]
         at = end
         j = i + period[k]
-        # The place and one next to it must agree.
-        maybe = (s[i] == s[j]) & ((s[i + 1] == s[j + 1]) | (s[i - 1] == s[j - 1]))
+        # The place must agree, and one next to it where a run needs two such places.
+        maybe = (s[i] == s[j]) & ((s[i + 1] == s[j + 1]) | (s[i - 1] == s[j - 1]) | (step[k] == 1))
         if not maybe.any():
             continue
         i, j, k = i[maybe], j[maybe], k[maybe]
