@@ -150,11 +150,39 @@ def test_exact_arrivals(docs, tmp_path, digest):
     later = dedup.exact_groups(docs.where("coalesce(doc_id, 9) % 2 = 0"), digest, state)
     assert sorted(map(tuple, later.select(columns).collect()), key=str) == brute_groups(docs, digest)
     # The locators lead to landed rows that hold the texts that stay.
-    landed = dedup._landed(docs.sparkSession, state + "/landed", docs.sparkSession.read.parquet(state + "/landed").schema)
+    landed = dedup._all_landed(docs.sparkSession, state)
     back = landed.join(later.select("locator", "keep_id").distinct(), "locator")
     assert back.where("not (doc_id <=> keep_id)").count() == 0 and back.count() == later.select("locator").distinct().count()
 
 
+@pytest.mark.parametrize("step", ["_stream", "_clashing"])
+def test_exact_repeated_after_a_failure(docs, tmp_path, monkeypatch, step):
+    """A call that fails after landing, or after the stream, and is made again counts its rows once; other rows meanwhile count too."""
+    columns = ["doc_id", "keep_id", "group_size", "kept"]
+    early, late = docs.where("coalesce(doc_id, 9) % 2 = 1"), docs.where("coalesce(doc_id, 9) % 2 = 0")
+    states = [str(tmp_path / s) for s in "abc"]
+    for state in states:
+        dedup.exact_groups(early, state_dir=state)
+        with monkeypatch.context() as m:
+            plain = getattr(dedup, step)
+            m.setattr(dedup, step, lambda *args: (step == "_stream" and plain(*args)) or 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                dedup.exact_groups(late, state_dir=state, arrival="late" if state == states[1] else None)
+    want = brute_groups(docs, dedup.sha256)
+    again = lambda df, state, **how: sorted(map(tuple, dedup.exact_groups(df, state_dir=state, **how).select(columns).collect()), key=str)
+    assert again(late, states[0]) == want
+    assert again(late, states[1], arrival="late") == want and again(late, states[1], arrival="late") == want
+    other = docs.sparkSession.createDataFrame([(*r[:1], r[1], *r[2:]) for r in [(70, "text of another arrival", None, None, None, 1, "x", "y", "z", "p")]], SCHEMA)
+    assert again(other, states[2]) == sorted([*want, (70, 70, 1, True)], key=str)
+
+
+def test_exact_extreme_ids(spark):
+    rows = [(-(2**63), "a"), (2**63 - 1, "a"), (-(2**63), "b "), (0, "b"), (None, "a ")]
+    got = dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "keep_id", "group_size", "kept").collect()
+    low = -(2**63)
+    assert sorted(map(tuple, got), key=str) == sorted([(low, None, 3, False), (2**63 - 1, None, 3, False), (None, None, 3, True), (low, low, 2, True), (0, low, 2, False)], key=str)
+
+
 def test_dedup_stages(spark, empty):
     """One row of each text and of each component, with repeated and null ids."""
     near = [BASE, BASE, BASE + " ", NEAR[0], NEAR[1], LONG, LONG + " end"]
