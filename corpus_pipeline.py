@@ -12,29 +12,41 @@ from biorec.llm.common import materialize, table
 #: SQL cannot express a trained classifier or a tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
+#: What Spark hands to a Python worker at a time: stages run one after another in the same executors, whose memory must hold both sides.
+BATCH_BYTES = "4m"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
+    _small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
+    _small_batches(spark)
     return dedup.keep_one_copy(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each n-gram Jaccard component stays."""
+    _small_batches(spark)
     return jaccard.keep_one_per_component(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target rate takes it."""
+    _small_batches(spark)
     return mixing.mix_sources(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, n_chunks and the pieces' identifiers of every row."""
+    _small_batches(spark)
     out = pieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", F.size("ids").alias("n_pieces"), "n_chunks", "ids")
 
