@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from biorec.functions.columns import RANKS, is_irecord_origin, needs_regeneration, nullable_date, nullable_float, nullable_int, nullable_string, rank_column, stable_uuid, to_flag, unique_key
 from biorec.functions.tables import settled
@@ -37,6 +36,10 @@ def split_rejects(df: DataFrame, rules: list[tuple[str, Column]]) -> tuple[DataF
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
+#: Characters of a rank's name and of its abbreviation.
+ABBR = 50
+
+
 def blank(name: str) -> Column:
     return F.coalesce(F.trim(F.col(name).cast("string")), F.lit("")) == ""
 
@@ -167,8 +170,10 @@ def upsert_recording_schemes(existing: DataFrame, incoming: DataFrame, order: st
 def upsert_taxon_ranks(existing: DataFrame, incoming: DataFrame, reporting: tuple[str, ...] = RANKS, order: str = "order") -> Upserted:
     """By rank. ``is_reporting`` says whether the rank is configured, whatever its case; abbreviations are made unique."""
     good, bad = split_rejects(incoming, REJECTS["taxon_ranks"]())
-    last = dedupe_last(good.withColumn("rank", nullable_string(F.col("rank"), 50)), ["rank"], order)
-    named = unique_abbr(last, existing).withColumn("is_reporting", F.lower("rank").isin([r.strip().lower() for r in reporting]).cast("int"))
+    rest = [c for c in good.columns if c != "rank"]
+    # The last row of a rank counts, at the place of its first.
+    last = good.withColumn("rank", F.trim("rank")).groupBy("rank").agg(F.max_by(F.struct(*rest), order).alias("_r"), F.min(order).alias("_first")).select("rank", "_r.*", "_first")
+    named = unique_abbr(last, existing, "_first").withColumns({"rank": F.substring("rank", 1, ABBR), "is_reporting": F.lower("rank").isin([r.strip().lower() for r in reporting]).cast("int"), "sort_order": F.greatest(F.lit(0), F.coalesce("sort_order", F.lit(0)))})
     kept = [c for c in named.columns if c in existing.columns and c != "deleted_at"]
     return merge(existing, named.select(*kept), ["rank"]), bad
 
@@ -279,14 +284,31 @@ def upsert_occurrences(existing: DataFrame, incoming: DataFrame, taxa: DataFrame
     return merge(existing, last.select(*wanted), ["unique_key"], insert_only={"blocked": F.lit(0)}), bad
 
 
-def unique_abbr(ranks: DataFrame, taken: DataFrame) -> DataFrame:
-    """Give each rank an abbreviation that is free: its own, else a slug of its name, numbered from 2."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower("rank"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    used = taken.select(F.col("abbr").alias("_a"), F.col("rank").alias("_r"))
-    clash = ranks.join(used, (F.col("abbr") == F.col("_a")) & (F.col("rank") != F.col("_r")), "left_semi").select(F.col("rank").alias("_c"))
-    marked = ranks.join(clash, F.col("rank") == F.col("_c"), "left").withColumn("abbr", F.when(F.col("_c").isNotNull() | blank("abbr"), slug).otherwise(F.col("abbr"))).drop("_c")
-    n = F.row_number().over(Window.partitionBy("abbr").orderBy("rank"))
-    return marked.withColumn("abbr", F.substring(F.when(n > 1, F.concat("abbr", F.lit("_"), n.cast("string"))).otherwise(F.col("abbr")), 1, 50))
+def unique_abbr(ranks: DataFrame, stored: DataFrame, order: str = "rank") -> DataFrame:
+    """Give each rank of ``ranks(rank, abbr)`` an abbreviation that no other rank has: its own, else the slug of its name, else that with _2, _3 and so on.
+
+    Ranks choose in their order. A stored abbreviation is its rank's until that rank, if it is among
+    ``ranks``, has its turn. Nobody's choice depends on a later one's, so all propose at once: of
+    those who may have a name the first keeps it, the others propose their next one, until none has to.
+    """
+    own = F.substring(F.trim(F.coalesce("abbr", F.lit(""))), 1, ABBR)
+    slug = F.regexp_replace(F.lower("rank"), "[^a-z0-9]+", "_")
+    turn = F.struct(F.col(order).alias("at"), F.col("rank").alias("rank"))
+    asking = settled(ranks.select("rank", own.alias("own"), slug.alias("slug"), turn.alias("turn"), F.lit(0).alias("n")))
+    held = stored.select(F.col("abbr").alias("name"), F.col("rank").alias("holder"))
+    held = settled(held.join(asking.select(F.col("rank").alias("holder"), F.col("turn").alias("freed")), "holder", "left"))
+    suffix = F.concat(F.lit("_"), F.col("n").cast("string"))
+    numbered_slug = F.concat(F.expr(f"substring(slug, 1, {ABBR} - length(concat('_', n)))"), suffix)
+    name = F.when((F.col("n") == 0) & (F.col("own") != ""), F.col("own")).when(F.col("n") <= 1, F.substring("slug", 1, ABBR)).otherwise(numbered_slug)
+    while True:
+        wanted = asking.withColumn("name", name)
+        barred = wanted.join(held, "name").where((F.col("holder") != F.col("rank")) & (F.col("freed").isNull() | (F.col("turn") < F.col("freed")))).select("rank").distinct().withColumn("barred", F.lit(True))
+        wanted = wanted.join(barred, "rank", "left")
+        first = wanted.where("barred is null").groupBy("name").agg(F.min("turn").alias("first"))
+        settled_now = settled(wanted.join(first, "name", "left").withColumn("lost", F.coalesce("barred", F.lit(False)) | (F.col("turn") != F.col("first"))))
+        if not settled_now.where("lost").limit(1).count():
+            return ranks.drop("abbr").join(settled_now.select("rank", F.col("name").alias("abbr")), "rank").select(*ranks.columns)
+        asking = settled_now.select("rank", "own", "slug", "turn", (F.col("n") + F.col("lost").cast("int")).alias("n"))
 
 
 def project_ranks(taxa: DataFrame, ids: DataFrame, ranks: tuple = RANKS, mappings: dict[str, str] | None = None) -> DataFrame:

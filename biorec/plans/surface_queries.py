@@ -243,7 +243,7 @@ def _report(t, entity):
     if entity == "recording_schemes":
         return p.select(F.col("p_partkey").alias("order"), F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("recording_scheme_external_key"), F.when(F.col("p_size") != 7, F.col("p_name")).alias("recording_scheme"), F.col("p_type").alias("description"))
     if entity == "taxon_ranks":
-        return p.select(F.col("p_partkey").alias("order"), F.when(F.col("p_size") != 9, F.concat(F.lit("Rank "), text("p_size"))).alias("name"), F.concat(F.lit("r"), text("p_size")).alias("slug"), text("p_size").alias("weight"))
+        return p.select(F.col("p_partkey").alias("order"), F.when(F.col("p_size") != 9, F.concat(F.lit("Rank "), text("p_size"))).alias("name"), F.when(F.col("p_size") % 8 > 0, F.concat(F.lit("r"), (F.col("p_size") % 7).cast("string"))).alias("slug"), (F.col("p_size") - 5).cast("string").alias("weight"))
     if entity == "taxon_names":
         return p.select(F.col("p_partkey").alias("order"), F.concat(F.lit("T"), (F.col("p_partkey") + 1).cast("string")).alias("organism_key"), F.concat(F.lit("N"), (F.col("p_partkey") % 700).cast("string")).alias("name_identifier"), F.col("p_name").alias("taxon_name"), F.when(F.col("p_partkey") % 2 == 0, "t").otherwise("f").alias("is_accepted"))
     if entity == "geographic_regions":
@@ -286,10 +286,29 @@ def u2_upsert_schemes(t):
     return merge.upsert_recording_schemes(empty, records.normalize(_report(t, "recording_schemes"), "recording_schemes"))[0].select("id", "external_key", "title", "description")
 
 
-@query("SELECT DISTINCT 'Rank ' || p_size::VARCHAR AS rank, 'r' || p_size::VARCHAR AS abbr, p_size AS sort_order, CASE WHEN p_size = 4 THEN 1 ELSE 0 END AS is_reporting FROM part WHERE p_size <> 9")
+# Ranks choose their abbreviations one after another.
+_RANK_STEPS = (
+    ("stored_ranks", """SELECT DISTINCT p_size AS id, 'Rank ' || p_size::VARCHAR AS rank, 'rank_' || (p_size + 1)::VARCHAR AS abbr FROM part WHERE p_size % 6 = 3
+ UNION ALL SELECT DISTINCT 100 + p_size, 'Old ' || p_size::VARCHAR, 'r' || (p_size % 7)::VARCHAR FROM part WHERE p_size % 11 = 0"""),
+    ("given_ranks", """SELECT *, row_number() OVER (ORDER BY first) AS i FROM (SELECT 'Rank ' || p_size::VARCHAR AS rank, 'rank_' || p_size::VARCHAR AS slug, CASE WHEN p_size % 8 > 0 THEN 'r' || (p_size % 7)::VARCHAR END AS own, greatest(0, p_size - 5) AS sort_order, p_size, min(p_partkey) AS first
+ FROM part WHERE p_size <> 9 GROUP BY ALL)"""),
+    ("chosen(i, rank, abbr, used)", """SELECT 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, (SELECT list({'name': abbr, 'rank': rank}) FROM stored_ranks)
+ UNION ALL SELECT i, rank, name, list_append(others, {'name': name, 'rank': rank}) FROM (
+  SELECT *, list_filter(list_concat([coalesce(own, slug), slug], list_transform(generate_series(2, 200), lambda k: slug || '_' || k::VARCHAR)), lambda c: NOT list_contains(list_transform(others, lambda u: u.name), c))[1] AS name
+  FROM (SELECT g.i, g.rank, g.own, g.slug, list_filter(c.used, lambda u: u.rank <> g.rank) AS others FROM chosen c JOIN given_ranks g ON g.i = c.i + 1))"""),
+)
+
+
+@query("""SELECT coalesce(g.rank, s.rank) AS rank, coalesce(c.abbr, s.abbr) AS abbr, coalesce(g.sort_order, 7)::BIGINT AS sort_order, CASE WHEN g.rank IS NULL THEN 0 WHEN g.p_size = 4 THEN 1 ELSE 0 END AS is_reporting,
+ CASE WHEN s.rank IS NULL THEN 'inserted' WHEN g.rank IS NULL THEN 'kept' ELSE 'updated' END AS action FROM given_ranks g JOIN chosen c ON c.i = g.i FULL JOIN stored_ranks s ON s.rank = g.rank""", *_RANK_STEPS)
 def u3_upsert_ranks(t):
-    out, _ = merge.upsert_taxon_ranks(t["taxon_ranks"].limit(0), records.normalize(_report(t, "taxon_ranks"), "taxon_ranks"), ("RANK 4",))
-    return out.select("rank", "abbr", F.col("sort_order").cast("bigint").alias("sort_order"), "is_reporting")
+    """Ranks whose abbreviations clash with each other and with stored ones."""
+    size, text = F.col("p_size"), F.col("p_size").cast("string")
+    stored = t["part"].where("p_size % 6 = 3").select(size.alias("id"), F.concat(F.lit("Rank "), text).alias("rank"), F.concat(F.lit("rank_"), (size + 1).cast("string")).alias("abbr"))
+    old = t["part"].where("p_size % 11 = 0").select((size + 100).alias("id"), F.concat(F.lit("Old "), text).alias("rank"), F.concat(F.lit("r"), (size % 7).cast("string")).alias("abbr"))
+    stored = stored.unionByName(old).distinct().select("*", F.lit(7).alias("sort_order"), F.lit(0).alias("is_reporting"))
+    out, _ = merge.upsert_taxon_ranks(stored, records.normalize(_report(t, "taxon_ranks"), "taxon_ranks"), ("RANK 4",))
+    return out.select("rank", "abbr", F.col("sort_order").cast("bigint").alias("sort_order"), "is_reporting", "action")
 
 
 @query("SELECT n_nationkey::VARCHAR AS higher_geography_identifier, CASE WHEN n_nationkey <= 0 THEN 'no identifier' ELSE 'blank name or type' END AS reason FROM nation WHERE n_nationkey IN (0, 5)")

@@ -44,10 +44,55 @@ def test_ownership(spark, tmp_path, owner, action):
         assert [(r["unique_key"], r["action"], r["species_id"], r["recorded_by"], r["grid_ref"] == r["grid_ref_2km"]) for r in rows] == [("IREC:123", action, 14, "Unknown", True)]
 
 
-def test_abbr(spark):
-    ranks = spark.createDataFrame([("Subspecies hybrid", "subspecies")], "rank string, abbr string")
-    taken = spark.createDataFrame([("Subspecies", "subspecies")], "rank string, abbr string")
-    assert merge.unique_abbr(ranks, taken).first()["abbr"] == "subspecies_hybrid"
+def serial_abbr(ranks, stored):
+    """Ranks (rank, abbr) choose one after another among names that no other rank has."""
+    import re
+
+    used, out = {a: r for r, a in stored}, {}
+    for rank, abbr in ranks:
+        used = {a: r for a, r in used.items() if r != rank}
+        slug = re.sub("[^a-z0-9]+", "_", rank.lower())
+        name, n = (abbr or "").strip()[:50] or slug[:50], 2
+        if name in used:
+            name = slug[:50]
+        while name in used:
+            name, n = slug[: 50 - len(f"_{n}")] + f"_{n}", n + 1
+        used[name] = out[rank] = name
+        used[name] = rank
+    return out
+
+
+LONG = "a very long name of a rank that goes on and on beyond fifty"
+
+
+@pytest.mark.parametrize(
+    "ranks, stored",
+    [
+        ([("Subspecies hybrid", "subspecies")], [("Subspecies", "subspecies")]),
+        ([("Alpha", "x"), ("Beta", "x"), ("Gamma", "ord")], [("Tribe", "gamma"), ("Order", "ord")]),
+        ([("Alpha", "two"), ("Beta", "one")], [("Alpha", "one"), ("Beta", "two")]),
+        ([("Beta", "one"), ("Alpha", "two"), ("Gamma", "two")], [("Alpha", "one"), ("Other", "gamma")]),
+        ([(LONG + c, "") for c in "abcdefghijkl"], [("Other", LONG.replace(" ", "_")[:50])]),
+        ([("A (x)", None), ("a-x-", " "), ("a x", "a_x_")], []),
+    ],
+)
+def test_abbr(spark, ranks, stored):
+    given = spark.createDataFrame([(i, *r) for i, r in enumerate(ranks)], "at int, rank string, abbr string")
+    got = merge.unique_abbr(given, spark.createDataFrame(stored, "rank string, abbr string"), "at")
+    assert got.columns == given.columns and {r["rank"]: r["abbr"] for r in got.collect()} == serial_abbr(ranks, stored)
+
+
+def test_abbr_of_many(spark):
+    import random
+
+    rng = random.Random(5)
+    names = [f"{rng.choice('abc')} {rng.choice('abc')}{rng.choice(('', '!', '?', ' 2', ' 3'))}" for _ in range(80)]
+    names = list(dict.fromkeys(names))
+    stored = [(r, f"{rng.choice('abc')}_{rng.choice('abc')}{rng.choice(('', '_2', '_'))}") for r in [*rng.sample(names, 12), "p", "q"]]
+    stored = list({a: (r, a) for r, a in stored}.values())
+    ranks = [(r, rng.choice(("", "a", "b_c", "a_a_2", None))) for r in names]
+    got = merge.unique_abbr(spark.createDataFrame([(i, *r) for i, r in enumerate(ranks)], "at int, rank string, abbr string"), spark.createDataFrame(stored, "rank string, abbr string"), "at")
+    assert {r["rank"]: r["abbr"] for r in got.collect()} == serial_abbr(ranks, stored)
 
 
 def test_versions(spark, tmp_path):

@@ -39,9 +39,9 @@ def test_schemes(spark):
 
 def test_ranks(spark):
     stored = spark.createDataFrame([(1, "Subspecies", "subspecies", 40, 0, None)], RANKS)
-    new = spark.createDataFrame([(1, "Subspecies hybrid", "subspecies", 45), (2, "genus", "", 20), (3, "", "x", 1), (4, "Subspecies", "subspecies", 41)], "order int, rank string, abbr string, sort_order long")
+    new = spark.createDataFrame([(1, "Subspecies hybrid", "subspecies", 45), (2, "genus", "", -3), (3, "", "x", 1), (4, "Subspecies", "subspecies", 41)], "order int, rank string, abbr string, sort_order long")
     out, bad = merge.upsert_taxon_ranks(stored, new)
-    assert rows(out, "rank", "abbr", "sort_order", "is_reporting", "action") == [("Subspecies hybrid", "subspecies_hybrid", 45, 0, "inserted"), ("Subspecies", "subspecies", 41, 0, "updated"), ("genus", "genus", 20, 1, "inserted")] and bad.count() == 1
+    assert rows(out, "rank", "abbr", "sort_order", "is_reporting", "action") == [("Subspecies hybrid", "subspecies_hybrid", 45, 0, "inserted"), ("Subspecies", "subspecies", 41, 0, "updated"), ("genus", "genus", 0, 1, "inserted")] and bad.count() == 1
 
 
 def test_regions(spark):
