@@ -1,10 +1,12 @@
-"""Tables that end a lineage, and numbered versions of stored tables."""
+"""Tables that end a lineage, numbered versions of stored tables, and tables in buckets of a key."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -51,3 +53,47 @@ def write_version(df: DataFrame, root: str, keep: int = 2) -> str:
 def read_version(spark: SparkSession, root: str) -> DataFrame | None:
     past = versions(spark, root)
     return spark.read.parquet(f"{root}/v-{past[-1]:09}") if past else None
+
+
+def read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+# ---------------------------------------------------------------- tables in buckets of a key
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def touched(keys: DataFrame, key: str, buckets: int) -> list[int]:
+    """The buckets of these keys: at most as many numbers as there are buckets."""
+    return sorted(r["b"] for r in keys.select(bucket_of(key, buckets).alias("b")).distinct().collect())
+
+
+def read_buckets(spark: SparkSession, root: str, key: str, which: list[int] | None = None) -> DataFrame | None:
+    """The rows of a table in buckets, of these buckets alone if they are given; None where nothing has been written."""
+    found = read_if_any(spark, root)
+    if found is None:
+        return None
+    rows = found if which is None else found.where(F.col("_bucket").isin(which))
+    return rows.where(F.col(key).isNotNull()).drop("_bucket")
+
+
+def write_buckets(df: DataFrame, root: str, key: str, buckets: int, which: list[int]) -> None:
+    """Replace these buckets by the rows of ``df``, all of which belong to them; the others are not touched.
+
+    A row without a key marks each bucket, so that one whose rows have all gone is replaced too.
+    """
+    spark = df.sparkSession
+    rows = df.withColumn("_bucket", bucket_of(key, buckets))
+    empty = spark.createDataFrame([(b,) for b in which], "_bucket int")
+    marks = empty.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema], "_bucket")
+    both = rows.unionByName(marks).repartition(F.col("_bucket"))
+    both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(root)

@@ -60,12 +60,13 @@ REJECTS: dict[str, Callable[[], list[tuple[str, Column]]]] = {
 }
 
 
-def merge(existing: DataFrame, incoming: DataFrame, keys: list[str], keep: tuple[str, ...] = (), insert_only: dict[str, Column] | None = None, resets: dict[str, Column] | None = None) -> DataFrame:
+def merge(existing: DataFrame, incoming: DataFrame, keys: list[str], keep: tuple[str, ...] = (), insert_only: dict[str, Column] | None = None, resets: dict[str, Column] | None = None, top: int | None = None) -> DataFrame:
     """Upsert on the business keys; one row for each key with ``action`` (inserted, updated, unchanged, kept).
 
     ``keep`` columns are never overwritten, ``insert_only`` gives values for new rows only, and
     ``resets`` sets columns of matched rows. New rows get ids after the largest one, numbered over
-    the new keys only, unless incoming rows bring an ``id``. Incoming must be unique on the keys.
+    the new keys only, unless incoming rows bring an ``id``. ``top`` is that largest id, where
+    ``existing`` is only a part of the table. Incoming must be unique on the keys.
     """
     insert_only, resets = insert_only or {}, resets or {}
     e = existing.withColumn("_e", F.lit(True)).alias("e")
@@ -97,11 +98,16 @@ def merge(existing: DataFrame, incoming: DataFrame, keys: list[str], keep: tuple
         return out
     # Settled, as it is used twice; and a filter on ``action``, which names every column, would be carried through all of them.
     out = settled(out)
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    if top is None:
+        top = largest_id(existing)
     fresh = out.where("action = 'inserted'")
     return out.where("action != 'inserted'").unionByName(numbered(fresh, keys, top))
 
 
+def largest_id(df: DataFrame) -> int:
+    return df.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
+
 def numbered(new: DataFrame, keys: list[str], top: int) -> DataFrame:
     """Ids from ``top`` + 1 by key: sorted in parts, each part offset by the rows before it.
 
@@ -247,7 +253,7 @@ def upsert_taxa(
 
     # Ids first: the rank columns refer to rows of the same batch.
     stored = existing.select("taxon_identifier", "id")
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    top = largest_id(existing)
     fresh = last.join(stored, "taxon_identifier", "left_anti").select("taxon_identifier", F.lit(None).cast(existing.schema["id"].dataType).alias("id"))
     ids = settled(stored.unionByName(numbered(fresh, ["taxon_identifier"], top)))
     placed = project_ranks(last, ids, rank_names, mappings).join(ids, "taxon_identifier").join(ids.select(F.col("taxon_identifier").alias("_parent"), F.col("id").alias("parent_taxon_id")), parent == F.col("_parent"), "left")
@@ -263,14 +269,18 @@ def upsert_taxa(
     return merge(existing, placed.select(*kept), ["taxon_identifier"], insert_only={k: v for k, v in insert_only.items() if k in existing.columns}, resets=resets), bad
 
 
-def upsert_occurrences(existing: DataFrame, incoming: DataFrame, taxa: DataFrame, names: DataFrame, abbr: str, data_source_id: int, irec_source_id: int = 2, order: str = "tracking") -> Upserted:
-    """By unique_key. A copy of an iRecord record gets its IREC key, and is rejected if iRecord owns the stored row."""
+def keyed_occurrences(incoming: DataFrame, taxa: DataFrame, names: DataFrame, abbr: str) -> DataFrame:
+    """Records with their taxon, name, grid references and unique_key. A copy of an iRecord record gets its IREC key."""
     rows = resolve_taxon_name(resolve_taxon(incoming, taxa), names)
     rows = assign_grid_refs(rows, uncertainty="coordinate_uncertainty_in_meters").withColumn("_regenerate", needs_regeneration(F.col("grid_ref_system")))
     irecord = is_irecord_origin(F.col("occurrence_id"), F.col("data_provider_name"), F.col("source_name")) if abbr.upper() == "NBN" else F.lit(False)
-    rows = rows.withColumns({"unique_key": unique_key(F.lit(abbr), F.col("remote_id"), irecord, F.col("occurrence_id")), "_irecord": irecord})
+    return rows.withColumns({"unique_key": unique_key(F.lit(abbr), F.col("remote_id"), irecord, F.col("occurrence_id")), "_irecord": irecord})
+
+
+def merge_occurrences(existing: DataFrame, keyed: DataFrame, data_source_id: int, irec_source_id: int = 2, order: str = "tracking", top: int | None = None) -> Upserted:
+    """Merge ``keyed_occurrences`` by unique_key. A copy of an iRecord record is rejected if iRecord owns the stored row."""
     owner = existing.select("unique_key", F.col("data_source_id").alias("_owner"))
-    rows = rows.join(owner, "unique_key", "left").withColumn("_owned", F.col("_irecord") & (F.col("_owner") == irec_source_id))
+    rows = keyed.join(owner, "unique_key", "left").withColumn("_owned", F.col("_irecord") & (F.col("_owner") == irec_source_id))
     good, bad = split_rejects(rows, REJECTS["occurrences"]())
     short = {"locality": 255, "identified_by": 255, "sex": 20, "life_stage": 20, "organism_quantity": 20}
     good = good.withColumns({
@@ -281,7 +291,12 @@ def upsert_occurrences(existing: DataFrame, incoming: DataFrame, taxa: DataFrame
     })
     last = dedupe_last(good, ["unique_key"], order)
     wanted = [c for c in existing.columns if c in last.columns and c not in ("id", "blocked", "deleted_at")]
-    return merge(existing, last.select(*wanted), ["unique_key"], insert_only={"blocked": F.lit(0)}), bad
+    return merge(existing, last.select(*wanted), ["unique_key"], insert_only={"blocked": F.lit(0)}, top=top), bad
+
+
+def upsert_occurrences(existing: DataFrame, incoming: DataFrame, taxa: DataFrame, names: DataFrame, abbr: str, data_source_id: int, irec_source_id: int = 2, order: str = "tracking") -> Upserted:
+    """By unique_key."""
+    return merge_occurrences(existing, keyed_occurrences(incoming, taxa, names, abbr), data_source_id, irec_source_id, order)
 
 
 def unique_abbr(ranks: DataFrame, stored: DataFrame, order: str = "rank") -> DataFrame:

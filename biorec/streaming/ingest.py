@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from biorec.functions.tables import read_version, write_version
+from biorec.functions.tables import read_buckets, read_version, settled, touched, write_buckets, write_version
 from biorec.operators import geo, merge
 from biorec.sources import records
 
@@ -64,25 +64,74 @@ def ingest_entities(root: str, reports: dict[str, DataFrame], tables: Tables, lo
     return total, rejects
 
 
-def ingest_batch(root: str, batch: DataFrame, tables: Tables, abbr: str, data_source_id: int) -> tuple[DataFrame, DataFrame]:
-    """Upsert normalised records into the table versions under ``root``; (counts by action, rejected rows).
+#: Buckets of the stored records and of their region links. Fixed once a store has been written.
+BUCKETS = 64
+KEYS = {"occurrences": "unique_key", "geographic_regions_occurrences": "occurrence_id"}
+#: What the ledger says of the last batch: its name, the paths that it staged, the store's layout, and whether the buckets have been replaced.
+LEDGER = "name string, merged string, links string, counts string, rejects string, buckets int, top long, applied boolean"
 
-    Regions are assigned anew for all records of the batch, changed or not. Their links are published
-    before the records: whatever step fails, the same batch run again gives the same tables, as rows
-    are merged by key and new ids follow the order of keys.
+
+def stored(spark: SparkSession, root: str, table: str, which: list[int] | None = None) -> DataFrame | None:
+    """Stored records or region links; None before the first batch."""
+    return read_buckets(spark, f"{root}/{table}", KEYS[table], which)
+
+
+def _apply(spark: SparkSession, root: str, last: Row) -> None:
+    """Replace the buckets that a staged batch touched. Doing so again gives the same."""
+    for table, path, drop in (("geographic_regions_occurrences", last["links"], ()), ("occurrences", last["merged"], ("action",))):
+        rows = spark.read.parquet(path)
+        which = [r["_bucket"] for r in spark.read.parquet(f"{path}-buckets").collect()]
+        write_buckets(rows.drop(*drop), f"{root}/{table}", KEYS[table], last["buckets"], which)
+    write_version(spark.createDataFrame([last.asDict() | {"applied": True}], LEDGER), f"{root}/ledger")
+
+
+def _stage(df: DataFrame, root: str, name: str, which: list[int]) -> str:
+    path = write_version(df, f"{root}/staged/{name}")
+    df.sparkSession.createDataFrame([(b,) for b in which], "_bucket int").write.mode("overwrite").parquet(f"{path}-buckets")
+    return path
+
+
+def ingest_batch(root: str, batch: DataFrame, tables: Tables, abbr: str, data_source_id: int, name: str | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """Upsert normalised records into the store under ``root``; (counts by action, rejected rows).
+
+    Records are stored in buckets of their unique_key, region links in buckets of the record. Only
+    the buckets of the batch's keys are read, merged and replaced, so a small batch costs in
+    proportion to them and not to the table. Regions are assigned anew for all records of the batch,
+    changed or not.
+
+    What a batch replaces is staged first, with the ids that it gives out. From then on it takes
+    effect: whatever step fails, the next call replaces the buckets by what was staged, before anything
+    else. A batch that comes again under the name of the last one is not merged again.
     """
     spark = batch.sparkSession
-    stored = read_version(spark, f"{root}/occurrences")
-    existing = stored if stored is not None else tables["occurrences"].limit(0)
-    merged, rejects = merge.upsert_occurrences(existing, batch, tables["taxa"], tables["taxon_names"], abbr, data_source_id)
-    written = spark.read.parquet(write_version(merged, f"{root}/merged/occurrences"))
-    changed = written.where("action != 'kept'").select(F.col("id").alias("occurrence_id"))
-    links = read_version(spark, f"{root}/geographic_regions_occurrences")
-    if links is None:
-        links = spark.createDataFrame([], "geographic_region_id long, occurrence_id long")
-    write_version(geo.reassign_regions(links, written.drop("action"), tables["geographic_regions"], changed), f"{root}/geographic_regions_occurrences")
-    write_version(written.drop("action"), f"{root}/occurrences")
-    return written.groupBy("action").agg(F.count(F.lit(1)).alias("n")), rejects
+    ledger = read_version(spark, f"{root}/ledger")
+    last = ledger.first() if ledger is not None else None
+    if last is not None and not last["applied"]:
+        _apply(spark, root, last)
+    if last is None or name is None or name != last["name"]:
+        buckets = last["buckets"] if last is not None else buckets
+        keyed = settled(merge.keyed_occurrences(batch, tables["taxa"], tables["taxon_names"], abbr))
+        which = touched(keyed.where("unique_key is not null"), "unique_key", buckets)
+        before = stored(spark, root, "occurrences", which)
+        existing = before if before is not None else tables["occurrences"].limit(0)
+        top = last["top"] if last is not None else 0
+        merged, rejects = merge.merge_occurrences(existing, keyed, data_source_id, top=top)
+        merged_path = _stage(merged, root, "occurrences", which)
+        written = spark.read.parquet(merged_path)
+        changed = written.where("action != 'kept'").select(F.col("id").alias("occurrence_id"))
+        of_links = touched(changed, "occurrence_id", buckets)
+        links = stored(spark, root, "geographic_regions_occurrences", of_links)
+        if links is None:
+            links = spark.createDataFrame([], "geographic_region_id long, occurrence_id long")
+        links_path = _stage(geo.reassign_regions(links, written.drop("action"), tables["geographic_regions"], changed), root, "links", of_links)
+        counts_path = write_version(written.groupBy("action").agg(F.count(F.lit(1)).alias("n")).where("action != 'kept'"), f"{root}/staged/counts")
+        rejects_path = write_version(rejects, f"{root}/staged/rejects")
+        row = (name, merged_path, links_path, counts_path, rejects_path, buckets, max(top, merge.largest_id(written)), False)
+        staged = spark.createDataFrame([row], LEDGER)
+        write_version(staged, f"{root}/ledger")
+        last = staged.first()
+        _apply(spark, root, last)
+    return spark.read.parquet(last["counts"]), spark.read.parquet(last["rejects"])
 
 
 def checkpoints(batch: DataFrame, source_key: str, before: DataFrame | None = None) -> DataFrame:
@@ -104,7 +153,7 @@ def ingest_stream(spark: SparkSession, landing: str, normalize: Callable[[DataFr
     """
 
     def take(payloads: DataFrame, number: int) -> None:
-        _, bad = ingest_batch(root, normalize(payloads), tables, abbr, data_source_id)
+        _, bad = ingest_batch(root, normalize(payloads), tables, abbr, data_source_id, f"{checkpoint}#{number}")
         bad.select("reason", F.to_json(F.struct("remote_id", "scientific_name_identifier", "given_name_identifier")).alias("record")).write.mode("overwrite").parquet(f"{root}/rejects/batch={number}")
 
     stream = spark.readStream.option("wholetext", True).text(landing)

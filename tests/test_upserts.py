@@ -137,10 +137,14 @@ def test_reasons(spark, record, reason):
     assert [r["reason"] for r in bad.collect()] == [reason] and rows(out, "unique_key", "recorded_by", "action") == [("IREC:77", "Kept", "kept")]
 
 
+def payload(spark, *found):
+    return records.normalize_nbn(records.nbn_records(spark.createDataFrame([(json.dumps(list(found)),)], "value string")))
+
+
 def test_replay(spark, tmp_path, monkeypatch):
     """A batch whose region step fails publishes nothing; run again it gives records and links, as a third run does."""
     root, t = str(tmp_path / "db"), world(spark)
-    batch = records.normalize_nbn(records.nbn_records(spark.createDataFrame([(json.dumps([nbn(1), nbn(2, decimalLatitude="60"), nbn(2, recordedBy="Later", occurrenceID="o3")]),)], "value string")))
+    batch = payload(spark, nbn(1), nbn(2, decimalLatitude="60"), nbn(2, recordedBy="Later", occurrenceID="o3"))
     whole = geo.reassign_regions
 
     def broken(*args):
@@ -149,13 +153,48 @@ def test_replay(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest.geo, "reassign_regions", broken)
     with pytest.raises(RuntimeError):
         ingest.ingest_batch(root, batch, t, "NBN", 1)
-    assert tables.read_version(spark, f"{root}/occurrences") is None
+    assert ingest.stored(spark, root, "occurrences") is None
     monkeypatch.setattr(ingest.geo, "reassign_regions", whole)
     for want in ([("inserted", 2)], [("unchanged", 2)]):
         counts, bad = ingest.ingest_batch(root, batch, t, "NBN", 1)
         assert rows(counts, "action", "n") == want and bad.count() == 0
-        assert rows(tables.read_version(spark, f"{root}/occurrences"), "id", "unique_key", "recorded_by", "species_id") == [(1, "NBN:u1", "R1", 14), (2, "NBN:u2", "Later", 14)]
-        assert rows(tables.read_version(spark, f"{root}/geographic_regions_occurrences"), "geographic_region_id", "occurrence_id") == [(1, 1), (1, 2)]
+        assert rows(ingest.stored(spark, root, "occurrences"), "id", "unique_key", "recorded_by", "species_id") == [(1, "NBN:u1", "R1", 14), (2, "NBN:u2", "Later", 14)]
+        assert rows(ingest.stored(spark, root, "geographic_regions_occurrences"), "geographic_region_id", "occurrence_id") == [(1, 1), (1, 2)]
+
+
+@pytest.mark.parametrize("step", ["geographic_regions_occurrences", "occurrences", "ledger"])
+def test_staged_batch_takes_effect(spark, tmp_path, monkeypatch, step):
+    """A batch that fails while its buckets are replaced is finished by the next call, with the ids that it gave out."""
+    root, t = str(tmp_path / "db"), world(spark)
+    ingest.ingest_batch(root, payload(spark, nbn(1), nbn(5)), t, "NBN", 1, buckets=4)
+    second = payload(spark, nbn(0), nbn(1, recordedBy="Again", decimalLatitude="10"), nbn(3), nbn(9, uuid=""))
+    with monkeypatch.context() as m:
+        for name, at in (("write_buckets", 1), ("write_version", 1)):
+            plain = getattr(ingest, name)
+            m.setattr(ingest, name, lambda df, path, *more, plain=plain: 1 / 0 if path == f"{root}/{step}" and ("applied" not in df.columns or df.first()["applied"]) else plain(df, path, *more))
+        with pytest.raises(ZeroDivisionError):
+            ingest.ingest_batch(root, second, t, "NBN", 1, name="b7")
+    counts, bad = ingest.ingest_batch(root, second, t, "NBN", 1, name="b7")
+    assert rows(counts, "action", "n") == [("inserted", 2), ("updated", 1)] and rows(bad, "reason") == [("missing ids",)]
+    assert rows(ingest.stored(spark, root, "occurrences"), "id", "unique_key", "recorded_by") == [(1, "NBN:u1", "Again"), (2, "NBN:u5", "R5"), (3, "NBN:u0", "R0"), (4, "NBN:u3", "R3")]
+    # The record that moved has lost its region, and with it perhaps the last link of a bucket.
+    assert rows(ingest.stored(spark, root, "geographic_regions_occurrences"), "geographic_region_id", "occurrence_id") == [(1, 2), (1, 3), (1, 4)]
+
+
+def test_a_batch_writes_its_own_buckets_only(spark, tmp_path):
+    root, t = str(tmp_path / "db"), world(spark)
+    ingest.ingest_batch(root, payload(spark, *map(nbn, range(60))), t, "NBN", 1, buckets=16)
+    files = lambda table: {str(p): p.parent.name for p in (tmp_path / "db" / table).glob("_bucket=*/*.parquet")}
+    before = {table: files(table) for table in ingest.KEYS}
+    assert all(len(set(f.values())) > 8 for f in before.values())
+    ingest.ingest_batch(root, payload(spark, nbn(3, recordedBy="New"), nbn(100)), t, "NBN", 1)
+    for table in ingest.KEYS:
+        now = files(table)
+        fresh, gone = ({d for f, d in a.items() if f not in b} for a, b in ((now, before[table]), (before[table], now)))
+        assert fresh == gone and 1 <= len(fresh) <= 2
+    assert ingest.stored(spark, root, "occurrences").count() == 61 and ingest.stored(spark, root, "geographic_regions_occurrences").count() == 61
+    plan = tables.read_buckets(spark, f"{root}/occurrences", "unique_key", [3, 4])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan or "PartitionFilters: [_bucket" in plan
 
 
 def test_stream(spark, tmp_path):
@@ -165,7 +204,7 @@ def test_stream(spark, tmp_path):
     for n in (1, 2):
         (tmp_path / "landing" / f"p{n}.json").write_text(json.dumps({"occurrences": [nbn(n), nbn(10 + n, uuid="")]}))
         ingest.ingest_stream(spark, landing, normal, root, world(spark), "NBN", 1, point)
-    assert rows(tables.read_version(spark, f"{root}/occurrences"), "unique_key") == [("NBN:u1",), ("NBN:u2",)]
+    assert rows(ingest.stored(spark, root, "occurrences"), "unique_key") == [("NBN:u1",), ("NBN:u2",)]
     assert [r["reason"] for r in spark.read.parquet(f"{root}/rejects").collect()] == ["missing ids"] * 2
 
 
