@@ -9,17 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that the driver and all executors share: computed once, whatever is lost later.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which the driver and all executors share.
 
     Only where no folder is named and all runs on one machine, as in tests, a temporary one takes its place.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder: computed once, whatever is lost later."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from biorec.functions import tables
 from biorec.operators import geo, merge, taxonomy
 from biorec.operators import query as surface
 from biorec.plans.registry import _COUNTS, _PATHS, _RECORDS, _SCOPED, _SCORES, _TAXON_STATS, _YEAR_STATS, _paths, a1_grid_square_stats, a2_taxon_stats, a3_taxon_year_stats, query
@@ -342,6 +345,58 @@ def r8_occurrence_rejects(t):
     return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+_BATCHES = (
+    ("first_batch", "SELECT id, 'NBN:' || unique_key AS key, recorded_by AS who, 0 AS moved FROM occurrences WHERE id % 3 <> 0 AND id % 13 <> 0"),
+    ("second_batch", "SELECT id, 'NBN:' || unique_key AS key, CASE WHEN id % 4 = 0 THEN 'Someone' ELSE recorded_by END AS who, CASE WHEN id % 6 = 2 THEN 1 ELSE 0 END AS moved FROM occurrences WHERE (id % 3 = 0 OR id % 2 = 0) AND id % 13 <> 0"),
+    ("given_ids", "SELECT key, row_number() OVER (ORDER BY key) AS given FROM first_batch UNION ALL SELECT key, (SELECT count(*) FROM first_batch) + row_number() OVER (ORDER BY key) FROM second_batch WHERE key NOT IN (SELECT key FROM first_batch)"),
+    ("final_records", "SELECT * FROM second_batch UNION ALL SELECT * FROM first_batch WHERE key NOT IN (SELECT key FROM second_batch)"),
+    ("nations", "SELECT id AS region, CAST(substr(higher_geography_identifier, 2) AS INTEGER) AS k FROM geographic_regions WHERE location_type = 'nation' AND deleted_at IS NULL"),
+    ("placed_records", "SELECT *, (id % 611) / 100.0::DOUBLE AS x, 50.0::DOUBLE + (id % 457) / 100.0::DOUBLE + moved AS y FROM final_records"),
+    ("placed_links", "SELECT p.key, string_agg(region::VARCHAR, ';' ORDER BY region) AS regions FROM placed_records p JOIN nations ON x >= k % 5 AND x <= k % 5 + 1 AND y >= 50 + k % 4 AND y <= 51 + k % 4 GROUP BY p.key"),
+)
+
+
+def _batch(t, rows, who, moved):
+    """Some records as a source gives them, each with a position; a thirteenth of them without an identifier."""
+    i = F.col("id")
+    fields = {
+        "uuid": F.when(i % 13 > 0, F.col("unique_key")), "occurrenceID": i.cast("string"), "taxonConceptID": F.concat(F.lit("N"), F.col("taxon_id").cast("string")), "gridReference": F.lit("SU1234"), "recordedBy": who,
+        "decimalLongitude": ((i % 611) / 100.0).cast("string"), "decimalLatitude": (F.lit(50.0) + (i % 457) / 100.0 + moved).cast("string"),
+    }
+    record = F.create_map(*[x for n, c in fields.items() for x in (F.lit(n), c.cast("string"))])
+    return records.normalize_nbn(t["occurrences"].where(rows).select(record.alias("record")))
+
+
+def _ingested(t):
+    """All records taken in by two batches; the second changes and moves some that the first brought. (root, counts and rejects of each)"""
+    root = f"{tables.shared_folder(t['occurrences'].sparkSession)}/db-{uuid.uuid4().hex}"
+    stored = "id, unique_key, taxon_id, taxon_name_id, species_id, recorded_by, data_source_id, cast(null as double) as latitude, cast(null as double) as longitude, blocked, deleted_at".split(", ")
+    given = t | {"occurrences": t["occurrences"].limit(0).selectExpr(*stored)}
+    i = F.col("id")
+    batches = (_batch(t, i % 3 != 0, F.col("recorded_by"), F.lit(0)), _batch(t, (i % 3 == 0) | (i % 2 == 0), F.when(i % 4 == 0, "Someone").otherwise(F.col("recorded_by")), F.when(i % 6 == 2, 1).otherwise(0)))
+    return root, [ingest.ingest_batch(root, b, given, "NBN", 1) for b in batches]
+
+
+@query("SELECT g.given AS id, p.key AS unique_key, p.who AS recorded_by, coalesce(l.regions, '') AS regions FROM placed_records p JOIN given_ids g ON g.key = p.key LEFT JOIN placed_links l ON l.key = p.key", *_BATCHES)
+def i1_ingest_batches(t):
+    """Stored records and their regions after two batches."""
+    root, _ = _ingested(t)
+    spark = t["occurrences"].sparkSession
+    links = ingest.stored(spark, root, "geographic_regions_occurrences").groupBy(F.col("occurrence_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("geographic_region_id")), lambda r: r.cast("string")), ";").alias("regions"))
+    return ingest.stored(spark, root, "occurrences").join(links, "id", "left").select("id", "unique_key", "recorded_by", F.coalesce("regions", F.lit("")).alias("regions"))
+
+
+@query("""SELECT 1 AS batch, 'inserted' AS action, count(*) AS n FROM first_batch UNION ALL SELECT 2, CASE WHEN f.key IS NULL THEN 'inserted' WHEN s.who = f.who AND s.moved = 0 THEN 'unchanged' ELSE 'updated' END, count(*) FROM second_batch s LEFT JOIN first_batch f ON f.key = s.key GROUP BY ALL
+ UNION ALL SELECT 1, 'missing ids', count(*) FROM occurrences WHERE id % 3 <> 0 AND id % 13 = 0 UNION ALL SELECT 2, 'missing ids', count(*) FROM occurrences WHERE (id % 3 = 0 OR id % 2 = 0) AND id % 13 = 0""", *_BATCHES)
+def i1_batch_counts(t):
+    """What each batch did, and what it rejected."""
+    out = None
+    for n, (counts, bad) in enumerate(_ingested(t)[1], 1):
+        rows = counts.unionByName(bad.groupBy(F.col("reason").alias("action")).agg(F.count(F.lit(1)).alias("n"))).select(F.lit(n).alias("batch"), "action", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("SELECT 'irec' AS source_key, max(id)::VARCHAR AS checkpoint FROM occurrences")
 def i3_checkpoint(t):
     return ingest.checkpoints(records.normalize_indicia(_indicia(t)), "irec")
