@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biorec.functions.columns import is_active, needs_regeneration, nullable_float, select_square_size
+from biorec.functions.tables import settled
 
 # Ellipsoids WGS84 and Airy 1830, the OSGB36 datum shift, the National Grid projection.
 WGS84, AIRY = (6378137.0, 6356752.314245), (6377563.396, 6356256.909)
@@ -192,31 +193,87 @@ def contains(e: Column, x: Column, y: Column) -> Column:
     return on | (crossed % 2 == 1)
 
 
+#: An edge is looked for this far, in parts of a cell, beyond the cells that it passes through: more than any rounding.
+MARGIN = 1e-6
+
+
+def footprint_sides(regions: DataFrame) -> DataFrame:
+    """geographic_region_id and s: an edge of the footprint of a region that is not deleted."""
+    shape = regions.where("deleted_at is null and footprint_geometry is not null").select(F.col("id").alias("geographic_region_id"), parse_wkt_rings(F.col("footprint_geometry")).alias("rings"))
+    return shape.select("geographic_region_id", F.explode(edges(F.col("rings"))).alias("s"))
+
+
+def swept_rows(sides: DataFrame, size: Column) -> DataFrame:
+    """``sides`` cut into rows of cells of ``size``: each region's row ``cy`` with ``es``, the edges that pass through it.
+
+    Each edge (x1, y1, x2, y2) has its first and last cell in the row, ``c0`` and ``c1``. The columns
+    of ``sides`` other than ``s`` tell the regions apart.
+    """
+    keys = [c for c in sides.columns if c != "s"]
+    at = lambda v, more: F.floor(v / size + more).cast("long")
+    rows = sides.withColumn("cy", F.explode(F.sequence(at(F.least("s.y1", "s.y2"), -MARGIN), at(F.greatest("s.y1", "s.y2"), MARGIN))))
+    dx, dy = F.col("s.x2") - F.col("s.x1"), F.col("s.y2") - F.col("s.y1")
+    # Where the edge enters and leaves the row, between 0 and 1 along it.
+    t = lambda row: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (row * size - F.col("s.y1")) / F.nullif(dy, F.lit(0.0))))
+    level = dy == 0
+    t0, t1 = F.when(level, 0.0).otherwise(t(F.col("cy") - MARGIN)), F.when(level, 1.0).otherwise(t(F.col("cy") + 1 + MARGIN))
+    xa, xb = F.col("s.x1") + t0 * dx, F.col("s.x1") + t1 * dx
+    e = F.struct("s.x1", "s.y1", "s.x2", "s.y2", at(F.least(xa, xb), -MARGIN).alias("c0"), at(F.greatest(xa, xb), MARGIN).alias("c1"))
+    return rows.groupBy(*keys, "cy").agg(F.collect_list(e).alias("es"))
+
+
+def row_cells(es: Column, size: Column, met: Callable[[Column, Column], Column], inside: Callable[[Column], Column]) -> Column:
+    """The cells of a swept row: ``met(edges, cx)`` for each cell that an edge passes, ``inside(cx)`` for each other cell within the region.
+
+    All cells of a gap between cells that edges pass lie on one side: one of them is tested.
+    """
+    y = (F.col("cy") + 0.5) * size
+
+    def cells(e: Column, passed: Column) -> Column:
+        own = F.transform(passed, lambda c: met(e, c))
+        gaps = F.transform(F.sequence(F.lit(1), F.size(passed) - 1), lambda i: F.struct((F.get(passed, i - 1) + 1).alias("a"), (F.get(passed, i) - 1).alias("b")))
+        gaps = F.filter(F.when(F.size(passed) > 1, gaps), lambda g: (g["a"] <= g["b"]) & contains(e, (g["a"] + 0.5) * size, y))
+        rest = F.flatten(F.transform(gaps, lambda g: F.transform(F.sequence(g["a"], g["b"]), inside)))
+        return F.concat(own, F.coalesce(rest, F.slice(own, 1, 0)))
+
+    of = lambda e: F.array_sort(F.array_distinct(F.flatten(F.transform(e, lambda x: F.sequence(x["c0"], x["c1"])))))
+    return let(es, lambda e: let(of(e), lambda passed: cells(e, passed)))
+
+
+def region_cells(regions: DataFrame, cell: float = 0.1, most_cells: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(cells, rows): each region's cells (geographic_region_id, level, cx, cy, whole), and the edges ``es`` of each of its rows of cells.
+
+    A ``whole`` cell lies inside the region and no edge passes it; of others an edge does. A region
+    whose bounding box has more than ``most_cells`` cells has larger ones, by a power of two, its level.
+    """
+    sides = footprint_sides(regions)
+    box = sides.groupBy("geographic_region_id").agg(F.min(F.least("s.x1", "s.x2")).alias("x0"), F.min(F.least("s.y1", "s.y2")).alias("y0"), F.max(F.greatest("s.x1", "s.x2")).alias("x9"), F.max(F.greatest("s.y1", "s.y2")).alias("y9"))
+    span = (F.col("x9") - F.col("x0") + cell) * (F.col("y9") - F.col("y0") + cell)
+    levels = box.select("geographic_region_id", F.greatest(F.lit(0), F.ceil(F.log2(span / (cell * cell) / most_cells) / 2)).cast("int").alias("level"))
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    rows = settled(swept_rows(sides.join(levels, "geographic_region_id"), size))
+    mark = lambda c, whole: F.struct(c.alias("cx"), F.lit(whole).alias("whole"))
+    cells = rows.select("geographic_region_id", "level", "cy", F.explode(row_cells(F.col("es"), size, lambda es, c: mark(c, False), lambda c: mark(c, True))).alias("c"))
+    return cells.select("geographic_region_id", "level", "c.cx", "cy", "c.whole"), rows
+
+
 def assign_regions(occ: DataFrame, regions: DataFrame, cell: float = 0.1, most_cells: int = 10_000) -> DataFrame:
     """(geographic_region_id, occurrence_id) of active records within footprints of regions that are not deleted.
 
-    A region's bounding box is cut into cells, which meet the records in an equi-join that carries
-    ids only. A record in one of a region's cells is then tested against the edges that pass through
-    its row of cells: no others can lie to its side. Both joins Spark may broadcast or split. Very
-    large boxes use coarser cells of their own.
+    Records meet the regions' cells in an equi-join that carries ids only. A record in a whole cell is
+    inside without a further test; one in a cell that an edge passes is tested against the edges of its
+    row of cells: no others can lie to its side. Both joins Spark may broadcast or split.
     """
-    shape = regions.where("deleted_at is null and footprint_geometry is not null").select(F.col("id").alias("geographic_region_id"), parse_wkt_rings(F.col("footprint_geometry")).alias("rings"))
-    sides = shape.select("geographic_region_id", F.explode(edges(F.col("rings"))).alias("s"))
-    box = sides.groupBy("geographic_region_id").agg(F.min("s.x1").alias("x0"), F.min("s.y1").alias("y0"), F.max("s.x1").alias("x9"), F.max("s.y1").alias("y9"))
-    # A power of two times the cell, so that a box has at most ``most_cells`` cells.
-    span = (F.col("x9") - F.col("x0") + cell) * (F.col("y9") - F.col("y0") + cell)
-    box = box.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(span / (cell * cell) / most_cells) / 2)).cast("int"))
-    at = lambda v: F.floor(v / (F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))))
-    cells = box.withColumn("cx", F.explode(F.sequence(at(F.col("x0")), at(F.col("x9"))))).withColumn("cy", F.explode(F.sequence(at(F.col("y0")), at(F.col("y9"))))).select("geographic_region_id", "level", "cx", "cy")
-    rows = sides.join(box.select("geographic_region_id", "level"), "geographic_region_id")
-    rows = rows.withColumn("cy", F.explode(F.sequence(at(F.least("s.y1", "s.y2")), at(F.greatest("s.y1", "s.y2"))))).groupBy("geographic_region_id", "cy").agg(F.collect_list("s").alias("edges"))
+    cells, rows = region_cells(regions, cell, most_cells)
     # The few levels in use: one row each.
-    levels = [r["level"] for r in box.select("level").distinct().collect()]
+    levels = [r["level"] for r in rows.select("level").distinct().collect()]
+    at = lambda v: F.floor(v / (F.lit(cell) * F.pow(F.lit(2.0), F.col("level")))).cast("long")
     points = occ.where(is_active()).select(F.col("id").alias("occurrence_id"), F.col("longitude").cast("double").alias("px"), F.col("latitude").cast("double").alias("py")).where("px is not null and py is not null")
     points = points.withColumn("level", F.explode(F.lit(levels).cast("array<int>"))).withColumns({"cx": at(F.col("px")), "cy": at(F.col("py"))})
-    near = points.join(cells, ["level", "cx", "cy"]).select("geographic_region_id", "cy", "occurrence_id", "px", "py")
-    met = near.join(rows, ["geographic_region_id", "cy"]).where(contains(F.col("edges"), F.col("px"), F.col("py")))
-    return met.select("geographic_region_id", "occurrence_id").distinct()
+    near = points.join(cells, ["level", "cx", "cy"]).select("geographic_region_id", "cy", "occurrence_id", "px", "py", "whole")
+    tested = near.where("not whole").join(rows.select("geographic_region_id", "cy", "es"), ["geographic_region_id", "cy"]).where(contains(F.col("es"), F.col("px"), F.col("py")))
+    both = near.where("whole").select("geographic_region_id", "occurrence_id").unionByName(tested.select("geographic_region_id", "occurrence_id"))
+    return both.distinct()
 
 
 def reassign_regions(bridge: DataFrame, occ: DataFrame, regions: DataFrame, changed: DataFrame | None) -> DataFrame:
@@ -228,35 +285,47 @@ def reassign_regions(bridge: DataFrame, occ: DataFrame, regions: DataFrame, chan
     return bridge.join(ids, "occurrence_id", "left_anti").select("geographic_region_id", "occurrence_id").unionByName(fresh)
 
 
+def _touches(s: Column, e: Column, n: Column, size: int, interior: bool) -> Column:
+    """Does an edge touch the cell with this corner (or pass through its interior)? Its parts within the cell's columns and rows must overlap."""
+    dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
+    t = lambda p, d, v: (v - p) / F.nullif(d, F.lit(0.0))
+    ax, bx = t(s["x1"], dx, e), t(s["x1"], dx, e + size)
+    ay, by = t(s["y1"], dy, n), t(s["y1"], dy, n + size)
+    inside = lambda p, low: (p > low) & (p < low + size) if interior else (p >= low) & (p <= low + size)
+    inside_x = F.when(dx == 0, inside(s["x1"], e)).otherwise(True)
+    inside_y = F.when(dy == 0, inside(s["y1"], n)).otherwise(True)
+    start = F.greatest(F.lit(0.0), F.when(dx == 0, 0.0).otherwise(F.least(ax, bx)), F.when(dy == 0, 0.0).otherwise(F.least(ay, by)))
+    stop = F.least(F.lit(1.0), F.when(dx == 0, 1.0).otherwise(F.greatest(ax, bx)), F.when(dy == 0, 1.0).otherwise(F.greatest(ay, by)))
+    return inside_x & inside_y & ((start < stop) if interior else (start <= stop))
+
+
+def fishnet_cells(regions: DataFrame, size: int = 2000) -> DataFrame:
+    """Cells that a footprint meets: geographic_region_id, cx, cy, touched, cut, inside (the centre is).
+
+    Edges are cut into rows of cells, and tested against the cells that they pass there; a cell that
+    no edge passes is closed without a test of its own. So the work grows with the length of the
+    boundary, and with the cells that are returned.
+    """
+    rows = swept_rows(footprint_sides(regions), F.lit(size))
+    corner = lambda c: (c * size).cast("double")
+    n = corner(F.col("cy"))
+
+    def met(es: Column, c: Column) -> Column:
+        own = lambda interior: F.exists(es, lambda s: (s["c0"] <= c) & (s["c1"] >= c) & _touches(s, corner(c), n, size, interior))
+        return F.struct(c.alias("cx"), own(False).alias("touched"), own(True).alias("cut"), contains(es, corner(c) + size / 2, n + size / 2).alias("inside"))
+
+    closed = lambda c: F.struct(c.alias("cx"), F.lit(False).alias("touched"), F.lit(False).alias("cut"), F.lit(True).alias("inside"))
+    cells = rows.select("geographic_region_id", "cy", F.explode(row_cells(F.col("es"), F.lit(size), met, closed)).alias("c"))
+    return cells.select("geographic_region_id", "c.cx", "cy", "c.touched", "c.cut", "c.inside").where("touched or inside")
+
+
 def fishnet(regions: DataFrame, size: int = 2000) -> DataFrame:
     """Squares of this size that meet a region's footprint (in grid metres): region, square, centre on the grid and in WGS84, partial.
 
-    Cells come from each region's own bounding box, with one more on each side, as a cell that only
-    touches a region meets it. A cell meets the region if an edge touches it or its centre is inside;
-    it is partial unless inside with no edge through its interior.
+    A cell meets the region if an edge touches it or its centre is inside; it is partial unless inside
+    with no edge through its interior.
     """
-    shape = regions.where("deleted_at is null and footprint_geometry is not null").select(F.col("id").alias("geographic_region_id"), edges(parse_wkt_rings(F.col("footprint_geometry"))).alias("edges")).where(F.size("edges") > 0)
-    bound = lambda f, g, more: (F.floor(g(F.transform("edges", lambda s: s[f])) / size) + more) * size
-    boxes = shape.withColumns({"x0": bound("x1", F.array_min, -1), "x9": bound("x1", F.array_max, 0), "y0": bound("y1", F.array_min, -1), "y9": bound("y1", F.array_max, 0)})
-    cells = boxes.withColumn("easting", F.explode(F.sequence(F.col("x0"), F.col("x9"), F.lit(size).cast("long"))))
-    cells = cells.withColumn("northing", F.explode(F.sequence(F.col("y0"), F.col("y9"), F.lit(size).cast("long"))))
-
-    def within(s: Column, interior: bool) -> Column:
-        """Does an edge touch a cell (or pass through its interior)? Its parts within the cell's columns and rows must overlap."""
-        dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
-        e, n = F.col("easting"), F.col("northing")
-        t = lambda p, d, v: (v - p) / F.nullif(d, F.lit(0.0))
-        ax, bx = t(s["x1"], dx, e), t(s["x1"], dx, e + size)
-        ay, by = t(s["y1"], dy, n), t(s["y1"], dy, n + size)
-        inside = lambda p, low: (p > low) & (p < low + size) if interior else (p >= low) & (p <= low + size)
-        inside_x = F.when(dx == 0, inside(s["x1"], e)).otherwise(True)
-        inside_y = F.when(dy == 0, inside(s["y1"], n)).otherwise(True)
-        start = F.greatest(F.lit(0.0), F.when(dx == 0, 0.0).otherwise(F.least(ax, bx)), F.when(dy == 0, 0.0).otherwise(F.least(ay, by)))
-        stop = F.least(F.lit(1.0), F.when(dx == 0, 1.0).otherwise(F.greatest(ax, bx)), F.when(dy == 0, 1.0).otherwise(F.greatest(ay, by)))
-        return inside_x & inside_y & ((start < stop) if interior else (start <= stop))
-
-    centre_e, centre_n = F.col("easting") + size / 2, F.col("northing") + size / 2
-    found = cells.withColumns({"touched": F.exists("edges", lambda s: within(s, False)), "cut": F.exists("edges", lambda s: within(s, True)), "inside": contains(F.col("edges"), centre_e, centre_n)}).where("touched or inside")
-    met = found.select("geographic_region_id", centre_e.alias("centre_easting"), centre_n.alias("centre_northing"), (F.col("cut") | ~F.col("inside")).cast("int").alias("partial"))
+    centre = lambda c: F.col(c) * size + size / 2
+    met = fishnet_cells(regions, size).select("geographic_region_id", centre("cx").alias("centre_easting"), centre("cy").alias("centre_northing"), (F.col("cut") | ~F.col("inside")).cast("int").alias("partial"))
     placed = met.withColumn("at", grid_to_wgs84(F.col("centre_easting"), F.col("centre_northing")))
     return placed.select("geographic_region_id", tetrad(F.col("centre_easting"), F.col("centre_northing")).alias("square"), F.col("centre_easting").cast("int").alias("centre_easting"), F.col("centre_northing").cast("int").alias("centre_northing"), F.col("at.la").alias("centre_lat"), F.col("at.lo").alias("centre_lon"), "partial")

@@ -254,20 +254,60 @@ _BOXES = """SELECT id, 300000 + k % 5 * 21000 + 500 AS x, 200000 + k % 4 * 17000
  FROM (SELECT id, CAST(substr(higher_geography_identifier, 2) AS INTEGER) AS k FROM geographic_regions WHERE location_type = 'nation' AND deleted_at IS NULL)"""
 
 
-@query(f"""SELECT id AS geographic_region_id, substr('ABCDEFGHJKLMNOPQRSTUVWXYZ', (19 - n // 100000 - (19 - n // 100000) % 5 + (e // 100000 + 10) // 5)::INTEGER + 1, 1)
- || substr('ABCDEFGHJKLMNOPQRSTUVWXYZ', ((19 - n // 100000) * 5 % 25 + e // 100000 % 5)::INTEGER + 1, 1) || (e % 100000 // 10000)::VARCHAR || (n % 100000 // 10000)::VARCHAR
- || substr('ABCDEFGHIJKLMNPQRSTUVWXYZ', (n % 10000 // 2000 * 5 + e % 10000 // 2000)::INTEGER + 1, 1) AS square, (e + 1000)::INTEGER AS centre_easting, (n + 1000)::INTEGER AS centre_northing,
- CASE WHEN e >= x AND e + 2000 <= x2 AND n >= y AND n + 2000 <= y2 THEN 0 ELSE 1 END AS partial
+def _shift(source: str, name: str) -> list[tuple[str, str]]:
+    """Steps from ``source(e, n, f, l)``, radians in WGS84, to ``name``: the position ``sf``, ``sl`` on the Airy ellipsoid."""
+    (a1, b1), (a2, b2) = geo.WGS84, geo.AIRY
+    e1, e2, k = 1 - (b1 / a1) ** 2, 1 - (b2 / a2) ** 2, 1 + geo.SCALE
+    tx, ty, tz = geo.SHIFT
+    rx, ry, rz = (f"radians({v} / 3600.0::DOUBLE)" for v in geo.TURN)
+    steps = [
+        (f"{name}_a", f"SELECT *, {a1!r} / sqrt(1 - {e1!r} * sin(f) ** 2) AS v FROM {source}"),
+        (f"{name}_b", f"SELECT *, v * cos(f) * cos(l) AS x, v * cos(f) * sin(l) AS y, v * (1 - {e1!r}) * sin(f) AS z FROM {name}_a"),
+        (f"{name}_c", f"SELECT * EXCLUDE (x, y, z), {tx} + {k!r} * x - {rz} * y + {ry} * z AS x, {ty} + {rz} * x + {k!r} * y - {rx} * z AS y, {tz} - {ry} * x + {rx} * y + {k!r} * z AS z FROM {name}_b"),
+        (f"{name}_0", f"SELECT *, atan2(y, x) AS sl, atan2(z, sqrt(x * x + y * y) * (1 - {e2!r})) AS sf FROM {name}_c"),
+    ]
+    for i in range(4):
+        steps.append((f"{name}_{i + 1}" if i < 3 else name, f"SELECT * REPLACE (atan2(z + {e2!r} * ({a2!r} / sqrt(1 - {e2!r} * sin(sf) ** 2)) * sin(sf), sqrt(x * x + y * y)) AS sf) FROM {name}_{i}"))
+    return steps
+
+
+def _unprojected() -> tuple[tuple[str, str], ...]:
+    """WGS84 degrees ``la``, ``lo`` of ``centres(e, n)`` step by step: the published series back, then the datum shift turned round."""
+    a, b = geo.AIRY
+    e2, n = 1 - (b / a) ** 2, (a - b) / (a + b)
+    arc = f"""({b * geo.F0!r} * ({1 + n + 1.25 * n**2 + 1.25 * n**3!r} * (p - radians(49.0)) - {3 * n + 3 * n**2 + 2.625 * n**3!r} * sin(p - radians(49.0)) * cos(p + radians(49.0))
+ + {1.875 * n**2 + 1.875 * n**3!r} * sin(2 * (p - radians(49.0))) * cos(2 * (p + radians(49.0))) - {35 / 24 * n**3!r} * sin(3 * (p - radians(49.0))) * cos(3 * (p + radians(49.0)))))"""
+    scale = f"{a * geo.F0!r}"
+    steps = [("u0", f"SELECT e, n, radians(49.0) + (n + 100000) / {scale} AS p FROM centres")]
+    steps += [(f"u{i}", f"SELECT e, n, p + (n + 100000 - {arc}) / {scale} AS p FROM u{i - 1}") for i in range(1, 9)]
+    steps += [
+        ("v0", f"SELECT e, n, p, e - 400000.0::DOUBLE AS d, cos(p) AS c, tan(p) AS t, {scale} / sqrt(1 - {e2!r} * sin(p) ** 2) AS v, {a * geo.F0 * (1 - e2)!r} / (1 - {e2!r} * sin(p) ** 2) ** 1.5 AS r FROM u8"),
+        ("v1", """SELECT e, n, p - t / (2 * r * v) * d ** 2 + t / (24 * r * v ** 3) * (5 + 3 * t ** 2 + (v / r - 1) - 9 * t ** 2 * (v / r - 1)) * d ** 4 - t / (720 * r * v ** 5) * (61 + 90 * t ** 2 + 45 * t ** 4) * d ** 6 AS f0,
+ radians(-2.0) + d / (c * v) - (v / r + 2 * t ** 2) / (6 * c * v ** 3) * d ** 3 + (5 + 28 * t ** 2 + 24 * t ** 4) / (120 * c * v ** 5) * d ** 5 - (61 + 662 * t ** 2 + 1320 * t ** 4 + 720 * t ** 6) / (5040 * c * v ** 7) * d ** 7 AS l0 FROM v0"""),
+        ("b0", "SELECT e, n, f0, l0, f0 AS f, l0 AS l FROM v1"),
+    ]
+    for i in range(3):
+        steps += [*_shift(f"b{i}", f"s{i}"), (f"b{i + 1}", f"SELECT e, n, f0, l0, f + f0 - sf AS f, l + l0 - sl AS l FROM s{i}")]
+    return (*steps, ("placed_centres", "SELECT e, n, degrees(f) AS la, degrees(l) AS lo FROM b3"))
+
+
+_NET = ("net", f"""SELECT *, e + 1000 AS ce, n + 1000 AS cn, CASE WHEN e >= x AND e + 2000 <= x2 AND n >= y AND n + 2000 <= y2 THEN 0 ELSE 1 END AS partial
  FROM (SELECT *, unnest(generate_series(290000, 420000, 2000)) AS e FROM ({_BOXES})) JOIN (SELECT unnest(generate_series(190000, 290000, 2000)) AS n) ON n <= y2 AND n + 2000 >= y WHERE e <= x2 AND e + 2000 >= x""")
+
+
+@query("""SELECT id AS geographic_region_id, substr('ABCDEFGHJKLMNOPQRSTUVWXYZ', (19 - net.n // 100000 - (19 - net.n // 100000) % 5 + (net.e // 100000 + 10) // 5)::INTEGER + 1, 1)
+ || substr('ABCDEFGHJKLMNOPQRSTUVWXYZ', ((19 - net.n // 100000) * 5 % 25 + net.e // 100000 % 5)::INTEGER + 1, 1) || (net.e % 100000 // 10000)::VARCHAR || (net.n % 100000 // 10000)::VARCHAR
+ || substr('ABCDEFGHIJKLMNPQRSTUVWXYZ', (net.n % 10000 // 2000 * 5 + net.e % 10000 // 2000)::INTEGER + 1, 1) AS square, ce::INTEGER AS centre_easting, cn::INTEGER AS centre_northing,
+ round(c.la, 6) AS centre_lat, round(c.lo, 6) AS centre_lon, partial FROM net JOIN placed_centres c ON c.e = ce AND c.n = cn""", _NET, ("centres", "SELECT DISTINCT ce::DOUBLE AS e, cn::DOUBLE AS n FROM net"), *_unprojected())
 def g4_fishnet(t):
-    """Squares of 2 km over nation boxes laid out on the grid."""
+    """Squares of 2 km over nation boxes laid out on the grid, with their centres to a millionth of a degree."""
     k = F.substring("higher_geography_identifier", 2, 9).cast("int")
     x, y = (300000 + k % 5 * 21000 + 500).cast("string"), (200000 + k % 4 * 17000 + 700).cast("string")
     x2, y2 = (300000 + k % 5 * 21000 + 19500).cast("string"), (200000 + k % 4 * 17000 + 14000).cast("string")
     p = lambda a, b: F.concat(a, F.lit(" "), b)
     ring = F.concat(F.lit("POLYGON(("), F.concat_ws(",", p(x, y), p(x2, y), p(x2, y2), p(x, y2), p(x, y)), F.lit("))"))
     nations = t["geographic_regions"].where("location_type = 'nation'").withColumn("footprint_geometry", ring)
-    return geo.fishnet(nations).drop("centre_lat", "centre_lon")
+    return geo.fishnet(nations).withColumns({c: F.round(c, 6) for c in ("centre_lat", "centre_lon")})
 
 
 _RAW = "concat('SRC:', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)))"

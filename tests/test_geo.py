@@ -70,3 +70,87 @@ def test_fishnet(spark):
     assert sorted((r["centre_easting"], r["centre_northing"], r["partial"]) for r in rows if r["geographic_region_id"] == 1) == [(401000, 201000, 1), (403000, 201000, 1), (405000, 201000, 1)]
     assert sum(r["partial"] == 0 for r in rows if r["geographic_region_id"] == 2) == 4 and sum(r["geographic_region_id"] == 2 for r in rows) == 16
     assert all(49 < r["centre_lat"] < 61 and -3 < r["centre_lon"] < 0 and r["square"].startswith("SP") for r in rows if min(r["centre_easting"] - 200000, r["centre_northing"]) > 200000)
+
+
+def star(rng, cx, cy, radius, corners):
+    """A ring around a point, in and out, with some corners on lattice lines."""
+    import math
+
+    out = []
+    for k in range(corners):
+        r, a = radius * rng.uniform(0.3, 1), 2 * math.pi * (k + rng.uniform(0, 0.8)) / corners
+        x, y = cx + r * math.cos(a), cy + r * math.sin(a)
+        out.append((float(round(x)), y) if k % 4 == 0 else (x, float(round(y))) if k % 4 == 1 else (x, y))
+    return out
+
+
+def wkt(*rings):
+    return "POLYGON(" + ",".join("(" + ",".join(f"{x!r} {y!r}" for x, y in [*r, r[0]]) + ")" for r in rings) + ")"
+
+
+def within(rings, x, y):
+    """Even-odd, a boundary inside."""
+    odd = False
+    for r in rings:
+        for (x1, y1), (x2, y2) in zip(r, r[1:] + r[:1]):
+            if abs((y - y1) * (x2 - x1) - (x - x1) * (y2 - y1)) <= 1e-9 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return True
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+    return odd
+
+
+def meets(a, b, x, y, size, interior):
+    """Does the edge touch the box (or its interior)? By clipping."""
+    low, high = 0.0, 1.0
+    for p, d, lo in ((a[0], b[0] - a[0], x), (a[1], b[1] - a[1], y)):
+        if d == 0:
+            if not (lo < p < lo + size if interior else lo <= p <= lo + size):
+                return False
+            continue
+        t = sorted(((lo - p) / d, (lo + size - p) / d))
+        low, high = max(low, t[0]), min(high, t[1])
+    return low < high if interior else low <= high
+
+
+def test_regions_of_random_shapes(spark):
+    import random
+
+    rng = random.Random(11)
+    shapes = [[star(rng, rng.uniform(0, 9), rng.uniform(0, 9), rng.uniform(0.2, 5), rng.randrange(3, 30))] for _ in range(8)]
+    shapes += [[star(rng, 5, 5, 4, 12), star(rng, 5, 5, 1, 7)], [[(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)], [(5.0, 1.0), (7.0, 1.0), (7.0, 3.0), (5.0, 3.0)]]]
+    regions = spark.createDataFrame([(k, wkt(*s), None) for k, s in enumerate(shapes)], "id long, footprint_geometry string, deleted_at timestamp")
+    places = [(rng.uniform(-1, 11), rng.uniform(-1, 11)) for _ in range(1500)] + [(x / 2, y / 2) for x in range(20) for y in range(20)] + [p for s in shapes for r in s for p in r]
+    occ = spark.createDataFrame([(k, *p, 0, None) for k, p in enumerate(places)], OCC)
+    want = sorted((r, k) for k, p in enumerate(places) for r, s in enumerate(shapes) if within(s, *p))
+    for how in ({"cell": 0.5}, {"cell": 0.5, "most_cells": 30}, {}):
+        assert sorted(map(tuple, geo.assign_regions(occ, regions, **how).collect())) == want
+
+
+def test_whole_cells_need_no_edges(spark):
+    """Of a large region most cells are whole; the others are about as many as its boundary is long."""
+    ring = [(0.05, 0.05), (9.95, 0.05), (9.95, 9.95), (0.05, 9.95)]
+    cells, rows = geo.region_cells(spark.createDataFrame([(1, wkt(ring), None)], "id long, footprint_geometry string, deleted_at timestamp"))
+    counts = {r["whole"]: r["count"] for r in cells.groupBy("whole").count().collect()}
+    assert counts == {True: 98 * 98, False: 4 * 99} and rows.count() == 100 and cells.distinct().count() == 100 * 100
+
+
+def test_fishnet_of_random_shapes(spark):
+    import random
+
+    rng = random.Random(12)
+    scale = lambda s: [[(400000 + 1000 * x, 200000 + 1000 * y) for x, y in r] for r in s]
+    shapes = [scale([star(rng, rng.uniform(9, 20), rng.uniform(9, 20), rng.uniform(1, 9), rng.randrange(3, 20))]) for _ in range(6)] + [scale([star(rng, 15, 15, 12, 12), star(rng, 15, 15, 3, 7)])]
+    shapes.append([[(400000.0, 200000.0), (406000.0, 200000.0), (406000.0, 204000.0), (400000.0, 204000.0)]])
+    regions = spark.createDataFrame([(k, wkt(*s), None) for k, s in enumerate(shapes)], "id long, footprint_geometry string, deleted_at timestamp")
+    want = []
+    for k, s in enumerate(shapes):
+        sides = [(a, b) for r in s for a, b in zip(r, r[1:] + r[:1])]
+        for e in range(396000, 450000, 2000):
+            for n in range(196000, 250000, 2000):
+                touched, cut = (any(meets(a, b, e, n, 2000, i) for a, b in sides) for i in (False, True))
+                inside = within(s, e + 1000, n + 1000)
+                if touched or inside:
+                    want.append((k, e + 1000, n + 1000, int(cut or not inside)))
+    got = geo.fishnet(regions).select("geographic_region_id", "centre_easting", "centre_northing", "partial").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
