@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,34 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders that operators make in the shared one while this is entered, for ``free``."""
+    paths: list[str] = []
+    before = _SCRATCH.set(paths)
+    try:
+        yield paths
+    finally:
+        _SCRATCH.reset(before)
+
+
+def free(spark: SparkSession, paths: list[str], docs: DataFrame) -> None:
+    """Delete these folders, but those that ``docs`` still reads from."""
+    used = docs.inputFiles() if paths else []
+    for p in paths:
+        if not any(f"{p.split(':', 1)[-1].lstrip('/')}/" in f for f in used):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
