@@ -10,16 +10,19 @@ Only DataFrame functions are used. The join of documents to their source's rate
 one: Spark broadcasts the table of sources if it is small, else splits a hot source's rows.
 
 Null sources are one source, which comes last; sources of size 0 have target and rate 0. Rows of one
-id, or of none, draw apart if their texts differ; rows equal in both share one draw. Extra columns
-pass through (``mix_sources``), whatever their names. An empty table gives no rows.
+id, or of none, draw apart if their texts differ; rows equal in id, text and source are numbered and
+draw apart by their numbers, so that however many they are their source comes near its target (which
+of them has which number is open, as they are alike). Extra columns pass through (``mix_sources``),
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from biorec.llm.common import NOT_SPACE, doc_key, materialize
+from biorec.llm.common import NOT_SPACE, doc_key, few, materialize
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
@@ -75,11 +78,33 @@ def copies(rate: Column, key: Column, seed: str = SEED) -> Column:
     return (whole + F.when(draw < rate - whole, 1).otherwise(0)).cast("long")
 
 
+def _drawing_apart(rows: DataFrame) -> DataFrame:
+    """``rows(key, source, ...)`` with a key of its own for each row: rows alike in both get numbers from 0, and those over 0 are added to the key.
+
+    Only the keys are shuffled to find such rows. They are numbered within the parts that they come in,
+    and each part goes on where those before it end: no task gets all rows of one key.
+    """
+    alike = [F.col("key"), F.coalesce("source", F.lit("")).alias("_named"), F.col("source").isNull().alias("_none")]
+    keys = ["key", "_named", "_none"]
+    twins = materialize(rows.select(*alike).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twins")
+    if not twins.limit(1).count():
+        return rows
+    twins, marked = few(twins), rows.select("*", *alike[1:])
+    lone = marked.join(twins, keys, "left_anti")
+    found = materialize(marked.join(twins, keys, "left_semi").withColumn("_part", F.spark_partition_id()), "twin-rows")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = found.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("n")).withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    at = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.lit(0))) - 1 + F.col("_base")
+    numbered = found.join(parts, [*keys, "_part"]).withColumn("_number", at)
+    numbered = numbered.withColumn("key", F.when(F.col("_number") > 0, F.concat("key", F.lit(":"), F.col("_number").cast("string"))).otherwise(F.col("key")))
+    return lone.select(*rows.columns).unionByName(numbered.select(*rows.columns))
+
+
 def _rates(rows: DataFrame, weights: tuple, share: float, most: float, seed: str) -> DataFrame:
     """``rows(source, size, key, ...)`` with source_size, target and copies."""
     targets = source_targets(rows.select("source", "size"), weights, share, most).withColumnRenamed("source", "named")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return rows.join(targets, F.col("source").eqNullSafe(F.col("named"))).withColumn("copies", copies(rate, F.col("key"), seed))
+    return _drawing_apart(rows).join(targets, F.col("source").eqNullSafe(F.col("named"))).withColumn("copies", copies(rate, F.col("key"), seed))
 
 
 def _key() -> Column:
@@ -102,7 +127,8 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
 
 SQL = """
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest,
+         row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, '')), source ORDER BY doc_id) - 1 AS number FROM documents
 ), ranked AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          CASE (row_number() OVER (ORDER BY source COLLATE "binary" ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight
@@ -122,7 +148,7 @@ WITH sized AS (
   SELECT source, source_size, coalesce(least(most, weight * rest / weight_left), most) AS target FROM ordered LEFT JOIN open ON true
 ), drawn AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS draw
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest || CASE WHEN number > 0 THEN ':' || number::VARCHAR ELSE '' END), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS draw
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 )
 SELECT doc_id, size, source_size, target,

@@ -227,6 +227,13 @@ def test_mix(spark, docs, empty):
     alone = spark.createDataFrame([(None, f"text number {i}", "a" if i % 2 else "b") for i in range(2000)], "doc_id long, text string, source string")
     taken = mixing.mix_plan(alone).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
     assert all(abs(r["taken"] / r["target"] - 1) < 0.1 for r in taken)
+    # Rows equal in all: each draws for itself, and reruns agree, however the rows are dealt out.
+    equal = spark.createDataFrame([(1 if i % 3 else None, "one text " * 2, "a" if i % 2 else None) for i in range(3000)] + [(5, "x", "b")], "doc_id long, text string, source string")
+    plans = [mixing.mix_plan(equal.repartition(n)).groupBy("doc_id", "target", "copies").agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken")).collect() for n in (3, 5)]
+    assert sorted(map(str, plans[0])) == sorted(map(str, plans[1])) and sum(r["n"] for r in plans[0]) == 3001
+    for target in {r["target"] for r in plans[0]}:
+        assert target < 5 or abs(sum(r["taken"] for r in plans[0] if r["target"] == target) / target - 1) < 0.05
+    assert mixing.mix_sources(equal).count() == sum(r["n"] * r["copies"] for r in plans[0])
 
 
 def test_tokens(docs, empty):
