@@ -79,7 +79,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Landmarks and weights; a few megabytes whatever the corpus."""
+    """Landmarks, no more than asked for, and for each language as many weights."""
 
     def __init__(self, langs: list[str], landmarks: np.ndarray, weights: np.ndarray, least: np.ndarray):
         self.langs, self.weights = langs, weights
@@ -118,21 +118,25 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS, s
         return None
     rows.sort(key=lambda r: (r["key"], r["lang"], r["bits"]))
     langs = sorted({r["lang"] for r in rows})
-    x = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in rows]), axis=1).astype(np.float32)
+    bits = np.array([np.frombuffer(r["bits"], np.uint8) for r in rows])
+    unpacked = lambda which: np.unpackbits(bits[which], axis=1).astype(np.float32)
     y = np.array([[1.0 if r["lang"] == c else -1.0 for c in langs] for r in rows])
-    # Landmarks are dealt out evenly over the languages.
+    # Landmarks are dealt out over the languages in turn, and there are no more than asked for.
     by = [[i for i, r in enumerate(rows) if r["lang"] == c] for c in langs]
     own = max(1, landmarks // len(langs))
-    at = sorted({i for group in by for i in group[:own]})
-    size = np.sqrt(np.maximum(x.sum(axis=1), 1))
-    k = (x @ x[at].T / size[:, None] / size[at]).astype(np.float64)
+    turns = sorted((turn, i) for group in by for turn, i in enumerate(group[:own]))
+    at = sorted(i for _, i in turns[:landmarks])
+    size = np.sqrt(np.maximum(np.bitwise_count(bits).sum(axis=1, dtype=np.int64), 1)).astype(np.float32)
+    marks = unpacked(at)
+    dots = np.concatenate([unpacked(slice(k, k + 1024)) @ marks.T for k in range(0, len(rows), 1024)])
+    k = (dots / size[:, None] / size[at]).astype(np.float64)
     values, vectors = np.linalg.eigh(k[at])
     good = values > 1e-8 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
     z = k @ root
     weight = np.array([1 / max(1, len(by[c])) for c in y.argmax(axis=1)])[:, None]
     w = np.linalg.solve(z.T @ (weight * z) + RIDGE * np.eye(z.shape[1]), z.T @ (weight * y))
-    return Model(langs, x[at], (root @ w).astype(np.float32), size[at].astype(np.float32))
+    return Model(langs, marks, (root @ w).astype(np.float32), size[at].astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

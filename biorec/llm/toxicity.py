@@ -147,8 +147,10 @@ def mine(docs: DataFrame, given: DataFrame) -> Known:
     return Known(active, [r["stem"] for r in stems if not any(r["stem"][:n] in top for n in STEM_SIZES if n < len(r["stem"]))])
 
 
-def _draw(seed: str) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), doc_key())), 1, 13), 16, 10).cast("double") / float(1 << 52)
+def _draw(seed: str, *columns: str) -> Column:
+    """A number from 0 to 1 of the row's id and these columns."""
+    key = F.concat_ws(":", F.lit(seed), doc_key(), *[F.col(c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def matrix(columns: dict[str, np.ndarray]) -> np.ndarray:
@@ -261,7 +263,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, row: str | None = None) -
     # About SAMPLE rows, whatever the corpus.
     open_ = marked.where(F.col("fold") != HELD_OUT)
     share = SAMPLE / max(1, open_.count())
-    drawn = open_.where(_draw("toxic") < share).groupBy(*PARTS).agg(F.count(F.lit(1)).alias("n")).collect()
+    # Rows of one id, or of none, draw apart by their votes; rows equal in both are one row of the sample.
+    drawn = open_.where(_draw("toxic", *PARTS) < share).groupBy(*PARTS).agg(F.count(F.lit(1)).alias("n")).collect()
     drawn.sort(key=tuple)
     x = matrix({c: np.array([r[c] for r in drawn], np.int64) for c in PARTS})
     if len(drawn):

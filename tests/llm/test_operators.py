@@ -155,6 +155,15 @@ def test_exact_arrivals(docs, tmp_path, digest):
     assert back.where("not (doc_id <=> keep_id)").count() == 0 and back.count() == later.select("locator").distinct().count()
 
 
+def test_language_landmarks_are_bounded(spark):
+    """More languages than landmarks: no more landmarks than asked for, and each language has its weights."""
+    rows = [(i, f"{'abcdefghij'[i % 10] * 3}{i} {'abcdefghij'[i % 10] * 5} words", f"l{i % 10}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, landmarks=4)
+    assert model.landmarks.shape[1] == 4 and model.weights.shape == (4, 10) and langid.fit(docs).landmarks.shape[1] > 100
+
+
+
 @pytest.mark.parametrize("step", ["_stream", "_clashing"])
 def test_exact_repeated_after_a_failure(docs, tmp_path, monkeypatch, step):
     """A call that fails after landing, or after the stream, and is made again counts its rows once; other rows meanwhile count too."""
