@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biorec.functions.columns import RANKS, is_active, rank_column
+from biorec.functions.tables import settled
 from biorec.operators.stats import count_by
 
 OPERATORS = ("eq", "in", "contains", "gte", "lte")
@@ -119,12 +120,25 @@ def include_media(df: DataFrame, t: Tables, fk: str) -> DataFrame:
     return df.join(lists, F.col(fk) == F.col("_taxon"), "left").drop("_taxon")
 
 
+def rank_taxa(df: DataFrame, taxa: DataFrame, columns: tuple[str, ...], ranks: tuple = RANKS) -> DataFrame:
+    """``df`` with ``_ranks``: a map from rank to these columns of the taxon that its rank column names; deleted and blocked ones included.
+
+    The distinct combinations of rank ids, no more than there are taxa, are exploded and meet the taxa in one join.
+    """
+    ids = [rank_column(r) for r in ranks]
+    key = F.concat_ws("|", *[F.coalesce(F.col(i).cast("string"), F.lit("")) for i in ids])
+    entries = F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.col(i).cast("long").alias("id")) for r, i in zip(ranks, ids)]))
+    found = df.select(*ids).distinct().select(key.alias("_key"), entries.alias("e")).where("e.id is not null")
+    found = found.join(taxa.select(F.col("id").alias("_id"), F.struct(*columns).alias("_taxon")), F.col("e.id") == F.col("_id"))
+    maps = found.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("e.rank", "_taxon"))).alias("_ranks"))
+    return df.withColumn("_key", key).join(maps, "_key", "left").drop("_key")
+
+
 def include_parents(df: DataFrame, t: Tables, ranks: tuple = RANKS) -> DataFrame:
-    """The taxon of each configured rank by one map lookup's worth of joins; deleted and blocked ones included."""
-    slim = t["taxa"].select("id", "taxon_identifier", "scientific_name")
-    for r in ranks:
-        df = left(df, slim, rank_column(r).removesuffix("_id"), rank_column(r))
-    return df
+    """The taxon of each configured rank, by one join with the taxa."""
+    slim = ("id", "taxon_identifier", "scientific_name")
+    out = rank_taxa(df, t["taxa"], slim, ranks)
+    return out.select(*df.columns, *[F.col("_ranks")[r][c].alias(f"{rank_column(r).removesuffix('_id')}__{c}") for r in ranks for c in slim])
 
 
 def include(df: DataFrame, t: Tables, resource: str, names: tuple[str, ...]) -> DataFrame:
@@ -200,6 +214,31 @@ def _checked(limit: int | None, offset: int) -> int:
     return limit
 
 
+#: A page that ends beyond this row is cut by parts.
+MOST_RANKED = 20_000
+
+
+def page_rows(df: DataFrame, order: list[Column], key: str, limit: int, offset: int, most_ranked: int = MOST_RANKED) -> DataFrame:
+    """The rows of ``df`` from ``offset`` on in this order, ``limit`` of them; ``key`` is unique.
+
+    A page near the start is what each task's first rows give. A deep one is found by keys alone: they
+    are sorted in parts, the parts are counted, and only the keys of parts that the page touches are
+    read again. No task ranks more rows than its part has.
+    """
+    if offset + limit <= most_ranked:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    keys = settled(df.orderBy(*order).select(F.col(key).alias("_key"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    counts = keys.groupBy("_part").agg(F.min("_at").alias("first"), F.count(F.lit(1)).alias("n")).collect()  # one row for each part
+    wanted, base = F.lit(False), 0
+    for r in sorted(counts, key=lambda r: r["_part"]):
+        low, high = max(offset, base), min(offset + limit, base + r["n"])
+        if low < high:
+            wanted = wanted | ((F.col("_part") == r["_part"]) & F.col("_at").between(r["first"] + low - base, r["first"] + high - base - 1))
+        base += r["n"]
+    found = keys.where(wanted).select("_key")  # at most ``limit`` keys
+    return df.join(F.broadcast(found), F.col(key) == F.col("_key"), "left_semi")
+
+
 def query_page(t: Tables, resource: str, limit: int | None = None, offset: int = 0, **how) -> tuple[DataFrame, DataFrame]:
     """One page of a query, and the number of all its rows as a table of one row (total).
 
@@ -208,7 +247,8 @@ def query_page(t: Tables, resource: str, limit: int | None = None, offset: int =
     limit = _checked(limit, offset)
     includes = tuple(how.get("includes", ()))
     df, order = _matching(t, resource, how.get("filters", ()), how.get("sort"), includes, how.get("reporting_only", True))
-    return include(df.orderBy(*order).offset(offset).limit(limit), t, resource, includes).orderBy(*order), df.agg(F.count(F.lit(1)).alias("total"))
+    chosen = page_rows(df, order, RESOURCES[resource].key, limit, offset)
+    return include(chosen, t, resource, includes).orderBy(*order), df.agg(F.count(F.lit(1)).alias("total"))
 
 
 def page(df: DataFrame, limit: int | None = None, offset: int = 0) -> tuple[DataFrame, int]:
@@ -246,12 +286,11 @@ def taxon_labels(taxa: DataFrame, t: Tables, ranks: tuple = RANKS) -> DataFrame:
     out = left(out, t["taxon_groups"].select("id", "title"), "group", "taxon_group_id")
     out = left(out, t["recording_schemes"].select("id", "title"), "scheme", "recording_scheme_id")
     out = left(out, t["taxa"].select("id", "scientific_name"), "parent", "parent_taxon_id")
-    for r in ranks:
-        out = left(out, t["taxa"].select("id", "scientific_name"), rank_column(r).removesuffix("_id"), rank_column(r))
+    out = rank_taxa(out, t["taxa"], ("scientific_name",), ranks)
     listed = F.array_sort(F.collect_list(F.struct((-F.col("accepted")).alias("later"), "name", "given_name_identifier", "scientific")))
     names = t["taxon_names"].where("deleted_at is null").join(taxa.select(F.col("id").alias("taxon_id")), "taxon_id", "left_semi").groupBy("taxon_id").agg(listed.alias("names"))
     names = names.select(F.col("taxon_id").alias("_taxon"), F.transform("names", lambda n: F.struct(n["name"].alias("name"), n["given_name_identifier"].alias("given_name_identifier"), (-n["later"]).alias("accepted"), n["scientific"].alias("scientific"))).alias("names"))
-    hierarchy = F.array(*[F.struct(F.lit(r).alias("rank"), F.col(f"{rank_column(r).removesuffix('_id')}__scientific_name").alias("name")) for r in ranks])
+    hierarchy = F.array(*[F.struct(F.lit(r).alias("rank"), F.col("_ranks")[r]["scientific_name"].alias("name")) for r in ranks])
     out = out.join(names, F.col("id") == F.col("_taxon"), "left")
     return out.select(
         *taxa.columns, F.col("rank__rank").alias("rank_label"), F.col("group__title").alias("group_label"), F.col("scheme__title").alias("scheme_label"), F.col("parent__scientific_name").alias("parent_label"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from biorec.functions.columns import RANKS, category_for_position, format_score, is_active, rank_column, record_date, square_key, stable_uuid
+from biorec.functions.tables import settled
 
 RARITY_MOST = 100
 
@@ -119,17 +120,52 @@ def taxon_year_stats(occ: DataFrame, taxa: DataFrame, ranks: DataFrame, bridge:
     return out.select(stable_uuid(seed).alias("uuid"), *keys, "occurrences_count", "grid_square_count")
 
 
-def taxon_rarity(taxa: DataFrame, occ: DataFrame, square_weight: float = 1.0, occurrence_weight: float = 1.0) -> DataFrame:
-    """id, group_name, category of active taxa that are their own species, ranked within their group: 1 is the rarest."""
+#: Up to so many rows of a group are ranked by one task.
+MOST_IN_TASK = 1_000_000
+
+
+def positions(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place from 1 in their group, in this order, which must have no ties.
+
+    Rows are sorted by group and order in parts; each part counts its rows of each group, and a
+    group goes on in a part where the parts before it end. No task holds a whole group.
+    """
+    sorted_rows = settled(rows.orderBy(group, *order).withColumn("_part", F.spark_partition_id()))
+    parts = sorted_rows.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    # At most as many rows for a group as there are parts.
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    at = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))
+    return sorted_rows.withColumn("_at", at).join(bases, [group, "_part"]).withColumn(name, F.col("_at") + F.col("_base")).drop("_part", "_at", "_base")
+
+
+def dense_ranks(rows: DataFrame, group: str, column: str, name: str) -> DataFrame:
+    """``rows`` with the dense rank of a column in their group: the place of its value among the group's distinct values."""
+    places = positions(rows.select(group, column).distinct(), group, [column], name)
+    return rows.join(places, [group, column])
+
+
+def taxon_rarity(taxa: DataFrame, occ: DataFrame, square_weight: float = 1.0, occurrence_weight: float = 1.0, most_in_task: int = MOST_IN_TASK) -> DataFrame:
+    """id, group_name, category of active taxa that are their own species, ranked within their group: 1 is the rarest.
+
+    Groups of more than ``most_in_task`` taxa are ranked in parts.
+    """
     group = F.trim("rarity_group_name")
     own = taxa.where(is_active() & (F.col("species_id") == F.col("id")) & (group != "")).select("id", "taxon_identifier", group.alias("group_name"))
     per = occ.where(is_active() & F.col("species_id").isNotNull()).groupBy(F.col("species_id").alias("id"), square_key(F.col("grid_ref_2km")).alias("square")).agg(F.count(F.lit(1)).alias("n"))
     counts = per.groupBy("id").agg(F.sum("n").alias("records"), F.count("square").alias("squares"))
     rows = own.join(counts, "id", "left").na.fill(0, ["records", "squares"])
-    by = lambda c: F.dense_rank().over(Window.partitionBy("group_name").orderBy(c))
-    rows = rows.withColumns({"rs": by("squares"), "ro": by("records")}).withColumn("score", F.col("rs") * F.lit(float(square_weight)) + F.col("ro") * F.lit(float(occurrence_weight)))
-    place = Window.partitionBy("group_name").orderBy("score", "rs", "ro", "taxon_identifier")
-    return rows.select("id", "group_name", category_for_position(F.row_number().over(place) - 1, F.count(F.lit(1)).over(Window.partitionBy("group_name"))).alias("category"))
+    sizes = own.groupBy("group_name").agg(F.count(F.lit(1)).alias("size"))
+    score = F.col("rs") * F.lit(float(square_weight)) + F.col("ro") * F.lit(float(occurrence_weight))
+    order = ["score", "rs", "ro", "taxon_identifier"]
+    if (sizes.agg(F.max("size")).first()[0] or 0) > most_in_task:
+        rows = dense_ranks(dense_ranks(settled(rows), "group_name", "squares", "rs"), "group_name", "records", "ro").withColumn("score", score)
+        rows = positions(rows, "group_name", order, "place").join(sizes, "group_name")
+    else:
+        by = lambda c: F.dense_rank().over(Window.partitionBy("group_name").orderBy(c))
+        rows = rows.withColumns({"rs": by("squares"), "ro": by("records")}).withColumn("score", score)
+        rows = rows.withColumns({"place": F.row_number().over(Window.partitionBy("group_name").orderBy(*order)), "size": F.count(F.lit(1)).over(Window.partitionBy("group_name"))})
+    return rows.select("id", "group_name", category_for_position(F.col("place") - 1, F.col("size")).alias("category"))
 
 
 def apply_rarity(taxa: DataFrame, rarity: DataFrame) -> tuple[DataFrame, DataFrame]:

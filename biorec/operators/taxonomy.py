@@ -5,6 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from biorec.functions.tables import settled
+
+
+def with_paths(taxa: DataFrame) -> DataFrame:
+    """``taxa(id, parent_taxon_id)`` with ``path``: the ids from the topmost ancestor down to the taxon itself.
+
+    Pointer doubling: each round, a taxon takes over the ancestors of the topmost one that it knows,
+    so that as many rounds are enough as the logarithm of the greatest depth. A parent that is no taxon
+    ends a path; on a cycle, each ancestor is named once, and the taxon itself last. One row per id.
+    """
+    known = taxa.select(F.col("id").alias("_parent"))
+    linked = taxa.select("id", F.col("parent_taxon_id").alias("p")).join(known, F.col("p") == F.col("_parent"), "left")
+    found = settled(linked.select("id", F.filter(F.array("_parent"), lambda x: x.isNotNull() & (x != F.col("id"))).alias("above")).withColumn("top", F.get("above", F.lit(0))))
+    while found.where("top is not null").limit(1).count():
+        further = found.select(F.col("id").alias("top"), F.col("above").alias("more"), F.col("top").alias("next"))
+        joined = found.join(further, "top", "left").withColumn("walk", F.concat("above", F.coalesce("more", F.array().cast("array<bigint>"))))
+        # A walk that comes back to where it has been is complete.
+        once = F.filter(F.array_distinct("walk"), lambda x: x != F.col("id"))
+        found = settled(joined.select("id", once.alias("above"), F.when(F.size(once) == F.size("walk"), F.col("next")).alias("top")))
+    return taxa.join(found.select("id", F.concat(F.reverse("above"), F.array("id")).alias("path")), "id")
+
 
 def ancestors(taxa: DataFrame) -> DataFrame:
     """id, ancestor: a row for each element of a taxon's path."""

@@ -32,21 +32,40 @@ INDICIA = T.StructType([
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed payloads, one file each: (value)."""
-    return spark.read.option("wholetext", True).text(path)
+    """Landed payloads, one file each: (value, file)."""
+    return spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def page_records(landed: DataFrame, keys: tuple[str, ...] = ("occurrences", "records", "data"), nested: tuple[str, str] | None = None) -> DataFrame:
-    """The records of ``landed(value)`` as JSON texts: the list under the first of these keys that has one, else a
-    nested list, else the payload if it is a list itself. Any other payload has no records."""
+def page_rows(landed: DataFrame, keys: tuple[str, ...] = ("occurrences", "records", "data"), nested: tuple[str, str] | None = None) -> DataFrame:
+    """The records of ``landed(value, file)`` and what is none: file, at, json, reason.
+
+    Records are the list under the first of these keys that has one, else a nested list, else the
+    payload if it is a list itself. They are JSON texts, ``at`` their place in the list from 0, and their
+    reason is null. Rejected: payloads that are no JSON, or hold no such list (``at`` is null), and
+    entries that are no objects.
+    """
     array = lambda c: F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>"))
     payload = F.when(F.ltrim("value").startswith("{"), F.from_json("value", "map<string,string>"))
     lists = [array(F.element_at("payload", k)) for k in keys]
     if nested:
         inner = F.from_json(F.element_at("payload", nested[0]), "map<string,string>")
         lists.append(array(F.element_at(inner, nested[1])))
-    found = landed.withColumn("payload", payload).select(F.explode(F.coalesce(*lists, array(F.col("value")))).alias("json"))
-    return found.where(F.ltrim("json").startswith("{"))
+    file = F.col("file") if "file" in landed.columns else F.lit(None).cast("string")
+    read = landed.select("value", file.alias("file"), payload.alias("payload")).select("*", F.coalesce(*lists, array(F.col("value"))).alias("found"))
+    rows = read.select("file", "value", F.when(F.col("found").isNull(), F.when(F.col("payload").isNull(), "unparsable payload").otherwise("no list of records")).alias("why"), F.posexplode_outer("found").alias("at", "json"))
+    rows = rows.where("why is not null or at is not null")
+    reason = F.coalesce("why", F.when(~F.coalesce(F.ltrim("json").startswith("{"), F.lit(False)), "record is no object"))
+    return rows.select("file", "at", F.when(F.col("why").isNull(), F.col("json")).otherwise(F.col("value")).alias("json"), reason.alias("reason"))
+
+
+def page_records(landed: DataFrame, keys: tuple[str, ...] = ("occurrences", "records", "data"), nested: tuple[str, str] | None = None) -> DataFrame:
+    """The records of ``landed(value)`` as JSON texts."""
+    return page_rows(landed, keys, nested).where("reason is null").select("json")
+
+
+def page_rejects(landed: DataFrame, keys: tuple[str, ...] = ("occurrences", "records", "data"), nested: tuple[str, str] | None = None) -> DataFrame:
+    """What ``page_records`` leaves out: file, at, json, reason."""
+    return page_rows(landed, keys, nested).where("reason is not null")
 
 
 def read_nbn(spark: SparkSession, path: str) -> DataFrame:

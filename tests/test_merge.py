@@ -122,3 +122,37 @@ def test_query_rejects(spark):
     with pytest.raises(ValueError):
         query.page(t["data_sources"], 10_001)
     assert query.page(query.query(t, "data_sources", [("abbr", "in", "NBN, IREC")]), 1)[1] == 1
+
+
+@pytest.mark.parametrize("limit, offset", [(7, 0), (50, 480), (100, 950), (10, 2000), (1000, 0)])
+def test_deep_pages(spark, limit, offset):
+    df = spark.range(1000).selectExpr("id * 7 % 1000 as id", "cast(id % 13 as int) as a", "cast(id as string) as key").repartition(5)
+    order = [F.desc("a"), F.asc("key")]
+    want = [r["key"] for r in df.orderBy(*order).collect()][offset : offset + limit]
+    for most in (10**6, 0):
+        assert [r["key"] for r in query.page_rows(df, order, "key", limit, offset, most).orderBy(*order).collect()] == want
+
+
+def test_paths(spark):
+    """Chains, trees, parents that are no taxa, and cycles with what hangs on them."""
+    from biorec.operators import taxonomy
+
+    parents = {i: i - 1 for i in range(2, 40)} | {1: None, 100: 7, 101: 100, 200: 999, 300: 301, 301: 302, 302: 300, 303: 300, 304: 303, 400: 400}
+    df = spark.createDataFrame(list(parents.items()), "id long, parent_taxon_id long")
+
+    def walk(i):
+        out, at = [], parents[i]
+        while at in parents and at not in out and at != i:
+            out.append(at)
+            at = parents[at]
+        return [*reversed(out), i]
+
+    assert {r["id"]: r["path"] for r in taxonomy.with_paths(df).collect()} == {i: walk(i) for i in parents}
+    assert taxonomy.with_paths(df.limit(0)).count() == 0
+
+
+def test_one_join_for_all_ranks(spark):
+    taxa = spark.createDataFrame([(1, "a", "A"), (2, "b", "B")], "id long, taxon_identifier string, scientific_name string")
+    df = spark.createDataFrame([(5, 1, None, 2, None, 9), (6, None, None, None, None, None), (7, 1, None, 2, None, 1)], "key int, order_id long, superfamily_id long, family_id long, genus_id long, species_id long")
+    out = query.include_parents(df, {"taxa": taxa})
+    assert [(r["key"], r["order__scientific_name"], r["family__id"], r["species__taxon_identifier"]) for r in out.orderBy("key").collect()] == [(5, "A", 2, None), (6, None, None, None), (7, "A", 2, "a")]

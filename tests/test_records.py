@@ -97,3 +97,15 @@ def test_helpers(spark):
     flags = spark.createDataFrame([(v,) for v in ("1", "T", "Yes", "y", "true", "3", "0", "no", "-1", None)], "v string").select(X.to_flag(F.col("v")).alias("f")).collect()
     assert [r["f"] for r in flags] == [1] * 6 + [0] * 4
     assert X.rank_column("Sub Genus") == "sub_genus_id" and X.list_values("a, 'b',, a") == ["a", "b"]
+
+
+def test_rejected_pages(spark, tmp_path):
+    """Payloads and entries that are no records, each with its file and place."""
+    texts = {"a": '{"occurrences": [{"uuid": "1"}, 5, "x", null, {"uuid": "2"}]}', "b": '{"occurrences": [{"uuid": "3"}', "c": "not json", "d": '{"other": [{"uuid": "4"}]}', "e": '[{"uuid": "5"}, []]', "f": '{"records": []}'}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    landed = records.pages(spark, str(tmp_path))
+    bad = sorted((r["file"][-6:-5], r["at"] if r["at"] is not None else -1, r["reason"]) for r in records.page_rejects(landed).collect())
+    entry = "record is no object"
+    assert bad == [("a", 1, entry), ("a", 2, entry), ("a", 3, entry), ("b", -1, "unparsable payload"), ("c", -1, "unparsable payload"), ("d", -1, "no list of records"), ("e", 1, entry)]
+    assert sorted(r["record"]["uuid"] for r in records.nbn_records(landed).collect()) == ["1", "2", "5"]

@@ -118,3 +118,14 @@ def test_home_counts(spark):
     o = occ(spark, [(i, 1, None, "2020-01-01", None, "S", "", "", int(i == 3), int(i == 4)) for i in range(1, 5)])
     regions = spark.createDataFrame([(1, None), (2, None), (3, GONE)], "id long, deleted_at timestamp")
     assert tuple(stats.home_counts(o, taxa(spark, [(1, 2, 1, None, 0), (2, 1, 2, None, 0), (3, 2, 3, None, 1)]), ranks(spark), regions).first()) == (2, 1, 2)
+
+
+def test_rarity_in_parts(spark):
+    """Groups ranked in parts come out as those ranked by one task, ties and groups of one included."""
+    import random
+
+    rng = random.Random(4)
+    taxa = spark.createDataFrame([(i, f"T{i:04}", i, rng.choice(("Unassigned",) * 8 + ("Moths ", "Bees")) if i else "Alone", 0, None) for i in range(400)], "id long, taxon_identifier string, species_id long, rarity_group_name string, blocked int, deleted_at timestamp")
+    occ = spark.createDataFrame([(k, min(399, int(rng.expovariate(0.02))), f"SU{rng.randrange(30)}", 0, None) for k in range(3000)], "id long, species_id long, grid_ref_2km string, blocked int, deleted_at timestamp")
+    plain, parts = (sorted(map(tuple, stats.taxon_rarity(taxa, occ, 1.0, 0.5, most_in_task=n).collect())) for n in (10**6, 0))
+    assert plain == parts and len(plain) == 400 and {c for *_, c in plain} == {1, 2, 3, 4, 5}
