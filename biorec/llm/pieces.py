@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import heapq
 import itertools
+import operator
 import re
 from collections.abc import Iterator
 
@@ -40,9 +41,31 @@ from biorec.llm.common import materialize
 CHUNK = 1 << 15
 #: Adjacent matrices that a task multiplies at a time.
 FAN = 16
-CACHE = 1 << 17
+#: Entries of each of the two generations of a cache.
+CACHE = 1 << 18
 SPACE = "▁"
 NO = -np.inf
+_WHOLE = operator.itemgetter(0)
+
+
+class Recent(dict):
+    """A cache of the entries used last: when it is full, it becomes the older generation, and what is asked for there comes back."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
 
 
 class Model:
@@ -88,9 +111,9 @@ class Model:
         if lone:
             groups.append(f"{SPACE}*([{lone}])\\1*")
         self.stretch = re.compile("|".join([*groups, SPACE + "+", "."]), re.DOTALL)
-        self.stable: dict[tuple[str, str], bool] = {}
-        self.lasts: dict[str, str] = {}
-        self.traced: dict[str, tuple[int, ...]] = {}
+        self.stable = Recent()  # (left, piece): bool
+        self.lasts = Recent()  # prefix: its last piece
+        self.traced = Recent()  # stretch: its ids
 
     def alone(self, text: str) -> list[str]:
         """The segmentation of a short text by definition: merge the adjacent pair with the best score, leftmost first."""
@@ -121,12 +144,10 @@ class Model:
     def step(self, left: str | None, piece: str) -> float:
         """Max-plus weight of ``piece`` after ``left`` (None: a start)."""
         key = (left or "", piece)
-        ok = self.stable.get(key)
+        ok = self.stable[key]
         if ok is None:
             ok = self.alone(key[0] + piece) == ([left, piece] if left else [piece])
-            if len(self.stable) >= CACHE:
-                self.stable.clear()
-            self.stable[key] = ok
+            self.stable.put(key, ok)
         return 0.0 if ok else NO
 
     def paths(self, text: str, start: int, last: str | None, stop: int) -> dict[int, str | None]:
@@ -143,7 +164,7 @@ class Model:
 
     def last(self, prefix: str) -> str:
         """The last piece of the one finite path that ends where a (short) prefix of a stretch does. Prefixes are shared by many stretches."""
-        got = self.lasts.get(prefix)
+        got = self.lasts[prefix]
         if got is None:
             n = len(prefix)
             stable, known = self.stable, self.id
@@ -157,9 +178,7 @@ class Model:
                     if ok:
                         got = piece
                         break
-            if len(self.lasts) >= CACHE:
-                self.lasts.clear()
-            self.lasts[prefix] = got
+            self.lasts.put(prefix, got)
         return got
 
     def best(self, stretch: str) -> list[str]:
@@ -174,27 +193,27 @@ class Model:
 
     def trace(self, stretch: str) -> tuple[int, ...]:
         """Ids of a stretch between two cuts or other piece ends."""
-        got = self.traced.get(stretch)
+        got = self.traced[stretch]
         if got is None:
             if stretch[0] not in self.known:
                 return tuple(self.byte[b] for b in stretch.encode())
             got = tuple(map(self.id.__getitem__, self.best(stretch)))
             if len(stretch) <= 64:
-                if len(self.traced) >= CACHE:
-                    self.traced.clear()
-                self.traced[stretch] = got
+                self.traced.put(stretch, got)
         return got
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        traced, trace = self.traced.get, self.trace
-        for m in self.stretch.finditer(text):
-            s = m[0]
+        traced, trace = self.traced.get, self.trace  # ``get`` looks at the younger generation alone
+        for s in map(_WHOLE, self.stretch.finditer(text)):
             out += traced(s) or trace(s)
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of pieces: bytes joined, marks to spaces, without the space put before the text."""
+        if self.of_byte.keys().isdisjoint(ids):
+            text = "".join(map(self.text.__getitem__, ids)).replace(SPACE, " ")
+            return text[1:] if text.startswith(" ") else text
         out, run = [], bytearray()
         for i in ids:
             if (b := self.of_byte.get(i)) is not None:
