@@ -386,6 +386,15 @@ def i1_ingest_batches(t):
     return ingest.stored(spark, root, "occurrences").join(links, "id", "left").select("id", "unique_key", "recorded_by", F.coalesce("regions", F.lit("")).alias("regions"))
 
 
+@query("""SELECT 0 AS number, count(*) AS fetched, count(*) AS processed, count(*) FILTER (id % 13 <> 0) AS inserted, 0 AS updated, 0 AS unchanged, count(*) FILTER (id % 13 = 0) AS skipped, 0 AS errors FROM occurrences WHERE id % 3 <> 0
+ UNION ALL SELECT 1, count(*), count(*), (SELECT count(*) FROM second_batch WHERE key NOT IN (SELECT key FROM first_batch)), (SELECT count(*) FROM second_batch s JOIN first_batch f ON f.key = s.key WHERE s.who <> f.who OR s.moved > 0),
+ (SELECT count(*) FROM second_batch s JOIN first_batch f ON f.key = s.key WHERE s.who = f.who AND s.moved = 0), count(*) FILTER (id % 13 = 0), 0 FROM occurrences WHERE id % 3 = 0 OR id % 2 = 0""", *_BATCHES)
+def a9_run_ledger(t):
+    """What each of two batches did with its records, as observed while they were written."""
+    root, _ = _ingested(t)
+    return ingest.runs(t["occurrences"].sparkSession, root).drop("name")
+
+
 @query("""SELECT 1 AS batch, 'inserted' AS action, count(*) AS n FROM first_batch UNION ALL SELECT 2, CASE WHEN f.key IS NULL THEN 'inserted' WHEN s.who = f.who AND s.moved = 0 THEN 'unchanged' ELSE 'updated' END, count(*) FROM second_batch s LEFT JOIN first_batch f ON f.key = s.key GROUP BY ALL
  UNION ALL SELECT 1, 'missing ids', count(*) FROM occurrences WHERE id % 3 <> 0 AND id % 13 = 0 UNION ALL SELECT 2, 'missing ids', count(*) FROM occurrences WHERE (id % 3 = 0 OR id % 2 = 0) AND id % 13 = 0""", *_BATCHES)
 def i1_batch_counts(t):
@@ -397,6 +406,50 @@ def i1_batch_counts(t):
     return out
 
 
+# ---------------------------------------------------------------- paths, rejected pages, deep pages
+
+
+_TREE = ("tree", "SELECT p_partkey + 1 AS id, CASE WHEN p_partkey + 1 = 5 THEN 11 WHEN p_partkey > 0 THEN (p_partkey + 1) // 2 END AS parent_taxon_id FROM part")
+
+
+@query("""SELECT t.id, coalesce(string_agg(c.ancestor::VARCHAR, ';' ORDER BY c.depth DESC) || ';', '') || t.id::VARCHAR AS path FROM tree t LEFT JOIN (SELECT id, ancestor, min(depth) AS depth FROM above WHERE ancestor <> id GROUP BY ALL) c ON c.id = t.id GROUP BY t.id""",
+       _TREE, ("above(id, ancestor, depth)", "SELECT id, parent_taxon_id, 1 FROM tree WHERE parent_taxon_id IN (SELECT id FROM tree) UNION ALL SELECT a.id, t.parent_taxon_id, a.depth + 1 FROM above a JOIN tree t ON t.id = a.ancestor WHERE t.parent_taxon_id IN (SELECT id FROM tree) AND a.depth < 80"))
+def p1_ancestor_paths(t):
+    """Paths by the parents alone, of a deep tree with a cycle (5 and 11) and what hangs on it."""
+    i = F.col("p_partkey") + 1
+    tree = t["part"].select(i.alias("id"), F.when(i == 5, 11).when(i > 1, F.floor(i / 2)).cast("long").alias("parent_taxon_id"))
+    return taxonomy.with_paths(tree).select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), ";").alias("path"))
+
+
+@query("""SELECT t.id, string_agg(a.scientific_name, ' / ' ORDER BY p.depth DESC) AS names FROM taxa t JOIN (SELECT id, id AS ancestor, 0 AS depth FROM taxa UNION ALL SELECT * FROM above) p ON p.id = t.id JOIN taxa a ON a.id = p.ancestor GROUP BY t.id""",
+       ("above(id, ancestor, depth)", "SELECT t.id, t.parent_taxon_id, 1 FROM taxa t JOIN taxa p ON p.id = t.parent_taxon_id UNION ALL SELECT a.id, p.id, a.depth + 1 FROM above a JOIN taxa t ON t.id = a.ancestor JOIN taxa p ON p.id = t.parent_taxon_id"))
+def p3_names_by_parents(t):
+    """The names of each taxon's ancestors and its own, from the top, by the parents of the taxa."""
+    found = taxonomy.with_paths(t["taxa"]).select("id", F.posexplode("path").alias("at", "ancestor")).join(t["taxa"].select(F.col("id").alias("ancestor"), "scientific_name"), "ancestor")
+    lists = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "scientific_name"))).alias("names"))
+    return lists.select("id", F.array_join(F.transform("names", lambda n: n["scientific_name"]), " / ").alias("names"))
+
+
+@query("""SELECT concat('page-', user_id) AS file, at, CASE WHEN event_id % 5 > 0 THEN event_id::VARCHAR END AS uuid, CASE WHEN event_id % 5 = 0 THEN 'record is no object' END AS reason FROM placed WHERE user_id % 7 <> 0 AND user_id % 11 <> 0
+ UNION ALL SELECT DISTINCT concat('page-', user_id), NULL, NULL, CASE WHEN user_id % 7 = 0 THEN 'unparsable payload' ELSE 'no list of records' END FROM placed WHERE user_id % 7 = 0 OR user_id % 11 = 0""",
+       ("placed", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS at FROM events"))
+def s1_page_rows(t):
+    """Pages of each user's events as JSON: some cut short, some without a list, some entries no records."""
+    e = t["events"]
+    record = F.when(F.col("event_id") % 5 > 0, F.to_json(F.struct(F.col("event_id").cast("string").alias("uuid"), "event_type", "props"))).otherwise(F.to_json(F.array("event_type")))
+    lists = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", record.alias("json")))), lambda x: x["json"]).alias("found"))
+    key = F.when(F.col("user_id") % 11 == 0, "other").when(F.col("user_id") % 2 == 0, "records").otherwise("occurrences")
+    text = F.concat(F.lit('{"'), key, F.lit('": ['), F.array_join("found", ", "), F.lit("]"), F.when(F.col("user_id") % 7 > 0, "}").otherwise(""))
+    rows = records.page_rows(lists.select(text.alias("value"), F.concat(F.lit("page-"), F.col("user_id").cast("string")).alias("file")))
+    return rows.select("file", F.col("at").cast("bigint").alias("at"), F.when(F.col("reason").isNull(), F.get_json_object("json", "$.uuid")).alias("uuid"), "reason")
+
+
+@query("""SELECT o.unique_key, o.from_date FROM occurrences o JOIN taxa t ON t.id = o.taxon_id WHERE o.blocked = 0 AND o.deleted_at IS NULL AND t.blocked = 0 AND t.deleted_at IS NULL ORDER BY o.from_date DESC NULLS LAST, o.unique_key LIMIT 500 OFFSET 24000""")
+def o2_deep_page(t):
+    """A page of 500 rows far from the start: the limit is the feature."""
+    return surface.query_page(t, "occurrences", 500, 24_000, sort="-from_date")[0].select("unique_key", "from_date")
+
+
 @query("SELECT 'irec' AS source_key, max(id)::VARCHAR AS checkpoint FROM occurrences")
 def i3_checkpoint(t):
     return ingest.checkpoints(records.normalize_indicia(_indicia(t)), "irec")

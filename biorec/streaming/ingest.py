@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-from biorec.functions.tables import read_buckets, read_version, settled, touched, write_buckets, write_version
+from biorec.functions.tables import read_buckets, read_if_any, read_version, touched, write_buckets, write_version
 from biorec.operators import geo, merge
 from biorec.sources import records
 
@@ -67,8 +67,10 @@ def ingest_entities(root: str, reports: dict[str, DataFrame], tables: Tables, lo
 #: Buckets of the stored records and of their region links. Fixed once a store has been written.
 BUCKETS = 64
 KEYS = {"occurrences": "unique_key", "geographic_regions_occurrences": "occurrence_id"}
-#: What the ledger says of the last batch: its name, the paths that it staged, the store's layout, and whether the buckets have been replaced.
-LEDGER = "name string, merged string, links string, counts string, rejects string, buckets int, top long, applied boolean"
+#: What a batch did with its records: ``skipped`` and ``errors`` are rejected ones, and all but errors count as processed.
+RUN = "number int, name string, fetched long, processed long, inserted long, updated long, unchanged long, skipped long, errors long"
+#: What the ledger says of the last batch: its run, the paths that it staged, the store's layout, and whether the buckets have been replaced.
+LEDGER = RUN + ", merged string, links string, rejects string, buckets int, top long, applied boolean"
 
 
 def stored(spark: SparkSession, root: str, table: str, which: list[int] | None = None) -> DataFrame | None:
@@ -82,9 +84,23 @@ def _apply(spark: SparkSession, root: str, last: Row) -> None:
         rows = spark.read.parquet(path)
         which = [r["_bucket"] for r in spark.read.parquet(f"{path}-buckets").collect()]
         write_buckets(rows.drop(*drop), f"{root}/{table}", KEYS[table], last["buckets"], which)
+    run = [f.split()[0] for f in RUN.split(", ")]
+    spark.createDataFrame([tuple(last[f] for f in run)], RUN).write.mode("overwrite").parquet(f"{root}/runs/batch={last['number']}")
     write_version(spark.createDataFrame([last.asDict() | {"applied": True}], LEDGER), f"{root}/ledger")
 
 
+def runs(spark: SparkSession, root: str) -> DataFrame | None:
+    """A row for each batch, by number: what it fetched, processed, inserted, updated, left unchanged, skipped and failed on."""
+    found = read_if_any(spark, f"{root}/runs/*")
+    return found if found is None else found.orderBy("number")
+
+
+def _observed(df: DataFrame, **counts: Column) -> tuple[DataFrame, Observation]:
+    """``df`` whose next write also counts."""
+    seen = Observation()
+    return df.observe(seen, *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()]), seen
+
+
 def _stage(df: DataFrame, root: str, name: str, which: list[int]) -> str:
     path = write_version(df, f"{root}/staged/{name}")
     df.sparkSession.createDataFrame([(b,) for b in which], "_bucket int").write.mode("overwrite").parquet(f"{path}-buckets")
@@ -110,12 +126,14 @@ def ingest_batch(root: str, batch: DataFrame, tables: Tables, abbr: str, data_so
         _apply(spark, root, last)
     if last is None or name is None or name != last["name"]:
         buckets = last["buckets"] if last is not None else buckets
-        keyed = settled(merge.keyed_occurrences(batch, tables["taxa"], tables["taxon_names"], abbr))
+        keyed, fetched = _observed(merge.keyed_occurrences(batch, tables["taxa"], tables["taxon_names"], abbr), fetched=F.lit(True))
+        keyed = spark.read.parquet(write_version(keyed, f"{root}/staged/keyed"))
         which = touched(keyed.where("unique_key is not null"), "unique_key", buckets)
         before = stored(spark, root, "occurrences", which)
         existing = before if before is not None else tables["occurrences"].limit(0)
         top = last["top"] if last is not None else 0
         merged, rejects = merge.merge_occurrences(existing, keyed, data_source_id, top=top)
+        merged, done = _observed(merged, **{a: F.col("action") == a for a in ("inserted", "updated", "unchanged")})
         merged_path = _stage(merged, root, "occurrences", which)
         written = spark.read.parquet(merged_path)
         changed = written.where("action != 'kept'").select(F.col("id").alias("occurrence_id"))
@@ -124,14 +142,18 @@ def ingest_batch(root: str, batch: DataFrame, tables: Tables, abbr: str, data_so
         if links is None:
             links = spark.createDataFrame([], "geographic_region_id long, occurrence_id long")
         links_path = _stage(geo.reassign_regions(links, written.drop("action"), tables["geographic_regions"], changed), root, "links", of_links)
-        counts_path = write_version(written.groupBy("action").agg(F.count(F.lit(1)).alias("n")).where("action != 'kept'"), f"{root}/staged/counts")
+        failed = F.col("reason").startswith("error:")
+        rejects, refused = _observed(rejects, skipped=~failed, errors=failed)
         rejects_path = write_version(rejects, f"{root}/staged/rejects")
-        row = (name, merged_path, links_path, counts_path, rejects_path, buckets, max(top, merge.largest_id(written)), False)
-        staged = spark.createDataFrame([row], LEDGER)
+        counts = fetched.get | done.get | refused.get
+        run = {"number": last["number"] + 1 if last is not None else 0, "name": name, **counts, "processed": counts["fetched"] - counts["errors"]}
+        paths = {"merged": merged_path, "links": links_path, "rejects": rejects_path, "buckets": buckets, "top": max(top, merge.largest_id(written)), "applied": False}
+        staged = spark.createDataFrame([run | paths], LEDGER)
         write_version(staged, f"{root}/ledger")
         last = staged.first()
         _apply(spark, root, last)
-    return spark.read.parquet(last["counts"]), spark.read.parquet(last["rejects"])
+    counts = [(a, last[a]) for a in ("inserted", "updated", "unchanged") if last[a]]
+    return spark.createDataFrame(counts, "action string, n long"), spark.read.parquet(last["rejects"])
 
 
 def checkpoints(batch: DataFrame, source_key: str, before: DataFrame | None = None) -> DataFrame:

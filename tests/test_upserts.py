@@ -177,6 +177,8 @@ def test_staged_batch_takes_effect(spark, tmp_path, monkeypatch, step):
     counts, bad = ingest.ingest_batch(root, second, t, "NBN", 1, name="b7")
     assert rows(counts, "action", "n") == [("inserted", 2), ("updated", 1)] and rows(bad, "reason") == [("missing ids",)]
     assert rows(ingest.stored(spark, root, "occurrences"), "id", "unique_key", "recorded_by") == [(1, "NBN:u1", "Again"), (2, "NBN:u5", "R5"), (3, "NBN:u0", "R0"), (4, "NBN:u3", "R3")]
+    run = ingest.runs(spark, root).collect()[-1]
+    assert (run["number"], run["name"], *[run[c] for c in ("fetched", "processed", "inserted", "updated", "unchanged", "skipped", "errors")]) == (1, "b7", 4, 4, 2, 1, 0, 1, 0)
     # The record that moved has lost its region, and with it perhaps the last link of a bucket.
     assert rows(ingest.stored(spark, root, "geographic_regions_occurrences"), "geographic_region_id", "occurrence_id") == [(1, 2), (1, 3), (1, 4)]
 
