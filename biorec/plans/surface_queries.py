@@ -430,9 +430,9 @@ def p3_names_by_parents(t):
     return lists.select("id", F.array_join(F.transform("names", lambda n: n["scientific_name"]), " / ").alias("names"))
 
 
-@query("""SELECT concat('page-', user_id) AS file, at, CASE WHEN event_id % 5 > 0 THEN event_id::VARCHAR END AS uuid, CASE WHEN event_id % 5 = 0 THEN 'record is no object' END AS reason FROM placed WHERE user_id % 7 <> 0 AND user_id % 11 <> 0
+@query("""SELECT concat('page-', user_id) AS file, "at", CASE WHEN event_id % 5 > 0 THEN event_id::VARCHAR END AS uuid, CASE WHEN event_id % 5 = 0 THEN 'record is no object' END AS reason FROM placed WHERE user_id % 7 <> 0 AND user_id % 11 <> 0
  UNION ALL SELECT DISTINCT concat('page-', user_id), NULL, NULL, CASE WHEN user_id % 7 = 0 THEN 'unparsable payload' ELSE 'no list of records' END FROM placed WHERE user_id % 7 = 0 OR user_id % 11 = 0""",
-       ("placed", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS at FROM events"))
+       ("placed", 'SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS "at" FROM events'))
 def s1_page_rows(t):
     """Pages of each user's events as JSON: some cut short, some without a list, some entries no records."""
     e = t["events"]
@@ -463,3 +463,115 @@ def g3_reassign_regions(t):
     placed = t["occurrences"].withColumns({"longitude": (F.col("id") % 611) / 100.0, "latitude": F.lit(50.0) + (F.col("id") % 457) / 100.0})
     changed = t["occurrences"].where("id % 10 = 3").select(F.col("id").alias("occurrence_id"))
     return geo.reassign_regions(t["geographic_regions_occurrences"], placed, t["geographic_regions"], changed)
+
+
+# ---------------------------------------------------------------- further normalisers, rejects, upserts and decisions
+
+
+@query("""SELECT 'S' || p_size::VARCHAR AS external_key, CASE WHEN p_size <> 7 THEN trim(p_name) END AS title, p_type AS description FROM part""")
+def n4_normalize_schemes(t):
+    return records.normalize(_report(t, "recording_schemes"), "recording_schemes").select("external_key", "title", "description")
+
+
+@query("""SELECT CASE WHEN p_size <> 9 THEN 'Rank ' || p_size::VARCHAR END AS rank, CASE WHEN p_size % 8 > 0 THEN 'r' || (p_size % 7)::VARCHAR END AS abbr, (p_size - 5)::BIGINT AS sort_order FROM part""")
+def n5_normalize_ranks(t):
+    return records.normalize(_report(t, "taxon_ranks"), "taxon_ranks").select("rank", "abbr", "sort_order")
+
+
+def _taxa_report(t):
+    """Taxa as a report gives them: stored species that come again, new aggregates, and some with no group, no parent or no name."""
+    k, b = F.col("p_partkey"), F.substring("p_brand", 7, 9)
+    text = lambda c: c.cast("string")
+    new = k % 4 == 0
+    higher = F.to_json(F.array(F.struct(F.concat(F.lit("F"), b).alias("organism_key"), F.lit("Fam").alias("taxon"), F.lit("family ").alias("taxon_rank")), F.struct(F.concat(F.lit("O"), text(F.length("p_type") % 7)).alias("organism_key"), F.lit("Ord").alias("taxon"), F.lit("Order").alias("taxon_rank"))))
+    return t["part"].where((k % 4 == 0) | (k % 3 == 0)).select(
+        k.alias("order"), F.when(new, F.concat(F.lit("X"), text(k))).otherwise(F.concat(F.lit("T"), text(k + 1))).alias("taxon_identifier"), F.concat(F.lit("N"), text(k + 1)).alias("scientific_name_identifier"), F.when(k % 23 > 0, F.col("p_name")).alias("scientific_name"),
+        F.when(new, "species Aggregate").otherwise("Species").alias("taxon_rank"), F.when(k % 19 == 0, "G999").otherwise(F.concat(F.lit("G"), b)).alias("taxon_group_external_key"), F.when(k % 5 == 0, F.concat(F.lit("S"), text(F.col("p_size") % 10))).alias("recording_scheme_external_key"),
+        F.when(new & (k % 17 == 0), "NOPE").when(new, F.concat(F.lit("T"), text(k + 1))).otherwise(F.concat(F.lit("F"), b)).alias("parent_taxon_identifier"), F.when(k % 6 > 0, higher).alias("higher_taxa"), (k % 3).cast("string").alias("id_difficulty"),
+    )
+
+
+_GIVEN_TAXA = ("given_taxa", """SELECT p_partkey AS k, p_partkey % 4 = 0 AS new, CASE WHEN p_partkey % 4 = 0 THEN 'X' || p_partkey::VARCHAR ELSE 'T' || (p_partkey + 1)::VARCHAR END AS taxon_identifier, CASE WHEN p_partkey % 23 = 0 THEN 'blank id or name' WHEN p_partkey % 19 = 0 OR g.id IS NULL THEN 'unknown group'
+ WHEN p_partkey % 4 = 0 AND p_partkey % 17 = 0 THEN 'error: unknown parent or higher taxon' END AS reason, g.id AS taxon_group_id, s.id AS scheme, s.title AS scheme_title, length(p_type) % 7 AS o, substr(p_brand, 7)::BIGINT AS f, p_partkey % 6 > 0 AS ranked
+ FROM part LEFT JOIN taxon_groups g ON g.external_key = 'G' || substr(p_brand, 7) AND g.deleted_at IS NULL LEFT JOIN recording_schemes s ON p_partkey % 5 = 0 AND s.external_key = 'S' || (p_size % 10)::VARCHAR AND s.deleted_at IS NULL WHERE p_partkey % 4 = 0 OR p_partkey % 3 = 0""")
+
+
+@query("""SELECT 'X' || p_partkey::VARCHAR AS taxon_identifier, CASE WHEN p_partkey % 6 > 0 THEN 2 ELSE 0 END AS n_higher, CASE WHEN p_partkey % 6 > 0 THEN 'family ' END AS first_rank, p_partkey % 3 AS id_difficulty FROM part WHERE p_partkey % 4 = 0
+ UNION ALL SELECT 'T' || (p_partkey + 1)::VARCHAR, CASE WHEN p_partkey % 6 > 0 THEN 2 ELSE 0 END, CASE WHEN p_partkey % 6 > 0 THEN 'family ' END, 0 FROM part WHERE p_partkey % 4 > 0 AND p_partkey % 3 = 0""")
+def n6_normalize_taxa(t):
+    rows = records.normalize(_taxa_report(t), "taxa")
+    return rows.select("taxon_identifier", F.size("higher_taxa").alias("n_higher"), F.get("higher_taxa", F.lit(0))["taxon_rank"].alias("first_rank"), "id_difficulty")
+
+
+@query("SELECT n_nationkey::VARCHAR AS higher_geography_identifier, CASE WHEN n_nationkey <> 5 THEN n_name END AS higher_geography, 'County' AS location_type, 'POINT' AS footprint_geometry, 'IREC' AS data_source_abbr FROM nation")
+def n8_normalize_regions(t):
+    return records.normalize(_report(t, "geographic_regions"), "geographic_regions", "County").select("higher_geography_identifier", "higher_geography", "location_type", "footprint_geometry", "data_source_abbr")
+
+
+def _upserted_taxa(t):
+    ranks = t["taxon_ranks"].withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    stored = t["taxa"].withColumn("blocked_reason", F.when(F.col("blocked") == 1, "bad"))
+    return merge.upsert_taxa(stored, records.normalize(_taxa_report(t), "taxa"), t["taxon_groups"], t["recording_schemes"], ranks)
+
+
+_GOOD_TAXA = (("good", "SELECT *, row_number() OVER (PARTITION BY new ORDER BY taxon_identifier) AS n FROM given_taxa WHERE reason IS NULL"), ("last_id", "SELECT max(id) AS top FROM taxa"))
+
+
+@query("""SELECT t.taxon_identifier, t.id, CASE WHEN g.k IS NULL THEN t.parent_taxon_id ELSE 1000000 + g.f END AS parent_taxon_id, CASE WHEN g.k IS NULL THEN t.order_id WHEN g.ranked THEN 2000000 + g.o END AS order_id, CASE WHEN g.k IS NULL THEN t.family_id WHEN g.ranked THEN 1000000 + g.f END AS family_id,
+  CASE WHEN g.k IS NULL THEN t.species_id ELSE t.id END AS species_id, CASE WHEN g.k IS NULL THEN t.recording_scheme_id ELSE g.scheme END AS recording_scheme_id, t.rarity_group_name, CASE WHEN g.k IS NULL THEN t.blocked ELSE 0 END AS blocked, CASE WHEN g.k IS NULL AND t.blocked = 1 THEN 'bad' END AS blocked_reason
+  FROM taxa t LEFT JOIN good g ON NOT g.new AND g.taxon_identifier = t.taxon_identifier
+ UNION ALL SELECT g.taxon_identifier, top + g.n, g.k + 1, CASE WHEN g.ranked THEN 2000000 + g.o END, CASE WHEN g.ranked THEN 1000000 + g.f END, top + g.n, g.scheme, coalesce(g.scheme_title, 'Unassigned'), 0, NULL FROM good g, last_id WHERE g.new""", _GIVEN_TAXA, *_GOOD_TAXA)
+def u6_upsert_taxa(t):
+    """Taxa with parents, rank columns, an aggregate's rank standing for Species, and blocked taxa that come again."""
+    return _upserted_taxa(t)[0].select("taxon_identifier", "id", "parent_taxon_id", "order_id", "family_id", "species_id", "recording_scheme_id", "rarity_group_name", "blocked", "blocked_reason")
+
+
+@query("SELECT taxon_identifier, reason FROM given_taxa WHERE reason IS NOT NULL", _GIVEN_TAXA)
+def r6_taxa_rejects(t):
+    return _upserted_taxa(t)[1].select("taxon_identifier", "reason")
+
+
+@query("""SELECT 'taxon_groups' AS entity, CASE WHEN p_partkey % 5 = 0 THEN 'blank key or title' ELSE 'no source id' END AS reason, count(*) AS n FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 7 = 0 GROUP BY ALL
+ UNION ALL SELECT 'recording_schemes', 'blank key or title', count(*) FROM part WHERE p_size = 7 HAVING count(*) > 0 UNION ALL SELECT 'taxon_ranks', 'blank rank', count(*) FROM part WHERE p_size = 9 HAVING count(*) > 0
+ UNION ALL SELECT 'taxon_names', CASE WHEN p_partkey % 6 = 0 THEN 'blank id or name' ELSE 'unknown taxon' END, count(*) FROM part WHERE p_partkey % 6 = 0 OR p_partkey % 11 = 0 GROUP BY ALL
+ UNION ALL SELECT 'grid_square_stats', CASE WHEN s_suppkey % 13 = 0 THEN 'incomplete square' ELSE 'unknown region' END, count(*) FROM supplier LEFT JOIN geographic_regions g ON g.higher_geography_identifier = 'N' || s_nationkey::VARCHAR AND g.deleted_at IS NULL WHERE s_suppkey % 13 = 0 OR g.id IS NULL GROUP BY ALL""")
+def r1_r7_rejects(t):
+    """How many report rows of each entity are rejected, for each reason."""
+    k = F.col("order")
+    groups = _report(t, "taxon_groups").withColumns({"external_key": F.when(k % 5 > 0, F.col("external_key")), "id": F.when(k % 7 > 0, F.col("id"))})
+    names = _report(t, "taxon_names").withColumns({"taxon_name": F.when(k % 6 > 0, F.col("taxon_name")), "organism_key": F.when(k % 11 > 0, F.col("organism_key")).otherwise("NOWHERE")})
+    rows = lambda df, entity: records.normalize(df, entity)
+    schemes = t["recording_schemes"].withColumn("description", F.lit(None).cast("string"))
+    squares = t["part"].limit(0).selectExpr("p_partkey as id", "p_name as uuid", "p_name as square", "p_partkey as geographic_region_id", "cast(0 as int) as easting", "cast(0 as int) as northing", "0D as lat", "0D as lon", "cast(0 as int) as partial")
+    bad = {
+        "taxon_groups": merge.upsert_taxon_groups(t["taxon_groups"], rows(groups, "taxon_groups")), "recording_schemes": merge.upsert_recording_schemes(schemes, rows(_report(t, "recording_schemes"), "recording_schemes")),
+        "taxon_ranks": merge.upsert_taxon_ranks(t["taxon_ranks"], rows(_report(t, "taxon_ranks"), "taxon_ranks")), "taxon_names": merge.upsert_taxon_names(t["taxon_names"], rows(names, "taxon_names"), t["taxa"]),
+        "grid_square_stats": merge.upsert_grid_squares(squares, rows(_report(t, "grid_square_stats"), "grid_square_stats"), t["geographic_regions"]),
+    }
+    out = None
+    for entity, (_, rejects) in bad.items():
+        part = rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit(entity).alias("entity"), "reason", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""SELECT coalesce(g.id, (SELECT max(id) FROM geographic_regions) + row_number() OVER (PARTITION BY g.id IS NULL ORDER BY i.key)) AS id, coalesce(i.key, g.higher_geography_identifier) AS higher_geography_identifier, coalesce(i.name, g.higher_geography) AS higher_geography, coalesce(i.type, g.location_type) AS location_type,
+ CASE WHEN i.key IS NOT NULL THEN i.source ELSE 9 END AS data_source_id, CASE WHEN i.key IS NULL THEN g.deleted_at IS NOT NULL ELSE false END AS deleted, CASE WHEN i.key IS NULL THEN 'kept' WHEN g.id IS NULL THEN 'inserted' ELSE 'updated' END AS action
+ FROM geographic_regions g FULL JOIN (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'N' || n_nationkey::VARCHAR ELSE n_nationkey::VARCHAR END AS key, n_name AS name, 'County' AS type, CASE WHEN n_nationkey % 4 = 0 THEN 2 ELSE 1 END AS source FROM nation WHERE n_nationkey <> 5 AND n_nationkey % 8 <> 7) i ON i.key = g.higher_geography_identifier""")
+def u4_upsert_regions(t):
+    """Stored regions that come again, also deleted ones, and new ones; sources by abbreviation or the default."""
+    k = F.col("order")
+    given = _report(t, "geographic_regions").withColumn("id", F.when(k % 2 == 0, F.concat(F.lit("N"), F.col("id"))).otherwise(F.col("id")))
+    given = records.normalize(given, "geographic_regions", "County").withColumn("data_source_abbr", F.when(k % 8 == 7, "NONE").when(k % 4 == 0, F.lit("asia ")).otherwise(F.lit(None)))
+    sources = t["data_sources"].select(F.when(F.col("abbr") == "ASIA", 2).when(F.col("abbr") == "EURO", 1).otherwise(7).cast("long").alias("id"), F.when(F.col("abbr") == "EURO", "IREC").otherwise(F.col("abbr")).alias("abbr"))
+    out, _ = merge.upsert_regions(t["geographic_regions"].withColumn("data_source_id", F.lit(9).cast("long")), given, sources)
+    return out.select("id", "higher_geography_identifier", "higher_geography", "location_type", "data_source_id", F.col("deleted_at").isNotNull().alias("deleted"), "action")
+
+
+@query("""SELECT id, CASE WHEN id % 5 = 0 THEN 1 WHEN id % 5 = 1 THEN 0 ELSE blocked END AS blocked, CASE WHEN id % 5 = 0 THEN 'spam ' || id::VARCHAR WHEN id % 5 = 1 THEN NULL WHEN blocked = 1 THEN 'old' END AS blocked_reason FROM occurrences""")
+def u12_moderate(t):
+    """Decisions on records: some blocked with a reason, some cleared, some without the reason that they need."""
+    i = F.col("id")
+    decisions = t["occurrences"].where(i % 5 < 3).select("id", F.when(i % 5 == 1, 0).otherwise(1).alias("blocked"), F.when(i % 5 == 0, F.concat(F.lit("spam "), i.cast("string"))).when(i % 5 == 2, " ").alias("reason"))
+    stored = t["occurrences"].select("id", "blocked", F.when(F.col("blocked") == 1, "old").alias("blocked_reason"))
+    return merge.moderate(stored, decisions)[0]
