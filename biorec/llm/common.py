@@ -115,7 +115,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes each, so that a batch never needs memory in proportion to its whole text."""
     start, n = 0, len(offsets) - 1
     while start < n:
@@ -163,7 +163,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(inside & ~before)
     stops = np.flatnonzero(inside & ~after)
     lower = b + ((b >= 65) & (b <= 90)).astype(np.uint8) * np.uint8(32)
-    size = 1 << max(20, int(len(b)).bit_length())
+    size = 1 << max(18, int(len(b)).bit_length())
     power, inverse = _powers(size)
     sums = np.cumsum(_BYTE[lower] * power[: len(b)], dtype=np.uint64)
     left = np.where(starts > 0, sums[np.maximum(starts - 1, 0)], np.uint64(0))
