@@ -560,12 +560,20 @@ def r1_r7_rejects(t):
  FROM geographic_regions g FULL JOIN (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'N' || n_nationkey::VARCHAR ELSE n_nationkey::VARCHAR END AS key, n_name AS name, 'County' AS type, CASE WHEN n_nationkey % 4 = 0 THEN 2 ELSE 1 END AS source FROM nation WHERE n_nationkey <> 5 AND n_nationkey % 8 <> 7) i ON i.key = g.higher_geography_identifier""")
 def u4_upsert_regions(t):
     """Stored regions that come again, also deleted ones, and new ones; sources by abbreviation or the default."""
+    return _upserted_regions(t)[0].select("id", "higher_geography_identifier", "higher_geography", "location_type", "data_source_id", F.col("deleted_at").isNotNull().alias("deleted"), "action")
+
+
+def _upserted_regions(t):
     k = F.col("order")
     given = _report(t, "geographic_regions").withColumn("id", F.when(k % 2 == 0, F.concat(F.lit("N"), F.col("id"))).otherwise(F.col("id")))
     given = records.normalize(given, "geographic_regions", "County").withColumn("data_source_abbr", F.when(k % 8 == 7, "NONE").when(k % 4 == 0, F.lit("asia ")).otherwise(F.lit(None)))
     sources = t["data_sources"].select(F.when(F.col("abbr") == "ASIA", 2).when(F.col("abbr") == "EURO", 1).otherwise(7).cast("long").alias("id"), F.when(F.col("abbr") == "EURO", "IREC").otherwise(F.col("abbr")).alias("abbr"))
-    out, _ = merge.upsert_regions(t["geographic_regions"].withColumn("data_source_id", F.lit(9).cast("long")), given, sources)
-    return out.select("id", "higher_geography_identifier", "higher_geography", "location_type", "data_source_id", F.col("deleted_at").isNotNull().alias("deleted"), "action")
+    return merge.upsert_regions(t["geographic_regions"].withColumn("data_source_id", F.lit(9).cast("long")), given, sources)
+
+
+@query("""SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'N' || n_nationkey::VARCHAR ELSE n_nationkey::VARCHAR END AS higher_geography_identifier, CASE WHEN n_nationkey = 5 THEN 'blank name or type' ELSE 'unknown data source' END AS reason FROM nation WHERE n_nationkey = 5 OR n_nationkey % 8 = 7""")
+def r4_unknown_sources(t):
+    return _upserted_regions(t)[1].select("higher_geography_identifier", "reason")
 
 
 @query("""SELECT id, CASE WHEN id % 5 = 0 THEN 1 WHEN id % 5 = 1 THEN 0 ELSE blocked END AS blocked, CASE WHEN id % 5 = 0 THEN 'spam ' || id::VARCHAR WHEN id % 5 = 1 THEN NULL WHEN blocked = 1 THEN 'old' END AS blocked_reason FROM occurrences""")
@@ -575,3 +583,62 @@ def u12_moderate(t):
     decisions = t["occurrences"].where(i % 5 < 3).select("id", F.when(i % 5 == 1, 0).otherwise(1).alias("blocked"), F.when(i % 5 == 0, F.concat(F.lit("spam "), i.cast("string"))).when(i % 5 == 2, " ").alias("reason"))
     stored = t["occurrences"].select("id", "blocked", F.when(F.col("blocked") == 1, "old").alias("blocked_reason"))
     return merge.moderate(stored, decisions)[0]
+
+
+@query("""SELECT coalesce(s.id, (SELECT max(id) FROM recording_schemes) + row_number() OVER (PARTITION BY s.id IS NULL ORDER BY i.key)) AS id, coalesce(i.key, s.external_key) AS external_key, coalesce(i.title, s.title) AS title, coalesce(i.description, 'Old') AS description, CASE WHEN i.key IS NULL THEN s.deleted_at IS NOT NULL ELSE false END AS deleted,
+ CASE WHEN i.key IS NULL THEN 'kept' WHEN s.id IS NULL THEN 'inserted' ELSE 'updated' END AS action
+ FROM recording_schemes s FULL JOIN (SELECT 'S' || p_size::VARCHAR AS key, substr(p_name, 1, 100) AS title, p_type AS description FROM part WHERE p_size <> 7 QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY p_partkey DESC) = 1) i ON i.key = s.external_key""")
+def u2_update_schemes(t):
+    """Stored schemes that come again, also a deleted one, and new ones."""
+    stored = t["recording_schemes"].withColumn("description", F.lit("Old"))
+    out, _ = merge.upsert_recording_schemes(stored, records.normalize(_report(t, "recording_schemes"), "recording_schemes"))
+    return out.select("id", "external_key", "title", "description", F.col("deleted_at").isNotNull().alias("deleted"), "action")
+
+
+_SQUARE_SIDES = (
+    ("stored_squares", "SELECT row_number() OVER (ORDER BY square, region) AS id, square, region, 100 + region AS n FROM (SELECT DISTINCT 'SU1' || (s_suppkey % 10)::VARCHAR || 'A' AS square, 1 + s_nationkey AS region FROM supplier WHERE s_suppkey % 3 = 0 UNION SELECT DISTINCT 'TQ1' || (s_suppkey % 10)::VARCHAR || 'B', 1 + s_nationkey FROM supplier)"),
+    ("given_squares", """SELECT 'SU1' || (s_suppkey % 10)::VARCHAR || 'A' AS square, g.id AS region, s_suppkey::INTEGER AS easting FROM supplier JOIN geographic_regions g ON g.higher_geography_identifier = 'N' || s_nationkey::VARCHAR AND g.deleted_at IS NULL WHERE s_suppkey % 13 > 0
+ QUALIFY row_number() OVER (PARTITION BY s_suppkey % 10, g.id ORDER BY s_suppkey DESC) = 1"""),
+)
+
+
+@query("""SELECT coalesce(s.id, (SELECT max(id) FROM stored_squares) + row_number() OVER (PARTITION BY s.id IS NULL ORDER BY g.square, g.region)) AS id, coalesce(s.square, g.square) AS square, coalesce(s.region, g.region) AS geographic_region_id, coalesce(g.easting, -1) AS easting, coalesce(s.n, 0) AS occurrences_count,
+ CASE WHEN g.square IS NULL THEN 'kept' WHEN s.id IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM stored_squares s FULL JOIN given_squares g ON g.square = s.square AND g.region = s.region""", *_SQUARE_SIDES)
+def u5_update_squares(t):
+    """Stored squares that come again keep their counters; new ones start at 0."""
+    key, region = F.col("s_suppkey"), (F.col("s_nationkey") + 1).cast("long")
+    named = lambda a, z: F.concat(F.lit(a), (key % 10).cast("string"), F.lit(z)).alias("square")
+    sides = t["supplier"].where("s_suppkey % 3 = 0").select(named("SU1", "A"), region.alias("geographic_region_id")).unionByName(t["supplier"].select(named("TQ1", "B"), region.alias("geographic_region_id"))).distinct()
+    blank = sides.select(F.lit(None).cast("long").alias("id"), F.lit("u").alias("uuid"), "square", "geographic_region_id", *[F.lit(-1).alias(c) for c in ("easting", "northing")], F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(0).alias("partial"), (F.col("geographic_region_id") + 100).cast("int").alias("occurrences_count"))
+    stored = merge.numbered(blank, ["square", "geographic_region_id"], 0)
+    out, _ = merge.upsert_grid_squares(stored, records.normalize(_report(t, "grid_square_stats"), "grid_square_stats"), t["geographic_regions"])
+    return out.select("id", "square", "geographic_region_id", "easting", F.col("occurrences_count").cast("bigint").alias("occurrences_count"), "action")
+
+
+@query("""SELECT coalesce(n.id, (SELECT max(id) FROM taxon_names) + row_number() OVER (PARTITION BY n.id IS NULL ORDER BY i.taxon_id, i.given)) AS id, coalesce(n.taxon_id, i.taxon_id) AS taxon_id, coalesce(n.given_name_identifier, i.given) AS given_name_identifier, coalesce(i.name, n.name) AS name, coalesce(i.accepted, n.accepted) AS accepted,
+ CASE WHEN i.given IS NULL THEN n.deleted_at IS NOT NULL ELSE false END AS deleted, CASE WHEN i.given IS NULL THEN 'kept' WHEN n.id IS NULL THEN 'inserted' ELSE 'updated' END AS action
+ FROM taxon_names n FULL JOIN (SELECT p_partkey + 1 AS taxon_id, CASE WHEN p_partkey % 3 = 0 THEN 'W' || p_partkey::VARCHAR ELSE 'N' || (p_partkey + 1)::VARCHAR END AS given, 'New ' || p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS accepted FROM part WHERE p_partkey % 4 > 0) i ON i.taxon_id = n.taxon_id AND i.given = n.given_name_identifier""")
+def u7_update_names(t):
+    """Stored names that come again, also deleted ones, and new ones of stored taxa."""
+    k = F.col("p_partkey")
+    given = t["part"].where("p_partkey % 4 > 0").select(k.alias("order"), F.concat(F.lit("T"), (k + 1).cast("string")).alias("organism_key"), F.when(k % 3 == 0, F.concat(F.lit("W"), k.cast("string"))).otherwise(F.concat(F.lit("N"), (k + 1).cast("string"))).alias("name_identifier"), F.concat(F.lit("New "), "p_name").alias("taxon_name"), F.when(k % 2 == 0, "t").otherwise("f").alias("is_accepted"))
+    out, _ = merge.upsert_taxon_names(t["taxon_names"], records.normalize(given, "taxon_names"), t["taxa"])
+    return out.select("id", "taxon_id", "given_name_identifier", "name", "accepted", F.col("deleted_at").isNotNull().alias("deleted"), "action")
+
+
+@query("""SELECT CASE id % 11 WHEN 1 THEN 'missing ids' WHEN 2 THEN 'unknown taxon or name' WHEN 3 THEN 'no position for a reference' WHEN 4 THEN 'blank reference' WHEN 5 THEN 'owned by iRecord' ELSE 'inserted' END AS outcome, count(*) AS n FROM occurrences GROUP BY ALL
+ UNION ALL SELECT 'kept', count(*) FROM occurrences WHERE id % 11 = 5 HAVING count(*) > 0""")
+def r8_all_reasons(t):
+    """Records with each of the five reasons, the rest inserted; iRecord owns the stored rows that some are copies of."""
+    i, text = F.col("id"), F.col("id").cast("string")
+    copy = i % 11 == 5
+    fields = {
+        "uuid": F.when(i % 11 == 1, " ").otherwise(F.col("unique_key")), "occurrenceID": text, "taxonConceptID": F.when(i % 11 == 2, "NOWHERE").otherwise(F.concat(F.lit("N"), F.col("taxon_id").cast("string"))), "gridReference": F.when(i % 11 == 4, "").otherwise("SU1234"),
+        "gridReferenceSystem": F.when(i % 11 == 3, "WGS84"), "dataProviderName": F.when(copy, "Biological Records Centre"), "dataResourceName": F.when(copy, "iRecord moths"),
+    }
+    given = records.normalize_nbn(t["occurrences"].select(F.create_map(*[x for n, c in fields.items() for x in (F.lit(n), c)]).alias("record")))
+    columns = ("id", "unique_key", "taxon_id", "taxon_name_id", "recorded_by", "data_source_id", "blocked", "deleted_at")
+    stored = t["occurrences"].where(copy).select("id", F.concat(F.lit("IREC:"), text).alias("unique_key"), "taxon_id", "taxon_name_id", "recorded_by", F.lit(2).cast("long").alias("data_source_id"), "blocked", "deleted_at").select(*columns)
+    out, bad = merge.upsert_occurrences(stored, given, t["taxa"], t["taxon_names"], "NBN", 1)
+    both = out.select(F.col("action").alias("outcome")).unionByName(bad.select(F.col("reason").alias("outcome")))
+    return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
