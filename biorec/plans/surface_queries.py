@@ -642,3 +642,27 @@ def r8_all_reasons(t):
     out, bad = merge.upsert_occurrences(stored, given, t["taxa"], t["taxon_names"], "NBN", 1)
     both = out.select(F.col("action").alias("outcome")).unionByName(bad.select(F.col("reason").alias("outcome")))
     return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ENTITY_TAXA = (_GIVEN_TAXA[0], _GIVEN_TAXA[1].replace(" AND g.deleted_at IS NULL", ""))  # groups that come again are no longer deleted
+
+
+@query("""SELECT 'taxon_groups' AS entity, 'updated' AS action, count(DISTINCT p_brand) AS n FROM part
+ UNION ALL SELECT 'recording_schemes', CASE WHEN i.key IS NULL THEN 'kept' WHEN s.id IS NULL THEN 'inserted' ELSE 'updated' END, count(*) FROM recording_schemes s FULL JOIN (SELECT DISTINCT 'S' || p_size::VARCHAR AS key FROM part WHERE p_size <> 7) i ON i.key = s.external_key GROUP BY ALL
+ UNION ALL SELECT 'taxon_ranks', 'inserted', count(DISTINCT p_size) FROM part WHERE p_size <> 9 UNION ALL SELECT 'taxon_ranks', 'kept', count(*) FROM taxon_ranks
+ UNION ALL SELECT 'geographic_regions', 'inserted', count(*) FROM nation WHERE n_nationkey > 0 AND n_nationkey <> 5 UNION ALL SELECT 'geographic_regions', 'kept', count(*) FROM geographic_regions
+ UNION ALL SELECT 'grid_square_stats', 'inserted', count(*) FROM (SELECT DISTINCT s_suppkey % 10, g.id FROM supplier JOIN geographic_regions g ON g.higher_geography_identifier = 'N' || s_nationkey::VARCHAR AND g.deleted_at IS NULL WHERE s_suppkey % 13 > 0)
+ UNION ALL SELECT 'taxa', CASE WHEN g.taxon_identifier IS NULL THEN 'kept' WHEN t.id IS NULL THEN 'inserted' ELSE 'updated' END, count(*) FROM taxa t FULL JOIN (SELECT taxon_identifier FROM given_taxa WHERE reason IS NULL) g ON g.taxon_identifier = t.taxon_identifier GROUP BY ALL
+ UNION ALL SELECT 'taxon_names', 'inserted', count(*) FROM part UNION ALL SELECT 'taxon_names', 'kept', count(*) FROM taxon_names""", _ENTITY_TAXA)
+def i2_ingest_entities(t):
+    """All entities taken in one after another, each after those that it needs: what became of the rows of each."""
+    spark = t["part"].sparkSession
+    never = F.lit(None).cast("timestamp")
+    squares = t["part"].limit(0).selectExpr("p_partkey as id", "p_name as uuid", "p_name as square", "p_partkey as geographic_region_id", "cast(0 as int) as easting", "cast(0 as int) as northing", "0D as lat", "0D as lon", "cast(0 as int) as partial", "cast(0 as int) as occurrences_count")
+    given = t | {
+        "taxon_ranks": t["taxon_ranks"].withColumn("deleted_at", never), "recording_schemes": t["recording_schemes"].withColumn("description", F.lit("Old")), "geographic_regions": t["geographic_regions"].withColumn("data_source_id", F.lit(9).cast("long")), "grid_square_stats": squares,
+        "data_sources": t["data_sources"].select("id", F.when(F.col("id") == 1, "IREC").otherwise(F.col("abbr")).alias("abbr")), "taxa": t["taxa"].withColumn("scientific_name", F.concat(F.lit("Old "), "scientific_name")),
+    }
+    reports = {e: _report(t, e) for e in ("taxon_groups", "recording_schemes", "taxon_ranks", "geographic_regions", "grid_square_stats", "taxon_names")} | {"taxa": _taxa_report(t)}
+    root = f"{tables.shared_folder(spark)}/db-{uuid.uuid4().hex}"
+    return ingest.ingest_entities(root, reports, given, "County")[0]
