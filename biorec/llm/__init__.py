@@ -1,5 +1,5 @@
 """Operators for preparing language-model training corpora.
 
-Ten operators over document, page and embedding tables, each a function from
+Thirteen operators over document, page and embedding tables, each a function from
 DataFrames to DataFrames. Nothing outside this package imports it.
 """
