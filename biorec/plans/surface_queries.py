@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from biorec.functions import tables
-from biorec.operators import geo, merge, taxonomy
+from biorec.operators import geo, merge, stats, taxonomy
 from biorec.operators import query as surface
 from biorec.plans.registry import _COUNTS, _PATHS, _RECORDS, _SCOPED, _SCORES, _TAXON_STATS, _YEAR_STATS, _paths, a1_grid_square_stats, a2_taxon_stats, a3_taxon_year_stats, query
 from biorec.sources import records
@@ -666,3 +666,33 @@ def i2_ingest_entities(t):
     reports = {e: _report(t, e) for e in ("taxon_groups", "recording_schemes", "taxon_ranks", "geographic_regions", "grid_square_stats", "taxon_names")} | {"taxa": _taxa_report(t)}
     root = f"{tables.shared_folder(spark)}/db-{uuid.uuid4().hex}"
     return ingest.ingest_entities(root, reports, given, "County")[0]
+
+
+# ---------------------------------------------------------------- sinks and single rows
+
+
+@query("""SELECT geographic_region_id, occurrence_id FROM geographic_regions_occurrences WHERE occurrence_id % 7 <> 0 UNION ALL SELECT 1, id FROM occurrences WHERE id % 7 = 0""")
+def s6_replace_by_key(t):
+    """The links of some records replaced by new ones."""
+    ids = t["occurrences"].where("id % 7 = 0").select(F.col("id").alias("occurrence_id"))
+    fresh = ids.select(F.lit(1).cast("long").alias("geographic_region_id"), "occurrence_id")
+    return merge.replace_by_key(t["geographic_regions_occurrences"], fresh, ids, "occurrence_id")
+
+
+@query("""SELECT 'reset' AS kind, square, geographic_region_id, occurrences_count, species_count, coalesce(rarity_score, 0.0::DOUBLE) AS rarity_score FROM counts LEFT JOIN scores USING (square, geographic_region_id) WHERE geographic_region_id % 2 = 1
+ UNION ALL SELECT 'reset', 'ZZ99Z', id, 0, 0, 0.0::DOUBLE FROM geographic_regions
+ UNION ALL SELECT 'missing', square, geographic_region_id, occurrences_count, species_count, coalesce(rarity_score, 0.0::DOUBLE) FROM counts LEFT JOIN scores USING (square, geographic_region_id) WHERE geographic_region_id % 2 = 0""", _RECORDS, *_SCORES, _COUNTS)
+def s7_reset_then_update(t):
+    """Stored squares with fresh counters, 0 where nothing was counted; and the counted ones that are not stored."""
+    counted = a1_grid_square_stats(t)
+    stale = counted.where("geographic_region_id % 2 = 1").withColumns({"occurrences_count": F.lit(77).cast("long"), "species_count": F.lit(7).cast("long"), "rarity_score": F.lit(7.5)})
+    empty = t["geographic_regions"].select(F.lit("ZZ99Z").alias("square"), F.col("id").alias("geographic_region_id"), F.lit(5).cast("long").alias("occurrences_count"), F.lit(5).cast("long").alias("species_count"), F.lit(5.0).alias("rarity_score"))
+    fresh, missing = stats.reset_then_update(stale.unionByName(empty), counted)
+    columns = ["square", "geographic_region_id", "occurrences_count", "species_count", F.col("rarity_score").cast("double").alias("rarity_score")]
+    return fresh.select(F.lit("reset").alias("kind"), *columns).unionByName(missing.select(F.lit("missing").alias("kind"), *columns))
+
+
+@query("""SELECT t.taxon_identifier, t.scientific_name, k.rank FROM taxa t LEFT JOIN taxon_ranks k ON k.id = t.taxon_rank_id WHERE t.blocked = 0 AND t.deleted_at IS NULL AND t.taxon_identifier = 'T6'""")
+def q_show_taxon(t):
+    """The row of a natural key, of a rank that is not reported: one row is the feature."""
+    return surface.show(t, "taxa", "T6", includes=("taxon-rank",)).select("taxon_identifier", "scientific_name", F.col("taxon_rank__rank").alias("rank"))
