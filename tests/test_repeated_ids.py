@@ -32,6 +32,7 @@ def plain(value):
 
 @pytest.mark.parametrize("name", [
     "l4_taxon_labels",
+    "q2_taxa",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
