@@ -45,3 +45,17 @@ def test_agrees_with_its_sql(spark, doubled, name):
         engine.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet({files})")
     theirs = engine.execute(f"SELECT {', '.join(columns)} FROM ({contract.oracle_sql()[name]})").fetchall()
     assert ours == collections.Counter(tuple(plain(v) for v in r) for r in theirs)
+
+
+def test_paths_of_repeated_ids(spark, doubled):
+    """An id that rows share has one path, also on cycles; every row of the id is kept."""
+    from biorec.operators import taxonomy
+
+    n = 24
+    rows = [(i, i % n + 1) for i in range(1, n + 1)] + [(i, None) for i in range(1, n + 1)] + [(100, 1)]
+    df = spark.createDataFrame(rows, "id long, parent_taxon_id long")
+    got = collections.Counter((r["id"], tuple(r["path"])) for r in taxonomy.with_paths(df).collect())
+    walk = lambda i: tuple((i + k - 1) % n + 1 for k in range(n - 1, -1, -1))
+    assert got == collections.Counter([(i, walk(i)) for i in range(1, n + 1)] * 2 + [(100, (*walk(1), 100))])
+    names = contract.queries()["p3_names_by_parents"](spark, doubled)
+    assert names.count() == names.select("id").distinct().count()
