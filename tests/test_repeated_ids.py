@@ -33,6 +33,7 @@ def plain(value):
 @pytest.mark.parametrize("name", [
     "l4_taxon_labels",
     "q2_taxa",
+    "a3_taxon_year_stats",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
