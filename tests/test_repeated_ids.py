@@ -34,6 +34,7 @@ def plain(value):
     "l4_taxon_labels",
     "q2_taxa",
     "a3_taxon_year_stats",
+    "e4_grid_squares",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
