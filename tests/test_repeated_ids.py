@@ -35,6 +35,7 @@ def plain(value):
     "q2_taxa",
     "a3_taxon_year_stats",
     "e4_grid_squares",
+    "e5_occurrence_regions",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
