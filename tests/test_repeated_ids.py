@@ -36,6 +36,7 @@ def plain(value):
     "a3_taxon_year_stats",
     "e4_grid_squares",
     "e5_occurrence_regions",
+    "g2_assign_regions",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
