@@ -37,6 +37,7 @@ def plain(value):
     "e4_grid_squares",
     "e5_occurrence_regions",
     "g2_assign_regions",
+    "g3_reassign_regions",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
