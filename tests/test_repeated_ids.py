@@ -38,6 +38,7 @@ def plain(value):
     "e5_occurrence_regions",
     "g2_assign_regions",
     "g3_reassign_regions",
+    "q3_taxon_names",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
