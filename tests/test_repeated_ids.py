@@ -39,6 +39,7 @@ def plain(value):
     "g2_assign_regions",
     "g3_reassign_regions",
     "q3_taxon_names",
+    "q4_taxon_stats",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
