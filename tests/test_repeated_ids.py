@@ -40,6 +40,7 @@ def plain(value):
     "g3_reassign_regions",
     "q3_taxon_names",
     "q4_taxon_stats",
+    "q5_taxon_year_stats",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
