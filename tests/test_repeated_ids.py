@@ -41,6 +41,7 @@ def plain(value):
     "q3_taxon_names",
     "q4_taxon_stats",
     "q5_taxon_year_stats",
+    "r8_all_reasons",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
