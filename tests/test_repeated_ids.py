@@ -42,6 +42,7 @@ def plain(value):
     "q4_taxon_stats",
     "q5_taxon_year_stats",
     "r8_all_reasons",
+    "r8_occurrence_rejects",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
