@@ -43,6 +43,7 @@ def plain(value):
     "q5_taxon_year_stats",
     "r8_all_reasons",
     "r8_occurrence_rejects",
+    "u12_moderate",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
