@@ -44,6 +44,7 @@ def plain(value):
     "r8_all_reasons",
     "r8_occurrence_rejects",
     "u12_moderate",
+    "n2_normalize_indicia",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
