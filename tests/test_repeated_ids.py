@@ -45,6 +45,7 @@ def plain(value):
     "r8_occurrence_rejects",
     "u12_moderate",
     "n2_normalize_indicia",
+    "o3_total",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
