@@ -46,6 +46,7 @@ def plain(value):
     "u12_moderate",
     "n2_normalize_indicia",
     "o3_total",
+    "p1_taxa_report",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
