@@ -154,3 +154,16 @@ def test_fishnet_of_random_shapes(spark):
                     want.append((k, e + 1000, n + 1000, int(cut or not inside)))
     got = geo.fishnet(regions).select("geographic_region_id", "centre_easting", "centre_northing", "partial").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_changed_records_are_not_broadcast(spark):
+    """However small their estimate is, the records that a batch changed do not pass through the driver."""
+    box = "POLYGON((0 50,1 50,1 51,0 51,0 50))"
+    regions = spark.createDataFrame([(1, box, None)], "id long, footprint_geometry string, deleted_at timestamp")
+    occ = spark.createDataFrame([(5, 0.5, 50.5, 0, None), (6, 0.5, 50.5, 0, None)], "id long, longitude double, latitude double, blocked int, deleted_at timestamp")
+    bridge = spark.createDataFrame([(9, 5), (9, 6)], "geographic_region_id long, occurrence_id long")
+    changed = spark.createDataFrame([(5,), (5,)], "occurrence_id long")
+    out = geo.reassign_regions(bridge, occ, regions, changed)
+    assert sorted(map(tuple, out.collect())) == [(1, 5), (9, 6)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("strategy=merge" in line for line in plan.splitlines() if "LeftAnti" in line or "LeftSemi" in line) and "LeftAnti" in plan and "LeftSemi" in plan

@@ -156,3 +156,14 @@ def test_one_join_for_all_ranks(spark):
     df = spark.createDataFrame([(5, 1, None, 2, None, 9), (6, None, None, None, None, None), (7, 1, None, 2, None, 1)], "key int, order_id long, superfamily_id long, family_id long, genus_id long, species_id long")
     out = query.include_parents(df, {"taxa": taxa})
     assert [(r["key"], r["order__scientific_name"], r["family__id"], r["species__taxon_identifier"]) for r in out.orderBy("key").collect()] == [(5, "A", 2, None), (6, None, None, None), (7, "A", 2, "a")]
+
+
+def test_names_are_not_broadcast(spark):
+    """However small the estimate of a table of taxa or names is, no lookup of them passes through the driver."""
+    taxa = spark.createDataFrame([(1, "S1", 7)], "id long, scientific_name_identifier string, species_id long")
+    names = spark.createDataFrame([(3, "S1")], "id long, given_name_identifier string")
+    rows = spark.createDataFrame([("S1", "G"), ("X", "S1")], "scientific_name_identifier string, given_name_identifier string")
+    out = merge.resolve_taxon_name(merge.resolve_taxon(rows, taxa), names)
+    assert sorted((r["scientific_name_identifier"], r["taxon_id"], r["species_id"], r["taxon_name_id"]) for r in out.collect() if r["taxon_id"]) == [("S1", 1, 7, 3)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 3
