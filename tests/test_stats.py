@@ -129,3 +129,11 @@ def test_rarity_in_parts(spark):
     occ = spark.createDataFrame([(k, min(399, int(rng.expovariate(0.02))), f"SU{rng.randrange(30)}", 0, None) for k in range(3000)], "id long, species_id long, grid_ref_2km string, blocked int, deleted_at timestamp")
     plain, parts = (sorted(map(tuple, stats.taxon_rarity(taxa, occ, 1.0, 0.5, most_in_task=n).collect())) for n in (10**6, 0))
     assert plain == parts and len(plain) == 400 and {c for *_, c in plain} == {1, 2, 3, 4, 5}
+
+
+def test_reset_counts_records_once(spark):
+    """What is counted is used three times and computed once: the plan of the result reads no records."""
+    from biorec.plans import registry
+
+    out = registry.queries()["s7_reset_then_update"](spark, "/root/testdata/sf0.001")
+    assert out.count() and not [f for f in out.inputFiles() if "lineitem" in f]
