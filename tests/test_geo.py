@@ -167,3 +167,18 @@ def test_changed_records_are_not_broadcast(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 5), (9, 6)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert all("strategy=merge" in line for line in plan.splitlines() if "LeftAnti" in line or "LeftSemi" in line) and "LeftAnti" in plan and "LeftSemi" in plan
+
+
+def test_refs_are_made_by_compiled_steps(spark, capsys):
+    """The steps of a reference are projections of plain columns, not functions of arrays, which are interpreted for each row."""
+    rows = [(i, 49.5 + i % 12, -7.5 + i * 0.37 % 10, str(i * 7 % 150), ["WGS84", "OSGB", None, "OSGB36"][i % 4]) for i in range(60)] + [(90, None, 1.0, "5", "WGS84"), (91, 10.0, 1.0, "5", "WGS84")]
+    df = spark.createDataFrame(rows, "id int, latitude double, longitude double, coordinate_uncertainty string, grid_ref_system string").withColumns({"grid_ref": F.lit("OLD"), "grid_ref_2km": F.lit("OLD2")})
+    out = geo.assign_grid_refs(df)
+    assert out.columns == df.columns
+    out.explain()
+    assert "lambda" not in capsys.readouterr().out
+    again = F.coalesce(~F.upper("grid_ref_system").isin("OSGB", "OSGB1936", "EPSG:27700"), F.lit(False))
+    made = df.withColumn("r", geo.let(geo.position(F.col("latitude"), F.col("longitude")), lambda p: geo.let(select_square_size(F.col("coordinate_uncertainty")), lambda s: geo.grid_ref(p["e"], p["n"], s))))
+    fine = F.when(F.col("r").isNotNull(), F.coalesce(geo.tetrad_from_ref(F.col("r")), F.lit("")))
+    want = made.select("id", F.when(again, F.col("r")).otherwise("OLD").alias("r"), F.when(again, fine).otherwise("OLD2").alias("f"))
+    assert {tuple(r) for r in out.select("id", "grid_ref", "grid_ref_2km").collect()} == {tuple(r) for r in want.collect()}
