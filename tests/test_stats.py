@@ -137,3 +137,34 @@ def test_reset_counts_records_once(spark):
 
     out = registry.queries()["s7_reset_then_update"](spark, "/root/testdata/sf0.001")
     assert out.count() and not [f for f in out.inputFiles() if "lineitem" in f]
+
+
+def test_taxon_stats_of_ids_at_several_ranks(spark):
+    """A taxon that is a species of some records and a family of others; links that repeat or name no region; records without a square."""
+    import datetime
+
+    day = lambda i: datetime.date(2000, 1, 1) + datetime.timedelta(i * 37 % 400)
+    taxa = spark.createDataFrame([(i, 3, 7 if i < 9 else 3, i, 0, None) for i in range(1, 13)], "id long, taxon_rank_id int, family_id long, species_id long, blocked int, deleted_at timestamp")
+    ranks = spark.createDataFrame([(3, 1)], "id int, is_reporting int")
+    rows = [(i, i % 12 + 1, 7 if i % 12 + 1 < 9 else 3, i % 12 + 1, day(i), None, None if i % 7 == 0 else f" su{i % 4} ", f"r{i % 5}", "V" if i % 3 else "C", 0, None) for i in range(120)]
+    occ = spark.createDataFrame(rows, "id long, taxon_id long, family_id long, species_id long, from_date date, to_date date, grid_ref_2km string, recorded_by string, identification_verification_status string, blocked int, deleted_at timestamp")
+    links = [(i, i % 3 + 1) for i in range(0, 120, 2)] * 2 + [(i, None) for i in range(0, 120, 5)]
+    bridge = spark.createDataFrame(links, "occurrence_id long, geographic_region_id long")
+    want = {}
+    for r in rows:
+        for region in {None} | {g for o, g in links if o == r[0]}:
+            for taxon in {r[2], r[3]}:
+                want.setdefault((taxon, region), []).append(r)
+    want = {k: (len(v), len({x[6] for x in v if x[6]}), min((x[4], x[0]) for x in v)[0], max((x[4], x[0], x[7]) for x in v)[2]) for k, v in want.items()}
+    got = stats.taxon_stats(occ, taxa, ranks, bridge, ("Family", "Species")).collect()
+    assert len(got) == len(want)
+    assert {(r["taxon_id"], r["geographic_region_id"]): (r["occurrences_count"], r["grid_square_count"], r["first_record_date"], r["last_recorder"]) for r in got} == want
+
+
+def test_taxon_stats_shuffle_records_before_their_scopes(spark, capsys):
+    """No aggregate with texts, which sorts, runs before the exchange by taxon: records are expanded to their scopes after it."""
+    taxa = spark.createDataFrame([(1, 3, 7, 1, 0, None)], "id long, taxon_rank_id int, family_id long, species_id long, blocked int, deleted_at timestamp")
+    occ = spark.createDataFrame([], "id long, taxon_id long, family_id long, species_id long, from_date date, to_date date, grid_ref_2km string, recorded_by string, identification_verification_status string, blocked int, deleted_at timestamp")
+    stats.taxon_stats(occ, taxa, spark.createDataFrame([(3, 1)], "id int, is_reporting int"), spark.createDataFrame([], "occurrence_id long, geographic_region_id long"), ("Family", "Species")).explain()
+    plan = capsys.readouterr().out
+    assert 0 < plan.index("explode(scopes") < plan.index("REPARTITION_BY_COL") and "SortAggregate" not in plan[plan.index("REPARTITION_BY_COL"):]
