@@ -167,3 +167,19 @@ def test_names_are_not_broadcast(spark):
     assert sorted((r["scientific_name_identifier"], r["taxon_id"], r["species_id"], r["taxon_name_id"]) for r in out.collect() if r["taxon_id"]) == [("S1", 1, 7, 3)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 3
+
+
+def test_stored_rows_are_computed_once(spark):
+    """The largest id is that of the merged rows: the stored table, which may be a long query, runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    stored = spark.createDataFrame([(i * 3, f"k{i}", "a") for i in range(20)], "id long, key string, v string").mapInArrow(count, "id long, key string, v string")
+    incoming = spark.createDataFrame([(f"k{i}", "b") for i in range(15, 25)], "key string, v string")
+    out = {r["key"]: (r["id"], r["action"]) for r in merge.merge(stored, incoming, ["key"]).collect()}
+    assert out["k19"] == (57, "updated") and [out[f"k{i}"] for i in range(20, 25)] == [(i, "inserted") for i in range(58, 63)]
+    assert seen.value == 20
