@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biorec.llm.common import materialize
+from biorec.llm.common import materialize, slices
 
 CHUNK = 1 << 15
 #: Adjacent matrices that a task multiplies at a time.
@@ -82,6 +83,7 @@ class Model:
         self.score = [file.get_score(i) for i in range(size)]
         self.byte = [file.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.of_byte = {i: b for b, i in enumerate(self.byte)}
+        self.spelled = pa.array([bytes([self.of_byte[i]]) if i in self.of_byte else t.encode() for i, t in enumerate(self.text)], pa.binary())
         self.longest = max(map(len, self.id))
         self.known = {c for t in self.id for c in t}
         #: Length of the longest piece that ends with these two characters.
@@ -228,6 +230,17 @@ class Model:
         text = "".join(out).replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
+        """``decode`` of each list: by Arrow's own functions, where the pieces' bytes are UTF-8; one by one, where some list's are not."""
+        ids = pa.concat_arrays([ids])  # offsets from 0
+        spelled = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.spelled.take(ids.flatten())), b"")
+        try:
+            text = spelled.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array(map(self.decode, ids.to_pylist()), pa.string())
+        text = pc.replace_substring(text, SPACE, " ")
+        return pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+
     # ------------------------------------------------------------ boundaries of chunks
 
     def states(self, text: str, at: int) -> list[tuple[int, int]]:
@@ -424,10 +437,9 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                texts = [m.decode(x.as_py()) for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+            for i, j in slices(batch.column("ids").offsets.to_numpy()):
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, m.decode_lists(part.column("ids"))], [*part.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(scan, fields + ", decoded string")

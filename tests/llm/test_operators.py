@@ -551,3 +551,16 @@ def test_license_runs():
         best = max(cosines, key=licenses._rank)
         got = match.best_run([w.lower() for w in words], (0.0, ""))
         assert got[1] == best[1] and math.isclose(got[0], best[0], abs_tol=1e-6)
+
+
+def test_decoded_lists():
+    """Lists are decoded together as they are one by one: bytes of characters, bytes that are no text, white space at the front, empty lists, slices."""
+    import pyarrow as pa
+
+    m = pieces.model(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["", " ", "  a", "plain words", "line\nbreak\t\u2603 \U0001f600!", "\u2581mark", "x\u00e9\u4e2d\n\n", " \n "]
+    whole = [m.encode(pieces.escaped(t)) for t in texts]
+    broken = [[m.byte[0xE2], m.byte[0x96], m.id["a"]], [m.byte[0xFF], m.byte[0x0A]], [m.byte[0xE2], m.byte[0x96], m.byte[0x81], m.byte[0x41]]]
+    for rows in (whole, whole + broken, [], [[]]):
+        ids = pa.array([[5], *rows, [7]], pa.list_(pa.int32())).slice(1, len(rows))
+        assert m.decode_lists(ids).to_pylist() == [m.decode(r) for r in rows]
