@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from biorec.llm.common import components, few, materialize, merged_sketch, mix, pieces, slices, utf8, word_hashes
+from biorec.llm.common import components, few, lean, materialize, merged_sketch, mix, pieces, slices, utf8, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -52,7 +52,7 @@ BLOOM_BITS = 24
 #: Sets in a block of a tile of several components.
 BLOCK = 2048
 #: About so many bytes of arrays are intersected at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: About so many sets are in one salt of a tile.
 TILE_ROWS = 1 << 17
 #: Least bits of a bitmap; a set of n shingles has the power of two of at least 2 n.
@@ -155,6 +155,7 @@ def may_link(n1, n2, unequal) -> np.ndarray:
 # ---------------------------------------------------------------- scans
 
 
+@lean
 def _scan_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and id of each row's set; the bitmap of each set once a task; the task's part of the sketch."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -184,6 +185,7 @@ def _scan_prefixes(sketch, tile_rows: int):
     A token that far more than ``tile_rows`` sets hold, by the sketch, has several salts.
     """
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = sketch.value.astype(np.int64)
         salts = 1 + np.maximum(plain - int(plain.mean()), 0) // tile_rows
@@ -226,6 +228,7 @@ def _places(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(sid.view(np.uint64) + doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BLOOM_BITS)
 
 
+@lean
 def _bloom_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A filter of 2^24 bits, which only spares work: what passes wrongly joins with nothing later."""
     on = np.zeros(1 << BLOOM_BITS - 3, np.uint8)
@@ -239,6 +242,7 @@ def _bloom_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scan_sets(bloom):
     """The sorted shingle hashes of the sets that the filter asks for, from the row that stands for each set, once a task."""
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
         seen: set[int] = set()
@@ -262,6 +266,7 @@ def _scan_sets(bloom):
 PAIR = "u long, v long, home long, nu long, nv long, du long, dv long"
 
 
+@lean
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose bitmaps do not rule a link out."""
     for batch in batches:
@@ -335,6 +340,7 @@ def _compared(held: dict[str, np.ndarray | list]) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sid[u], sid[v], held["token"][u], n[u], n[v], doc[u], doc[v])], ["u", "v", "home", "nu", "nv", "du", "dv"])
 
 
+@lean
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare the sets of each tile, which arrive sorted by tile: at most two blocks of sets at a time are held."""
     held: pa.Table | None = None

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from biorec.llm.common import doc_key, few, fold, materialize
+from biorec.llm.common import doc_key, few, fold, lean, materialize
 
 HELD_OUT, THRESHOLD = 2, 0.3
 SAMPLE = 20_000
@@ -106,6 +106,7 @@ def features(text: str, known: Known) -> tuple[int, int, int, int]:
 
 
 def _scan(known: Known):
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(zip(*(features(t.as_py() or "", known) for t in batch.column("text")))) if len(batch) else [()] * len(PARTS)
@@ -115,6 +116,7 @@ def _scan(known: Known):
     return scan
 
 
+@lean
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many toxic and clean texts each stem (and, after "=", each lexicon word) stands, a few texts at a time; after "#", the texts themselves."""
     for batch in batches:

@@ -99,3 +99,17 @@ def test_stages(spark, rows, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scans_give_memory_back(monkeypatch):
+    """The scans that run before others in the same workers give free memory back after their task, and once only."""
+    import pyarrow as pa
+
+    from biorec.llm import common, jaccard
+
+    called = []
+    monkeypatch.setattr(common, "release_memory", lambda: called.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d e f", None])], ["doc_id", "text"])
+    for scan in (jaccard._scan_sizes, toxicity._scan(toxicity.Known({}, []))):
+        called.clear()
+        assert sum(len(b) for b in scan(iter([batch, batch]))) >= 4 and called == [1]
