@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biorec.llm.common import materialize, slices
+from biorec.llm.common import lean, materialize, slices
 
 CHUNK = 1 << 15
 #: Adjacent matrices that a task multiplies at a time.
@@ -309,6 +309,7 @@ def boundary_weights(matrices: list[np.ndarray], ahead: np.ndarray, behind: np.n
 
 
 def _chunks(chunk: int, path: str):
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margin = model(path).longest
         for batch in batches:
@@ -326,6 +327,7 @@ def _chunks(chunk: int, path: str):
 
 
 def _matrices(path: str):
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
@@ -388,6 +390,7 @@ def boundary_states(weights: DataFrame, widest: int, fan: int = FAN) -> DataFram
 
 
 def _traced(path: str):
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
@@ -401,6 +404,7 @@ def _traced(path: str):
 
 
 def _whole(path: str):
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
@@ -434,6 +438,7 @@ def encode_pieces(docs: DataFrame, path: str, chunk: int = CHUNK, fan: int = FAN
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with a column ``decoded``, the text that its ids stand for."""
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
