@@ -10,13 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biorec.llm import dedup, jaccard, mixing, pieces, toxicity
-from biorec.llm.common import free, materialize, scratch, table
+from biorec.llm.common import free, materialize, scratch, small_batches, table
 
 #: SQL cannot express a trained classifier or a tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
-#: What Spark hands to a Python worker at a time: stages run one after another in the same executors, whose memory must hold both sides.
-BATCH_BYTES = "4m"
 _left: dict[str, list[str]] = {}
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,7 +25,7 @@ def stage(f: Stage) -> Stage:
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        small_batches(spark)
         app = spark.sparkContext.applicationId
         free(spark, _left.pop(app, []), docs)
         with scratch() as paths:
