@@ -73,3 +73,10 @@ def test_paths_of_repeated_ids(spark, doubled):
     assert got == collections.Counter([(i, walk(i)) for i in range(1, n + 1)] * 2 + [(100, (*walk(1), 100))])
     names = contract.queries()["p3_names_by_parents"](spark, doubled)
     assert names.count() == names.select("id").distinct().count()
+
+
+def test_taxa_are_not_broadcast(spark):
+    """However small the files of the taxa are, neither they nor what is collected from them passes through the driver."""
+    plan = contract.queries()["q2_taxa"](spark, SOURCE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin [") == 3  # parents, ranks' taxa, and their lists
+    assert all("taxon_rank" in line for line in plan.splitlines() if "BroadcastHashJoin [" in line)
