@@ -168,3 +168,15 @@ def test_taxon_stats_shuffle_records_before_their_scopes(spark, capsys):
     stats.taxon_stats(occ, taxa, spark.createDataFrame([(3, 1)], "id int, is_reporting int"), spark.createDataFrame([], "occurrence_id long, geographic_region_id long"), ("Family", "Species")).explain()
     plan = capsys.readouterr().out
     assert 0 < plan.index("explode(scopes") < plan.index("REPARTITION_BY_COL") and "SortAggregate" not in plan[plan.index("REPARTITION_BY_COL"):]
+
+
+def test_records_and_links_are_dealt_by_number(spark):
+    """Tasks that join records with their regions hold small shares: adaptive execution doesn't put them together."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = [(i, 1, f"SU{i % 10}", 2) for i in range(50)]
+    rows = spark.createDataFrame(rows, "occurrence_id long, taxon_id long, square string, species_id long")
+    links = spark.createDataFrame([(7, i) for i in range(50)], "geographic_region_id long, occurrence_id long")
+    per = stats._per_species(rows, links)
+    plan = per._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(occurrence_id") == plan.count("REPARTITION_BY_NUM") == 2 and f", {n}), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, per.collect())) == [(f"SU{i}", 7, 2, 5) for i in range(10)]
