@@ -47,6 +47,7 @@ def plain(value):
     "n2_normalize_indicia",
     "o3_total",
     "p1_taxa_report",
+    "p3_higher_taxa",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
