@@ -48,6 +48,7 @@ def plain(value):
     "o3_total",
     "p1_taxa_report",
     "p3_higher_taxa",
+    "q1_occurrences_in_region",
     #END
 ])
 def test_agrees_with_its_sql(spark, doubled, name):
