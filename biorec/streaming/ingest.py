@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-from biorec.functions.tables import read_buckets, read_if_any, read_version, touched, write_buckets, write_version
+from biorec.functions.tables import passing, read_buckets, read_if_any, read_version, remove, touched, write_buckets, write_version
 from biorec.operators import geo, merge
 from biorec.sources import records
 
@@ -87,6 +87,10 @@ def _apply(spark: SparkSession, root: str, last: Row) -> None:
     run = [f.split()[0] for f in RUN.split(", ")]
     spark.createDataFrame([tuple(last[f] for f in run)], RUN).write.mode("overwrite").parquet(f"{root}/runs/batch={last['number']}")
     write_version(spark.createDataFrame([last.asDict() | {"applied": True}], LEDGER), f"{root}/ledger")
+    # From here on the store has it all; the ledger names the rejects alone to readers.
+    for path in (last["merged"], last["links"]):
+        remove(spark, path)
+        remove(spark, f"{path}-buckets")
 
 
 def runs(spark: SparkSession, root: str) -> DataFrame | None:
@@ -127,24 +131,28 @@ def ingest_batch(root: str, batch: DataFrame, tables: Tables, abbr: str, data_so
     if last is None or name is None or name != last["name"]:
         buckets = last["buckets"] if last is not None else buckets
         keyed, fetched = _observed(merge.keyed_occurrences(batch, tables["taxa"], tables["taxon_names"], abbr), fetched=F.lit(True))
-        keyed = spark.read.parquet(write_version(keyed, f"{root}/staged/keyed"))
+        keyed_path = write_version(keyed, f"{root}/staged/keyed")
+        keyed = spark.read.parquet(keyed_path)
         which = touched(keyed.where("unique_key is not null"), "unique_key", buckets)
         before = stored(spark, root, "occurrences", which)
         existing = before if before is not None else tables["occurrences"].limit(0)
         top = last["top"] if last is not None else 0
-        merged, rejects = merge.merge_occurrences(existing, keyed, data_source_id, top=top)
-        merged, done = _observed(merged, **{a: F.col("action") == a for a in ("inserted", "updated", "unchanged")})
-        merged_path = _stage(merged, root, "occurrences", which)
+        with passing(spark):
+            merged, rejects = merge.merge_occurrences(existing, keyed, data_source_id, top=top)
+            merged, done = _observed(merged, **{a: F.col("action") == a for a in ("inserted", "updated", "unchanged")})
+            merged_path = _stage(merged, root, "occurrences", which)
         written = spark.read.parquet(merged_path)
-        changed = written.where("action != 'kept'").select(F.col("id").alias("occurrence_id"))
+        of_batch = written.where("action != 'kept'")
+        changed = of_batch.select(F.col("id").alias("occurrence_id"))
         of_links = touched(changed, "occurrence_id", buckets)
         links = stored(spark, root, "geographic_regions_occurrences", of_links)
         if links is None:
             links = spark.createDataFrame([], "geographic_region_id long, occurrence_id long")
-        links_path = _stage(geo.reassign_regions(links, written.drop("action"), tables["geographic_regions"], changed), root, "links", of_links)
+        links_path = _stage(geo.reassign_regions(links, of_batch.drop("action"), tables["geographic_regions"], changed), root, "links", of_links)
         failed = F.col("reason").startswith("error:")
         rejects, refused = _observed(rejects, skipped=~failed, errors=failed)
         rejects_path = write_version(rejects, f"{root}/staged/rejects")
+        remove(spark, keyed_path)
         counts = fetched.get | done.get | refused.get
         run = {"number": last["number"] + 1 if last is not None else 0, "name": name, **counts, "processed": counts["fetched"] - counts["errors"]}
         paths = {"merged": merged_path, "links": links_path, "rejects": rejects_path, "buckets": buckets, "top": max(top, merge.largest_id(written)), "applied": False}

@@ -1,4 +1,4 @@
-"""What is left on disk: shuffles go with the write that made them."""
+"""What is left on disk: shuffles go with the write that made them, and a batch leaves its store, its ledger and its rejects alone."""
 
 import pathlib
 
@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from biorec.functions import tables
 from biorec.operators import merge
+from biorec.streaming import ingest
+from tests.test_upserts import nbn, payload, world
 
 
 def shuffles(spark):
@@ -26,6 +28,17 @@ def test_shuffles_end_with_their_write(spark, tmp_path):
     assert not path.exists()
 
 
+def test_a_batch_leaves_its_store_alone(spark, tmp_path):
+    root, t = str(tmp_path / "db"), world(spark)
+    shared = pathlib.Path(tables.shared_folder(spark).removeprefix("file:"))
+    before = set(shared.glob("files-*"))
+    for batch in (payload(spark, *map(nbn, range(9))), payload(spark, *map(nbn, range(5, 20)))):
+        counts, bad = ingest.ingest_batch(root, batch, t, "NBN", 1)
+    assert set(shared.glob("files-*")) == before
+    left = {str(p.parent.relative_to(tmp_path / "db" / "staged")).split("/")[0] for p in (tmp_path / "db" / "staged").rglob("*.parquet")}
+    assert left == {"rejects"} and bad.count() == 0 and ingest.stored(spark, root, "occurrences").count() == 20
+
+
 def test_records_are_dealt_out_once_for_both_lookups(spark):
     """Taxa and accepted names are met by the same key, and so after one exchange of the records."""
     taxa = spark.createDataFrame([(1, "S1", 7)], "id long, scientific_name_identifier string, species_id long")
