@@ -5,7 +5,7 @@ import pathlib
 from pyspark.sql import functions as F
 
 from biorec.functions import tables
-from biorec.operators import merge
+from biorec.operators import merge, stats
 from biorec.streaming import ingest
 from tests.test_upserts import nbn, payload, world
 
@@ -47,3 +47,12 @@ def test_records_are_dealt_out_once_for_both_lookups(spark):
     plan = merge.resolve_taxon_name(merge.resolve_taxon(rows, taxa), names)._jdf.queryExecution().executedPlan().toString()
     # Records by taxon and by given name; taxa; names for each of their two joins.
     assert plan.count("Exchange hashpartitioning") == 5
+
+
+def test_taxon_stats_lay_records_down(spark):
+    """The exchanges that join records, taxa and regions are over before the one by taxon begins."""
+    occ = spark.createDataFrame([(1, 1, 5, 6, None, "SU01A", "A", "V", 0, None)], "id long, taxon_id long, family_id long, species_id long, from_date date, grid_ref_2km string, recorded_by string, identification_verification_status string, blocked int, deleted_at timestamp").withColumns({"from_date": F.lit("2020-01-01").cast("date"), "to_date": F.lit(None).cast("date")})
+    taxa = spark.createDataFrame([(1, 3, 6, 5, 0, None)], "id long, taxon_rank_id long, species_id long, family_id long, blocked int, deleted_at timestamp")
+    out = stats.taxon_stats(occ, taxa, spark.createDataFrame([(3, 1)], "id long, is_reporting int"), spark.createDataFrame([(11, 1)], "geographic_region_id long, occurrence_id long"), ("Family", "Species"))
+    assert sorted((r["taxon_id"], r["geographic_region_id"] or 0, r["occurrences_count"]) for r in out.collect()) == [(5, 0, 1), (5, 11, 1), (6, 0, 1), (6, 11, 1)]
+    assert "SortMergeJoin" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "occurrence_id" not in "".join(line for line in plan.splitlines() if "Join [" in line)
