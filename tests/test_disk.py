@@ -56,3 +56,14 @@ def test_taxon_stats_lay_records_down(spark):
     out = stats.taxon_stats(occ, taxa, spark.createDataFrame([(3, 1)], "id long, is_reporting int"), spark.createDataFrame([(11, 1)], "geographic_region_id long, occurrence_id long"), ("Family", "Species"))
     assert sorted((r["taxon_id"], r["geographic_region_id"] or 0, r["occurrences_count"]) for r in out.collect()) == [(5, 0, 1), (5, 11, 1), (6, 0, 1), (6, 11, 1)]
     assert "SortMergeJoin" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "occurrence_id" not in "".join(line for line in plan.splitlines() if "Join [" in line)
+
+
+def test_taxa_of_statistics_are_not_broadcast(spark, monkeypatch):
+    """Neither the taxa that records refer to nor those that statistics are of pass through the driver, however small their files are."""
+    import __spark_entry__ as contract
+
+    monkeypatch.setattr(stats, "as_files", lambda df: df)
+    plan = contract.queries()["q4_taxon_stats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [taxon_id" in line]
+    # The broadcast one is with the few taxa above others.
+    assert sum("SortMergeJoin" in j for j in joins) == 2 and all("LeftOuter" in j for j in joins if "BroadcastHashJoin" in j)
