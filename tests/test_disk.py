@@ -67,3 +67,21 @@ def test_taxa_of_statistics_are_not_broadcast(spark, monkeypatch):
     joins = [line for line in plan.splitlines() if "Join [taxon_id" in line]
     # The broadcast one is with the few taxa above others.
     assert sum("SortMergeJoin" in j for j in joins) == 2 and all("LeftOuter" in j for j in joins if "BroadcastHashJoin" in j)
+
+
+def test_records_are_laid_down_with_small_broadcasts(spark, monkeypatch):
+    """A table whose files are small may be large in the driver: while links and records are made, the session's threshold is lowered, and never raised."""
+    import __spark_entry__ as contract
+
+    name, seen = "spark.sql.autoBroadcastJoinThreshold", []
+    monkeypatch.setattr(stats, "as_files", lambda df: (seen.append(spark.conf.get(name)), df)[1])
+    before = spark.conf.get(name)
+    contract.queries()["a2_taxon_stats"](spark, "/root/testdata/sf0.001")
+    assert seen == [str(tables.MOST_BROADCAST)] * 2 and spark.conf.get(name) == before
+    try:
+        for low in ("-1", "1000", "1000b"):
+            spark.conf.set(name, low)
+            with tables.small_broadcasts(spark):
+                assert spark.conf.get(name) in (low, low.removesuffix("b"))
+    finally:
+        spark.conf.set(name, before)
